@@ -2,23 +2,44 @@
 
 The tokenizer never joins or compares anything across ASCII white space (its
 pattern's matches hold none and white space itself is dropped), so a text's ids
-are the ids of its words in order. Words repeat, so a bounded memory of words
-saves most of the work; it only saves time and never changes a result.
+are the ids of its words in order; and a word's ids are those of the pieces that
+the pattern finds in its lower-cased form. Words and pieces repeat, so a bounded
+memory of both saves most of the work; it never changes a result. Words with
+characters beyond U+024F, or with a special token's bracket, go to the library
+whole.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
 
+import regex
+
 from countershift.llm.text import blocks
 
-#: Words remembered by one Python worker (about 200 bytes each), and the longest of them.
-MEMORY_WORDS = 400_000
+#: Words, and pieces, remembered by one Python worker (about 200 bytes each), and the longest of them.
+MEMORY_WORDS = 250_000
 MEMORY_BYTES = 48
 
+# The tokenizer's pattern, for ASCII and for characters up to U+024F (whose classes no version of Unicode changes).
+ASCII_PIECES = regex.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
+LATIN_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t\n\x0b\x0c\r \x85\xa0\p{L}\p{N}]+")
+LATIN = regex.compile(r"[\x00-\u024F]*")
+
 _encoders: dict[str, WordEncoder] = {}
 
 
+def pieces_of(word: bytes) -> list[bytes] | None:
+    """The pattern's pieces of a word, normalised; None where only the library should divide it."""
+    if word.isascii():
+        return ASCII_PIECES.findall(word.lower())
+    text = word.decode()
+    if LATIN.fullmatch(text):
+        return [p.encode() for p in LATIN_PIECES.findall(unicodedata.normalize("NFC", text).lower())]
+    return None
+
+
 class WordEncoder:
     """``ids(text)``: little-endian unsigned 32-bit ids as bytes."""
 
@@ -29,6 +50,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def ids(self, data: bytes) -> bytes:
         return b"".join([self._block(block) for block in blocks(data)])
@@ -36,11 +58,11 @@ class WordEncoder:
     def _block(self, data: bytes) -> bytes:
         words = data.split()
         known = self.known
-        missing = list(set(words).difference(known))
+        missing = set(words).difference(known)
         if missing:
             if len(known) > MEMORY_WORDS:
                 known.clear()
-                missing = list(set(words))
+                missing = set(words)
             self._learn(missing)
             out = b"".join([known[w] for w in words])
             for w in missing:
@@ -49,13 +71,31 @@ class WordEncoder:
             return out
         return b"".join([known[w] for w in words])
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
+        divided = [(w, None if b"<|" in w else pieces_of(w)) for w in words]
+        pieces = self.pieces
+        if len(pieces) > MEMORY_WORDS:
+            pieces.clear()
+        new = {p for _, ps in divided if ps for p in ps}.difference(pieces)
+        pieces.update(zip(new, self._encode(list(new))))
+        whole = [w for w, ps in divided if ps is None]
+        self.known.update(zip(whole, self._encode(whole)))
+        for w, ps in divided:
+            if ps is not None:
+                self.known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        for p in new:
+            if len(p) > MEMORY_BYTES:
+                del pieces[p]
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids from one call of the library."""
+        if not words:
+            return []
         encoding = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
         found: list[list[int]] = [[] for _ in words]
         for token, word in zip(encoding.ids, encoding.word_ids):
             found[word].append(token)
-        for word, ids in zip(words, found):
-            self.known[word] = array("I", ids).tobytes()
+        return [array("I", ids).tobytes() for ids in found]
 
 
 def word_encoder(path: str) -> WordEncoder:
