@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from array import array
 
 import ahocorasick
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from countershift.llm.text import blocks
+from countershift.llm.tokens import byte_characters, pieces_of
 
 END = "</w>"
 #: Words and letter groups remembered by one Python worker, and the longest of them in bytes.
@@ -41,18 +41,6 @@ MEMORY_BYTES = 48
 #: Ids decoded at once.
 DECODE_BLOCK = 1 << 18
 
-# The tokenizer's pattern, for characters up to U+024F (whose classes no version of Unicode changes).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t\n\x0b\x0c\r \x85\xa0\p{L}\p{N}]+")
-_LATIN = regex.compile(r"[\x00-\u024F]*")
-_ASCII_PIECES = regex.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0D\x20a-z0-9]+")
-
-
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
-    return [chr(rest.get(b, b)) for b in range(256)]
-
 
 class Vocabulary:
     """Tokens, merges and special strings of a word-ending BPE file."""
@@ -195,15 +183,10 @@ class Codec:
         return self._plain(word)
 
     def _plain(self, word: bytes) -> bytes:
-        if word.isascii():
-            found = _ASCII_PIECES.findall(word.lower())
-        else:
-            text = word.decode()
-            if _LATIN.fullmatch(text):
-                found = [p.encode() for p in _PIECES.findall(unicodedata.normalize("NFC", text).lower())]
-            else:  # the library's own division into pieces: classes of rare characters depend on the version of Unicode
-                cut = self.divide.pre_tokenize_str(self.normalizer.normalize_str(text))
-                found = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in cut]
+        found = pieces_of(word)
+        if found is None:  # the library's own division into pieces: classes of rare characters depend on the version of Unicode
+            cut = self.divide.pre_tokenize_str(self.normalizer.normalize_str(word.decode()))
+            found = [bytes(map(self.byte_of.__getitem__, p)) for p, _ in cut]
         pieces = self.pieces
         out = []
         for p in found:

@@ -30,6 +30,13 @@ LATIN = regex.compile(r"[\x00-\u024F]*")
 _encoders: dict[str, WordEncoder] = {}
 
 
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte: printable Latin-1 for itself, the others from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    return [chr(rest.get(b, b)) for b in range(256)]
+
+
 def pieces_of(word: bytes) -> list[bytes] | None:
     """The pattern's pieces of a word, normalised; None where only the library should divide it."""
     if word.isascii():
@@ -49,6 +56,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.table = {b: ord(c) for b, c in enumerate(byte_characters())}
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
 
@@ -77,7 +86,10 @@ class WordEncoder:
         if len(pieces) > MEMORY_WORDS:
             pieces.clear()
         new = {p for _, ps in divided if ps for p in ps}.difference(pieces)
-        pieces.update(zip(new, self._encode(list(new))))
+        tokenize, table = self.model.tokenize, self.table
+        for p in new:
+            # pieces are normalised and divided already: the library's merges are all that is left
+            pieces[p] = array("I", [t.id for t in tokenize(p.decode("latin-1").translate(table))]).tobytes()
         whole = [w for w, ps in divided if ps is None]
         self.known.update(zip(whole, self._encode(whole)))
         for w, ps in divided:
