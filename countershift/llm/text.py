@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+
 #: ASCII white space, the separators between words everywhere in this subpackage.
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = 1 << 20
@@ -21,3 +24,12 @@ def blocks(data: bytes, size: int = _BLOCK) -> Iterator[bytes]:
         end = found.end() if found else len(data)
         yield data[at:end]
         at = end
+
+
+def release_memory() -> None:
+    """Give freed memory of this Python worker back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
