@@ -7,7 +7,8 @@ fingerprint with it. An inverted index from fingerprints to (template, place)
 gives diagonals; hits on near diagonals are one candidate, and the template is
 aligned with the words around it inside a band (insertions, deletions and other
 words allowed). Coverage is the share of the template's words that the alignment
-matches; the span runs from the first to the last matched word.
+matches; the span runs from the first to the last matched word. Of overlapping
+matches, one that another beats in coverage with no fewer words is left out.
 
 The index holds the templates, a parameter bounded by ``MAX_TEMPLATE_WORDS``;
 documents are scanned where they lie, without a shuffle.
@@ -185,7 +186,10 @@ def scan_text(index: Index, data: bytes, least: float) -> list[tuple[str, int, f
                 offsets = _offsets(data)
             start, end = (len(data[: offsets[k][side]].decode("utf-8", "ignore")) for k, side in ((a, 0), (b, 1)))
             out.append((index.names[t], matched, coverage, a, b + 1, start, end))
-    return sorted(set(out))
+    # where templates are alike, the one that covers more of itself with no fewer words speaks for the span
+    out = sorted(set(out))
+    overlaps = lambda m, o: o[3] < m[4] and m[3] < o[4]
+    return [m for m in out if not any(overlaps(m, o) and o[2] > m[2] and o[1] >= m[1] for o in out)]
 
 
 def _offsets(data: bytes) -> list[tuple[int, int]]:
