@@ -10,7 +10,8 @@ coordinates plus the Cauchy-Schwarz bound of the rest discards most members
 first (coordinate pruning); else members shorter than bound / |q| are cut off
 (length pruning inside the chunk). What is left is verified by full products.
 
-Queries and candidates are bounded matrices of rows, so a task holds one block
+Of equal vectors only the k + 1 smallest ids are candidates, since no other can
+be in a result. Queries and candidates are bounded matrices of rows, so a task holds one block
 of each; pruned pairs of blocks never meet. Products of integers below 2**53
 are exact in doubles.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countershift.llm.shared import drop, materialize
@@ -47,6 +48,26 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).distinct()
 
 
+def first_of_equals(rows: DataFrame, k: int) -> DataFrame:
+    """Without the members of groups of equal vectors that can't be among anybody's k: all but the k + 1 smallest ids.
+
+    Equal vectors score alike and ties go to smaller ids, so no result changes.
+    Groups are found by a count of hashes; their members are ranked in 64 parts
+    first, so that a group of any size is spread.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("v"))
+    large = materialize(hashed.groupBy("h").count().where(F.col("count") > k + 1).select("h"), "topk-equals")
+    n = large.count()
+    if not n:
+        drop(large)
+        return rows
+    keys = F.broadcast(large) if n <= 100_000 else large
+    members = hashed.join(keys, "h", "left_semi").withColumn("salt", F.pmod("id", F.lit(64)))
+    for by in (["h", "v", "salt"], ["h", "v"]):
+        members = members.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("place") <= k + 1)
+    return hashed.join(keys, "h", "left_anti").select(*rows.columns).unionByName(members.select(*rows.columns))
+
+
 def _blobs(rows: DataFrame, partitions: int, size: int, order: list) -> DataFrame:
     """Rows as matrices of at most ``size`` rows of one dimension, in the given order within range partitions."""
 
@@ -66,7 +87,8 @@ def _blobs(rows: DataFrame, partitions: int, size: int, order: list) -> DataFram
                 yield _blob(own)
 
     schema = "dim int, ids binary, m binary, longest double, shortest double"
-    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+    # coalescing joins neighbouring ranges, should the session deal more of them than asked for
+    return rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).coalesce(partitions).mapInArrow(run, schema)
 
 
 def _blob(rows: list) -> pa.RecordBatch:
@@ -117,14 +139,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     spark = vectors.sparkSession
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     rows = materialize(usable(vectors, id_col, vector_col).withColumn("size", size), "topk-rows")
-    n = rows.count()
+    candidates = materialize(first_of_equals(rows, k), "topk-candidates")
+    n = candidates.count()
     order = [F.col("size").desc(), F.col("id")]
-    chunks = materialize(_blobs(rows, max(1, -(-n // (2 * CHUNK_ROWS))), CHUNK_ROWS, order).withColumn("chunk", F.monotonically_increasing_id()), "topk-chunks")
+    chunks = materialize(_blobs(candidates, max(1, -(-n // (2 * CHUNK_ROWS))), CHUNK_ROWS, order).withColumn("chunk", F.monotonically_increasing_id()), "topk-chunks")
     asked = materialize(usable(queries, id_col, vector_col), "topk-asked")
     query_rows = asked.count()
     blocks = _blobs(asked, max(1, -(-query_rows // QUERY_ROWS)), QUERY_ROWS, ["id"]).withColumn("block", F.monotonically_increasing_id())
     blocks = materialize(blocks, "topk-blocks")
-    drop(rows, asked)
+    drop(rows, asked, candidates)
 
     # the longest chunk of each dimension bounds every query's k-th score from below
     first = chunks.groupBy("dim").agg(F.max(F.struct("longest", "chunk")).alias("top")).select("dim", F.col("top.chunk").alias("chunk"))

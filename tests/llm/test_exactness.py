@@ -270,7 +270,7 @@ def test_table_draws_follow_the_conditional(n):
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 40) * (1 + i % 3)]) for i in range(300)]
-    rows += [(300 + i, rows[3][1]) for i in range(60)] + [(360, None), (361, [1.0, None]), (362, [float("nan")] * 40), (363, [float("inf")] * 40), (None, [1.0] * 40), (364, []), (365, [2.0]), (366, [3.0]), (3, rows[3][1])]
+    rows += [(3000 + i, rows[3][1]) for i in range(200)] + [(360, None), (361, [1.0, None]), (362, [float("nan")] * 40), (363, [float("inf")] * 40), (None, [1.0] * 40), (364, []), (365, [2.0]), (366, [3.0]), (3, rows[3][1])]
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, m string, ids int")
     found = topk.top_k(frame, frame.where("vec_id % 20 = 0 or vec_id = 365"), 20)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
