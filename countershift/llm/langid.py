@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countershift.llm.shared import drop, materialize
-from countershift.llm.text import blocks
+from countershift.llm.text import blocks, release_memory
 
 DIMENSIONS = 512
 GRAM = 3
@@ -126,6 +126,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 langs = np.array(part.column(0).to_pylist(), object)
                 for lang in set(langs.tolist()):
                     sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
+        release_memory()
         if sums:
             names = list(sums)
             yield pa.record_batch(
@@ -162,6 +163,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     best[known] = cosines.argmax(axis=1)[known]
                     score[known] = np.clip(cosines.max(axis=1)[known], 0, 1)
                 yield pa.record_batch([*part.columns[1:], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
+        release_memory()
 
     source = docs.select(F.col(text_col).cast("string").alias("text_"), *keep)
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[1:])

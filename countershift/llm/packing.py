@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countershift.llm.shared import materialize
+from countershift.llm.text import release_memory
 from countershift.llm.tokens import word_encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, local_rank long"
@@ -170,6 +171,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
                     yield _batch(out, schema)
                     out = []
             yield _batch(out, schema)
+        release_memory()
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("block", pa.int32()), ("local_rank", pa.int64())] + [("ids", pa.binary())] * with_ids)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from countershift.llm.components import connected_components
 from countershift.llm.shared import drop, materialize
-from countershift.llm.text import blocks
+from countershift.llm.text import blocks, release_memory
 
 BITS = 64
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = batch.column(1)
             fps = [fingerprint(t.as_py(), words) for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        release_memory()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, fp long")

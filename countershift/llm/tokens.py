@@ -19,7 +19,7 @@ import regex
 from countershift.llm.text import blocks
 
 #: Words, and pieces, remembered by one Python worker (about 200 bytes each), and the longest of them.
-MEMORY_WORDS = 250_000
+MEMORY_WORDS, MEMORY_PIECES = 150_000, 250_000
 MEMORY_BYTES = 48
 
 # The tokenizer's pattern, for ASCII and for characters up to U+024F (whose classes no version of Unicode changes).
@@ -83,7 +83,7 @@ class WordEncoder:
     def _learn(self, words: set[bytes]) -> None:
         divided = [(w, None if b"<|" in w else pieces_of(w)) for w in words]
         pieces = self.pieces
-        if len(pieces) > MEMORY_WORDS:
+        if len(pieces) > MEMORY_PIECES:
             pieces.clear()
         new = {p for _, ps in divided if ps for p in ps}.difference(pieces)
         tokenize, table = self.model.tokenize, self.table
