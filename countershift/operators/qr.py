@@ -14,6 +14,8 @@ from countershift.registry import QR_SOLVERS, solvers
 
 #: Quantiles whose bands one pass brings to the driver together.
 BATCH = 8
+#: Rows in memory from which fits are preprocessed too.
+GLOB_FROM = 20_000
 
 
 def resolve_solver(solver: str, n: float, taus: int) -> str:
@@ -50,7 +52,7 @@ def fit_process(blocks: Blocks, taus, solver: str = "auto", control: Control | N
         gram = blocks.reduce(lambda b: (b.x * b.w[:, None]).T @ (b.x * b.w[:, None]))
         transform = preconditioner(gram, blocks.reduce(lambda b: triangular(b.x * b.w[:, None]), lambda a, b: triangular(np.vstack([a, b]))))
     design = blocks.design(transform)
-    if isinstance(design, LocalBlocks):
+    if isinstance(design, LocalBlocks) and (design.rows < GLOB_FROM or name == "cuda_admm"):
         b, converged, its = _local(design.block, taus, name, control)
     else:
         b, converged, its = _globbed(design, taus)

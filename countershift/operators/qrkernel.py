@@ -56,9 +56,9 @@ def interior_point(x: np.ndarray, y: np.ndarray, tau: float, maxit: int = 200, t
             db, da = direction(extra)
             du, dv = ca - u - u / a * da, cr - v + v / room * da
             fp, fd = _step(a, da, room), _step2(u, du, v, dv)
-        a = a + fp * da
-        room = 1 - a if fp == 1 else room - fp * da
-        beta, u, v = beta + fd * db, u + fd * du, v + fd * dv
+        # a step may end on a bound by rounding
+        a, room = np.maximum(a + fp * da, 1e-16), np.maximum(room - fp * da, 1e-16)
+        beta, u, v = beta + fd * db, np.maximum(u + fd * du, 1e-300), np.maximum(v + fd * dv, 1e-300)
         if not np.isfinite(beta).all():
             return -beta, False, it
     return -beta, False, maxit

@@ -126,7 +126,8 @@ def prepare(formula, data: DataFrame, group, weights=None, model: str = "qr", ce
     scaled = kept.withColumn("w", F.col("w") / mean)
     local = n * (p + 5) * 8 / 2**20 <= kernel_max_mb
     if local:
-        table = {c: np.asarray(v, float) for c, v in scaled.toPandas().items()}
+        arrow = scaled.toArrow()
+        table = {c: np.asarray(arrow.column(c).to_numpy(), float) for c in arrow.column_names}
         x = np.column_stack([table[f"x_{j}"] for j in range(p)])
         groups = []
         for g in (0, 1):
