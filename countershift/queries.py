@@ -147,6 +147,79 @@ def thresholds(spark, sf_dir):
     return spark.createDataFrame(out, "g int, t double")
 
 
+def wls_distributed(spark, sf_dir):
+    """The same fit from R factors of blocks on executors."""
+    from countershift.operators.location import least_squares
+
+    p = prepare("y ~ x1", view(spark, sf_dir, PRICE), "g", kernel_max_mb=0.01)
+    out = [(g, *[round(float(v), 4) for v in least_squares(b, "qr")]) for g, b in enumerate(p.groups)]
+    p.release()
+    return spark.createDataFrame(out, "g int, intercept double, slope double")
+
+
+def logit_threshold(spark, sf_dir):
+    """One binary fit per group, on executors: y at most 30000 on a covariate."""
+    from countershift.operators.dr import fit_binary
+
+    p = prepare("y ~ x1", view(spark, sf_dir, PRICE), "g", kernel_max_mb=0.01)
+    fits = [fit_binary(b, "logit", np.array([30_000.0]), 50, 1e-13, np.array([1.0, 0.0]))[0][:, 0] for b in p.groups]
+    p.release()
+    return spark.createDataFrame([(g, *[round(float(v), 6) for v in b]) for g, b in enumerate(fits)], "g int, intercept double, slope double")
+
+
+def cox_binary(spark, sf_dir):
+    from countershift.operators.cox import fit_cox
+
+    p = prepare("y ~ x1", view(spark, sf_dir, DURATION), "g", "w", "cox", event="event")
+    return spark.createDataFrame([(g, round(float(fit_cox(b, Control()).coefficients[1, 0]), 6)) for g, b in enumerate(p.groups)], "g int, coef double")
+
+
+def observed_levels(spark, sf_dir):
+    out = counterfactual_decompose("y ~ f", view(spark, sf_dir, ORDER), "g", "w", "loc", control=Control(nreg=5))
+    table = R.observed_table(spark, out)
+    return table.select("quantile", F.round("reference_observed", 6).alias("reference_observed"), F.round("comparison_observed", 6).alias("comparison_observed"))
+
+
+def resample_totals(spark, sf_dir):
+    """A resample of rows on executors has as many draws as rows, whatever was drawn."""
+    from countershift.plans.bootstrap import resample_frame
+
+    p = prepare("y ~ f", view(spark, sf_dir, ORDER), "g", "w", kernel_max_mb=0.01)
+    out = [(g, int(resample_frame(b, "counterfactual", 11, g).total)) for g, b in enumerate(p.groups)]
+    p.release()
+    return spark.createDataFrame(out, "g int, draws long")
+
+
+def distributed_subsample(spark, sf_dir):
+    p = prepare("y ~ f", view(spark, sf_dir, ORDER), "g", "w", kernel_max_mb=0.01)
+    part = subsample(p, 777, 5)
+    out = [(g, int(b.reduce(lambda z: np.array([len(z.y)]))[0])) for g, b in enumerate(part.groups)]
+    p.release()
+    return spark.createDataFrame(out, "g int, n int")
+
+
+def solver_registry(spark, sf_dir):
+    from countershift.registry import qr_solver_registry
+
+    return qr_solver_registry(spark).select("solver", "exact", "process_aware")
+
+
+def simulation(spark, sf_dir):
+    from countershift.plans.simulate import simulate_counterfactual_validation
+
+    return spark.createDataFrame(simulate_counterfactual_validation(spark, 3, 200, nreg=19, bootstrap_reps=4).summary)
+
+
+def tables_of(name: str):
+    """Another table of a bootstrapped quantile decomposition."""
+
+    def run(spark, sf_dir):
+        out = counterfactual_decompose("y ~ f", view(spark, sf_dir, ORDER), "g", "w", "qr", "pfnb", Control(nreg=10, quantile_noncrossing="rearrange"), bootstrap_reps=6)
+        return getattr(R, f"{name}_table")(spark, out)
+
+    return run
+
+
 # ---- curves on fixed inputs ------------------------------------------------------------------
 
 FIXED_CDF = [("a", float(t), v) for t, v in enumerate((-0.2, 0.7, 1.3, 0.6, 0.65, 0.9, 0.85, 1.0), 1)] + [("b", float(t), v) for t, v in enumerate((0.1, 0.05, 0.4, 0.35, 0.3, 0.8), 1)]
@@ -310,6 +383,17 @@ def _dr_sql(source: str, nreg: int) -> str:
  levels AS (SELECT d, q.p, coalesce(min(t) FILTER (o.p >= q.p), max(t)) AS q FROM o, (VALUES {_values(DR_PROBS)}) q(p) GROUP BY d, q.p) {_effects("levels")}"""
 
 
+def _lpm_one_x_sql() -> str:
+    places = ["1", *(f"CAST(floor(CAST({(k - 0.5) / 18!r} AS DOUBLE) * l) AS BIGINT)" for k in range(1, 19)), "l"]
+    return f"""WITH d AS ({PRICE}), u AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY y) AS i, count(*) OVER (PARTITION BY g) AS l FROM (SELECT DISTINCT g, y FROM d)),
+ t AS (SELECT g, y AS t FROM u WHERE i IN ({", ".join(places)})),
+ c AS (SELECT t.g, t.t, regr_slope(CASE WHEN d.y <= t.t THEN 1 ELSE 0 END, x1) AS s, regr_intercept(CASE WHEN d.y <= t.t THEN 1 ELSE 0 END, x1) AS i FROM t JOIN d ON d.g = t.g GROUP BY t.g, t.t),
+ x AS (SELECT g, avg(x1) AS x FROM d GROUP BY g),
+ m AS (SELECT k.d, c.t, least(greatest(c.i + c.s * x.x, 0), 1) AS p FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1)) k(d, model, rows) JOIN x ON x.g = k.rows JOIN c ON c.g = k.model),
+ o AS (SELECT d, t, max(p) OVER (PARTITION BY d ORDER BY t) AS p FROM m),
+ levels AS (SELECT d, q.p, coalesce(min(t) FILTER (o.p >= q.p), max(t)) AS q FROM o, (VALUES {_values(DR_PROBS)}) q(p) GROUP BY d, q.p) {_effects("levels")}"""
+
+
 def _qr_sql(source: str, nreg: int, cell: str = "f") -> str:
     return f"""WITH d AS (SELECT g, y, w, {cell} AS f FROM ({source})), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
  b AS (SELECT g, f, tau, min(y) FILTER (cw >= tau * tw) AS b FROM c, (VALUES {_grid_sql(nreg)}) t(tau) GROUP BY g, f, tau),
@@ -366,12 +450,14 @@ DR_MODELS = ("lpm", "logit", "probit", "cloglog")
 
 QUERIES = {
     "wq_type7_by_group": wq_type7, "wq_type2_by_group": wq_type2, "unweighted_percentile": unweighted_percentile, "weighted_histogram": histogram, "prepare_counts": prepare_counts,
-    "gram_moments": gram_moments, "wls_one_x": wls_one_x, "wls_saturated": wls_saturated, "group_subsample": group_subsample, "dr_thresholds": thresholds,
+    "gram_moments": gram_moments, "wls_one_x": wls_one_x, "wls_saturated": wls_saturated, "group_subsample": group_subsample, "dr_thresholds": thresholds, "wls_distributed": wls_distributed, "logit_one_x_threshold": logit_threshold, "cox_one_binary_x": cox_binary,
+    "observed_levels": observed_levels, "resample_totals": resample_totals, "distributed_subsample": distributed_subsample, "solver_registry": solver_registry, "simulation_validation": simulation,
+    **{f"qr_{n}_table": tables_of(n) for n in ("marginalization", "crossing", "tests", "draws", "coefficient")},
     **{f"cdf_{m}": _corrected(m) for m in ("none", "cummax", "rearrange", "isotonic")}, "crossing_diagnostics": crossing_diagnostics,
     "km_quantiles": km_quantiles, "breslow_baseline": breslow_baseline, "cox_fixed_beta": cox_fixed_beta,
     "boot_multiplier_se": boot_multiplier_se, "boot_bands": boot_bands, "boot_curve_tests": boot_curve_tests, "sim_truth": sim_truth, "sim_summary": sim_summary, "streamed_moments": streamed_moments,
     "loc_saturated_decomp": _decomposed("y ~ f", PRICE, "loc", LOC_PROBS, 8), "loc_joined_decomp": _decomposed("y ~ f", JOINED, "loc", LOC_PROBS, 8), "loc_one_x_decomp": _decomposed("y ~ x1", PRICE, "loc", LOC_PROBS, 8, None, 3),
-    "locsca_saturated_decomp": _decomposed("y ~ f", PRICE, "locsca", LOC_PROBS, 8),
+    "locsca_saturated_decomp": _decomposed("y ~ f", PRICE, "locsca", LOC_PROBS, 8), "lpm_one_x_decomp": _decomposed("y ~ x1", PRICE, "lpm", DR_PROBS, 20, None),
     **{f"{m}_saturated_decomp": _decomposed("y ~ f", ORDER, m, DR_PROBS, 20) for m in DR_MODELS},
     "qr_saturated_decomp": _decomposed("y ~ f", PRICE, "qr", QR_PROBS, 16), "qr_intercept_only": _decomposed("y ~ 1", ORDER, "qr", QR_PROBS, 16),
     "qr_distributed_decomp": _decomposed("y ~ f", PRICE, "qr", QR_PROBS, 8, control={"kernel_max_mb": 0.5}),
@@ -395,6 +481,25 @@ ORACLE_SQL = {
     "wls_one_x": f"SELECT g, round(regr_intercept(y, x1), 4) AS intercept, round(regr_slope(y, x1), 4) AS slope FROM ({PRICE}) GROUP BY g",
     "wls_saturated": f"""WITH c AS (SELECT g, f, sum(w * y) / sum(w) AS m FROM ({PRICE}) GROUP BY g, f), b AS (SELECT g, arg_min(m, f) AS m, min(f) AS f FROM c GROUP BY g)
       SELECT c.g, CASE WHEN c.f = b.f THEN '(Intercept)' ELSE 'f' || c.f END AS term, round(CASE WHEN c.f = b.f THEN c.m ELSE c.m - b.m END, 4) + 0 AS coef FROM c JOIN b ON b.g = c.g""",
+    "wls_distributed": f"SELECT g, round(regr_intercept(y, x1), 4) AS intercept, round(regr_slope(y, x1), 4) AS slope FROM ({PRICE}) GROUP BY g",
+    "logit_one_x_threshold": f"""WITH RECURSIVE a AS (SELECT g, x1 AS x, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (y <= 30000) AS DOUBLE) AS k FROM ({PRICE}) GROUP BY g, x1),
+      t AS (SELECT DISTINCT g, 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM a UNION ALL
+        SELECT g, i + 1, b0 + (h11 * s0 - h01 * s1) / (h00 * h11 - h01 * h01), b1 + (h00 * s1 - h01 * s0) / (h00 * h11 - h01 * h01) FROM (
+          SELECT g, i, b0, b1, sum(n * m * (1 - m)) AS h00, sum(n * m * (1 - m) * x) AS h01, sum(n * m * (1 - m) * x * x) AS h11, sum(k - n * m) AS s0, sum((k - n * m) * x) AS s1 FROM (
+            SELECT t.g, i, b0, b1, x, n, k, 1 / (1 + exp(-b0 - b1 * x)) AS m FROM t JOIN a ON a.g = t.g WHERE i < 12) GROUP BY g, i, b0, b1))
+      SELECT g, round(b0, 6) AS intercept, round(b1, 6) AS slope FROM t WHERE i = 12""",
+    "cox_one_binary_x": f"""WITH RECURSIVE e AS (SELECT g, y, sum(w * event) AS d, sum(w * event * x1) AS d1, sum(w * (1 - x1)) AS a, sum(w * x1) AS b FROM ({DURATION}) GROUP BY g, y),
+      r AS (SELECT g, d, d1, sum(a) OVER (PARTITION BY g ORDER BY y DESC) AS a, sum(b) OVER (PARTITION BY g ORDER BY y DESC) AS b FROM e),
+      t AS (SELECT DISTINCT g, 0 AS i, CAST(0 AS DOUBLE) AS c FROM r UNION ALL
+        SELECT g, i + 1, c + s / h FROM (SELECT g, i, c, sum(d1 - d * p) AS s, sum(d * p * (1 - p)) AS h FROM (
+          SELECT t.g, i, c, d, d1, b * exp(c) / (a + b * exp(c)) AS p FROM t JOIN r ON r.g = t.g WHERE i < 12) GROUP BY g, i, c))
+      SELECT g, round(c, 6) AS coef FROM t WHERE i = 12""",
+    "observed_levels": f"""WITH d AS (SELECT g, y AS v, w, 1 AS n FROM ({ORDER})), {_type7('d', [k / 10 for k in range(1, 10)], 'z')}
+      SELECT p AS quantile, round(max(q) FILTER (g = 0), 6) AS reference_observed, round(max(q) FILTER (g = 1), 6) AS comparison_observed FROM z GROUP BY p""",
+    "resample_totals": f"SELECT g, count(*) AS draws FROM ({ORDER}) GROUP BY g",
+    "distributed_subsample": f"WITH c AS (SELECT count(*) FILTER (g = 1) AS a, count(*) AS n FROM ({ORDER})) SELECT g, CAST(CASE WHEN g = 1 THEN round_even(777 * a / n, 0) ELSE 777 - round_even(777 * a / n, 0) END AS INTEGER) AS n FROM c, (VALUES (0), (1)) t(g)",
+    "solver_registry": "SELECT * FROM (VALUES ('br', true, false), ('fn', true, false), ('pfn', true, false), ('qfnb', true, true), ('pfnb', true, true), ('proqreg', true, true), ('profn', true, true), ('onestep', false, true), ('cuda_admm', false, true)) t(solver, exact, process_aware)",
+    "lpm_one_x_decomp": _lpm_one_x_sql(),
     "group_subsample": f"WITH c AS (SELECT count(*) FILTER (g = 1) AS a, count(*) AS n FROM ({ORDER})) SELECT g, CAST(CASE WHEN g = 1 THEN round_even(1001 * a / n, 0) ELSE 1001 - round_even(1001 * a / n, 0) END AS INTEGER) AS n FROM c, (VALUES (0), (1)) t(g)",
     "dr_thresholds": f"""WITH u AS (SELECT g, y, row_number() OVER (PARTITION BY g ORDER BY y) AS i, count(*) OVER (PARTITION BY g) AS l FROM (SELECT DISTINCT g, y FROM ({PRICE})))
       SELECT g, y AS t FROM u WHERE i IN (1, l, {', '.join(f'CAST(floor(CAST({(k - 0.5) / 18!r} AS DOUBLE) * l) AS BIGINT)' for k in range(1, 19))})""",

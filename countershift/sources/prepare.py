@@ -171,6 +171,21 @@ def subsample_targets(n0: int, n1: int, size: int, p: int) -> tuple[int, int]:
     return size - second, second
 
 
+def _smallest_hashes(blocks: SparkBlocks, k: int, seed: int) -> DataFrame:
+    """The k rows of least hash: the k-th least is selected exactly, then rows are filtered where they lie."""
+    from countershift.control import Control
+    from countershift.operators.selection import select_ranks
+
+    mixed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *blocks.names), 11).cast("double")
+    hashed = blocks.frame.select(*blocks.names, mixed.alias("hash_"))
+    values = SparkBlocks(hashed.selectExpr("0D as x_0", "hash_ as y", "1D as w", "1D as freq", "0D as cens", "1D as event"), 1, blocks.rows, float(blocks.rows))
+    cut = float(select_ranks(values, lambda b: b.y[:, None], np.array([float(k)]), float(blocks.rows), Control())[0][0])
+    below = hashed.where(F.col("hash_") < cut)
+    # equal hashes at the cut are equal rows, so any of them will do
+    at_cut = hashed.where(F.col("hash_") == cut).limit(k - below.count())
+    return below.unionByName(at_cut).drop("hash_")
+
+
 def subsample(prepared: Prepared, size: int, seed: int = 1) -> Prepared:
     """Exactly ``size`` rows, without replacement, proportionally by group; the design is reduced again."""
     targets = subsample_targets(*(b.rows for b in prepared.groups), size, prepared.groups[0].p)
@@ -180,7 +195,6 @@ def subsample(prepared: Prepared, size: int, seed: int = 1) -> Prepared:
             rows = np.sort(np.random.default_rng([seed, g]).choice(blocks.rows, k, replace=False))
             groups.append(blocks.take(rows))
         else:
-            content = F.xxhash64(F.lit(seed), *blocks.names)
-            part = blocks.frame.orderBy(content, *blocks.names).limit(k).persist()
+            part = _smallest_hashes(blocks, k, seed).persist()
             groups.append(SparkBlocks(part, blocks.width, k, float(k), blocks.transform))
     return reduce_design(Prepared(tuple(groups), list(prepared.columns), list(prepared.dropped), prepared.omitted_rows, prepared.mode, prepared.mean_weight, prepared.frame))
