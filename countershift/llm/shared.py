@@ -36,12 +36,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/countershift/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back."""
+def materialize(df: DataFrame, name: str, row_group_mb: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table read back. Small row groups let large rows be read in small parts."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    (writer.option("parquet.block.size", row_group_mb << 20) if row_group_mb else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
