@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countershift.llm.components import connected_components
-from countershift.llm.shared import drop, materialize
+from countershift.llm.shared import default_partitions, drop, materialize
 from countershift.llm.text import blocks, release_memory
 
 BITS = 64
@@ -107,7 +107,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even: every two members of a variant are then linked")
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(radius // 2)])
-    variants = distinct.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp")
+    # each fingerprint makes many rows: deal them out before that, not by their own small size
+    dealt = distinct.repartition(default_partitions(distinct.sparkSession), "fp")
+    variants = dealt.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp")
     w = Window.partitionBy("v").orderBy("fp")
     pairs = variants.select(F.lag("fp").over(w).alias("a"), F.col("fp").alias("b")).where("a is not null")
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
