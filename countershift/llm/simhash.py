@@ -200,8 +200,9 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, fn, ddl: str, kinds: li
 
 
 def table_bits(n: int) -> int:
-    """Bits of a table's fingerprints: enough that unrelated documents collide about as rarely at any size."""
-    return min(60, max(24, math.ceil(math.log2(n + 1)) + 10))
+    """Bits of a table's fingerprints: enough that few unrelated documents collide (8 a document and table at most)."""
+    size = math.ceil(math.log2(n + 1))
+    return min(60, max(24, min(32, size + 10), size + 6))
 
 
 def _candidates(sketches: DataFrame, bits: int) -> DataFrame:
