@@ -40,10 +40,16 @@ def byte_characters() -> list[str]:
 def pieces_of(word: bytes) -> list[bytes] | None:
     """The pattern's pieces of a word, normalised; None where only the library should divide it."""
     if word.isascii():
+        # letters alone, or before one other character, need no pattern
+        if word.isalpha():
+            return [word.lower()]
+        if word[:-1].isalpha():
+            return [word[:-1].lower(), word[-1:]]
         return ASCII_PIECES.findall(word.lower())
     text = word.decode()
     if LATIN.fullmatch(text):
-        return [p.encode() for p in LATIN_PIECES.findall(unicodedata.normalize("NFC", text).lower())]
+        lower = unicodedata.normalize("NFC", text).lower()
+        return [lower.encode()] if lower.isalpha() else [p.encode() for p in LATIN_PIECES.findall(lower)]
     return None
 
 
