@@ -236,8 +236,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         c = codec(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = c.encode(text or b"")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = c.encode(text.as_py() or b"")
                 numbers, decoded = hashlib.sha256(), hashlib.sha256()
                 for part in c.joined(ids, c.decimals):
                     numbers.update(part)

@@ -34,7 +34,7 @@ MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 _BORDER = 32
 _SCALE = 1 << 24
-_GROUP = 256
+_GROUP = 128
 _LONG = 4 << 20
 
 _letters = np.array([chr(c).isalpha() for c in range(0x3000)])

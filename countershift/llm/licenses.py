@@ -207,7 +207,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     def run(batches):
         index = Index(given)
         for batch in batches:
-            rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for m in scan_text(index, text, least)]
+            rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)) for m in scan_text(index, text.as_py() or b"", least)]
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
 

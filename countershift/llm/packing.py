@@ -160,8 +160,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_
         tail = b"" if end_id is None else np.uint32(end_id).tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.ids(text or b"") + tail
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = encoder.ids(text.as_py() or b"") + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4
