@@ -221,8 +221,9 @@ def _candidates(sketches: DataFrame, bits: int) -> DataFrame:
     equal = rows.join(distinct.where("n > 1"), "fp").where("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(bits)])
     dealt = distinct.select("fp", "first_id").repartition(default_partitions(sketches.sparkSession), "fp")
-    variants = dealt.select("first_id", "fp", F.explode(flips).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp", "first_id")
-    w = Window.partitionBy("v").orderBy("fp")
+    variants = dealt.select("first_id", "fp", F.explode(flips).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "first_id")
+    # a document has one fingerprint in a table, so least ids tell a variant's members apart
+    w = Window.partitionBy("v").orderBy("first_id")
     members = variants.select("first_id", F.lag("first_id").over(w).alias("near"), F.first("first_id").over(w).alias("first"))
     pairs = members.where("near is not null").select("first_id", F.explode(F.array_distinct(F.array("near", "first"))).alias("other"))
     close = pairs.where("first_id <> other").select(F.greatest("first_id", "other").alias("a"), F.least("first_id", "other").alias("b"))
