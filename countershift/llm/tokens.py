@@ -19,7 +19,7 @@ import regex
 from countershift.llm.text import blocks
 
 #: Words, and pieces, remembered by one Python worker (about 200 bytes each), and the longest of them.
-MEMORY_WORDS, MEMORY_PIECES = 150_000, 250_000
+MEMORY_WORDS, MEMORY_PIECES = 250_000, 250_000
 MEMORY_BYTES = 48
 
 # The tokenizer's pattern, for ASCII and for characters up to U+024F (whose classes no version of Unicode changes).
