@@ -1,28 +1,29 @@
 """Hierarchical Pitman-Yor language model: training by Gibbs-sampled seating, and scores of whole texts.
 
-Model. A token's context is a class of the word before it (its hash modulo
-``CONTEXTS - 1``; class 0 opens a text). Each class is a restaurant; all of them
-share one parent restaurant over words, whose base is uniform over the training
-words and one unknown word. Customers of a context restaurant are training
-tokens; each of its tables sends one customer to the parent. The sampler draws
-how many tables serve each (context, word): up to ``EXACT`` customers from the
-exact conditional (generalised Stirling numbers), beyond by seating them again
-one after another, in growing groups. After the first sweeps the restaurants'
-totals are refreshed from all words; then predictive probabilities are averaged
-over further sweeps, and their log10 summed over a text.
-
-Execution. Everything about one word is needed together, and only totals across
-words. One pass turns documents into blocks: for each block and each of
-``n_parts`` ranges of word hashes one compact row with words, contexts and
-document numbers. One shuffle by range brings a range's rows together, where
-they become one row of a shared table; sampling and scoring read that table and
-send back a sum per (range, document). What grows with the corpus stays in the
-tables; the driver sees totals per context only.
+Model. A token's context is the word before it (the empty word opens a text).
+Each distinct context is a restaurant; all of them share one parent restaurant
+over words, whose base is uniform over the training words and one unknown word.
+Customers of a context restaurant are training tokens; each of its tables sends
+one customer to the parent. The sampler draws how many tables serve each
+(context, word): up to ``EXACT`` customers from the exact conditional
+(generalised Stirling numbers), beyond by seating them again one after another,
+in growing groups. After the first sweeps the restaurants' totals are refreshed
+from all words; then predictive probabilities are averaged over further sweeps,
+and their log10 summed over a text.
+
+Execution. One pass turns documents into blocks: for each block and each of
+``n_parts`` ranges of word hashes one compact row with (word, context) pairs and
+document numbers. One shuffle by range brings a range's rows together, and they
+stay there. What a range needs of others are totals by context: it sends its
+own to the range of the context's hash, where they are added, and gets the sums
+back for the contexts it holds. Nothing that grows with the corpus passes
+through the driver.
 
 Words with over a thousandth of a sample's tokens, and the end token, are *hot*:
-at most ``MAX_HOT``. Their counts (hot words x contexts) are summed before they
-leave a task, and their few numbers go to all tasks, so no range gets a word
-that fills it. Which words are hot changes the place of work, not the counts.
+at most ``MAX_HOT``. Their pairs are spread over all ranges, and their customers
+at the parent are totals that every range gets. Hot pairs (at most ``MAX_HOT``)
+are counted before they leave a task. Which words and pairs are hot changes the
+place of work, not the counts.
 
 Words are told apart by 64-bit hashes. Defined results: null text counts as
 empty (the end token alone); a null id counts as the empty string for the folds
@@ -39,25 +40,25 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countershift.llm.langid import fold
-from countershift.llm.shared import drop, materialize
+from countershift.llm.shared import default_partitions, drop, materialize
 from countershift.llm.text import blocks, release_memory
 
+#: Contexts of a :class:`Seating` unless it is given their number.
 CONTEXTS = 64
 MAX_HOT = 1000
-#: Tokens and documents that close a block, and tokens of a range of words.
-BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 600_000, 60_000, 4_000_000
-#: Tokens of a slice of a range, which is what a task holds in arrays at a time.
-SLICE_TOKENS = 250_000
+#: Tokens and documents that close a block, and tokens of a range of words, which is what a task holds in arrays at a time.
+BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 600_000, 60_000, 1_500_000
 #: Customers of one dish up to which the exact conditional is drawn from.
 EXACT = 40
 CONCENTRATION = 1.0
 SMOOTHING = 0.1
-_TRAIN = 128
+#: The end token as a word, and the opening of a text as a context.
+_EDGE = b""
 
 
 class _Numbers(dict):
@@ -72,16 +73,59 @@ def _hash(words) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
 
 
+def _pair_hash(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (words ^ (contexts << np.uint64(31)) ^ (contexts >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _find(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of the values in a sorted array, -1 where they are not."""
+    if not len(sorted_):
+        return np.full(len(values), -1)
+    near = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[near] == values, near, -1)
+
+
+class Hot:
+    """Hot words and hot pairs by their hashes."""
+
+    def __init__(self, words: np.ndarray, pairs: list[tuple[int, int]]):
+        self.words = np.unique(np.concatenate([words, np.array([w for w, _ in pairs], np.uint64), _hash([_EDGE])]))
+        own = np.array(pairs, np.uint64).reshape(-1, 2)
+        hashes = _pair_hash(own[:, 0], own[:, 1])
+        order = np.argsort(hashes)
+        self.pairs, self.pair_word, self.pair_context = hashes[order], own[order, 0], own[order, 1]
+
+
 # ---- one pass over the documents -------------------------------------------------------------
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed payload, equal bytes of their numbers together."""
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in arrays)
+    return struct.pack(f"<{len(arrays) + 1}I", len(raw), *map(len, arrays)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
+    size, *lengths = struct.unpack_from(f"<{len(kinds) + 1}I", payload)
+    raw, at, out = pa.Codec("zstd").decompress(memoryview(payload)[4 * len(kinds) + 4 :], size, asbytes=True), 0, []
+    for kind, n in zip(kinds, lengths):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
+    return out
+
+
 class _Block:
-    def __init__(self, hot: np.ndarray, n_parts: int):
-        self.hot, self.n_parts = hot, n_parts  # hot: sorted hashes; hot number k + 1 is hot[k], 0 the end token
+    def __init__(self, hot: Hot, n_parts: int):
+        self.hot, self.n_parts = hot, n_parts
         self.clear()
 
     def clear(self) -> None:
         self.numbers = _Numbers()
+        self.edge = self.numbers[_EDGE]
         self.tokens: list[np.ndarray] = []
         self.lengths: list[int] = []
         self.ids: list[int | None] = []
@@ -94,6 +138,7 @@ class _Block:
             words = block.split()
             self.tokens.append(np.fromiter(map(get, words), np.int32, len(words)))
             n += len(words)
+        self.tokens.append(np.array([self.edge], np.int32))
         self.lengths.append(n)
         self.ids.append(doc_id)
         self.held.append(held_out)
@@ -103,49 +148,49 @@ class _Block:
         """(part, block, payload): a row per range of words, and one of the documents (part: n_parts + ...)."""
         lengths, held = np.array(self.lengths, np.int64), np.array(self.held, bool)
         hashes = _hash(self.numbers)
-        token = np.concatenate(self.tokens) if self.tokens else np.empty(0, np.int32)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        classes = (hashes % np.uint64(CONTEXTS - 1)).astype(np.uint8) + 1
-        own = classes[token] if len(token) else np.empty(0, np.uint8)
-        context = np.zeros(len(token), np.uint8)
-        context[1:] = own[:-1]
-        starts = np.cumsum(lengths) - lengths
-        context[starts[lengths > 0]] = 0
-        end_context = np.where(lengths > 0, own[np.maximum(starts + lengths - 1, 0)] if len(own) else 0, 0).astype(np.int64)
-
-        near = np.searchsorted(self.hot, hashes)
-        is_hot = np.zeros(len(hashes), bool) if not len(self.hot) else self.hot[np.minimum(near, len(self.hot) - 1)] == hashes
-        hot_number = np.where(is_hot, near + 1, 0)
-        warm = is_hot[token] if len(token) else np.empty(0, bool)
-        codes = np.concatenate([hot_number[token[warm]] * CONTEXTS + context[warm], end_context]).astype(np.uint16)
-        code_doc = np.concatenate([doc[warm], np.arange(len(lengths))])
-        codes = codes[np.argsort(code_doc, kind="stable")]
-        per_doc = np.bincount(code_doc, minlength=len(lengths)).astype(np.uint32)
+        token = np.concatenate(self.tokens).astype(np.int64)
+        doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        # the token before the first one of a text is the end of the text before
+        context = np.concatenate(([self.edge], token[:-1]))
+        pairs, kind = np.unique(token * len(hashes) + context, return_inverse=True)
+        word, context = np.divmod(pairs, len(hashes))
+        pair_hashes = _pair_hash(hashes[word], hashes[context])
+
+        number = _find(self.hot.pairs, pair_hashes)
+        warm = (number >= 0)[kind]
+        codes = number[kind[warm]].astype(np.uint16)
+        per_doc = np.bincount(doc[warm], minlength=len(lengths)).astype(np.uint32)
         known = np.array([i is not None for i in self.ids], bool)
         ids = np.array([i or 0 for i in self.ids], np.int64)
         payload = struct.pack("<I", len(lengths)) + b"".join(x.tobytes() for x in (ids, known, held, lengths, per_doc, codes))
         yield self.n_parts + block % self.n_parts, block, payload
 
-        cool = ~warm
-        token, context, doc = token[cool], context[cool], doc[cool].astype(np.uint16)
-        part = (hashes >> np.uint64(20)) % np.uint64(self.n_parts)
-        order = np.lexsort((hashes, part))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        by = np.argsort(rank[token], kind="stable")
-        flags = context[by] | np.where(held[doc[by]], 0, _TRAIN).astype(np.uint8)
-        doc, counts = doc[by], np.bincount(rank[token], minlength=len(order))
-        hashes, part = hashes[order], part[order]
-        used = counts > 0
-        hashes, part, counts = hashes[used], part[used], counts[used]
-        word_at = np.searchsorted(part, np.arange(self.n_parts + 1))
-        token_at = np.concatenate(([0], np.cumsum(counts)))[word_at]
-        for p in np.flatnonzero(np.diff(word_at)).tolist():
-            a, b, c, d = *word_at[p : p + 2], *token_at[p : p + 2]
-            yield p, block, struct.pack("<II", b - a, d - c) + hashes[a:b].tobytes() + counts[a:b].astype(np.uint32).tobytes() + flags[c:d].tobytes() + doc[c:d].tobytes()
-
-
-def _blocked(rows: DataFrame, hot: np.ndarray, n_parts: int) -> DataFrame:
+        is_hot = (_find(self.hot.words, hashes) >= 0)[word]
+        part = (np.where(is_hot, pair_hashes, hashes[word]) >> np.uint64(20)) % np.uint64(self.n_parts)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        own = rank[kind[~warm]]
+        doc = doc[~warm]
+        by = np.argsort(own, kind="stable")
+        counts = np.bincount(own, minlength=len(order)).astype(np.uint32)
+        customers = np.bincount(own[~held[doc]], minlength=len(order)).astype(np.uint32)
+        doc = doc[by].astype(np.uint16)
+        token_at = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        word, context, part = word[order], context[order], part[order]
+        cuts = np.searchsorted(part, np.arange(self.n_parts + 1))
+        for p in range(self.n_parts):
+            a, b = cuts[p : p + 2]
+            if token_at[a] == token_at[b]:
+                continue
+            used = a + np.flatnonzero(counts[a:b])
+            words, w = np.unique(word[used], return_inverse=True)
+            contexts, c = np.unique(context[used], return_inverse=True)
+            # pairs are sorted by word, most stand once, and most of them in training
+            yield p, block, _pack(hashes[words], hashes[contexts], np.diff(w, prepend=0).astype(np.uint32), c.astype(np.uint32), counts[used], counts[used] - customers[used], doc[token_at[a] : token_at[b]])
+
+
+def _blocked(rows: DataFrame, hot: Hot, n_parts: int) -> DataFrame:
     def run(batches):
         now, number = _Block(hot, n_parts), TaskContext.get().partitionId() << 24
         for batch in batches:
@@ -169,53 +214,90 @@ def _payloads(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(parts, pa.int32()), pa.array(numbers, pa.int64()), pa.array(payloads, pa.binary())], names=["part", "block", "payload"])
 
 
-def _hot_words(rows: DataFrame, fraction: float, seed: int) -> tuple[np.ndarray, float]:
-    """Hashes of frequent words of a sample, sorted, and the sample's tokens. Only a decision about where work is done."""
+def _hot_words(rows: DataFrame, fraction: float, seed: int) -> tuple[Hot, float]:
+    """Frequent words and pairs of a sample, and the sample's tokens. Only a decision about where work is done."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: dict[tuple, int] = {}
         total = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for block in blocks((text or b"").lower()):
-                    for w in block.split():
-                        counts[w] = counts.get(w, 0) + 1
+                last = _EDGE
+                for block in (*blocks((text or b"").lower()), None):
+                    for w in [_EDGE] if block is None else block.split():
+                        counts[w, None] = counts.get((w, None), 0) + 1
+                        counts[w, last] = counts.get((w, last), 0) + 1
+                        last = w
                         total += 1
                 if len(counts) > 500_000:  # rare words can't become frequent in one task's share
                     counts = {w: n for w, n in counts.items() if n > 1 and n * 4 * MAX_HOT > total}
-        frequent = [w for w, n in counts.items() if n * 4 * MAX_HOT > total]
-        hashes = _hash(frequent).view(np.int64)
-        yield pa.record_batch([pa.array(np.append(hashes, 0)), pa.array([*(counts[w] for w in frequent), 0], pa.int64()), pa.array([0] * len(frequent) + [total], pa.int64())], names=["hash", "n", "total"])
-
-    found = rows.sample(fraction, seed).select("text").mapInArrow(run, "hash long, n long, total long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        frequent = [(w, n) for w, n in counts.items() if n * 4 * MAX_HOT > total]
+        words = _hash([w for (w, _), _ in frequent]).view(np.int64)
+        contexts = [None if c is None else int(_hash([c]).view(np.int64)[0]) for (_, c), _ in frequent]
+        n = [n for _, n in frequent]
+        columns = [pa.array(np.append(words, 0)), pa.array([*contexts, None], pa.int64()), pa.array([*n, 0], pa.int64()), pa.array([0] * len(n) + [total], pa.int64())]
+        yield pa.record_batch(columns, names=["word", "context", "n", "total"])
+
+    found = rows.sample(fraction, seed).select("text").mapInArrow(run, "word long, context long, n long, total long").groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    found = found.persist()
     total = found.agg(F.sum("total")).first()[0] or 0
-    top = found.where(F.col("n") * MAX_HOT > total).orderBy(F.col("n").desc(), "hash").limit(MAX_HOT - 1).collect() if total else []
-    return np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)), float(total)
+    frequent = found.where(F.col("n") * MAX_HOT > total).orderBy(F.col("n").desc(), "word", "context")
+    unsigned = lambda x: x % (1 << 64)
+    words = [unsigned(r["word"]) for r in frequent.where("context is null").limit(MAX_HOT).collect()] if total else []
+    pairs = [(unsigned(r["word"]), unsigned(r["context"])) for r in frequent.where("context is not null").limit(MAX_HOT).collect()] if total else []
+    found.unpersist()
+    return Hot(np.array(words, np.uint64), pairs), float(total)
 
 
 # ---- one range of words ----------------------------------------------------------------------
 
 
 class Seating:
-    """Customers and tables of a set of words; what other words hold enters by totals."""
+    """Customers and tables of a set of words; what other words hold enters by totals.
 
-    def __init__(self, word: np.ndarray, context: np.ndarray, customers: np.ndarray, n_words: int):
-        self.word, self.context, self.customers, self.n_words = word, context.astype(np.intp), customers.astype(np.int64), n_words
+    ``shared`` names the words (by their place among the hot ones, else -1) whose
+    other customers at the parent are elsewhere, see :meth:`surround`.
+    """
+
+    def __init__(self, word: np.ndarray, context: np.ndarray, customers: np.ndarray, n_words: int, n_contexts: int = CONTEXTS, shared: np.ndarray | None = None):
+        self.word, self.context, self.customers, self.n_words, self.n_contexts = word, context.astype(np.intp), customers.astype(np.int64), n_words, n_contexts
+        self.shared = np.full(n_words, -1) if shared is None else shared
+        self.own = self.shared < 0
+        self.outside = np.zeros(n_words, np.int64)
         self.tables = (self.customers > 0).astype(np.int64)
-        self.parent = np.bincount(word, self.tables, n_words).astype(np.int64)
+        self.parent = self._parent()
         self.parent_tables = (self.parent > 0).astype(np.int64)
 
+    def _parent(self) -> np.ndarray:
+        return np.bincount(self.word, self.tables, self.n_words).astype(np.int64) + self.outside
+
+    def hot(self, n_hot: int) -> np.ndarray:
+        """Customers and tables of the shared words."""
+        at = np.flatnonzero(~self.own)
+        out = np.zeros((2, n_hot))
+        for row, x in zip(out, (self.customers, self.tables)):
+            row[self.shared[at]] = np.bincount(self.word, x, self.n_words)[at]
+        return out
+
+    def surround(self, parent: np.ndarray, parent_tables: np.ndarray) -> None:
+        """Take the shared words' customers and tables at the parent, ours as they are now among them."""
+        at = np.flatnonzero(~self.own)
+        self.outside = np.zeros(self.n_words, np.int64)
+        self.outside[at] = parent[self.shared[at]] - self._parent()[at]
+        self.parent = self._parent()
+        self.parent_tables[at] = parent_tables[self.shared[at]]
+
     def totals(self) -> np.ndarray:
         """Sums that the other ranges need: customers and tables by context, the parent's tables, words, counts of counts."""
         words = np.bincount(self.word, self.customers, self.n_words)
-        ones = [np.count_nonzero(x == k) for x in (self.customers, self.parent) for k in (1, 2)]
-        by = [np.bincount(self.context, x, CONTEXTS) for x in (self.customers, self.tables)]
-        return np.concatenate([*by, [self.parent_tables.sum(), np.count_nonzero(words)], ones]).astype(np.float64)
+        ones = [np.count_nonzero(x == k) for x in (self.customers, self.parent[self.own]) for k in (1, 2)]
+        by = [np.bincount(self.context, x, self.n_contexts) for x in (self.customers, self.tables)]
+        return np.concatenate([*by, [self.parent_tables[self.own].sum(), np.count_nonzero(words[self.own])], ones]).astype(np.float64)
 
     def sweep(self, all_totals: np.ndarray, own_before: np.ndarray, rng: np.random.Generator, model: Model) -> None:
         """Draw all tables again, given everything else. ``own_before``: these words' part in ``all_totals``."""
         total = all_totals + self.totals() - own_before
-        tables = total[CONTEXTS : 2 * CONTEXTS]
+        tables = total[self.n_contexts : 2 * self.n_contexts]
         many = np.flatnonzero(self.customers >= 2)
         if len(many):
             w, u, t = self.word[many], self.context[many], self.tables[many]
@@ -223,19 +305,20 @@ class Seating:
             other_tables = np.minimum(self.parent_tables[w], others)
             p = model.parent_probability(others, other_tables, total)
             self.tables[many] = draw_tables(self.customers[many], np.maximum(tables[u] - t, 0), p, model.discount, rng)
-        self.parent = np.bincount(self.word, self.tables, self.n_words).astype(np.int64)
-        self.parent_tables = np.minimum(np.maximum(self.parent_tables, self.parent > 0), self.parent)
-        many = np.flatnonzero(self.parent >= 2)
+        self.parent = self._parent()
+        settled = np.minimum(np.maximum(self.parent_tables, self.parent > 0), self.parent)
+        self.parent_tables = np.where(self.own, settled, self.parent_tables)
+        many = np.flatnonzero((self.parent >= 2) & self.own)
         if len(many):
             t = self.parent_tables[many]
-            rest = np.maximum(total[2 * CONTEXTS] - t, 0)
+            rest = np.maximum(total[2 * self.n_contexts] - t, 0)
             self.parent_tables[many] = draw_tables(self.parent[many], rest, np.full(len(many), model.base), model.parent_discount, rng)
 
     def probability(self, all_totals: np.ndarray, own_before: np.ndarray, model: Model) -> np.ndarray:
         """Predictive probability of each (word, context)."""
         total = all_totals + self.totals() - own_before
         p = model.parent_probability(self.parent, self.parent_tables, total)[self.word]
-        c, t = total[:CONTEXTS][self.context], total[CONTEXTS : 2 * CONTEXTS][self.context]
+        c, t = total[: self.n_contexts][self.context], total[self.n_contexts : 2 * self.n_contexts][self.context]
         return (self.customers - model.discount * self.tables + (CONCENTRATION + model.discount * t) * p) / (CONCENTRATION + c)
 
 
@@ -246,11 +329,13 @@ class Model:
         one, two, parent_one, parent_two = totals[-4:]
         bounded = lambda a, b: float(np.clip(a / (a + 2 * b) if a else 0.5, 0.1, 0.9))
         self.discount, self.parent_discount = bounded(one, two), bounded(parent_one, parent_two)
-        self.tokens, self.words = int(totals[:CONTEXTS].sum()), int(totals[2 * CONTEXTS + 1])
+        n = len(totals) // 2 - 3
+        self.tokens, self.words = int(totals[:n].sum()), int(totals[2 * n + 1])
         self.base = 1.0 / (self.words + 1)
 
     def parent_probability(self, customers: np.ndarray, tables: np.ndarray, total: np.ndarray) -> np.ndarray:
-        everyone, all_tables = total[CONTEXTS : 2 * CONTEXTS].sum(), total[2 * CONTEXTS]
+        n = len(total) // 2 - 3
+        everyone, all_tables = total[n : 2 * n].sum(), total[2 * n]
         rest = (CONCENTRATION + self.parent_discount * all_tables) * self.base
         return (customers - self.parent_discount * tables + rest) / (CONCENTRATION + everyone)
 
@@ -300,63 +385,119 @@ def draw_tables(customers: np.ndarray, other_tables: np.ndarray, p: np.ndarray,
     return out
 
 
-def _blocks_of(payload) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number, word hashes, tokens by word, context and training mark by token, document by token) of every block in a payload."""
-    out, at = [], 0
-    while at < len(payload):
-        block, w, n = struct.unpack_from("<qII", payload, at)
-        at += 16
-        arrays = []
-        for kind, size in ((np.uint64, w), (np.uint32, w), (np.uint8, n), (np.uint16, n)):
-            arrays.append(np.frombuffer(payload, kind, size, at))
-            at += arrays[-1].nbytes
-        out.append((block, *arrays))
-    return out
-
-
-def _slices(blocks_: list[int], payloads: list[bytes]) -> list[bytes]:
-    """A range's payloads, ordered by block, cut by word hash so that each slice holds about ``SLICE_TOKENS``."""
-    parts = [_blocks_of(struct.pack("<q", b) + p)[0] for b, p in sorted(zip(blocks_, payloads))]
-    n = max(1, -(-sum(len(p[3]) for p in parts) // SLICE_TOKENS))
-    out = []
-    for k in range(n):
-        own = []
-        for block, hashes, counts, flags, docs in parts:
-            words = (hashes >> np.uint64(44)) % np.uint64(n) == k
-            tokens = np.repeat(words, counts)
-            if words.any():
-                own += [struct.pack("<qII", block, words.sum(), tokens.sum()), *(x.tobytes() for x in (hashes[words], counts[words], flags[tokens], docs[tokens]))]
-        out.append(b"".join(own))
-    return out
-
+class _Part:
+    """The words of one range, their seating, and each block's tokens."""
 
-class _Slice:
-    """The words of one slice, their seating, and each block's tokens."""
+    def __init__(self, numbers: list[int], payloads: list[bytes], hot: Hot):
+        read = []
+        for block, payload in sorted(zip(numbers, payloads)):
+            words, contexts, step, context, counts, held, doc = _unpack(payload, np.uint64, np.uint64, *[np.uint32] * 4, np.uint16)
+            read.append((block, words, contexts, np.cumsum(step), context, counts, counts - held, doc))
+        words, self.contexts = (np.unique(np.concatenate([r[k] for r in read])) for k in (1, 2))
+        n = len(self.contexts) + 1  # the last one stands for all contexts that are not here
+        keys = np.concatenate([np.searchsorted(words, r[1])[r[3]] * n + np.searchsorted(self.contexts, r[2])[r[4]] for r in read])
+        keys, pair = np.unique(keys, return_inverse=True)
+        customers = np.bincount(pair, np.concatenate([r[6] for r in read]), len(keys))
+        cuts = np.cumsum([len(r[3]) for r in read])[:-1]
+        self.blocks = [(r[0], own, r[5], r[7]) for r, own in zip(read, np.split(pair.astype(np.int32), cuts))]
+        self.seating = Seating(keys // n, keys % n, customers, len(words), n, _find(hot.words, words))
 
-    def __init__(self, payload):
-        parts = _blocks_of(payload)
-        distinct, back = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
-        word, marks = np.repeat(back, np.concatenate([p[2] for p in parts])), np.concatenate([p[3] for p in parts])
-        keys, self.type = np.unique(word * CONTEXTS + (marks & (CONTEXTS - 1)), return_inverse=True)
-        self.blocks = [(p[0], p[4]) for p in parts]
-        customers = np.bincount(self.type, marks >= _TRAIN, len(keys))
-        self.seating = Seating(keys // CONTEXTS, keys % CONTEXTS, customers, len(distinct))
 
+def _sampled(seating: Seating, part: tuple[int, int], seed: int, sweeps: int, first: np.ndarray, second: np.ndarray | None = None, samples: int = 0, around: tuple = ()) -> np.ndarray | None:
+    """Sweeps under the first totals, then ``samples`` sweeps under the second ones; the mean predictive probability of these.
 
-def _sampled(seating: Seating, part: tuple[int, int], seed: int, sweeps: int, first: np.ndarray, second: np.ndarray | None = None, samples: int = 0) -> np.ndarray | None:
-    """Sweeps under the first totals, then ``samples`` sweeps under the second ones; the mean predictive probability of these."""
+    ``around`` has for each of both the shared words' customers and tables at the parent.
+    """
     rng, own, model = np.random.default_rng([seed, *part]), seating.totals(), Model(first)
+    if around:
+        seating.surround(*around[0])
     for _ in range(sweeps):
         seating.sweep(first, own, rng, model)
     if second is None:
         return None
     own, mean = seating.totals(), 0.0
+    if around:
+        seating.surround(*around[1])
     for _ in range(samples):
         seating.sweep(second, own, rng, model)
         mean = mean + seating.probability(second, own, model) / samples
     return mean
 
 
+# ---- totals by context -----------------------------------------------------------------------
+
+
+class _Totals:
+    """What all ranges share: tokens, tables, the parent's numbers, and the hot words' customers and tables."""
+
+    def __init__(self, sums: np.ndarray, n_hot: int, parent_tables: np.ndarray | None = None):
+        self.tokens, self.tables = sums[:2]
+        self.customers, self.parent = sums[8 : 8 + n_hot], sums[8 + n_hot :].astype(np.int64)
+        self.parent_tables = (self.parent > 0).astype(np.int64) if parent_tables is None else parent_tables
+        hot = [self.parent_tables.sum(), np.count_nonzero(self.customers), 0, 0, *(np.count_nonzero(self.parent == k) for k in (1, 2))]
+        self.rest = sums[2:8] + hot
+        self.around = (self.parent, self.parent_tables)
+
+    def of(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Totals as a :class:`Seating` has them, from those of its contexts."""
+        return np.concatenate([customers, [self.tokens - customers.sum()], tables, [self.tables - tables.sum()], self.rest])
+
+
+def _shares(seating: Seating, n_hot: int) -> np.ndarray:
+    """A seating's part in the sums of :class:`_Totals`."""
+    own, n = seating.totals(), seating.n_contexts
+    return np.concatenate([[own[:n].sum(), own[n : 2 * n].sum()], own[2 * n :], *seating.hot(n_hot)])
+
+
+def _range_of(contexts: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((contexts >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+
+
+def _requests(part: int, contexts: np.ndarray, seating: Seating, n_parts: int, shares: np.ndarray) -> pd.DataFrame:
+    """A row per range of contexts with our customers and tables, and one (range -1) with our shares."""
+    own, n = seating.totals(), seating.n_contexts
+    customers, tables = own[: n - 1].astype(np.uint32), own[n : 2 * n - 1].astype(np.uint32)
+    cuts = np.searchsorted(_range_of(contexts, n_parts), np.arange(n_parts + 1))
+    rows = [(-1, part, None, shares.tolist())]
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        at = slice(*cuts[r : r + 2])
+        rows.append((r, part, _pack(contexts[at], customers[at], tables[at]), None))
+    return pd.DataFrame(rows, columns=["range", "part", "payload", "shares"])
+
+
+_REQUEST = "range int, part int, payload binary, shares array<double>"
+
+
+def _replies(requests: DataFrame, warm: tuple[np.ndarray, np.ndarray, np.ndarray], n_parts: int, name: str) -> DataFrame:
+    """For each part and each range of contexts the sums over all parts and the hot pairs: part, range, name, payload. Part -1: of the hot pairs."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        place, sent = int(frame["range"].iloc[0]), []
+        for payload in frame["payload"]:
+            sent.append(_unpack(payload, np.uint64, np.uint32, np.uint32))
+        here = _range_of(warm[0], n_parts) == place
+        sent.append([x[here] for x in warm])
+        contexts, back = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+        sums = [np.bincount(back, np.concatenate([x[k] for x in sent]), len(contexts)).astype(np.int64) for k in (1, 2)]
+        parts, out, at = [*frame["part"], -1], [], 0
+        for own in sent:
+            mine = back[at : at + len(own[0])]
+            at += len(mine)
+            out.append(_pack(contexts[mine], *(x[mine] for x in sums)))
+        return pd.DataFrame({"part": parts, "range": place, "name": name, "payload": out})
+
+    return requests.where("range >= 0").groupBy("range").applyInPandas(add, "part int, range int, name string, payload binary")
+
+
+def _context_totals(frame: pd.DataFrame, name: str, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of sorted contexts from replies; contexts that no range holds have none."""
+    out = np.zeros((2, len(contexts)))
+    for payload in frame["payload"][frame["name"] == name]:
+        found, customers, tables = _unpack(payload, np.uint64, np.int64, np.int64)
+        out[:, _find(contexts, found)] = customers, tables
+    return out[0], out[1]
+
+
 # ---- the operator ----------------------------------------------------------------------------
 
 
@@ -365,75 +506,99 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
     fraction = 0.02
     hot, sampled = _hot_words(rows, fraction, seed)
-    n_parts = max(6, math.ceil(sampled / fraction * 0.6 / PART_TOKENS))
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+    n_hot = len(hot.words)
+    n_parts = max(6, math.ceil(sampled / fraction / PART_TOKENS))
+    # every pass reads a range where the one shuffle has put it
+    table = _blocked(rows, hot, n_parts).repartition(max(n_parts, default_partitions(docs.sparkSession)), "part").persist(StorageLevel.DISK_ONLY)
+    texts = materialize(table.where(F.col("part") >= n_parts), "lm-texts", row_group_mb=4)
+    words = table.where(F.col("part") < n_parts)
+
+    hot_counts = _hot_counts(texts, len(hot.pairs))
+    hot_contexts, hot_context = np.unique(hot.pair_context, return_inverse=True)
+    hot_word = np.searchsorted(hot.words, hot.pair_word)
+    warm = lambda: Seating(hot_word, hot_context, hot_counts, n_hot, len(hot_contexts) + 1, np.arange(n_hot))
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
-        if part >= n_parts:
-            return frame.assign(totals=None)
-        slices = [x for x in _slices(frame["block"].tolist(), frame["payload"].tolist()) if x]
-        totals = [_Slice(x).seating.totals().tolist() for x in slices]
+        p = _Part(frame["block"].tolist(), frame["payload"].tolist(), hot)
+        out = _requests(part, p.contexts, p.seating, n_parts, _shares(p.seating, n_hot))
         release_memory()
-        return pd.DataFrame({"part": part, "block": range(len(slices)), "payload": slices, "totals": totals})
-
-    schema = "part int, block long, payload binary, totals array<double>"
-    table = materialize(_blocked(rows, hot, n_parts).groupBy("part").applyInPandas(gather, schema), "lm-parts", row_group_mb=4)
-    words, texts = table.where(F.col("part") < n_parts), table.where(F.col("part") >= n_parts)
-
-    hot_counts = _hot_counts(texts, len(hot) + 1)
-    codes = np.arange(len(hot_counts))
-    warm = Seating(codes // CONTEXTS, codes % CONTEXTS, hot_counts, len(hot) + 1)
-    first = _sum(words.select("totals")) + warm.totals()
+        return out
+
+    def exchanged(requests: DataFrame, own: Seating, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        totals, n = own.totals(), own.n_contexts
+        held = (hot_contexts, totals[: n - 1].astype(np.int64), totals[n : 2 * n - 1].astype(np.int64))
+        replies = materialize(_replies(requests, held, n_parts, name), f"lm-{name}")
+        # ranges of contexts that only hot pairs have: no part asks, and there is nothing to add
+        mine = replies.where("part = -1").select("name", "payload").toPandas()
+        known = np.zeros(len(hot_contexts), bool)
+        for payload in mine["payload"]:
+            known[_find(hot_contexts, _unpack(payload, np.uint64, np.int64, np.int64)[0])] = True
+        customers, tables = _context_totals(mine, name, hot_contexts)
+        customers, tables = np.where(known, customers, held[1]), np.where(known, tables, held[2])
+        return replies, _sum(requests) + _shares(own, n_hot), customers, tables
+
+    requests = materialize(words.groupBy("part").applyInPandas(begin, _REQUEST), "lm-begin")
+    replies, sums, customers, tables = exchanged(requests, warm(), "first")
+    first = _Totals(sums, n_hot)
+    hot_first = first.of(customers, tables)
+
+    def settle(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):  # a reply to the hot pairs
+            return pd.DataFrame(columns=["range", "part", "payload", "shares"])
+        part = int(frame["part"].iloc[0])
+        p = _Part(frame["block"].tolist(), frame["payload"].tolist(), hot)
+        _sampled(p.seating, (part, 0), seed, sweeps, first.of(*_context_totals(got, "first", p.contexts)), around=(first.around,))
+        out = _requests(part, p.contexts, p.seating, n_parts, _shares(p.seating, n_hot))
+        release_memory()
+        return out
+
+    grouped = lambda frame: frame.groupBy("part")
+    settled = materialize(grouped(words).cogroup(grouped(replies)).applyInPandas(settle, _REQUEST), "lm-settled")
+    own = warm()
+    _sampled(own, (0xFFFF, 0), seed, sweeps, hot_first, around=(first.around,))
+    later, sums, customers, tables = exchanged(settled, own, "second")
+    model = Model(hot_first)
+    second = _Totals(sums, n_hot, first.parent_tables)
+    many = np.flatnonzero(second.parent >= 2)
+    parent_tables = np.minimum(second.parent, 1)
+    if len(many):
+        rest = np.maximum(second.rest[0] - first.parent_tables[many], 0)
+        parent_tables[many] = draw_tables(second.parent[many], rest, np.full(len(many), model.base), model.parent_discount, np.random.default_rng([seed, 0xFFFF, 1]))
+    second = _Totals(sums, n_hot, parent_tables)
+    around = (first.around, second.around)
+    hot_probability = _sampled(warm(), (0xFFFF, 0), seed, sweeps, hot_first, second.of(customers, tables), samples, around)
+
+    def score(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame(columns=["part", "block", "payload"])
+        part = int(frame["part"].iloc[0])
+        p = _Part(frame["block"].tolist(), frame["payload"].tolist(), hot)
+        totals = [t.of(*_context_totals(got, name, p.contexts)) for t, name in ((first, "first"), (second, "second"))]
+        s = p.seating
+        logs = np.log10(_sampled(s, (part, 0), seed, sweeps, *totals, samples, around))
+        seen = np.bincount(s.word, s.customers, s.n_words)
+        seen[~s.own] = first.customers[s.shared[~s.own]]
+        base, known = model.base_log10(seen)[s.word], (seen > 0)[s.word]
+        rows = []
+        for block, pair, counts, doc in p.blocks:
+            pair = np.repeat(pair, counts)
+            rows.append((-1, block, _partial_sums(*(np.bincount(doc, x[pair]) for x in (base, logs, known)))))
+        release_memory()
+        return pd.DataFrame(rows, columns=["part", "block", "payload"])
 
-    def settle(batches):
-        for batch in batches:
-            for part, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                seating = _Slice(memoryview(payload.as_buffer())).seating
-                _sampled(seating, (part, number), seed, sweeps, first)
-                yield pa.record_batch([pa.array([seating.totals().tolist()], pa.list_(pa.float64()))], names=["totals"])
-            release_memory()
-
-    settled = _sum(words.select("part", "block", "payload").mapInArrow(settle, "totals array<double>"))
-    _sampled(warm, (0xFFFF, 0), seed, sweeps, first)
-    second = settled + warm.totals()
-    warm = Seating(codes // CONTEXTS, codes % CONTEXTS, hot_counts, len(hot) + 1)
-    hot_probability = _sampled(warm, (0xFFFF, 0), seed, sweeps, first, second, samples)
-    model = Model(first)
-
-    def score(batches):
-        now, sums = None, {}  # of one range, as long as its slices follow each other
-        for batch in batches:
-            for part, number, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if part != now:
-                    yield from _partial_sums(sums)
-                    now, sums = part, {}
-                s = _Slice(memoryview(payload.as_buffer()))
-                logs = np.log10(_sampled(s.seating, (part, number), seed, sweeps, first, second, samples))
-                seen = np.bincount(s.seating.word, s.seating.customers, s.seating.n_words)
-                base, known = model.base_log10(seen)[s.seating.word], (seen > 0)[s.seating.word]
-                at = 0
-                for block, doc in s.blocks:
-                    own = s.type[at : at + len(doc)]
-                    at += len(doc)
-                    found = np.stack([np.bincount(doc, x[own]) for x in (base, logs, known)])
-                    held = sums.get(block)
-                    if held is not None:
-                        small, large = sorted((found, held), key=lambda x: x.shape[1])
-                        large[:, : small.shape[1]] += small
-                        found = large
-                    sums[block] = found
-            release_memory()
-        yield from _partial_sums(sums)
-
-    sums = words.select("part", "block", "payload").mapInArrow(score, "part int, block long, payload binary")
-    hot_base, hot_logs = model.base_log10(np.bincount(codes // CONTEXTS, hot_counts, len(hot) + 1))[codes // CONTEXTS], np.log10(hot_probability)
-    hot_known = (np.bincount(codes // CONTEXTS, hot_counts, len(hot) + 1) > 0)[codes // CONTEXTS]
+    found = grouped(words).cogroup(grouped(replies.union(later))).applyInPandas(score, "part int, block long, payload binary")
+    sums = materialize(found, "lm-sums")
+    table.unpersist()
+    drop(requests, replies, settled, later)
+    seen = first.customers[hot_word]
+    hot_base, hot_logs, hot_known = model.base_log10(seen), np.log10(hot_probability), seen > 0
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:
         own = frame["part"] >= 0
         d = _Documents(frame["payload"][own].iloc[0])
         doc = np.repeat(np.arange(len(d.ids)), d.per_doc)
-        base, logs, known = (np.bincount(doc, x[d.codes], len(d.ids)) for x in (hot_base, hot_logs, hot_known.astype(float)))
+        base, logs, known = (np.bincount(doc, x[d.codes], len(d.ids)).astype(np.float64) for x in (hot_base, hot_logs, hot_known))
         for payload in frame["payload"][~own]:
             (n,) = struct.unpack_from("<I", payload)
             used = np.frombuffer(payload, np.uint16, n, 4).astype(np.intp)
@@ -445,19 +610,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids[~d.known] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": d.held, "n_tokens": d.lengths + 1, "n_known": known.astype(np.int64), "train_tokens": model.tokens, "base_score": base, "score": logs})
 
-    both = texts.select("part", "block", "payload").union(sums)
+    both = texts.union(sums)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     result = both.groupBy("block").applyInPandas(finish, out)
-    result._shared_path = table._shared_path
+    result._tables = (texts, sums)
     return result
 
 
-def _partial_sums(sums: dict[int, np.ndarray]):
-    """A row per block: documents with tokens in the range, and their sums of base, score and known tokens."""
-    for block, (base, logs, known) in sums.items():
-        used = np.flatnonzero(base)
-        data = struct.pack("<I", len(used)) + used.astype(np.uint16).tobytes() + base[used].tobytes() + logs[used].astype(np.float32).tobytes() + known[used].astype(np.uint32).tobytes()
-        yield _payloads([(-1, block, data)])
+def _partial_sums(base: np.ndarray, logs: np.ndarray, known: np.ndarray) -> bytes:
+    """A block's documents with tokens in the range, and their sums of base, score and known tokens."""
+    used = np.flatnonzero(base)
+    return struct.pack("<I", len(used)) + used.astype(np.uint16).tobytes() + base[used].tobytes() + logs[used].astype(np.float32).tobytes() + known[used].astype(np.uint32).tobytes()
 
 
 class _Documents:
@@ -475,31 +638,32 @@ class _Documents:
 
 
 def _hot_counts(texts: DataFrame, n_hot: int) -> np.ndarray:
-    """Training tokens by (hot word, context): ``n_hot * CONTEXTS`` numbers at most."""
+    """Training tokens of each hot pair."""
 
     def run(batches):
-        sums = np.zeros(n_hot * CONTEXTS, np.int64)
+        sums = np.zeros(n_hot, np.int64)
         for batch in batches:
             for payload in batch.column(0):
                 d = _Documents(payload.as_py())
-                sums += np.bincount(d.codes[np.repeat(~d.held, d.per_doc)], minlength=len(sums))
+                sums += np.bincount(d.codes[np.repeat(~d.held, d.per_doc)], minlength=n_hot)
         used = np.flatnonzero(sums)
         yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(sums[used])], names=["code", "n"])
 
-    out = np.zeros(n_hot * CONTEXTS, np.int64)
+    out = np.zeros(n_hot, np.int64)
     for code, n in texts.select("payload").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n")).collect():
         out[code] = n
     return out
 
 
-def _sum(totals: DataFrame) -> np.ndarray:
-    """The totals of all ranges: a number per context and few more."""
-    out = np.zeros(2 * CONTEXTS + 6)
-    for k, x in totals.select(F.posexplode("totals").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect():
+def _sum(requests: DataFrame) -> np.ndarray:
+    """The shares of all ranges: two numbers per hot word and few more."""
+    found = requests.where("range = -1").select(F.posexplode("shares").alias("k", "x")).groupBy("k").agg(F.sum("x")).collect()
+    out = np.zeros(len(found))
+    for k, x in found:
         out[k] = x
-    return out
+    return out if found else np.zeros(1)
 
 
 def release(scored: DataFrame) -> None:
     """Delete the tables behind a result that is no longer read."""
-    drop(scored)
+    drop(*scored._tables)
