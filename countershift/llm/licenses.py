@@ -6,9 +6,10 @@ shares ``GRAM + WINDOW - 1`` consecutive words with a template shares a
 fingerprint with it. An inverted index from fingerprints to (template, place)
 gives diagonals; hits on near diagonals are one candidate, and the template is
 aligned with the words around it inside a band (insertions, deletions and other
-words allowed). Coverage is the share of the template's words that the alignment
-matches; the span runs from the first to the last matched word. Of overlapping
-matches, one that another beats in coverage with no fewer words is left out.
+words allowed); after a match the words before and behind it are aligned again.
+Coverage is the share of the template's words that the alignment matches; the
+span runs from the first to the last matched word. Of overlapping matches, one
+that another beats in coverage with no fewer words is left out.
 
 The index holds the templates, a parameter bounded by ``MAX_TEMPLATE_WORDS``;
 documents are scanned where they lie, without a shuffle.
@@ -96,7 +97,7 @@ def winnow(hashes: np.ndarray) -> np.ndarray:
 class Index:
     """Templates, their vocabulary and the inverted index of their fingerprints."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
         split = {name: words(text.encode()) for name, text in templates.items()}
         if sum(map(len, split.values())) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words")
@@ -114,6 +115,9 @@ class Index:
                 places[int(self.hash_of[ids[0]])].append((t, 0))
         self.places = dict(places)
         self.keys = np.array(sorted(places), np.uint64)
+        # the least number of matched words
+        self.least = [next(k for k in range(len(ids) + 1) if k and k / len(ids) >= least or k == len(ids)) for ids in self.templates]
+        self.holds = [np.isin(np.arange(len(vocabulary) + 1), ids) for ids in self.templates]
         self.short = [t for t, ids in enumerate(self.templates) if len(ids) < GRAM]
 
     def ids(self, data: bytes) -> np.ndarray:
@@ -147,9 +151,23 @@ class Index:
             out.append((t, first, last))
         return out
 
-    def align(self, ids: np.ndarray, t: int, first: int, last: int) -> tuple[int, int, int]:
-        """Matched words, and the first and last matched place in the text (-1: none)."""
-        template, n = self.templates[t].tolist(), len(ids)
+    def matches(self, ids: np.ndarray, t: int, first: int, last: int) -> list[tuple[int, int, int]]:
+        """Matched words, first and last place of all matches of a candidate that do not overlap."""
+        out, size = [], len(self.templates[t])
+        rest = [(max(0, first - BAND), min(len(ids), last + BAND + size))]
+        while rest:
+            a, b = rest.pop()
+            if b <= a or np.count_nonzero(self.holds[t][ids[a:b]]) < self.least[t]:
+                continue
+            found = self.align(ids, t, first, last, a, b)
+            if found[0] >= self.least[t]:
+                out.append(found)
+                rest += [(a, found[1]), (found[2] + 1, b)]
+        return out
+
+    def align(self, ids: np.ndarray, t: int, first: int, last: int, begin: int = 0, n: int | None = None) -> tuple[int, int, int]:
+        """Matched words, and the first and last matched place in the text (-1: none), between ``begin`` and ``n``."""
+        template, n = self.templates[t].tolist(), len(ids) if n is None else n
         low, high = first - BAND, last + BAND
         # a state is (matches, start, -end); place k of row i: i template words against the text before low + i + k
         width = high - low + 1
@@ -163,7 +181,7 @@ class Index:
                 if k and now[k - 1] > best:  # the text's word is additional
                     best = now[k - 1]
                 diagonal = row[k]
-                if 0 <= j < n and ids[j] == word:
+                if begin <= j < n and ids[j] == word:
                     diagonal = (diagonal[0] + 1, diagonal[1] if diagonal[0] else j, -j)
                 if diagonal > best:
                     best = diagonal
@@ -179,9 +197,10 @@ def scan_text(index: Index, data: bytes, least: float) -> list[tuple[str, int, f
     ids = index.ids(data)
     out, offsets = [], None
     for t, first, last in index.candidates(ids):
-        matched, a, b = index.align(ids, t, first, last)
-        coverage = matched / len(index.templates[t])
-        if matched and coverage >= least:
+        for matched, a, b in index.matches(ids, t, first, last):
+            coverage = matched / len(index.templates[t])
+            if coverage < least:
+                continue
             if offsets is None:
                 offsets = _offsets(data)
             start, end = (len(data[: offsets[k][side]].decode("utf-8", "ignore")) for k, side in ((a, 0), (b, 1)))
@@ -205,7 +224,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     given = TEMPLATES if templates is None else templates
 
     def run(batches):
-        index = Index(given)
+        index = Index(given, least)
         for batch in batches:
             rows = [(doc_id, *m) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)) for m in scan_text(index, text.as_py() or b"", least)]
             columns = list(zip(*rows)) or [()] * len(kinds)

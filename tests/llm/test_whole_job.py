@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from countershift.llm import lm
+from countershift.llm import chat, licenses, lm, queries, simhash
+from countershift.llm.tokens import word_encoder
 
 
 def test_lm_contexts_are_words(spark):
@@ -12,3 +14,16 @@ def test_lm_contexts_are_words(spark):
     out = rows[rows.held_out]
     # of two tokens one is drawn from 300 and the word before tells the other: 1.24 each and a little for smoothing
     assert len(out) and -1.35 < out.score.sum() / out.n_tokens.sum() < -1.2
+
+
+def spans(text):
+    index = licenses.Index(licenses.TEMPLATES)
+    return [(m[0], m[3], m[4]) for m in licenses.scan_text(index, text.encode(), 0.8)]
+
+
+@pytest.mark.parametrize("name", ["MIT", "Apache-2.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"])
+@pytest.mark.parametrize("times", [2, 100])
+def test_license_repeats_give_a_row_each(name, times):
+    text = licenses.TEMPLATES[name] + ". "
+    n = len(licenses.words(text.encode()))
+    assert [m[1:] for m in spans(text * times) if m[0] == name] == [(k * n, k * n + n) for k in range(times)]
