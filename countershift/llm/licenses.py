@@ -1,15 +1,17 @@
 """License scans: winnowed fingerprints pick candidates, banded alignment decides.
 
 Texts and templates are sequences of lower-cased words. Of every ``WINDOW``
-consecutive word ``GRAM``-grams the least hash is a fingerprint, so a text that
-shares ``GRAM + WINDOW - 1`` consecutive words with a template shares a
-fingerprint with it. An inverted index from fingerprints to (template, place)
-gives diagonals; hits on near diagonals are one candidate, and the template is
-aligned with the words around it inside a band (insertions, deletions and other
-words allowed); after a match the words before and behind it are aligned again.
-Coverage is the share of the template's words that the alignment matches; the
-span runs from the first to the last matched word. Of overlapping matches, one
-that another beats in coverage with no fewer words is left out.
+consecutive word ``GRAM``-grams the least hash is a fingerprint, and an inverted
+index from fingerprints to (template, place) gives diagonals. Besides, a match of
+the least coverage can miss so many words of its template and no more, so of one
+word more than that at least one is in it: each place of such a word (the rarest,
+by length) is a hit too, if enough of the template's words are around. Hits on
+near diagonals are one candidate, and the template is aligned with the words
+around it inside a band (insertions, deletions and other words allowed); after a
+match the words before and behind it are aligned again. Coverage is the share of
+the template's words that the alignment matches; the span runs from the first to
+the last matched word. Of overlapping matches, one that another beats in coverage
+with no fewer words is left out.
 
 The index holds the templates, a parameter bounded by ``MAX_TEMPLATE_WORDS``;
 documents are scanned where they lie, without a shuffle.
@@ -36,6 +38,8 @@ GRAM = 3
 WINDOW = 3
 BAND = 12
 MAX_TEMPLATE_WORDS = 1_000_000
+#: Words that stand everywhere: the last ones to be looked up.
+_COMMON = frozenset(b"a an and any are as at by for following from in is it may not of on or that the this to under version with without work you".split())
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 # Public notices of common licenses.
@@ -115,8 +119,14 @@ class Index:
                 places[int(self.hash_of[ids[0]])].append((t, 0))
         self.places = dict(places)
         self.keys = np.array(sorted(places), np.uint64)
-        # the least number of matched words
+        # the least number of matched words, and words of which every match holds one: (template, place) by word
         self.least = [next(k for k in range(len(ids) + 1) if k and k / len(ids) >= least or k == len(ids)) for ids in self.templates]
+        rarest = lambda w: (w in _COMMON, -len(w), w)
+        self.rare = defaultdict(list)
+        for t, (ids, k) in enumerate(zip(self.templates, self.least)):
+            for q in sorted(range(len(ids)), key=lambda q: (rarest(vocabulary[ids[q] - 1]), q))[: len(ids) - k + 1]:
+                self.rare[int(ids[q])].append((t, q))
+        self.is_rare = np.isin(np.arange(len(vocabulary) + 1), list(self.rare))
         self.holds = [np.isin(np.arange(len(vocabulary) + 1), ids) for ids in self.templates]
         self.short = [t for t, ids in enumerate(self.templates) if len(ids) < GRAM]
 
@@ -138,6 +148,9 @@ class Index:
                     hits[t].append(p - q)
         for t in self.short:
             hits[t] += np.flatnonzero(ids == self.templates[t][0]).tolist()
+        for p in np.flatnonzero(self.is_rare[ids]).tolist():
+            for t, q in self.rare[int(ids[p])]:
+                hits[t].append(p - q)
         out = []
         for t, diagonals in sorted(hits.items()):
             diagonals.sort()

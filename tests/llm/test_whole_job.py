@@ -27,3 +27,18 @@ def test_license_repeats_give_a_row_each(name, times):
     text = licenses.TEMPLATES[name] + ". "
     n = len(licenses.words(text.encode()))
     assert [m[1:] for m in spans(text * times) if m[0] == name] == [(k * n, k * n + n) for k in range(times)]
+
+
+def test_edited_short_licenses_are_candidates():
+    for text in ("Released under the terms of the MIT License", "Released under the permissive MIT License", "Released under MIT License"):
+        assert [m[0] for m in spans("some words before " + text + " and behind")] == ["MIT"]
+    assert "Apache-2.0" in [m[0] for m in spans("Licensed under the Apache Licence, Version 2.0")]
+    # every template with any words left out that the coverage allows
+    rng, index = np.random.default_rng(0), licenses.Index(licenses.TEMPLATES)
+    for name, template in licenses.TEMPLATES.items():
+        ws = licenses.words(template.encode())
+        for _ in range(20):
+            gone = rng.choice(len(ws), int(len(ws) * 0.2 + 1e-9), replace=False)
+            text = b" ".join(b"other" if k in gone else w for k, w in enumerate(ws))
+            t = index.names.index(name)
+            assert any(c[0] == t and index.matches(index.ids(text), *c) for c in index.candidates(index.ids(text)))
