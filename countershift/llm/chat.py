@@ -8,9 +8,12 @@ Windows come from prefix sums of the turns' tokens, not from a walk over the
 conversation: with cells of half the room that system turn and history leave, a
 turn belongs to the cell in which its prefix sum falls, so a cell's turns fill a
 window at most; a turn larger than a cell has a window of its own (over budget
-only if the turn alone is). The leading system turn is repeated in every window,
-and turns that end within the history allowance before a cell are repeated at
-the head of the next window, outside the loss mask: a target is trained on once.
+only if the turn alone is). The leading system turn is repeated in every window.
+So are the turns that lie wholly within the history allowance before a window's
+first turn, and in any case the turn right before it, its prompt, as far as the
+budget goes. Where an answer's prompt does not fit besides the turns that follow
+in the window, the answer has a window of its own with it. Repeated turns stand
+outside the loss mask: a target is trained on once.
 
 Prefix sums take two steps (sums per range of rows, then running sums inside),
 so a conversation with a third of all rows is spread over many tasks; a window
@@ -24,6 +27,7 @@ empty table gives no rows. Further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -124,11 +128,38 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = 1024, histor
     body = body.withColumn("width", width).withColumn("cell", F.floor(F.col("start") / F.col("width")).cast("long"))
     large = F.col("tokens") > F.col("width")
     # inside a cell: turns before a large one, the large one, turns after it cannot exist (it reaches beyond the cell)
-    own = body.withColumn("window", F.col("cell") * 2 + large.cast("long")).withColumn("is_history", F.lit(False))
-    edge = (F.col("cell") + 1) * F.col("width")
-    again = (F.col("start") >= edge - history // 2) & (F.col("tokens") <= history // 2)
-    past = body.where(again).withColumn("window", (F.col("cell") + 1) * 2).withColumn("is_history", F.lit(True))
-    members = own.unionByName(past)
+    body = materialize(body.withColumn("large", large), "chat-body")
+    limit = F.lit(budget) - F.coalesce("sys_tokens", F.lit(0))
+    same = lambda a, b, *names: functools.reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
+    groups = body.groupBy("conv_id", "cell", "large").agg(
+        F.min("start").alias("begin"), F.min("place").alias("lead"), F.sum("tokens").alias("size"), F.count("*").alias("n"), F.first("sys_tokens").alias("sys_tokens"),
+        F.min(F.struct("place", "tokens", "role")).alias("one"),
+    )
+    prompts = body.select("conv_id", (F.col("place") + 1).alias("lead"), F.col("start").alias("prompt_start"))
+    groups = groups.join(prompts, same(groups, prompts, "conv_id", "lead"), "left").select(groups["*"], "prompt_start")
+    with_prompt = F.col("begin") - F.col("prompt_start")
+    apart = (F.col("one.role") == "assistant") & (F.col("n") > 1) & (with_prompt + F.col("size") > limit) & (with_prompt + F.col("one.tokens") <= limit)
+    groups = groups.withColumn("apart", F.coalesce(apart, F.lit(False)))
+    # of a cell: 0 an answer apart, 1 what follows or all, 2 a large turn
+    number = lambda k: F.col("cell") * 3 + k
+    head = lambda window, begin, lead, size: F.struct(window.alias("window"), begin.alias("begin"), lead.alias("lead"), size.alias("size"))
+    one = F.col("one.tokens")
+    whole = head(number(F.when(F.col("large"), 2).otherwise(1)), F.col("begin"), F.col("lead"), F.col("size"))
+    split = [head(number(F.lit(0)), F.col("begin"), F.col("lead"), one), head(number(F.lit(1)), F.col("begin") + one, F.col("lead") + 1, F.col("size") - one)]
+    heads = groups.select("conv_id", "sys_tokens", F.explode(F.when(F.col("apart"), F.array(*split)).otherwise(F.array(whole))).alias("h")).select("conv_id", "sys_tokens", "h.*")
+    alone_at = groups.where("apart").select("conv_id", F.col("lead").alias("place"), F.lit(0).alias("kind"))
+    own = body.join(alone_at, same(body, alone_at, "conv_id", "place"), "left").select(body["*"], "kind")
+    own = own.withColumn("window", number(F.coalesce("kind", F.when(F.col("large"), 2).otherwise(1)))).withColumn("is_history", F.lit(False)).drop("kind")
+    # turns before a window's first: those that start in the stretch of the allowance's length before it, and the one right before
+    step = max(1, history)
+    stretch = F.floor((F.col("begin") - 1) / step).cast("long")
+    sought = heads.select("*", F.explode(F.array(stretch, stretch - 1)).alias("stretch")).drop("sys_tokens")
+    past = body.withColumn("stretch", F.floor(F.col("start") / step).cast("long"))
+    before = past.join(sought, same(past, sought, "conv_id", "stretch")).where((F.col("start") < F.col("begin")) & (F.col("start") >= F.col("begin") - history))
+    prompt = heads.withColumn("place", F.col("lead") - 1).drop("sys_tokens")
+    right = body.join(prompt, same(body, prompt, "conv_id", "place")).where(F.col("start") < F.col("begin") - history)
+    again = [x.where(F.col("begin") - F.col("start") + F.col("size") <= limit).select(body["*"], "window").withColumn("is_history", F.lit(True)) for x in (before, right)]
+    members = own.unionByName(again[0]).unionByName(again[1])
     fields = ["is_history", "place", "role", "text", "tokens"]
     turns_of = F.array_sort(F.collect_list(F.struct((~F.col("is_history")).alias("own"), *fields[1:])))
     grouped = members.groupBy("conv_id", "window").agg(turns_of.alias("turns"), F.first("sys_text").alias("sys_text"), F.first("sys_tokens").alias("sys_tokens"))

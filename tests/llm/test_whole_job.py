@@ -42,3 +42,29 @@ def test_edited_short_licenses_are_candidates():
             text = b" ".join(b"other" if k in gone else w for k, w in enumerate(ws))
             t = index.names.index(name)
             assert any(c[0] == t and index.matches(index.ids(text), *c) for c in index.candidates(index.ids(text)))
+
+
+def test_chat_answers_stand_with_their_prompts(spark):
+    rng = np.random.default_rng(5)
+    turns = []
+    for conv in range(12):
+        turns.append((conv, 0, "system", "be brief"))
+        for k in range(1, 25):
+            turns.append((conv, k, "user" if k % 2 else "assistant", f"c{conv}t{k} " + " ".join(["word"] * int(rng.choice([5, 60, 250, 500])))))
+    rows = chat.windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), queries.TOKENIZER).collect()
+    encoder = word_encoder(queries.TOKENIZER)
+    size = lambda role, text: len(encoder.ids(chat.format_turn(role, text)[0].encode())) // 4
+    text_of = {(c, k): (r, t) for c, k, r, t in turns}
+    trained = []
+    for row in rows:
+        held = chat.read_turns(row["text"])
+        assert row["tokens"] <= 1024 and row["tokens"] == sum(size(*t) for t in held)
+        marks = [t.split()[0] for _, t in held]
+        for (role, text), mark in list(zip(held, marks))[row["repeated"] :]:
+            if role == "assistant":
+                k = int(mark.split("t")[1])
+                trained.append((row["conv_id"], k))
+                pair = [text_of[row["conv_id"], j] for j in (0, k - 1, k)]
+                if sum(size(*t) for t in pair) <= 1024:
+                    assert f"c{row['conv_id']}t{k - 1}" in marks
+    assert sorted(trained) == [(c, k) for c in range(12) for k in range(2, 25, 2)]
