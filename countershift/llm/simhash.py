@@ -173,14 +173,13 @@ def _shingle_hashes(text: str | None, words: int):
 
 
 def sketch(text: str | None, words: int = 3) -> list[int]:
-    """``SKETCHES`` SimHashes of one pass: the shingles' hashes are mixed anew for each. Signed longs."""
-    ones, total = np.zeros((SKETCHES, BITS), np.int64), 0
-    for hashes in _shingle_hashes(text, words):
-        total += len(hashes)
-        with np.errstate(over="ignore"):
-            for k, factor in enumerate(_MIX):
-                mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(factor)
-                ones[k] += _bit_counts(mixed ^ (mixed >> np.uint64(29)))
+    """``SKETCHES`` SimHashes of the set of shingles, whose hashes are mixed anew for each. Signed longs."""
+    hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(text, words)]))
+    ones, total = np.zeros((SKETCHES, BITS), np.int64), len(hashes)
+    with np.errstate(over="ignore"):
+        for k, factor in enumerate(_MIX):
+            mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(factor)
+            ones[k] = _bit_counts(mixed ^ (mixed >> np.uint64(29)))
     weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
     return [int((weights[row * 2 > total].sum(dtype=np.uint64)).view(np.int64)) if total else 0 for row in ones]
 

@@ -44,6 +44,12 @@ def test_edited_short_licenses_are_candidates():
             assert any(c[0] == t and index.matches(index.ids(text), *c) for c in index.candidates(index.ids(text)))
 
 
+def test_sketches_count_a_shingle_once():
+    body, line = " ".join(f"w{k}" for k in range(300)), " ".join(f"x{k}" for k in range(14)) + " "
+    few, many = (simhash.sketch(f"{body} {line * n}") for n in (2, 100))
+    assert few == many
+
+
 def test_chat_answers_stand_with_their_prompts(spark):
     rng = np.random.default_rng(5)
     turns = []
