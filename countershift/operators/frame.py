@@ -155,21 +155,45 @@ def breslow(frame: DataFrame, time: str, event: str, weight: str, predictor: Col
     return steps.select(*by, "time", "d", "r", F.sum(F.col("d") / F.col("r")).over(ahead).alias("hazard")).where("d > 0")
 
 
+_PRIME = 2147483647
+#: Factors of the mixing rounds: each product of two numbers below 2**31 fits 64 bits, so any engine gives the same.
+_ROUNDS = (1597334677, 1223106847, 1389796)
+
+
 def hash_exponential(key: Column, replication: Column) -> Column:
-    """An Exp(1) number from integers: the same in any engine with 64-bit arithmetic."""
-    u = ((key * F.lit(2654435761) + replication * F.lit(40503)) % F.lit(2147483647) + F.lit(0.5)) / F.lit(2147483647.0)
-    return -F.ln(u)
+    """An Exp(1) number of key and replication by rounds of multiplication modulo a prime and shifts: the same in any engine with 64-bit integers."""
+    prime = F.lit(_PRIME).cast("long")
+    h = F.pmod(F.pmod(key.cast("long"), prime) + F.shiftright(key.cast("long"), 31) * 69621, prime)
+    for k, factor in enumerate(_ROUNDS):
+        h = F.pmod(h.bitwiseXOR(F.shiftright(h, 15 - k)) * F.lit(factor).cast("long") + replication.cast("long") * (40503 + 2 * k) + 11, prime)
+    return -F.ln((h + F.lit(0.5)) / F.lit(float(_PRIME)))
+
+
+def multipliers(frame: DataFrame, key: str, weight: str, reps: int, keep: list[str]) -> DataFrame:
+    """Rows repeated for every replication ``rep`` with their multiplied weight ``w`` and the columns ``keep``."""
+    rows = frame.select(*keep, F.col(key).alias("k_"), F.col(weight).cast("double").alias("w_"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    return rows.select(*keep, "rep", (F.col("w_") * hash_exponential(F.col("k_"), F.col("rep"))).alias("w"))
 
 
 def multiplier_draws(frame: DataFrame, key: str, y: str, group: str, weight: str, reps: int) -> DataFrame:
-    """Weighted group means and their difference in every replication of a multiplier bootstrap, all in one aggregate."""
-    exploded = frame.select(F.col(key).alias("k"), F.col(y).alias("y"), F.col(group).alias("g"), F.col(weight).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    w = F.col("w") * hash_exponential(F.col("k"), F.col("rep").cast("long"))
-    sums = exploded.groupBy("rep", "g").agg(F.sum(w * F.col("y")).alias("s"), F.sum(w).alias("w"))
+    """The difference of weighted group means in every replication of a multiplier bootstrap: rep, effect. One aggregate."""
+    rows = multipliers(frame.select(F.col(key), F.col(y).alias("y"), F.col(group).alias("g"), F.col(weight)), key, weight, reps, ["y", "g"])
+    sums = rows.groupBy("rep", "g").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum("w").alias("w"))
     mean = lambda g: F.max(F.when(F.col("g") == g, F.col("s") / F.col("w")))
     return sums.groupBy("rep").agg((mean(1) - mean(0)).alias("effect"))
 
 
+def multiplier_quantile_draws(frame: DataFrame, key: str, y: str, group: str, weight: str, reps: int, probs) -> DataFrame:
+    """The total effect at each quantile in every replication of a multiplier bootstrap: rep, quantile, estimate.
+
+    Quantiles are exact and need no sort; replications times groups are limited to 1000.
+    """
+    rows = multipliers(frame.select(F.col(key), F.col(y).alias("y"), F.col(group).cast("int").alias("g"), F.col(weight)), key, weight, reps, ["y", "g"])
+    found = exact_quantiles(rows.withColumn("cell", F.col("rep") * 2 + F.col("g")), "y", "w", probs, "cell", "type2")
+    side = lambda g: F.max(F.when(F.col("cell") % 2 == g, F.col("q")))
+    return found.groupBy(F.floor(F.col("cell") / 2).cast("int").alias("rep"), F.col("p").alias("quantile")).agg((side(1) - side(0)).alias("estimate"))
+
+
 def bands(draws: DataFrame, point: DataFrame, alpha: float, z: float) -> DataFrame:
     """Standard errors and bands of draws (rep, quantile, estimate) around points (quantile, estimate), by aggregates."""
     se = draws.groupBy("quantile").agg(F.stddev_samp("estimate").alias("se"), F.count("estimate").alias("reps_effective"))

@@ -286,18 +286,17 @@ def cox_fixed_beta(spark, sf_dir):
 
 # ---- bootstrap and simulation ----------------------------------------------------------------
 
-REPS = 20
+REPS = 40
+BOOT_PROBS = (0.25, 0.5, 0.75)
 
 
 def _draws(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Draws and points of three pseudo quantiles: the mean difference, damped."""
+    """Draws and points of the total effect at three quantiles."""
     data = view(spark, sf_dir, DURATION)
-    d = ops.multiplier_draws(data, "k", "y", "g", "w", REPS)
-    cut = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    draws = d.select("rep", cut.alias("quantile"), "effect").select("rep", "quantile", (F.col("effect") * (1 + F.col("quantile")) + F.col("rep") % 3 * F.col("quantile")).alias("estimate"))
-    sums = data.groupBy("g").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
-    effect = sums.agg((F.max(F.when(F.col("g") == 1, F.col("m"))) - F.max(F.when(F.col("g") == 0, F.col("m")))).alias("e"))
-    return draws, effect.select(cut.alias("quantile"), "e").select("quantile", (F.col("e") * (1 + F.col("quantile"))).alias("estimate"))
+    draws = ops.multiplier_quantile_draws(data, "k", "y", "g", "w", REPS, BOOT_PROBS)
+    levels = ops.exact_quantiles(data, "y", "w", BOOT_PROBS, "g", "type2")
+    side = lambda g: F.max(F.when(F.col("g") == g, F.col("q")))
+    return draws, levels.groupBy(F.col("p").alias("quantile")).agg((side(1) - side(0)).alias("estimate"))
 
 
 def boot_multiplier_se(spark, sf_dir):
@@ -316,14 +315,26 @@ def boot_curve_tests(spark, sf_dir):
     return ops.curve_tests(draws, point).select(*[F.round(c, 7).alias(c) for c in ("ks", "cms", "ks_p", "cms_p")])
 
 
-_BOOT_SQL = f"""d AS ({DURATION}), r AS (SELECT unnest(range(1, {REPS + 1})) AS rep),
- e AS (SELECT rep, g, y, w * -ln(((k * 2654435761 + rep * 40503) % 2147483647 + CAST(0.5 AS DOUBLE)) / CAST(2147483647 AS DOUBLE)) AS w FROM d, r),
+def _rounds_sql(source: str) -> str:
+    """Relations h1, h2, h3 over rows (k, rep, ...): a round of mixing each; ``h`` at the end."""
+    steps = [f"h0 AS (SELECT *, (k % {ops._PRIME} + (k >> 31) * 69621) % {ops._PRIME} AS h FROM {source})"]
+    for i, factor in enumerate(ops._ROUNDS):
+        steps.append(f"h{i + 1} AS (SELECT * REPLACE ((xor(h, h >> {15 - i}) * {factor} + rep * {40503 + 2 * i} + 11) % {ops._PRIME} AS h) FROM h{i})")
+    return ", ".join(steps)
+
+
+_BOOT_SQL = f"""d AS (SELECT g, y, w, CAST(k AS BIGINT) AS k FROM ({DURATION})), x AS (SELECT g, y, w, k, unnest(range(1, {REPS + 1})) AS rep FROM d),
+ {_rounds_sql("x")},
+ e AS (SELECT rep, g, y, w * -ln((h + CAST(0.5 AS DOUBLE)) / CAST({ops._PRIME} AS DOUBLE)) AS w FROM h{len(ops._ROUNDS)}),
  m AS (SELECT rep, g, sum(w * y) / sum(w) AS m FROM e GROUP BY rep, g),
  b AS (SELECT rep, max(m) FILTER (g = 1) - max(m) FILTER (g = 0) AS effect FROM m GROUP BY rep),
- q AS (SELECT * FROM (VALUES (CAST(0.25 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.75 AS DOUBLE))) t(quantile)),
- draws AS (SELECT rep, quantile, effect * (1 + quantile) + rep % 3 * quantile AS estimate FROM b, q),
- mm AS (SELECT g, sum(w * y) / sum(w) AS m FROM d GROUP BY g),
- point AS (SELECT quantile, (max(m) FILTER (g = 1) - max(m) FILTER (g = 0)) * (1 + quantile) AS estimate FROM mm, q GROUP BY quantile)"""
+ q AS (SELECT p AS quantile FROM (VALUES {_values(BOOT_PROBS)}) t(p)),
+ aw AS (SELECT rep, g, y, sum(w) AS w FROM e GROUP BY rep, g, y UNION ALL SELECT 0, g, y, sum(w) FROM d GROUP BY g, y),
+ cw AS (SELECT rep, g, y, sum(w) OVER (PARTITION BY rep, g ORDER BY y) AS cw, sum(w) OVER (PARTITION BY rep, g) AS tw FROM aw),
+ vq AS (SELECT rep, g, quantile, CASE WHEN bool_or(cw = quantile * tw) THEN (min(y) FILTER (cw >= quantile * tw) + min(y) FILTER (cw > quantile * tw)) / 2 ELSE min(y) FILTER (cw >= quantile * tw) END AS v
+  FROM cw, q GROUP BY rep, g, quantile),
+ effects AS (SELECT rep, quantile, max(v) FILTER (g = 1) - max(v) FILTER (g = 0) AS estimate FROM vq GROUP BY rep, quantile),
+ draws AS (SELECT * FROM effects WHERE rep > 0), point AS (SELECT quantile, estimate FROM effects WHERE rep = 0)"""
 
 
 def sim_truth(spark, sf_dir):

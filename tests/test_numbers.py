@@ -180,3 +180,24 @@ def test_control_refuses(bad):
 def test_deprecated_alias():
     with pytest.warns(DeprecationWarning):
         assert Control(weighted_bootstrap=False).bootstrap_scheme == "empirical"
+
+
+def test_multiplier_errors_equal_the_analytic_ones(spark):
+    """Standard errors of a difference of weighted means, replications that don't go together, and weights of mean and variance one."""
+    from countershift.operators import frame as ops
+
+    rng = np.random.default_rng(5)
+    n = 4000
+    data = pd.DataFrame({"k": np.arange(n) * 7919 + (np.arange(n) % 3 << 33), "g": np.arange(n) % 2, "y": rng.normal(size=n) * 3 + np.arange(n) % 2, "w": 1.0 + np.arange(n) % 5})
+    frame = spark.createDataFrame(data)
+    draws = ops.multiplier_draws(frame, "k", "y", "g", "w", 400).toPandas().sort_values("rep").effect.to_numpy()
+    variance = 0.0
+    for _, x in data.groupby("g"):
+        m = np.average(x.y, weights=x.w)
+        variance += (x.w**2 * (x.y - m) ** 2).sum() / x.w.sum() ** 2
+    assert abs(draws.std(ddof=1) / np.sqrt(variance) - 1) < 0.15
+    assert abs(np.corrcoef(draws[1:], draws[:-1])[0, 1]) < 0.15
+    weights = ops.multipliers(frame.limit(500).selectExpr("k", "1.0 AS w", "g"), "k", "w", 50, ["k"]).toPandas().pivot(index="k", columns="rep", values="w")
+    assert abs(weights.to_numpy().mean() - 1) < 0.03 and abs(weights.to_numpy().var() - 1) < 0.1
+    off = np.corrcoef(weights.to_numpy().T) - np.eye(50)
+    assert np.abs(off).max() < 0.25 and abs(off.mean()) < 0.01
