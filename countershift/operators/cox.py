@@ -13,13 +13,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countershift.control import Control
 from countershift.errors import DecompositionError, NotIdentifiedError
 from countershift.functions.ranks import EPS
 from countershift.operators.blocks import Blocks, LocalBlocks, SparkBlocks
+from countershift.operators.frame import running_sums
 from countershift.operators.models import Fit
 
 MAXIT = 50
@@ -247,14 +248,12 @@ def kaplan_meier(frame: DataFrame, time: str, event: str, weight: str, by: list[
     """
     keys = by or []
     at = frame.groupBy(*keys, F.col(time).alias("time")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(weight).alias("w"))
-    back = Window.partitionBy(*keys).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    risk = at.withColumn("r", F.sum("w").over(back))
+    risk = running_sums(at, "time", {"r": F.col("w")}, keys, descending=True)
     step = F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("r"))
     # a zero factor ends the product; logarithms carry the others
-    dead = F.max((step <= 0).cast("int")).over(ahead)
-    product = F.exp(F.sum(F.when(step > 0, F.ln(step)).otherwise(0.0)).over(ahead))
-    return risk.select(*keys, "time", "d", "r", F.when(dead == 1, 1.0).otherwise(1 - product).alias("cdf"))
+    parts = {"ended": (step <= 0).cast("double"), "logs": F.when(step > 0, F.ln(step)).otherwise(0.0)}
+    product = running_sums(risk, "time", parts, keys)
+    return product.select(*keys, "time", "d", "r", F.when(F.col("ended") > 0, 1.0).otherwise(1 - F.exp("logs")).alias("cdf"))
 
 
 def km_quantiles(y, event, weights, probs, boundary: str = "na") -> np.ndarray:

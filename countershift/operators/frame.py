@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countershift.errors import DecompositionError
+from countershift.functions.curves import isotonic
 from countershift.functions.ranks import tolerance, type7_positions
 
 
@@ -24,54 +25,72 @@ def weighted_histogram(frame: DataFrame, value: str, weight: str, bins: int, low
 
 
 def exact_quantiles(frame: DataFrame, value: str, weight: str, probs, by: str, kind: str = "type7", bins: int = 4096, candidates: int = 200_000) -> DataFrame:
-    """Exact weighted quantiles by group without a global sort: range, histogram, and the values of the bins that hold the ranks.
+    """Exact weighted quantiles by group without a global sort: ranges are divided into bins until the bins that hold the ranks have few values.
 
-    The driver sees bins and candidate values only; groups must be few.
+    A pass puts the rows of each open range into bins of equal width; the bins
+    that hold a rank, from their least to their largest value, are the next
+    ranges. So an outlier costs a pass and no more. The driver sees bins and at
+    most ``candidates`` values (a range of a single value needs none); groups must be few.
     Type 7 interpolates ranks of the group's row count; type 2 averages at exact ties.
     """
-    spark = frame.sparkSession
+    spark, key = frame.sparkSession, f"g {frame.schema[by].dataType.simpleString()}"
     rows = frame.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).where("v is not null and w > 0")
-    ranges = {r["g"]: r for r in rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
-    if len(ranges) > 1000:
+    groups = {r["g"]: r for r in rows.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
+    if len(groups) > 1000:
         raise DecompositionError("too many groups")
-    if not ranges:
-        return spark.createDataFrame([], f"{by} {frame.schema[by].dataType.simpleString()}, p double, q double")
-    bound = spark.createDataFrame([(g, r["lo"], r["hi"]) for g, r in ranges.items()], f"g {frame.schema[by].dataType.simpleString()}, lo double, hi double")
-    placed = rows.join(F.broadcast(bound), "g")
-    while True:
-        at = grid("v", F.col("lo"), F.col("hi"), bins)
-        counts: dict = {}
-        for r in placed.groupBy("g", at.alias("bin")).agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect():
-            counts.setdefault(r["g"], []).append((r["bin"], r["w"], r["n"]))
-        wanted, total, starts = [], 0, {}
-        for g, found in counts.items():
+    # a rank: where it is looked for, and the value behind that range
+    targets = [(g, t[0]) for g in groups for p in probs for t in _targets(groups[g], [p], kind)]
+    ranges = {(g, r["lo"], r["hi"]): (0.0, r["n"], r["w"]) for g, r in groups.items()}
+    held = {(g, t): ((g, groups[g]["lo"], groups[g]["hi"]), None) for g, t in targets}
+    width = max(16, min(bins, candidates // max(1, len(ranges))))
+    while sum(n for (_, lo, hi), (_, n, _) in ranges.items() if lo < hi) > candidates:
+        open_ = [k for k in ranges if k[1] < k[2]]
+        bound = spark.createDataFrame([(i, *k) for i, k in enumerate(open_)], f"i int, {key}, lo double, hi double")
+        placed = rows.join(F.broadcast(bound), "g").where("v between lo and hi").groupBy("i", grid("v", F.col("lo"), F.col("hi"), width).alias("bin"))
+        found: dict = {}
+        for r in placed.agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            found.setdefault(open_[r["i"]], []).append((r["bin"], r["w"], r["n"], r["lo"], r["hi"]))
+        following, places = {k: x for k, x in ranges.items() if k[1] == k[2]}, {}
+        for k, cells in found.items():
+            cells.sort()
+            places[k] = cells, ranges[k][0] + np.cumsum([w for _, w, *_ in cells])
+        for at, (k, behind) in held.items():
+            if k not in places:
+                continue
+            cells, sums = places[k]
+            i = min(int(np.searchsorted(sums, at[1], side="left")), len(cells) - 1)
+            own = (k[0], cells[i][3], cells[i][4])
+            following[own] = (float(sums[i] - cells[i][1]), cells[i][2], cells[i][1])
+            held[at] = own, cells[i + 1][3] if i + 1 < len(cells) else behind
+        # ranges whose rank has moved into a smaller one are closed
+        ranges = {k: x for k, x in following.items() if any(k == r for r, _ in held.values())}
+        width = max(16, min(bins, candidates // max(1, len(ranges))))
+    values = {k: (np.array([k[1]]), np.array([below + w])) for k, (below, _, w) in ranges.items() if k[1] == k[2]}
+    open_ = [k for k in ranges if k[1] < k[2]]
+    if open_:
+        bound = spark.createDataFrame([(i, *k) for i, k in enumerate(open_)], f"i int, {key}, lo double, hi double")
+        inside: dict = {}
+        for r in rows.join(F.broadcast(bound), "g").where("v between lo and hi").groupBy("i", "v").agg(F.sum("w").alias("w")).collect():
+            inside.setdefault(open_[r["i"]], []).append((r["v"], r["w"]))
+        for k, found in inside.items():
             found.sort()
-            cumulative = np.cumsum([w for _, w, _ in found])
-            for t in _targets(ranges[g], probs, kind):
-                k = min(int(np.searchsorted(cumulative, t[0], side="left")), len(found) - 1)
-                # type 2 may need the value after an exact tie
-                for j in (k, k + 1) if kind == "type2" and k + 1 < len(found) else (k,):
-                    if (g, found[j][0]) not in starts:
-                        starts[g, found[j][0]] = cumulative[j] - found[j][1]
-                        wanted.append((g, found[j][0]))
-                        total += found[j][2]
-        if total <= candidates or bins >= 1 << 20:
-            break
-        bins *= 4
-    marks = spark.createDataFrame(wanted, f"g {frame.schema[by].dataType.simpleString()}, bin long")
-    inside = placed.withColumn("bin", at).join(F.broadcast(marks), ["g", "bin"]).groupBy("g", "bin", "v").agg(F.sum("w").alias("w"))
-    values: dict = {}
-    for r in inside.collect():
-        values.setdefault(r["g"], []).append((r["v"], r["w"], r["bin"]))
+            values[k] = np.array([v for v, _ in found]), ranges[k][0] + np.cumsum([w for _, w in found])
+
+    def pick(g, t: float) -> float:
+        k, behind = held[g, t]
+        v, running = values[k]
+        i = min(int(np.searchsorted(running, t, side="left")), len(v) - 1)
+        if kind != "type2" or running[i] != t:
+            return float(v[i])
+        after = v[i + 1] if i + 1 < len(v) else v[i] if behind is None else behind
+        return float((v[i] + after) / 2)
+
     out = []
-    for g, found in values.items():
-        found.sort()
-        v, running, last = np.array([x for x, _, _ in found]), np.empty(len(found)), None
-        for i, (_, w, b) in enumerate(found):
-            running[i] = (starts[g, b] if b != last else running[i - 1]) + w
-            last = b
+    for g, r in groups.items():
         for p in probs:
-            out.append((g, float(p), _pick(v, running, _targets(ranges[g], [p], kind), ranges[g], p, kind)))
+            got = [pick(g, t[0]) for t in _targets(r, [p], kind)]
+            share = 0.0 if kind == "type2" else float(type7_positions(float(r["n"]), np.array([p]))[2][0])
+            out.append((g, float(p), got[0] if len(got) == 1 else (1 - share) * got[0] + share * got[1]))
     return spark.createDataFrame(out, f"{by} {frame.schema[by].dataType.simpleString()}, p double, q double")
 
 
@@ -84,14 +103,29 @@ def _targets(r, probs, kind: str) -> list[tuple[float]]:
     return [((t - slack) * scale,) for pair in zip(low, high) for t in pair]
 
 
-def _pick(v, running, targets, r, p, kind: str) -> float:
-    hit = lambda t: v[min(int(np.searchsorted(running, t, side="left")), len(v) - 1)]
-    if kind == "type2":
-        t = targets[0][0]
-        k = min(int(np.searchsorted(running, t, side="left")), len(v) - 1)
-        return float((v[k] + v[min(k + 1, len(v) - 1)]) / 2 if running[k] == t else v[k])
-    fraction = float(type7_positions(float(r["n"]), np.array([p]))[2][0])
-    return float((1 - fraction) * hit(targets[0][0]) + fraction * hit(targets[1][0]))
+RANGES = 256
+
+
+def running_sums(rows: DataFrame, order: str, sums: dict[str, Column], by: list[str], descending: bool = False) -> DataFrame:
+    """Add running sums (each row's own included) along ``order`` within groups, in two levels.
+
+    Cut points of ``order`` divide the rows into ranges, whatever their group: a
+    window sees one range, and one over the few totals of ranges carries the
+    rest, so that no task holds a large group.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES)))
+    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    placed = rows.withColumns({f"in_{name}": c for name, c in sums.items()}).withColumn("range_", at)
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    totals = placed.groupBy(*by, "range_").agg(*[F.sum(f"in_{n}").alias(f"all_{n}") for n in sums])
+    before = Window.partitionBy(*by).orderBy(way("range_")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*[F.col(c).alias(f"k_{c}") for c in by], F.col("range_").alias("k_range_"), *[F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0.0)).alias(f"carry_{n}") for n in sums])
+    same = F.col("range_") == F.col("k_range_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    inside = Window.partitionBy(*by, "range_").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    full = placed.select("*", *[F.sum(f"in_{n}").over(inside).alias(f"own_{n}") for n in sums]).join(carry, same)
+    return full.select(*rows.columns, *[(F.col(f"own_{n}") + F.col(f"carry_{n}")).alias(n) for n in sums])
 
 
 def corrected_cdf(table: DataFrame, method: str, by: list[str], threshold: str = "t", cdf: str = "cdf") -> DataFrame:
@@ -107,14 +141,13 @@ def corrected_cdf(table: DataFrame, method: str, by: list[str], threshold: str =
         values = clipped.select(*by, "c", F.row_number().over(Window.partitionBy(*by).orderBy("c")).alias("place_")).withColumnRenamed("c", "corrected")
         return ranks.drop("c").join(values, [*by, "place_"]).drop("place_")
     if method == "isotonic":
-        # min-max formula: the largest over starts of the least mean over ends
-        rows = clipped.withColumn("place_", F.row_number().over(ordered)).withColumn("sum_", F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        every = F.collect_list(F.struct("place_", "sum_", "c")).over(Window.partitionBy(*by).orderBy(threshold).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        mean = lambda a, b: (b["sum_"] - a["sum_"] + a["c"]) / (b["place_"] - a["place_"] + 1)
-        rows = rows.withColumn("all_", every)
-        starts = F.filter("all_", lambda a: a["place_"] <= F.col("place_"))
-        best = F.array_max(F.transform(starts, lambda a: F.array_min(F.transform(F.filter("all_", lambda b: b["place_"] >= F.col("place_")), lambda b: mean(a, b)))))
-        return rows.withColumn("corrected", F.least(F.greatest(best, F.lit(0.0)), F.lit(1.0))).drop("c", "place_", "sum_", "all_")
+        # a function has as many rows as thresholds; neighbours that decrease are pooled in one pass over them
+        def pooled(rows):
+            rows = rows.sort_values(threshold, kind="stable")
+            return rows.assign(corrected=np.clip(isotonic(rows["c"].to_numpy()), 0.0, 1.0)).drop(columns="c")
+
+        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+        return clipped.groupBy(*by).applyInPandas(pooled, f"{types}, corrected double")
     raise DecompositionError(f"unknown correction {method!r}")
 
 
@@ -149,10 +182,8 @@ def breslow(frame: DataFrame, time: str, event: str, weight: str, predictor: Col
     """Breslow baseline hazard of a fixed linear predictor: rows are summed by time before windows run over distinct times."""
     risk = F.col(weight) * F.exp(predictor)
     at = frame.groupBy(*by, F.col(time).alias("time")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(risk).alias("s"))
-    back = Window.partitionBy(*by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    steps = at.withColumn("r", F.sum("s").over(back))
-    return steps.select(*by, "time", "d", "r", F.sum(F.col("d") / F.col("r")).over(ahead).alias("hazard")).where("d > 0")
+    at_risk = running_sums(at, "time", {"r": F.col("s")}, by, descending=True)
+    return running_sums(at_risk, "time", {"hazard": F.col("d") / F.col("r")}, by).select(*by, "time", "d", "r", "hazard").where("d > 0")
 
 
 _PRIME = 2147483647

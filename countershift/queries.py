@@ -441,19 +441,17 @@ def general(model: str, sql: str, formula: str, **more):
 
 def streamed_moments(spark, sf_dir):
     """Moments kept up to date by a streaming query over the events, then solved."""
-    import tempfile
-
+    from countershift.sources.sinks import shared_folder
     from countershift.streaming.moments import fitted, keep_moments
 
-    folder = tempfile.mkdtemp(prefix="countershift-stream-") if spark.sparkContext.master.startswith("local[") else None
-    if folder is None:
-        raise ValueError("give the streaming query its own folder on a cluster")
+    folder, remove = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = stream.selectExpr("CAST(user_id % 2 AS INT) AS g", "CAST(value AS DOUBLE) AS y", "CAST(event_id % 3 AS DOUBLE) AS x")
     query = keep_moments(rows, f"{folder}/sums", f"{folder}/checkpoint", "y", ["x"], None, ["g"])
     query.awaitTermination()
     out = [(int(k[0]), *[round(float(v), 8) for v in b]) for k, b in fitted(spark, f"{folder}/sums", ["x"], ["g"]).items()]
+    remove()
     return spark.createDataFrame(out, "g int, intercept double, slope double")
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
+from pyspark.sql import SparkSession
+
 from countershift.errors import DecompositionError
 
 
@@ -16,6 +19,20 @@ def _plain(name: str) -> str:
     return name
 
 
+def shared_folder(spark: SparkSession, name: str) -> tuple[str, Callable[[], None]]:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``, and a function that removes it. A local master does without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise DecompositionError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{root or 'file://' + tempfile.gettempdir()}/countershift/{name}-{uuid.uuid4().hex[:12]}"
+
+    def remove() -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+    return path, remove
+
+
 def write_together(folder: str, managed: Iterable[str], writer: Callable[[str], None], required: Iterable[str]) -> list[str]:
     """Let ``writer`` fill a staging folder, check ``required``, move old managed files aside, move the new ones in.
 

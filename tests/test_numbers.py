@@ -1,6 +1,7 @@
 """Literal cases with answers that need no generator, and optimality certificates."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from countershift.control import Control
