@@ -13,9 +13,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -36,21 +38,52 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/countershift/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends: the table that it writes takes their place."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, row_group_mb: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back. Small row groups let large rows be read in small parts."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.option("parquet.block.size", row_group_mb << 20) if row_group_mb else writer).parquet(path)
+    with _shuffles_removed(spark):
+        (writer.option("parquet.block.size", row_group_mb << 20) if row_group_mb else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
 
 
+def bucketed(slices: list[DataFrame], name: str, column: str, n: int) -> DataFrame:
+    """One table of all slices in ``n`` buckets of ``column``: grouping by it needs no shuffle any more, and filters on it skip row groups.
+
+    Slices are shuffled and written one after the other, and the shuffle of each
+    is removed before the next, so that the disk holds little more than the table.
+    """
+    spark = slices[0].sparkSession
+    path, table = new_path(spark, name), f"countershift_{uuid.uuid4().hex}"
+    for df in slices:
+        with _shuffles_removed(spark):
+            writer = df.repartition(n, column).write.mode("append").option("compression", "zstd").option("parquet.block.size", 4 << 20)
+            writer.bucketBy(n, column).sortBy(column).saveAsTable(table, format="parquet", path=path)
+    out = spark.table(table)
+    out._shared_path, out._shared_table = path, table
+    return out
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`materialize` that nothing reads any more."""
     for table in tables:
         path = getattr(table, "_shared_path", None)
+        if getattr(table, "_shared_table", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._shared_table}")
         if path:
             jvm = table.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -108,8 +108,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even: every two members of a variant are then linked")
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(radius // 2)])
-    # each fingerprint makes many rows: deal them out before that, not by their own small size
-    dealt = distinct.repartition(default_partitions(distinct.sparkSession), "fp")
+    # each fingerprint makes many rows: deal them out before that, not by their own small size (by a hash, or the planner takes them as dealt)
+    dealt = distinct.repartition(default_partitions(distinct.sparkSession), F.hash("fp", F.lit(SEED)))
     variants = dealt.select("fp", F.explode(masks).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp")
     w = Window.partitionBy("v").orderBy("fp")
     pairs = variants.select(F.lag("fp").over(w).alias("a"), F.col("fp").alias("b")).where("a is not null")
@@ -145,129 +145,293 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
 # ---- copies by shingle similarity ------------------------------------------------------------
 
-#: 64-bit sketches per document, and of their 192 bits how many may differ before a pair is looked at closely.
-SKETCHES = 3
-SKETCH_LIMIT = 48
-_MIX = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9)
+#: 64-bit sketches of a document; each is two tables, its low and its high ``TABLE_BITS`` bits.
+SKETCHES = 8
+TABLE_BITS = 30
+#: Leading bits by which variants are shuffled: a fingerprint is sent once for all variants that keep them, and once for each that changes one.
+PREFIX_BITS = 12
+#: Documents with fewer shingles have coarser sketches; their limit is that of 4 against 5 shingles.
+FEW_SHINGLES, FEW_SHARE = 64, 0.19
+_HASH_CHUNK = 1 << 15
+#: Shingles of a chunk of a group; two chunks at most are compared by a task at a time.
+UNIT_SHINGLES = 250_000
 
 
-def _shingle_hashes(text: str | None, words: int):
-    """Arrays of the text's shingle hashes, block by block; one hash of all words where there are fewer than a shingle's."""
+def bit_share(similarity: float) -> float:
+    """Share of sketch bits in which large sets of this Jaccard similarity (and like size) differ on average."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def recall(similarity: float, bits: int = TABLE_BITS, tables: int = 2 * SKETCHES) -> float:
+    """Expected chance that two such sets are within two bits in some table. It does not depend on how many documents there are."""
+    p = bit_share(similarity)
+    near = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return 1 - (1 - near) ** tables
+
+
+def _limit(share: float) -> int:
+    """Differing sketch bits that four standard deviations allow for."""
+    n = SKETCHES * BITS
+    return math.ceil(n * share + 4 * math.sqrt(n * share * (1 - share)))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _shingled(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash for every ``words`` consecutive word hashes."""
+    n = len(hashes) - words + 1
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            out = _mixed(out + hashes[k : k + n])
+    return out
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; of all words where there are fewer than a shingle's, none without a word."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
-    tail: list[bytes] = []
-    digest, some = xxhash.xxh64_intdigest, False
+    tail, found = np.empty(0, np.uint64), []
     for block in blocks(data):
-        own = tail + block.split()
-        if len(own) < words:
-            tail = own
-            continue
-        joined = b" ".join(own)
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        n = len(own) - words + 1
-        some = True
-        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n)
-        tail = own[n:]
-    if not some and tail:
-        yield np.array([digest(b" ".join(tail), SEED)], np.uint64)
-
-
-def sketch(text: str | None, words: int = 3) -> list[int]:
-    """``SKETCHES`` SimHashes of the set of shingles, whose hashes are mixed anew for each. Signed longs."""
-    hashes = np.unique(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(text, words)]))
-    ones, total = np.zeros((SKETCHES, BITS), np.int64), len(hashes)
-    with np.errstate(over="ignore"):
-        for k, factor in enumerate(_MIX):
-            mixed = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(factor)
-            ones[k] = _bit_counts(mixed ^ (mixed >> np.uint64(29)))
-    weights = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    return [int((weights[row * 2 > total].sum(dtype=np.uint64)).view(np.int64)) if total else 0 for row in ones]
+        own = block.split()
+        hashes = np.concatenate([tail, np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))])
+        if len(hashes) >= words:
+            found.append(np.unique(_shingled(hashes, words)))
+            tail = hashes[len(hashes) - words + 1 :]
+        else:
+            tail = hashes
+    if not found:
+        return _shingled(tail, len(tail)) if len(tail) else tail
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+_STEPS = np.arange(1, SKETCHES + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+_STREAMS = (np.arange(SKETCHES * 8) * 256).reshape(SKETCHES, 1, 8)
+_VALUES = _VALUE_BITS.astype(np.float64)
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCHES`` SimHashes (signed longs) of a set of shingle hashes, which are mixed anew for each; zeros for the empty set."""
+    ones = np.zeros((SKETCHES, BITS))
+    for at in range(0, len(hashes), _HASH_CHUNK):
+        with np.errstate(over="ignore"):
+            mixed = _mixed(hashes[None, at : at + _HASH_CHUNK] + _STEPS)
+        octets = mixed.view(np.uint8).reshape(SKETCHES, -1, 8)
+        if octets.shape[1] < 64:
+            ones += np.unpackbits(octets, axis=2, bitorder="little").sum(axis=1)
+        else:  # counts of each byte's values, then the bits of the values
+            counts = np.bincount((octets + _STREAMS).ravel(), minlength=SKETCHES * 8 * 256)
+            ones += (counts.reshape(-1, 256) @ _VALUES).reshape(SKETCHES, BITS)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, words: int = 3) -> DataFrame:
+    """doc_id, n (distinct shingles), s0, s1, ... of the rows with an id. No shuffle."""
+    names = ["doc_id", "n", *(f"s{k}" for k in range(SKETCHES))]
+
+    def run(batches):
+        for batch in batches:
+            sizes, out = [], np.zeros((batch.num_rows, SKETCHES), np.int64)
+            for k, t in enumerate(batch.column(1)):
+                hashes = shingle_set(t.as_py(), words)
+                sizes.append(len(hashes))
+                out[k] = sketch(hashes)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), *(pa.array(c) for c in out.T.copy())], names=names)
+        release_memory()
 
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, n int, " + ", ".join(f"{n} long" for n in names[2:]))
 
-def _mapped(docs: DataFrame, id_col: str, text_col: str, fn, ddl: str, kinds: list) -> DataFrame:
-    names = [part.split()[0] for part in ddl.split(", ")]
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """Of rows (component, doc_id, text): component, doc_id, h (distinct shingle hashes). No shuffle."""
 
     def run(batches):
         for batch in batches:
-            rows = [(i, *fn(t.as_py())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(2)]
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.record_batch([*part.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["component", "doc_id", "h"])
         release_memory()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, ddl)
+    return texts.mapInArrow(run, "component long, doc_id long, h array<long>")
 
 
-def table_bits(n: int) -> int:
-    """Bits of a table's fingerprints: enough that few unrelated documents collide (8 a document and table at most)."""
-    size = math.ceil(math.log2(n + 1))
-    return min(60, max(24, min(32, size + 10), size + 6))
+def _table_columns(bits: int) -> list:
+    """The fingerprint of each table, with the table's number above its bits."""
+    mask = F.lit((1 << bits) - 1).cast("long")
+    places = [(k, s) for k in range(SKETCHES) for s in (0, BITS - bits)]
+    return [F.shiftrightunsigned(F.col(f"s{k}"), s).bitwiseAND(mask) + F.lit(t << bits).cast("long") for t, (k, s) in enumerate(places)]
 
 
-def _candidates(sketches: DataFrame, bits: int) -> DataFrame:
-    """Pairs (a > b) whose fingerprints differ in two bits at most in some table.
+def shared_variants(prints: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """``v``, ``fp``: the variants within one bit that two or more of the distinct fingerprints ``fp`` have, with these.
 
-    A sketch is two tables (its halves) up to 32 bits, and one beyond. Every
-    distinct fingerprint of a table emits its variants within one bit; members of
-    a variant are linked with their neighbour and with the first, and documents
-    of one fingerprint with its least id.
+    A variant has at most ``1 + bits`` fingerprints whatever the input holds.
+    The shuffle is by leading bits, and variants are made behind it.
     """
-    mask = F.lit((1 << bits) - 1).cast("long")
-    shifts = (0, BITS - bits) if bits <= 32 else (0,)
-    tables = [F.shiftrightunsigned(F.col(f"s{k}"), s).bitwiseAND(mask) + F.lit(t << bits).cast("long") for t, (k, s) in enumerate((k, s) for k in range(SKETCHES) for s in shifts)]
-    rows = sketches.select("doc_id", F.explode(F.array(*tables)).alias("fp"))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    equal = rows.join(distinct.where("n > 1"), "fp").where("doc_id > first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(bits)])
-    dealt = distinct.select("fp", "first_id").repartition(default_partitions(sketches.sparkSession), "fp")
-    variants = dealt.select("first_id", "fp", F.explode(flips).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "first_id")
-    # a document has one fingerprint in a table, so least ids tell a variant's members apart
-    w = Window.partitionBy("v").orderBy("first_id")
-    members = variants.select("first_id", F.lag("first_id").over(w).alias("near"), F.first("first_id").over(w).alias("first"))
-    pairs = members.where("near is not null").select("first_id", F.explode(F.array_distinct(F.array("near", "first"))).alias("other"))
-    close = pairs.where("first_id <> other").select(F.greatest("first_id", "other").alias("a"), F.least("first_id", "other").alias("b"))
-    return equal.unionByName(close).distinct()
-
-
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Verified pairs ``a > b`` of ids whose sets of ``words``-word shingles have this Jaccard similarity or more.
-
-    Candidates come from ball hashing over several short fingerprints of
-    three-word shingles; 192 sketch bits leave out unrelated pairs, and the sets
-    themselves decide. Every pair returned is right; a pair of similarity 0.8 is
-    found with a chance of about nine in ten, one of 0.9 nearly always. Ids that
-    are null or that several rows share take no part.
+    low = bits - PREFIX_BITS
+    long = lambda x: F.lit(x).cast("long")
+    sent = prints.select("fp", F.explode(F.array(long(0), *[long(1 << b) for b in range(low, bits)])).alias("m"))
+    sent = sent.select("fp", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), low).alias("p"))
+    dealt = sent.repartition(default_partitions(prints.sparkSession), "p")
+    turned = F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("p")), low)
+    masks = F.when(turned == 0, F.array(long(0), *[long(1 << b) for b in range(low)])).otherwise(F.array(turned))
+    flag = lambda m: F.when(m == 0, long(1)).otherwise(F.shiftleft(m, 1))
+    variants = dealt.select("p", "fp", F.explode(masks).alias("m")).select("p", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), flag(F.col("m")).alias("flag"))
+    met = variants.groupBy("p", "v").agg(F.bit_or("flag").alias("flags")).where(F.bit_count("flags") > 1)
+    every = F.array(long(0), *[long(1 << b) for b in range(bits)])
+    back = met.select("v", "flags", F.explode(every).alias("m")).where(F.col("flags").bitwiseAND(flag(F.col("m"))) != 0)
+    return back.select("v", F.col("v").bitwiseXOR(F.col("m")).alias("fp"))
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose sketches are as close as sets of this similarity can be expected to be."""
+    names = [f"s{k}" for k in range(SKETCHES)]
+    sides = [sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"{x}n"), *[F.col(s).alias(f"{x}{s}") for s in names]) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(_close("a", "b", similarity)).select("a", "b")
+
+
+def _close(a: str, b: str, similarity: float) -> F.Column:
+    distance = sum((F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(1, SKETCHES)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    share = bit_share(similarity)
+    return distance <= F.when(F.least(f"{a}n", f"{b}n") < FEW_SHINGLES, _limit(max(share, FEW_SHARE))).otherwise(_limit(share))
+
+
+def links_within(sets: list[np.ndarray], similarity: float, chunks: np.ndarray) -> list[tuple[int, int]]:
+    """Places of sets that a link joins: a spanning forest of all pairs of this Jaccard similarity.
+
+    Sets of one chunk are compared with each other; of two chunks, each set of
+    the one with each of the other. Overlaps are counted by an inverted index.
     """
-    ddl = "doc_id long, " + ", ".join(f"s{k} long" for k in range(SKETCHES))
-    sketches = materialize(_mapped(docs.where(F.col(id_col).isNotNull()), id_col, text_col, sketch, ddl, [pa.int64()] * (SKETCHES + 1)), "near-sketches")
-    once = sketches.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(SKETCHES)]).where("n = 1").drop("n")
-    once = materialize(once, "near-once")
-    pairs = _candidates(once, table_bits(once.count()))
-    sides = [once.select(F.col("doc_id").alias(x), *[F.col(f"s{k}").alias(f"{x}{k}") for k in range(SKETCHES)]) for x in "ab"]
-    distance = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, SKETCHES)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    near = materialize(pairs.join(sides[0], "a").join(sides[1], "b").where(distance <= SKETCH_LIMIT).select("a", "b"), "near-pairs")
-    ids = materialize(near.select(F.explode(F.array("a", "b")).alias("near_id_")).distinct(), "near-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def shingle_set(text):
-        parts = [np.empty(0, np.uint64), *_shingle_hashes(text, words)]
-        return (np.unique(np.concatenate(parts)).view(np.int64),)
-
-    chosen = docs.join(wanted, docs[id_col].cast("long") == wanted["near_id_"], "left_semi")
-    sets = materialize(_mapped(chosen, id_col, text_col, shingle_set, "doc_id long, h array<long>", [pa.int64(), pa.list_(pa.int64())]), "near-sets")
-    one, two = (sets.select(F.col("doc_id").alias(x), F.col("h").alias(f"h{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    both = near.join(one, "a").join(two, "b")
-    verified = both.where(F.when(F.size("ha") + F.size("hb") == 0, True).otherwise(shared >= similarity * (F.size("ha") + F.size("hb") - shared))).select("a", "b")
-    out = materialize(verified, "near-verified")
-    drop(sketches, once, near, ids, sets)
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    cross = chunks[0] != chunks[-1]
+    values, own = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.bincount(own, minlength=len(values))
+    starts = np.cumsum(holders) - holders
+    postings = np.repeat(np.arange(n), sizes)[np.argsort(own, kind="stable")]
+    ends = np.cumsum(sizes)
+    out, label = [], np.arange(n)
+    for x in range(n):
+        if cross and chunks[x] == chunks[0]:
+            continue
+        mine = own[ends[x] - sizes[x] : ends[x]]
+        mine = mine[holders[mine] > 1]
+        lengths = holders[mine]
+        places = np.arange(lengths.sum()) + np.repeat(starts[mine] - np.cumsum(lengths) + lengths, lengths)
+        shared = np.bincount(postings[places], minlength=n)
+        alike = (shared >= similarity * (sizes[x] + sizes - shared)) & (chunks != chunks[x] if cross else np.arange(n) < x)
+        for group in np.unique(label[alike & (label != label[x])]).tolist():
+            out.append((x, int(np.flatnonzero(alike & (label == group))[0])))
+            label[label == group] = label[x]
     return out
 
 
+def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) within the groups (``node``, ``component``) that connect all pairs of this similarity in a group.
+
+    A group is compared in units of two chunks at most, by the hash of the id, so
+    that a unit holds a bounded share of a large group and gives fewer links than it has documents.
+    """
+    named = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(named, F.col("doc_id") == F.col("node"))
+    sets = materialize(_shingle_sets(texts.select("component", "doc_id", "text"), words), "near-sets")
+    large = sets.groupBy("component").agg(F.ceil(F.sum(F.size("h")) / UNIT_SHINGLES).cast("int").alias("c")).where("c > 1")
+    large = materialize(large, "near-large")
+    cut = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    every = sets.join(cut, "component", "left").select("component", F.pmod(F.hash("doc_id"), F.coalesce("c", F.lit(1))).alias("chunk"), F.coalesce("c", F.lit(1)).alias("c"), "doc_id", "h")
+    other = every.select("*", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("k"))
+    units = other.select("component", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"), "chunk", "doc_id", "h")
+
+    def run(batches):
+        held, unit = [], None
+
+        def done():
+            found = links_within([h for _, _, h in held], similarity, np.array([c for c, _, _ in held])) if len(held) > 1 else []
+            ids = [i for _, i, _ in held]
+            return pa.record_batch([pa.array([max(ids[x], ids[y]) for x, y in found], pa.int64()), pa.array([min(ids[x], ids[y]) for x, y in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for key, chunk, doc_id, h in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                if key != unit:
+                    yield done()
+                    held, unit = [], key
+                held.append((chunk, doc_id, h.values.to_numpy()))
+        yield done()
+        release_memory()
+
+    dealt = units.repartition(default_partitions(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "chunk", "doc_id")
+    out = materialize(dealt.mapInArrow(run, "a long, b long"), "near-verified")
+    drop(sets, large)
+    return out
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Links ``a > b`` of ids, and their components (``node``, ``component``: the least id).
+
+    Every link joins two texts whose sets of ``words``-word shingles have this
+    Jaccard similarity or more. Candidates are all pairs that are within two bits
+    in one of the tables of short fingerprints (:func:`recall`) and whose
+    sketches of three-word shingles are close enough. None of their connections
+    is lost:
+
+    1. in every variant, and among the documents of one fingerprint, each member
+       is paired with the one of the least id; close sketches make groups;
+    2. variants that still hold several groups have all pairs across them
+       compared by their sketches, and what is close joins its groups;
+    3. inside the groups, which now hold both ends of every candidate, the
+       shingle sets themselves are compared.
+
+    So a group of copies costs a row per member and variant, never all pairs.
+    Ids that are null or that several rows share take no part.
+    """
+    found = materialize(_sketched(docs, id_col, text_col), "near-sketches")
+    once = found.groupBy("doc_id").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in found.columns[1:]]).where("c = 1").drop("c")
+    once = materialize(once, "near-once")
+    drop(found)
+    rows = once.select("doc_id", F.explode(F.array(*_table_columns(TABLE_BITS))).alias("fp"))
+    prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c")), "near-prints")
+    repeated = prints.where("c > 1")
+    variants = shared_variants(prints.select("fp")).union(repeated.select(F.col("fp").alias("v"), "fp")).distinct()
+    variants = materialize(variants, "near-variants")
+    # a variant has few fingerprints, so its window is small
+    hub = F.min("first_id").over(Window.partitionBy("v"))
+    stars = variants.join(prints.select("fp", "first_id"), "fp").select(F.col("first_id").alias("a"), hub.alias("b"))
+    stars = stars.union(rows.join(repeated, "fp").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
+    near = materialize(_alike(stars.where("a > b").distinct(), once, similarity), "near-pairs")
+    groups = connected_components(near)
+
+    members = variants.join(rows, "fp").select("v", "doc_id").distinct()
+    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = materialize(named, "near-members")
+    mixed = named.groupBy("v").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 2 and lo < hi").select("v")
+    open_ = materialize(named.join(mixed, "v"), "near-open")
+    if not open_.isEmpty():
+        full = open_.join(once, "doc_id")
+        one, two = (full.select("v", F.col("doc_id").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(f"s{k}").alias(f"{x}s{k}") for k in range(SKETCHES)]) for x in "ab")
+        across = one.join(two, (one["v"] == two["v"]) & (one["a"] > two["b"]) & (one["ac"] != two["bc"]) & _close("a", "b", similarity)).select("a", "b").distinct()
+        more = materialize(across, "near-pairs")
+        if not more.isEmpty():
+            both = materialize(near.union(more), "near-pairs")
+            drop(near, groups)
+            near, groups = both, connected_components(both)
+        drop(more)
+    drop(near, once, prints, variants, named, open_)
+    links = _verified(docs, groups, id_col, text_col, words, similarity)
+    drop(groups)
+    return links, connected_components(links)
+
+
 def keep_dissimilar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` but for those that verified pairs join to a smaller id: one document of each group stays."""
-    pairs = similar_pairs(docs, id_col, text_col, words, similarity)
-    gone = materialize(connected_components(pairs).where("node <> component").select(F.col("node").alias("gone_id_")), "near-gone")
-    drop(pairs)
+    """The rows of ``docs`` but for those that verified links join to a smaller id: one document of each group stays."""
+    links, groups = similar_links(docs, id_col, text_col, words, similarity)
+    gone = materialize(groups.where("node <> component").select(F.col("node").alias("gone_id_")), "near-gone")
+    drop(links, groups)
     other = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(other, docs[id_col].cast("long") == other["gone_id_"], "left_anti").select(*docs.columns)

@@ -373,6 +373,22 @@ def test_trees_learn(spark):
     assert np.mean([found[i + 1000] == ("block" if bad else "allow") for i, _, bad in rows]) > 0.95
 
 
+def test_url_suffix_shares_leave_out_the_own_fold(spark):
+    """A suffix per URL with labels by chance: in-sample shares would tell the label, and out-of-fold ones can't."""
+    rng = np.random.default_rng(1)
+    rows = [(i, f"http://h{i}.z{i % 200}/{'block' if rng.random() < 0.5 else 'allow'}/") for i in range(2000)]
+    rules = [urls.Rule.parse(v, f"z{k}/{v}/") for k in range(200) for v in ("allow", "block")]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = urls._labelled(urls.lexical(urls.judged(frame, rules)))
+    own = {r["page_id"]: r for r in labelled.withColumn("fold", urls._fold()).collect()}
+    tables = [urls._suffix_counts(labelled, key) for key in ("suffix", "domain")]
+    for r in urls._with_shares(labelled, tables, 0.5, True).collect():
+        others = [x["y"] for x in own.values() if x["suffix"] == r["suffix"] and x["fold"] != own[r["page_id"]]["fold"]]
+        assert abs(r["suffix_blocked"] - (sum(others) + 10) / (len(others) + 20)) < 1e-12
+    loss = urls.held_out_loss(frame.withColumn("url", F.replace("url", F.lit("block"), F.lit("allow1"))), [urls.Rule.parse("block", f"z{k}/allow1/") for k in range(200)] + [urls.Rule.parse("allow", f"z{k}/allow/") for k in range(200)]).first()
+    assert loss["urls"] > 300 and loss["log_loss"] < loss["base_log_loss"]  # the length tells
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
@@ -400,7 +416,7 @@ def brute_groups(sets, similarity):
     return {i: root(i) for i in sets}
 
 
-def test_similar_pairs(spark, docs, empty):
+def test_similar_links(spark, docs, empty):
     rng, texts = np.random.default_rng(7), []
     for k in range(60):
         words = [f"v{x}" for x in rng.integers(0, 900, int(rng.integers(60, 700)))]
@@ -409,12 +425,12 @@ def test_similar_pairs(spark, docs, empty):
             changed = [f"u{rng.integers(0, 900)}" if rng.random() < share else w for w in words]
             texts.append((10 * k + 1 + c, " ".join(changed)))
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, h string, s0 int")
-    found = {(r["a"], r["b"]) for r in simhash.similar_pairs(frame).collect()}
+    found = {(r["a"], r["b"]) for r in simhash.similar_links(frame)[0].collect()}
     sets = {i: brute_shingles(t, 5) for i, t in texts}
     true = {(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert found <= true
     group, reached = brute_groups(sets, 0.8), {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(sorted(found), "a long, b long")).collect()}
-    assert sum(reached.get(i, i) == group[i] for i in sets) >= 0.9 * len(sets)
+    assert sum(reached.get(i, i) == group[i] for i in sets) >= 0.97 * len(sets)
     kept = simhash.keep_dissimilar(docs)
     assert kept.columns == docs.columns
     ids = collections.Counter(r["doc_id"] for r in kept.collect())
@@ -439,7 +455,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     group = brute_groups(sets, 0.8)
     lost = set(kept) - set(packed.doc_id)
     # what goes is a copy of what stays; few copies are missed, and no other document goes
-    assert lost <= {i for i in kept if group[i] != i} and len(lost) >= 0.85 * sum(group[i] != i for i in kept)
+    assert lost <= {i for i in kept if group[i] != i} and len(lost) >= 0.95 * sum(group[i] != i for i in kept)
     assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(ids_of(rows[i])) + 1 for i in kept if i not in lost}
     assert packed.groupby("sequence_id").length.sum().max() <= 4096
     for name, stage in corpus_pipeline.STAGES[:-1]:
