@@ -3,9 +3,11 @@
 Small data (both groups within the kernel limit) are broadcast once and every
 replication resamples, compresses repeated rows to frequencies, refits and
 marginalises in its task. Data on executors are resampled where they lie: the
-counts of a group split over its partitions as one multinomial, then inside each
-partition as another, which together are the multinomial of the whole group.
-Every random number comes from (seed, replication, attempt), never from a task.
+counts of a group split over buckets of its rows as one multinomial, then inside
+each bucket as another, which together are the multinomial of the whole group.
+Every random number comes from (seed, replication, attempt) and the rows'
+content, never from a task or a partition; which of the two paths runs is part
+of a run's signature.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import json
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -29,6 +32,7 @@ from countershift.functions.linalg import common_columns, triangular
 from countershift.operators import qrkernel
 from countershift.operators.blocks import Block, LocalBlocks, SparkBlocks
 from countershift.operators.models import Fit
+from countershift.operators.qr import fit_process
 from countershift.plans.decompose import Point, estimate_point, evaluate
 from countershift.schemas import EFFECTS
 
@@ -36,6 +40,10 @@ from countershift.schemas import EFFECTS
 FREE = ("alpha", "robust_se", "crossing_diagnostics", "crossing_tolerance", "bootstrap_progress", "weighted_bootstrap", "grid", "full_grid", "kernel_max_mb")
 
 
+#: Replications of data on executors that run at a time.
+SIDE_BY_SIDE = 4
+
+
 @dataclass
 class Bootstrap:
     draws: dict[str, np.ndarray]
@@ -162,49 +170,126 @@ def _onestep(blocks: LocalBlocks, fit: Fit) -> Fit:
 # ---- rows on executors -----------------------------------------------------------------------
 
 
-def resample_frame(blocks: SparkBlocks, scheme: str, seed: int, group: int) -> SparkBlocks:
-    """A resample of rows where they lie, compressed; exact in law for the whole group."""
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    frame, names = blocks.frame.select(*blocks.names), blocks.names
-
-    def chances(batches, scheme=scheme):
-        part, total, n = TaskContext.get().partitionId(), 0.0, 0
-        rng = np.random.default_rng([seed, group, part])
-        for batch in batches:
-            n += batch.num_rows
-            total += float(rng.exponential(size=batch.num_rows).sum()) if scheme == "counterfactual" else batch.num_rows
-        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total]), pa.array([n], pa.int64())], names=["part", "total", "n"])
-
-    shares: dict[int, int] = {}
-    if scheme != "multiplier":
-        parts = sorted(frame.mapInArrow(chances, "part int, total double, n long").collect())
-        totals = np.array([r["total"] for r in parts])
-        drawn = np.random.default_rng([seed, group, 2**20]).multinomial(sum(r["n"] for r in parts), totals / totals.sum())
-        shares = {r["part"]: int(k) for r, k in zip(parts, drawn)}
-
-    def draw(batches, scheme=scheme, shares=shares):
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, group, part])
-        held = list(batches)
-        chance = [rng.exponential(size=b.num_rows) if scheme != "empirical" else np.ones(b.num_rows) for b in held]
-        if scheme == "multiplier":
-            counts = chance
-        else:
-            joint = np.concatenate(chance) if chance else np.empty(0)
-            all_counts = np.random.default_rng([seed, group, part, 1]).multinomial(shares.get(part, 0), joint / joint.sum()) if len(joint) else joint
-            counts = np.split(all_counts.astype(float), np.cumsum([b.num_rows for b in held])[:-1]) if held else []
-        for b, c in zip(held, counts):
-            keep = np.flatnonzero(c > 0)
-            columns = {n: np.asarray(b.column(n).to_numpy(zero_copy_only=False), float)[keep] for n in names}
-            columns["w"] = columns["w"] * c[keep]
-            columns["freq"] = np.ones(len(keep)) if scheme == "multiplier" else c[keep]
-            yield pa.record_batch([pa.array(columns[n]) for n in names], names=names)
+#: Distinct rows of a bucket, about; a task holds one at a time.
+BUCKET_ROWS = 50_000
+
+
+class StableRows:
+    """A group's distinct rows in buckets by their content, from which resamples are drawn where the rows lie.
+
+    Equal rows are one with a count, so rows that repeat often weigh nothing; a
+    bucket's random numbers come from (seed, group, bucket) in the order of the
+    rows' content. So neither partitions nor tasks change a draw.
+    """
+
+    def __init__(self, blocks: SparkBlocks, group: int):
+        self.blocks, self.group = blocks, group
+        keys = [n for n in blocks.names if n != "freq"]
+        # zeros of either sign are one content
+        rows = blocks.frame.select(*[(F.col(n) + F.lit(0.0)).alias(n) for n in keys], "freq").groupBy(*keys).agg(F.sum("freq").alias("freq"))
+        self.buckets = max(8, -(-blocks.rows // BUCKET_ROWS))
+        placed = rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int"))
+        self.frame = placed.repartition(min(self.buckets, 4096), "bucket_").sortWithinPartitions("bucket_", *keys).select("bucket_", *blocks.names).persist()
+
+    def release(self) -> None:
+        self.frame.unpersist()
+
+    def resample(self, scheme: str, seed: int) -> SparkBlocks:
+        """A resample, compressed; exact in law for the whole group."""
+        import pyarrow as pa
+
+        names, group = self.blocks.names, self.group
+
+        def buckets(batches):
+            held, now = [], None
+            for batch in batches:
+                numbers = batch.column(0).to_numpy()
+                columns = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns[1:]]) if len(numbers) else np.empty((0, len(names)))
+                for part in np.split(np.arange(len(numbers)), np.flatnonzero(np.diff(numbers)) + 1):
+                    if not len(part):
+                        continue
+                    if numbers[part[0]] != now:
+                        if held:
+                            yield now, np.concatenate(held)
+                        held, now = [], int(numbers[part[0]])
+                    held.append(columns[part])
+            if held:
+                yield now, np.concatenate(held)
+
+        at = names.index("freq")
+
+        def chance(bucket: int, rows: np.ndarray) -> np.ndarray:
+            # a row that stands m times has the sum of m exponential chances
+            return rows[:, at] if scheme == "empirical" else np.random.default_rng([seed, group, bucket]).gamma(rows[:, at])
+
+        def totals(batches):
+            for bucket, rows in buckets(batches):
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([float(chance(bucket, rows).sum())])], names=["bucket", "total"])
+
+        shares: dict[int, int] = {}
+        if scheme != "multiplier":
+            parts = sorted(tuple(r) for r in self.frame.mapInArrow(totals, "bucket int, total double").collect())
+            weights = np.array([t for _, t in parts])
+            drawn = np.random.default_rng([seed, group, 2**20]).multinomial(int(self.blocks.total), weights / weights.sum())
+            shares = {bucket: int(k) for (bucket, _), k in zip(parts, drawn)}
+
+        def draw(batches):
+            for bucket, rows in buckets(batches):
+                own = chance(bucket, rows)
+                counts = own if scheme == "multiplier" else np.random.default_rng([seed, group, bucket, 1]).multinomial(shares[bucket], own / own.sum()).astype(float)
+                keep = np.flatnonzero(counts > 0)
+                columns = {n: rows[keep, k] for k, n in enumerate(names)}
+                if scheme == "multiplier":
+                    # weights are those of all equal rows together, which stay as many
+                    columns["w"] = columns["w"] * counts[keep] / columns["freq"]
+                else:
+                    columns["w"], columns["freq"] = columns["w"] * counts[keep], counts[keep]
+                yield pa.record_batch([pa.array(columns[n]) for n in names], names=names)
+
+        out = self.frame.mapInArrow(draw, ", ".join(f"{n} double" for n in names)).persist()
+        rows, total = out.agg(F.count("*"), F.sum("freq")).first()
+        return SparkBlocks(out, self.blocks.width, rows, float(total), self.blocks.transform)
 
-    out = frame.mapInArrow(draw, ", ".join(f"{n} double" for n in names)).persist()
-    rows, total = out.agg(F.count("*"), F.sum("freq")).first()
-    return SparkBlocks(out, blocks.width, rows, float(total), blocks.transform)
+
+def resample_frame(blocks: SparkBlocks, scheme: str, seed: int, group: int) -> SparkBlocks:
+    """One resample of a group on executors."""
+    rows = StableRows(blocks, group)
+    try:
+        return rows.resample(scheme, seed)
+    finally:
+        rows.release()
+
+
+def _full_rank(drawn: tuple) -> tuple:
+    """Columns that a resample makes collinear go, as they do for groups in memory."""
+    factors = []
+    for g in drawn:
+        largest = g.reduce(lambda b: np.abs(b.x).max(axis=0, initial=0.0), np.maximum)
+        scale = np.where(largest > 0, largest, 1.0)
+        factors.append(g.reduce(lambda b, s=scale: triangular(b.x / s), lambda a, b: triangular(np.vstack([a, b]))))
+    keep = common_columns(*factors)
+    return drawn if len(keep) == drawn[0].p else tuple(g.design(np.eye(g.p)[:, keep]) for g in drawn)
+
+
+def _onestep_passes(blocks, fit: Fit, control: Control) -> Fit:
+    """As :func:`_onestep`, with scores summed where the rows lie: a pass moves one quantile up and one down from the middle."""
+    taus, out = np.asarray(fit.grid), np.empty_like(fit.coefficients)
+    start = int(np.argmin(np.abs(taus - 0.5)))
+    total, inverses = blocks.reduce(lambda b: b.w.sum()), fit.info["inverses"]
+    exact = lambda k: fit_process(blocks, [taus[k]], "pfn", control).coefficients[:, 0]
+    out[:, start] = exact(start)
+    for distance in range(1, len(taus)):
+        sides = [(k, k - s) for k, s in ((start + distance, 1), (start - distance, -1)) if 0 <= k < len(taus)]
+        fast = [(k, before) for k, before in sides if k in inverses]
+        if fast:
+            previous, level = out[:, [before for _, before in fast]], taus[[k for k, _ in fast]]
+            scores = blocks.reduce(lambda b, c=previous, t=level: b.x.T @ (b.w[:, None] * (t - (b.y[:, None] <= b.x @ c)))) / total
+            for (k, before), score in zip(fast, scores.T):
+                out[:, k] = out[:, before] + inverses[k] @ score
+        for k, _ in sides:
+            if k not in inverses:
+                out[:, k] = exact(k)
+    return Fit("qr", fit.grid, out, info={"solver": "onestep"})
 
 
 # ---- the loop --------------------------------------------------------------------------------
@@ -225,7 +310,8 @@ def signature(prepared, model, solver, control: Control, engine: str, seed: int,
 
         content.append(g.reduce(digest).tolist())
     settings = {f.name: getattr(control, f.name) for f in fields(control) if f.name not in FREE}
-    identity = [content, prepared.columns, model, solver, engine, seed, formula, settings, registry.active_fingerprint(solver or "", control.linear_backend, control.dr_backend), np.__version__, 1]
+    path = "memory" if all(isinstance(g, LocalBlocks) for g in prepared.groups) else "executors"
+    identity = [path, content, prepared.columns, model, solver, engine, seed, formula, settings, registry.active_fingerprint(solver or "", control.linear_backend, control.dr_backend), np.__version__, 2]
     return hashlib.sha256(json.dumps(identity, sort_keys=True, default=str).encode()).hexdigest()[:32]
 
 
@@ -325,14 +411,33 @@ def _run_small(groups, point, model, solver, control, engine, seed, missing, spa
 
 
 def _run_large(groups, point, model, solver, control, engine, seed, missing, spark):
-    for r in missing:
-        def one(attempt, r=r):
-            s = attempt_seed(seed, r, attempt)
-            drawn = tuple(resample_frame(b, control.bootstrap_scheme, s, g) for g, b in enumerate(groups))
+    """Replications of groups on executors, ``SIDE_BY_SIDE`` at a time.
+
+    The exact engines are one here: the distributed fit keeps rows near its
+    pilot and sums the others, as the XY engine does.
+    """
+    if not missing:
+        return
+    rows = [StableRows(b, g) for g, b in enumerate(groups)]
+
+    def one(r: int) -> dict:
+        def attempt(number: int):
+            s = attempt_seed(seed, r, number)
+            drawn = tuple(x.resample(control.bootstrap_scheme, s) for x in rows)
             try:
-                return estimate_point(drawn, model, solver, control, with_observed=False).effects
+                if engine == "onestep":
+                    fits = tuple(_onestep_passes(b, fit, control) for b, fit in zip(drawn, point.fits))
+                    return evaluate(drawn, fits, model, control, with_observed=False)[0]
+                return estimate_point(_full_rank(drawn), model, solver, control, with_observed=False).effects
             finally:
                 for d in drawn:
                     d.frame.unpersist()
 
-        yield _attempts(one, r, control.bootstrap_max_retries)
+        return _attempts(attempt, r, control.bootstrap_max_retries)
+
+    try:
+        with ThreadPoolExecutor(min(SIDE_BY_SIDE, len(missing))) as pool:
+            yield from (f.result() for f in as_completed([pool.submit(one, r) for r in missing]))
+    finally:
+        for x in rows:
+            x.release()

@@ -143,6 +143,45 @@ def test_distributed_resample(data):
     p.release()
 
 
+def test_distributed_draws_do_not_depend_on_the_layout(data):
+    sums = []
+    for n in (2, 7):
+        p = prepare("y ~ x1", data.union(data).repartition(n), "group", "weight", kernel_max_mb=1e-6)
+        for scheme in ("counterfactual", "empirical", "multiplier"):
+            drawn = resample_frame(p.groups[1], scheme, 9, 1)
+            sums.append((n, scheme, drawn.total, *drawn.frame.agg(F.round(F.sum("w"), 9), F.round(F.sum(F.col("w") * F.col("y")), 7), F.sum("freq")).first()))
+        p.release()
+    assert [x[1:] for x in sums[:3]] == [x[1:] for x in sums[3:]]
+
+
+def test_distributed_bootstrap_resumes_on_another_layout(data, tmp_path):
+    make = lambda frame, **more: decompose("y ~ x1", frame, "group", "weight", "loc", control=Control(nreg=6, kernel_max_mb=more.pop("mb", 1e-6)), checkpoint_dir=str(tmp_path), **more)
+    two = make(data.repartition(3), bootstrap_reps=2)
+    three = make(data.repartition(5), bootstrap_reps=3)
+    np.testing.assert_allclose(three.draws["total"][:2], two.draws["total"])
+    assert three.metadata["bootstrap_signature"] == two.metadata["bootstrap_signature"]
+    assert make(data, bootstrap_reps=2, mb=64).metadata["bootstrap_signature"] != two.metadata["bootstrap_signature"]
+
+
+def test_distributed_engines_equal_those_in_memory(data):
+    """The same resample refitted by each engine on executors and in memory."""
+    from countershift.operators.blocks import LocalBlocks
+    from countershift.operators.qr import fit_process
+    from countershift.plans import bootstrap
+
+    p = prepare("y ~ x1", data, "group", "weight", kernel_max_mb=1e-6)
+    taus = [0.42, 0.46, 0.5, 0.54, 0.58]
+    point = fit_process(p.groups[0], taus, "onestep", Control())
+    drawn = resample_frame(p.groups[0], "counterfactual", 3, 0)
+    x, y, w, freq = drawn.gather(lambda b: (b.x, b.y, b.w, b.freq))
+    local = LocalBlocks(x, y, w, freq, np.zeros(len(y)), np.ones(len(y)))
+    np.testing.assert_allclose(bootstrap._onestep_passes(drawn, point, Control()).coefficients, bootstrap._onestep(local, point).coefficients, atol=1e-6)
+    np.testing.assert_allclose(fit_process(drawn, taus, "pfn").coefficients, bootstrap._xy(local, point).coefficients, atol=1e-6)
+    out = decompose("y ~ x1", data, "group", "weight", "qr", "onestep", control=Control(nreg=25, kernel_max_mb=1e-6, qr_bootstrap_engine="onestep"), bootstrap_reps=2)
+    assert out.metadata["bootstrap_engine"] == "onestep" and np.isfinite(out.draws["total"]).all()
+    p.release()
+
+
 def test_tables_files_and_plot(spark, data, tmp_path):
     out = decompose("y ~ x1 + x2", data, "group", "weight", "qr", control=Control(nreg=10, quantile_noncrossing="rearrange"), bootstrap_reps=3)
     table = result.decomposition_table(spark, out)
