@@ -6,21 +6,22 @@ over words, whose base is uniform over the training words and one unknown word.
 Customers of a context restaurant are training tokens; each of its tables sends
 one customer to the parent. The sampler draws how many tables serve each
 (context, word): up to ``EXACT`` customers from the exact conditional
-(generalised Stirling numbers), beyond by seating them again one after another,
-in growing groups. After the first sweeps the restaurants' totals are refreshed
+(generalised Stirling numbers by recursion), beyond from the same weights by
+expansions that tests hold against the recursion. After the first sweeps the restaurants' totals are refreshed
 from all words; then predictive probabilities are averaged over further sweeps,
 and their log10 summed over a text.
 
 Execution. One pass turns documents into blocks: for each block and each of
 ``n_parts`` ranges of word hashes one compact row with (word, context) pairs and
-document numbers. One shuffle by range brings a range's rows together, and they
-stay there. What a range needs of others are totals by context: it sends its
+document numbers. One shuffle by range writes them to a bucketed table in the
+shared folder, where every later pass finds a range's rows together. What a range needs of others are totals by context: it sends its
 own to the range of the context's hash, where they are added, and gets the sums
 back for the contexts it holds. Nothing that grows with the corpus passes
 through the driver.
 
 Words with over a thousandth of a sample's tokens, and the end token, are *hot*:
-at most ``MAX_HOT``. Their pairs are spread over all ranges, and their customers
+at most ``MAX_HOT``. The sample is drawn by the rows' hashes, so neither the
+number nor the order of the input's partitions changes a score. Their pairs are spread over all ranges, and their customers
 at the parent are totals that every range gets. Hot pairs (at most ``MAX_HOT``)
 are counted before they leave a task. Which words and pairs are hot changes the
 place of work, not the counts.
@@ -33,6 +34,7 @@ is zero; an empty table gives no rows. Further columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 
@@ -40,21 +42,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countershift.llm.langid import fold
-from countershift.llm.shared import default_partitions, drop, materialize
+from countershift.llm.shared import bucketed, drop, materialize
 from countershift.llm.text import blocks, release_memory
 
 #: Contexts of a :class:`Seating` unless it is given their number.
 CONTEXTS = 64
 MAX_HOT = 1000
+#: Files of the table of ranges; beyond, a file holds several ranges.
+MAX_BUCKETS = 50_000
+#: Slices of the documents (by their ids' hashes) that are shuffled one after the other.
+SLICES = 4
 #: Tokens and documents that close a block, and tokens of a range of words, which is what a task holds in arrays at a time.
-BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 600_000, 60_000, 1_500_000
-#: Customers of one dish up to which the exact conditional is drawn from.
-EXACT = 40
+BLOCK_TOKENS, BLOCK_DOCS, PART_TOKENS = 2_000_000, 60_000, 3_000_000
+#: One document of so many, chosen by the hash of its id and text, tells the hot words and the number of ranges.
+SAMPLED = 50
+#: Customers of one dish up to which the Stirling numbers come from their recursion.
+EXACT = 1000
 CONCENTRATION = 1.0
 SMOOTHING = 0.1
 #: The end token as a word, and the opening of a text as a context.
@@ -118,6 +126,11 @@ def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def _steps(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes as differences, which take fewer bytes; ``np.cumsum`` gives them back."""
+    return np.diff(hashes, prepend=np.uint64(0))
+
+
 class _Block:
     def __init__(self, hot: Hot, n_parts: int):
         self.hot, self.n_parts = hot, n_parts
@@ -148,10 +161,14 @@ class _Block:
         """(part, block, payload): a row per range of words, and one of the documents (part: n_parts + ...)."""
         lengths, held = np.array(self.lengths, np.int64), np.array(self.held, bool)
         hashes = _hash(self.numbers)
-        token = np.concatenate(self.tokens).astype(np.int64)
-        doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        # words are numbered by their hashes from here on
+        by = np.argsort(hashes)
+        hashes, rank = hashes[by], np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        token = rank[np.concatenate(self.tokens)]
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
         # the token before the first one of a text is the end of the text before
-        context = np.concatenate(([self.edge], token[:-1]))
+        context = np.concatenate(([rank[self.edge]], token[:-1]))
         pairs, kind = np.unique(token * len(hashes) + context, return_inverse=True)
         word, context = np.divmod(pairs, len(hashes))
         pair_hashes = _pair_hash(hashes[word], hashes[context])
@@ -187,12 +204,14 @@ class _Block:
             words, w = np.unique(word[used], return_inverse=True)
             contexts, c = np.unique(context[used], return_inverse=True)
             # pairs are sorted by word, most stand once, and most of them in training
-            yield p, block, _pack(hashes[words], hashes[contexts], np.diff(w, prepend=0).astype(np.uint32), c.astype(np.uint32), counts[used], counts[used] - customers[used], doc[token_at[a] : token_at[b]])
+            yield p, block, _pack(_steps(hashes[words]), _steps(hashes[contexts]), np.diff(w, prepend=0).astype(np.uint32), c.astype(np.uint32), counts[used], counts[used] - customers[used], doc[token_at[a] : token_at[b]])
+
 
+def _blocked(rows: DataFrame, hot: Hot, n_parts: int, k: int) -> DataFrame:
+    """Blocks of the rows, which are slice ``k`` of all: part, block, payload."""
 
-def _blocked(rows: DataFrame, hot: Hot, n_parts: int) -> DataFrame:
     def run(batches):
-        now, number = _Block(hot, n_parts), TaskContext.get().partitionId() << 24
+        now, number = _Block(hot, n_parts), (k << 48) + (TaskContext.get().partitionId() << 24)
         for batch in batches:
             for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 now.add(doc_id, held_out, text.as_py() or b"")
@@ -214,8 +233,12 @@ def _payloads(rows) -> pa.RecordBatch:
     return pa.record_batch([pa.array(parts, pa.int32()), pa.array(numbers, pa.int64()), pa.array(payloads, pa.binary())], names=["part", "block", "payload"])
 
 
-def _hot_words(rows: DataFrame, fraction: float, seed: int) -> tuple[Hot, float]:
-    """Frequent words and pairs of a sample, and the sample's tokens. Only a decision about where work is done."""
+def _hot_words(rows: DataFrame) -> tuple[Hot, float]:
+    """Frequent words and pairs of a sample, and the sample's tokens. Only a decision about where work is done.
+
+    The sample and its partitions follow from the rows' hashes, so that the same
+    rows give the same decision however they are laid out.
+    """
 
     def run(batches):
         counts: dict[tuple, int] = {}
@@ -229,8 +252,6 @@ def _hot_words(rows: DataFrame, fraction: float, seed: int) -> tuple[Hot, float]
                         counts[w, last] = counts.get((w, last), 0) + 1
                         last = w
                         total += 1
-                if len(counts) > 500_000:  # rare words can't become frequent in one task's share
-                    counts = {w: n for w, n in counts.items() if n > 1 and n * 4 * MAX_HOT > total}
         frequent = [(w, n) for w, n in counts.items() if n * 4 * MAX_HOT > total]
         words = _hash([w for (w, _), _ in frequent]).view(np.int64)
         contexts = [None if c is None else int(_hash([c]).view(np.int64)[0]) for (_, c), _ in frequent]
@@ -238,14 +259,17 @@ def _hot_words(rows: DataFrame, fraction: float, seed: int) -> tuple[Hot, float]
         columns = [pa.array(np.append(words, 0)), pa.array([*contexts, None], pa.int64()), pa.array([*n, 0], pa.int64()), pa.array([0] * len(n) + [total], pa.int64())]
         yield pa.record_batch(columns, names=["word", "context", "n", "total"])
 
-    found = rows.sample(fraction, seed).select("text").mapInArrow(run, "word long, context long, n long, total long").groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    found = found.persist()
+    h = F.xxhash64("doc_id", "text")
+    sample = materialize(rows.where(F.pmod(h, F.lit(SAMPLED)) == 0).select("text", h.alias("h")), "lm-sample")
+    parts = max(8, -(-sample.count() // 2000))
+    dealt = sample.repartition(parts, F.hash("h")).select("text")
+    found = materialize(dealt.mapInArrow(run, "word long, context long, n long, total long").groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "lm-frequent")
     total = found.agg(F.sum("total")).first()[0] or 0
     frequent = found.where(F.col("n") * MAX_HOT > total).orderBy(F.col("n").desc(), "word", "context")
     unsigned = lambda x: x % (1 << 64)
     words = [unsigned(r["word"]) for r in frequent.where("context is null").limit(MAX_HOT).collect()] if total else []
     pairs = [(unsigned(r["word"]), unsigned(r["context"])) for r in frequent.where("context is not null").limit(MAX_HOT).collect()] if total else []
-    found.unpersist()
+    drop(sample, found)
     return Hot(np.array(words, np.uint64), pairs), float(total)
 
 
@@ -304,7 +328,7 @@ class Seating:
             others = np.maximum(self.parent[w] - t, 0)
             other_tables = np.minimum(self.parent_tables[w], others)
             p = model.parent_probability(others, other_tables, total)
-            self.tables[many] = draw_tables(self.customers[many], np.maximum(tables[u] - t, 0), p, model.discount, rng)
+            self.tables[many] = draw_tables(self.customers[many], np.maximum(tables[u] - t, 0), p, model.discount, rng, t)
         self.parent = self._parent()
         settled = np.minimum(np.maximum(self.parent_tables, self.parent > 0), self.parent)
         self.parent_tables = np.where(self.own, settled, self.parent_tables)
@@ -312,7 +336,7 @@ class Seating:
         if len(many):
             t = self.parent_tables[many]
             rest = np.maximum(total[2 * self.n_contexts] - t, 0)
-            self.parent_tables[many] = draw_tables(self.parent[many], rest, np.full(len(many), model.base), model.parent_discount, rng)
+            self.parent_tables[many] = draw_tables(self.parent[many], rest, np.full(len(many), model.base), model.parent_discount, rng, t)
 
     def probability(self, all_totals: np.ndarray, own_before: np.ndarray, model: Model) -> np.ndarray:
         """Predictive probability of each (word, context)."""
@@ -343,6 +367,7 @@ class Model:
         return np.log10((counts + SMOOTHING) / (self.tokens + SMOOTHING * (self.words + 1)))
 
 
+@functools.lru_cache(maxsize=4)
 def log_stirling(discount: float) -> np.ndarray:
     """log of the generalised Stirling numbers S(n, t) up to ``EXACT``."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -355,8 +380,110 @@ def log_stirling(discount: float) -> np.ndarray:
     return out
 
 
-def draw_tables(customers: np.ndarray, other_tables: np.ndarray, p: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables for dishes of ``customers`` (2 at least) where the restaurant has ``other_tables`` and the parent gives ``p``."""
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for positive numbers: Stirling's series, for small ones ten steps up."""
+    x = np.asarray(x, float)
+    small = x < 10
+    y = np.where(small, x + 10.0, x)
+    inverse = 1 / y
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + inverse * (1 / 12 - inverse * inverse * (1 / 360 - inverse * inverse / 1260))
+    if small.any():
+        out[small] -= np.log(np.multiply.reduce([x[small] + k for k in range(10)]))
+    return out
+
+
+def log_stirling_large(discount: float, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log of the generalised Stirling numbers for large n.
+
+    Where t is small beside n ** discount their alternating sum converges within
+    few terms; elsewhere they are coefficients of a power of a series, whose
+    saddle point gives them to a few thousandths.
+    """
+    n, t = np.broadcast_arrays(np.asarray(n, float), np.asarray(t, float))
+    out = np.empty(n.shape)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        # up to there the sum's terms stay under exp(8), so that little is lost when they cancel
+        rest = 1 - discount
+        few = t <= min(6.0, math.exp(rest * (1 + math.log(8 / rest)))) * n**discount
+        a, k = n[few], t[few]
+        all_ = _log_gamma(a)
+        total, choose = np.zeros(len(a)), np.zeros(len(a))
+        for j in range(1, 400 if len(a) else 1):
+            choose = choose + np.log(np.maximum(k - j + 1, 0) / j)
+            # 1 / gamma(-x) by reflection
+            size = choose + _log_gamma(np.maximum(a - j * discount, 1)) - all_ + math.lgamma(1 + j * discount)
+            total += (-1) ** (j + 1) * math.sin(math.pi * j * discount) / math.pi * np.exp(size)
+            if size.max() < -40:
+                break
+        out[few] = np.log(np.maximum(total, 1e-300)) + all_ - k * math.log(discount) - _log_gamma(k + 1)
+        a, k = n[~few], t[~few]
+        low, high = np.full(len(a), -21.0), np.full(len(a), 4.0)
+        for _ in range(18):
+            mid = (low + high) / 2
+            y = np.exp(mid)
+            x, g = -np.expm1(-y), -np.expm1(-discount * y) / discount
+            slope = x * np.exp((1 - discount) * y) / g
+            below = slope * k < a
+            low, high = np.where(below, mid, low), np.where(below, high, mid)
+        m = a - k
+        bend = k * slope * (1 + (1 - discount) * x * np.exp(y) - slope)
+        value = k * np.log(g / x) - m * np.log(x) - 0.5 * np.log(2 * math.pi * np.maximum(bend, 1e-300))
+        # near t = n the rest is a factorial, whose Stirling formula is made exact
+        f = np.maximum(m, 1)
+        value += 0.5 * np.log(2 * math.pi * f) + f * np.log(f) - f - _log_gamma(f + 1)
+        out[~few] = np.where(m > 0, value, 0.0) + _log_gamma(a + 1) - _log_gamma(k + 1)
+    return out
+
+
+def _draw_large(customers: np.ndarray, other_tables: np.ndarray, p: np.ndarray, discount: float, rng: np.random.Generator, now: np.ndarray) -> np.ndarray:
+    """As :func:`draw_tables` beyond ``EXACT``: the conditional's weights on a grid of table numbers.
+
+    The grid lies around the numbers of ``now``; where it does not hold the
+    weights' whole bulk, it is found by closer and closer grids over all numbers.
+    """
+    n, base = customers[:, None].astype(float), (CONCENTRATION + discount * other_tables[:, None]) / discount
+    step_log = np.log(discount * p)[:, None]
+    at = np.arange(len(customers))
+
+    def weighed(grid: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return grid * step_log[some] + _log_gamma(base[some] + grid) - _log_gamma(base[some]) + log_stirling_large(discount, n[some], grid)
+
+    def bulk(grid: np.ndarray, logs: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
+        inside = logs > logs.max(axis=1, keepdims=True) - depth
+        return inside.argmax(axis=1), grid.shape[1] - 1 - inside[:, ::-1].argmax(axis=1)
+
+    between = lambda low, high, points: np.rint(low[:, None] + (high - low)[:, None] * np.linspace(0, 1, points))
+    reach = 16 + 8 * np.sqrt(now)
+    grid = between(np.maximum(now - reach, 1), np.minimum(now + reach, customers), 96)
+    logs = weighed(grid, at)
+    first, last = bulk(grid, logs, 18)
+    lost = np.flatnonzero(((first == 0) & (grid[:, 0] > 1)) | ((last == 95) & (grid[:, -1] < customers)) | (last - first < 8) & (grid[:, -1] - grid[:, 0] > 95))
+    if len(lost):
+        low, high = np.ones(len(lost)), customers[lost].astype(float)
+        for points in (48, 64, 96):
+            own = np.rint(high[:, None] ** np.linspace(0, 1, points)) if points == 48 else between(low, high, points)
+            found = weighed(own, lost)
+            first, last = bulk(own, found, 30)
+            rows = np.arange(len(lost))
+            low, high = own[rows, np.maximum(first - 1, 0)], own[rows, np.minimum(last + 1, points - 1)]
+        grid[lost], logs[lost] = own, found
+    # a point stands for the numbers up to the middle of its gaps; points that fell together are one
+    new = np.diff(grid, axis=1, prepend=0) > 0
+    edges = np.concatenate([grid[:, :1] - 0.5, (grid[:, 1:] + grid[:, :-1]) / 2, grid[:, -1:] + 0.5], axis=1)
+    weights = np.where(new, np.exp(logs - logs.max(axis=1, keepdims=True)), 0.0)
+    width = np.maximum(np.diff(np.floor(edges), axis=1), 1)
+    weights = (weights * width).cumsum(axis=1)
+    pick = np.minimum((weights < rng.random((len(customers), 1)) * weights[:, -1:]).sum(axis=1), grid.shape[1] - 1)
+    value, wide = grid[at, pick], width[at, pick]
+    return np.clip(value + np.floor((rng.random(len(customers)) - 0.5) * wide + 0.5), 1, customers).astype(np.int64)
+
+
+def draw_tables(customers: np.ndarray, other_tables: np.ndarray, p: np.ndarray, discount: float, rng: np.random.Generator, now: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of tables for dishes of ``customers`` (2 at least) where the restaurant has ``other_tables`` and the parent gives ``p``.
+
+    The conditional's weights come from the numbers' recursion up to ``EXACT``
+    customers, and beyond from their expansions; ``now``, the numbers before, tells where to look for these.
+    """
     out = np.ones(len(customers), np.int64)
     table = log_stirling(discount)
     few = np.flatnonzero(customers <= EXACT)
@@ -369,19 +496,9 @@ def draw_tables(customers: np.ndarray, other_tables: np.ndarray, p: np.ndarray,
             weights = np.cumsum(steps, axis=1) + table[n, 1 : n + 1]
             weights = np.exp(weights - weights.max(axis=1, keepdims=True)).cumsum(axis=1)
             out[at] = 1 + (weights < rng.random((len(at), 1)) * weights[:, -1:]).sum(axis=1)
-    at = np.flatnonzero(customers > EXACT)
-    if len(at):
-        n, others, q, t = customers[at], other_tables[at], p[at], np.ones(len(at))
-        seated = np.ones(len(at))
-        while True:
-            group = np.minimum(np.where(seated < 16, 1, seated // 4), n - seated)
-            if not group.any():
-                break
-            opening = (CONCENTRATION + discount * (others + t)) * q
-            chance = opening / (opening + np.maximum(seated + group / 2 - discount * t, 1e-9))
-            t += rng.binomial(group.astype(np.int64), np.clip(chance, 0, 1))
-            seated += group
-        out[at] = np.minimum(t, n)
+    many = np.flatnonzero(customers > EXACT)
+    for at in np.split(many, range(1024, len(many), 1024)) if len(many) else ():
+        out[at] = _draw_large(customers[at], other_tables[at], p[at], discount, rng, out[at] if now is None else now[at])
     return out
 
 
@@ -392,7 +509,7 @@ class _Part:
         read = []
         for block, payload in sorted(zip(numbers, payloads)):
             words, contexts, step, context, counts, held, doc = _unpack(payload, np.uint64, np.uint64, *[np.uint32] * 4, np.uint16)
-            read.append((block, words, contexts, np.cumsum(step), context, counts, counts - held, doc))
+            read.append((block, np.cumsum(words), np.cumsum(contexts), np.cumsum(step), context, counts, counts - held, doc))
         words, self.contexts = (np.unique(np.concatenate([r[k] for r in read])) for k in (1, 2))
         n = len(self.contexts) + 1  # the last one stands for all contexts that are not here
         keys = np.concatenate([np.searchsorted(words, r[1])[r[3]] * n + np.searchsorted(self.contexts, r[2])[r[4]] for r in read])
@@ -453,48 +570,55 @@ def _range_of(contexts: np.ndarray, n_parts: int) -> np.ndarray:
     return ((contexts >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
 
 
-def _requests(part: int, contexts: np.ndarray, seating: Seating, n_parts: int, shares: np.ndarray) -> pd.DataFrame:
-    """A row per range of contexts with our customers and tables, and one (range -1) with our shares."""
+def _requests(part: int, contexts: np.ndarray, seating: Seating, n_parts: int, shares: np.ndarray, again: bool = False) -> pd.DataFrame:
+    """A row per range of contexts with our contexts, customers and tables - ``again``: the tables alone -, and one (range -1) with our shares."""
     own, n = seating.totals(), seating.n_contexts
     customers, tables = own[: n - 1].astype(np.uint32), own[n : 2 * n - 1].astype(np.uint32)
     cuts = np.searchsorted(_range_of(contexts, n_parts), np.arange(n_parts + 1))
-    rows = [(-1, part, None, shares.tolist())]
+    rows = [(-1, part, again, None, shares.tolist())]
     for r in np.flatnonzero(np.diff(cuts)).tolist():
         at = slice(*cuts[r : r + 2])
-        rows.append((r, part, _pack(contexts[at], customers[at], tables[at]), None))
-    return pd.DataFrame(rows, columns=["range", "part", "payload", "shares"])
+        rows.append((r, part, again, _pack(tables[at]) if again else _pack(_steps(contexts[at]), customers[at], tables[at]), None))
+    return pd.DataFrame(rows, columns=["range", "part", "again", "payload", "shares"])
 
 
-_REQUEST = "range int, part int, payload binary, shares array<double>"
+_REQUEST = "range int, part int, again boolean, payload binary, shares array<double>"
 
 
 def _replies(requests: DataFrame, warm: tuple[np.ndarray, np.ndarray, np.ndarray], n_parts: int, name: str) -> DataFrame:
-    """For each part and each range of contexts the sums over all parts and the hot pairs: part, range, name, payload. Part -1: of the hot pairs."""
+    """For each part and each range of contexts the sums over all parts and the hot pairs, in the order of the part's contexts: part, range, name, payload.
+
+    Part -1: of the hot pairs. Where a part has asked again, its tables are those of then.
+    """
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        place, sent = int(frame["range"].iloc[0]), []
-        for payload in frame["payload"]:
-            sent.append(_unpack(payload, np.uint64, np.uint32, np.uint32))
+        place, sent = int(frame["range"].iloc[0]), {}
+        for part, payload in zip(frame["part"][~frame["again"]], frame["payload"][~frame["again"]]):
+            steps, customers, tables = _unpack(payload, np.uint64, np.uint32, np.uint32)
+            sent[int(part)] = np.cumsum(steps), customers, tables
+        for part, payload in zip(frame["part"][frame["again"]], frame["payload"][frame["again"]]):
+            sent[int(part)] = *sent[int(part)][:2], _unpack(payload, np.uint32)[0]
         here = _range_of(warm[0], n_parts) == place
-        sent.append([x[here] for x in warm])
-        contexts, back = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
-        sums = [np.bincount(back, np.concatenate([x[k] for x in sent]), len(contexts)).astype(np.int64) for k in (1, 2)]
-        parts, out, at = [*frame["part"], -1], [], 0
-        for own in sent:
+        sent[-1] = tuple(x[here] for x in warm)
+        contexts, back = np.unique(np.concatenate([x[0] for x in sent.values()]), return_inverse=True)
+        sums = [np.bincount(back, np.concatenate([x[k] for x in sent.values()]), len(contexts)).astype(np.int64) for k in (1, 2)]
+        out, at = [], 0
+        for own in sent.values():
             mine = back[at : at + len(own[0])]
             at += len(mine)
-            out.append(_pack(contexts[mine], *(x[mine] for x in sums)))
-        return pd.DataFrame({"part": parts, "range": place, "name": name, "payload": out})
+            out.append(_pack(*(x[mine] for x in sums)))
+        return pd.DataFrame({"part": list(sent), "range": place, "name": name, "payload": out})
 
     return requests.where("range >= 0").groupBy("range").applyInPandas(add, "part int, range int, name string, payload binary")
 
 
 def _context_totals(frame: pd.DataFrame, name: str, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Customers and tables of sorted contexts from replies; contexts that no range holds have none."""
-    out = np.zeros((2, len(contexts)))
-    for payload in frame["payload"][frame["name"] == name]:
-        found, customers, tables = _unpack(payload, np.uint64, np.int64, np.int64)
-        out[:, _find(contexts, found)] = customers, tables
+    """Customers and tables of a part's sorted contexts: ranges follow each other as the contexts do."""
+    own = frame[frame["name"] == name].sort_values("range")
+    read = [_unpack(payload, np.int64, np.int64) for payload in own["payload"]]
+    out = [np.concatenate([r[k] for r in read]).astype(np.float64) if read else np.empty(0) for k in (0, 1)]
+    if len(out[0]) != len(contexts):
+        raise RuntimeError("a range of contexts did not answer")
     return out[0], out[1]
 
 
@@ -504,14 +628,13 @@ def _context_totals(frame: pd.DataFrame, name: str, contexts: np.ndarray) -> tup
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, sweeps: int = 2, samples: int = 3, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from rows outside fold 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    fraction = 0.02
-    hot, sampled = _hot_words(rows, fraction, seed)
+    hot, sampled = _hot_words(rows)
     n_hot = len(hot.words)
-    n_parts = max(6, math.ceil(sampled / fraction / PART_TOKENS))
+    n_parts = max(6, math.ceil(sampled * SAMPLED / PART_TOKENS))
     # every pass reads a range where the one shuffle has put it
-    table = _blocked(rows, hot, n_parts).repartition(max(n_parts, default_partitions(docs.sparkSession)), "part").persist(StorageLevel.DISK_ONLY)
-    texts = materialize(table.where(F.col("part") >= n_parts), "lm-texts", row_group_mb=4)
-    words = table.where(F.col("part") < n_parts)
+    slices = [_blocked(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == k), hot, n_parts, k) for k in range(SLICES)]
+    table = bucketed(slices, "lm-ranges", "part", min(MAX_BUCKETS, 2 * n_parts))
+    texts, words = (table.where(F.col("part") >= n_parts), table.where(F.col("part") < n_parts))
 
     hot_counts = _hot_counts(texts, len(hot.pairs))
     hot_contexts, hot_context = np.unique(hot.pair_context, return_inverse=True)
@@ -529,14 +652,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         totals, n = own.totals(), own.n_contexts
         held = (hot_contexts, totals[: n - 1].astype(np.int64), totals[n : 2 * n - 1].astype(np.int64))
         replies = materialize(_replies(requests, held, n_parts, name), f"lm-{name}")
-        # ranges of contexts that only hot pairs have: no part asks, and there is nothing to add
-        mine = replies.where("part = -1").select("name", "payload").toPandas()
-        known = np.zeros(len(hot_contexts), bool)
-        for payload in mine["payload"]:
-            known[_find(hot_contexts, _unpack(payload, np.uint64, np.int64, np.int64)[0])] = True
-        customers, tables = _context_totals(mine, name, hot_contexts)
-        customers, tables = np.where(known, customers, held[1]), np.where(known, tables, held[2])
-        return replies, _sum(requests) + _shares(own, n_hot), customers, tables
+        # where no part asks, only hot pairs have contexts of a range, and there is nothing to add
+        customers, tables = held[1].astype(np.float64), held[2].astype(np.float64)
+        for place, payload in replies.where("part = -1").select("range", "payload").collect():
+            here = _range_of(hot_contexts, n_parts) == place
+            customers[here], tables[here] = _unpack(payload, np.int64, np.int64)
+        return replies, _sum(requests.where(F.col("again") == (name == "second"))) + _shares(own, n_hot), customers, tables
 
     requests = materialize(words.groupBy("part").applyInPandas(begin, _REQUEST), "lm-begin")
     replies, sums, customers, tables = exchanged(requests, warm(), "first")
@@ -545,11 +666,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def settle(frame: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):  # a reply to the hot pairs
-            return pd.DataFrame(columns=["range", "part", "payload", "shares"])
+            return pd.DataFrame(columns=["range", "part", "again", "payload", "shares"])
         part = int(frame["part"].iloc[0])
         p = _Part(frame["block"].tolist(), frame["payload"].tolist(), hot)
         _sampled(p.seating, (part, 0), seed, sweeps, first.of(*_context_totals(got, "first", p.contexts)), around=(first.around,))
-        out = _requests(part, p.contexts, p.seating, n_parts, _shares(p.seating, n_hot))
+        out = _requests(part, p.contexts, p.seating, n_parts, _shares(p.seating, n_hot), again=True)
         release_memory()
         return out
 
@@ -557,7 +678,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settled = materialize(grouped(words).cogroup(grouped(replies)).applyInPandas(settle, _REQUEST), "lm-settled")
     own = warm()
     _sampled(own, (0xFFFF, 0), seed, sweeps, hot_first, around=(first.around,))
-    later, sums, customers, tables = exchanged(settled, own, "second")
+    later, sums, customers, tables = exchanged(requests.union(settled), own, "second")
     model = Model(hot_first)
     second = _Totals(sums, n_hot, first.parent_tables)
     many = np.flatnonzero(second.parent >= 2)
@@ -589,7 +710,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = grouped(words).cogroup(grouped(replies.union(later))).applyInPandas(score, "part int, block long, payload binary")
     sums = materialize(found, "lm-sums")
-    table.unpersist()
     drop(requests, replies, settled, later)
     seen = first.customers[hot_word]
     hot_base, hot_logs, hot_known = model.base_log10(seen), np.log10(hot_probability), seen > 0
@@ -613,7 +733,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = texts.union(sums)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     result = both.groupBy("block").applyInPandas(finish, out)
-    result._tables = (texts, sums)
+    result._tables = (table, sums)
     return result
 
 
@@ -664,6 +784,13 @@ def _sum(requests: DataFrame) -> np.ndarray:
     return out if found else np.zeros(1)
 
 
+def perplexity(scored: DataFrame) -> DataFrame:
+    """One row by ``held_out``: documents, tokens, ``perplexity`` and ``base_perplexity`` (10 to the mean negative log10 of a token)."""
+    tokens = F.sum("n_tokens")
+    mean = lambda c: F.pow(F.lit(10.0), -F.sum(c) / tokens)
+    return scored.groupBy("held_out").agg(F.count("*").alias("documents"), tokens.alias("tokens"), mean("score").alias("perplexity"), mean("base_score").alias("base_perplexity"))
+
+
 def release(scored: DataFrame) -> None:
     """Delete the tables behind a result that is no longer read."""
     drop(*scored._tables)
