@@ -1,19 +1,20 @@
 """Exact duplicates by an extendible-hash index on shared files (DataFrame operations only).
 
 1. One scan writes a *slot* per row to shared Parquet: id, 64-bit key of the
-   normalised text, its length, the original's code points, SHA-256.
+   normalised text, the original's code points, SHA-256.
 2. A directory over the keys' leading bits is built from counts per prefix.
    It starts with one bucket and doubles while a bucket is over its capacity;
    only overfull buckets split. The directory has at most ``2 ** MAX_DEPTH``
-   entries, whatever the input.
-3. Owner tasks take ranges of buckets and chain slots of equal key. What a hot
-   text adds is combined before the shuffle, so an owner gets a row per key
-   and task, never the copies themselves.
-4. Texts whose key is chained more than once are read again and grouped by key
-   *and* bytes: unequal texts of one key part here. Again copies combine
-   before the shuffle.
-5. Slots take the verdict of their chain. Keys with over a thousandth of all
-   slots (a thousand at most) are looked up by broadcast, all others by a join.
+   entries, whatever the input, and is a table of its own.
+3. Slots are written to the files of the bucket that the directory names. Keys
+   with over a thousandth of all slots (a thousand at most) would overfill any
+   bucket; their slots go to overflow buckets, dealt by slot.
+4. Owner tasks read the files of their buckets and chain the slots of a key and
+   digest there; no slot moves again. Chains of overflow buckets are counted in
+   each, and the counts are added up and looked up by broadcast.
+5. Bytes are compared where a key is chained more than once: these rows' texts
+   are read again and grouped by key *and* bytes, copies combined before the
+   shuffle. The groups must be the owners' chains.
 
 Defined results: null text counts as empty and equals any text of white space;
 ties on code points go to the smaller doc_id, null ids last, and among rows
@@ -25,10 +26,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countershift.llm.shared import default_partitions, drop, materialize
+from countershift.llm.shared import bucketed, default_partitions, drop, materialize
 
 #: White space that the normal form deletes.
 SPACE = r"[\x20\x09-\x0D]"
@@ -52,11 +53,12 @@ class Directory:
     def buckets(self) -> int:
         return max(self.entries) + 1
 
-    def bucket(self, key: F.Column) -> F.Column:
-        if self.depth == 0:
-            return F.lit(0)
-        prefix = F.shiftrightunsigned(key, 64 - self.depth).cast("int")
-        return F.element_at(F.array(*[F.lit(b) for b in self.entries]), prefix + 1)
+    def located(self, slots: DataFrame) -> DataFrame:
+        """``slots`` with the ``bucket`` of their ``key``: a look-up by broadcast in at most ``2 ** MAX_DEPTH`` rows."""
+        table = slots.sparkSession.createDataFrame(list(enumerate(self.entries)), "prefix int, bucket int")
+        # a shift by 64 is none
+        prefix = F.shiftrightunsigned("key", 64 - self.depth).cast("int") if self.depth else F.lit(0)
+        return slots.withColumn("prefix", prefix).join(F.broadcast(table), "prefix").drop("prefix")
 
 
 def build_directory(counts: dict[int, int], depth: int, capacity: int) -> Directory:
@@ -93,69 +95,74 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """The slots, the directory and the byte-compared chains of repeated texts."""
+    """The directory, and the slots in the files of their buckets: those from ``directory.buckets`` on are overflow."""
 
-    slots: DataFrame
     directory: Directory
-    chains: DataFrame
-    n_slots: int
+    pages: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000) -> Index:
+def _best() -> F.Column:
+    """What orders the rows of a chain: the least stays."""
+    return F.struct((-F.col("n_chars")).alias("rank"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("slot").alias("slot"))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> Index:
+    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    slots = materialize(
-        keyed.select("doc_id", "key", "n_chars", F.sha2("norm", 256).alias("sha"), F.monotonically_increasing_id().alias("slot")), "dedup-slots"
-    )
-    counts = {r[0]: r[1] for r in slots.groupBy(F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")).count().collect()}
-    n = sum(counts.values())
+    slots = materialize(keyed.select("doc_id", "key", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("slot")), "dedup-slots")
+    n = slots.count()
+    hot = [r["key"] for r in slots.groupBy("key").count().where(F.col("count") > n // HOT_SHARE + 1).collect()]
+    marked = slots.join(F.broadcast(spark.createDataFrame([(k, True) for k in hot], "key long, hot boolean")), "key", "left")
+    counts = {r[0]: r[1] for r in marked.where("hot is null").groupBy(F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")).count().collect()}
     directory = build_directory(counts, MAX_DEPTH, max(capacity, n >> (MAX_DEPTH - 2)))
-    owners = max(1, min(directory.buckets, 4 * default_partitions(docs.sparkSession)))
-    chained = (
-        slots.groupBy(directory.bucket(F.col("key")).alias("bucket"), "key").count().where("count > 1")
-        .repartitionByRange(owners, "bucket", "key").select("bucket", "key")
-    )
-    chained = materialize(chained, "dedup-chained")
-    keys = chained.select("key")
-    if chained.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    candidates = keyed.select("key", "norm").join(keys, "key", "left_semi")
-    texts = candidates.groupBy("key", "norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    chains = materialize(texts.select("key", F.sha2("norm", 256).alias("sha"), "group_size"), "dedup-chains")
-    drop(chained)
-    return Index(slots, directory, chains, n)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 200_000) -> DataFrame:
+    overflow = default_partitions(spark)
+    bucket = F.when(F.col("hot"), F.lit(directory.buckets) + F.pmod("slot", F.lit(overflow)).cast("int")).otherwise(F.col("bucket"))
+    files = min(directory.buckets + overflow, 4 * default_partitions(spark))
+    pages = bucketed([directory.located(marked).withColumn("bucket", bucket).drop("hot")], "dedup-pages", "bucket", files)
+    drop(slots)
+    return Index(directory, pages)
+
+
+def _compared(docs: DataFrame, chains: DataFrame, pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, sha, group_size of the texts of repeated keys, grouped by their bytes."""
+    keys = materialize(chains.where("group_size > 1").select("key").distinct(), "dedup-chained")
+    small = keys.count() <= BROADCAST_KEYS
+    named = F.broadcast(keys) if small else keys
+    ids = materialize(pages.join(named, "key", "left_semi").select(F.col("doc_id").alias("again_id_")).distinct(), "dedup-again")
+    again = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    read = docs.join(again, docs[id_col].cast("long").eqNullSafe(again["again_id_"]), "left_semi")
+    texts = _keyed(read, id_col, text_col).select("key", "norm").join(named, "key", "left_semi").groupBy("key", "norm").agg(F.count("*").alias("group_size"))
+    out = materialize(texts.select("key", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size"), "dedup-bytes")
+    drop(keys, ids)
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and ``key``, ``n_chars``."""
     index = build_index(docs, id_col, text_col, capacity)
-    best = F.min(F.struct((-F.col("n_chars")).alias("rank"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("slot").alias("slot")))
-    repeated = _lookup(index.slots, index.chains, index)
-    kept = repeated.where("group_size is not null").groupBy("key", "sha").agg(best.alias("best"))
-    verdicts = index.chains.join(kept, ["key", "sha"]).select("key", "sha", "group_size", "best")
-    verdicts = materialize(verdicts, "dedup-verdicts")
-    out = _lookup(index.slots, verdicts, index)
-    alone = F.col("group_size").isNull()
+    pages, first_overflow = index.pages, index.directory.buckets
+    # pages lie by bucket, so owners chain without a shuffle; only counts of overflow buckets are added up
+    counted = pages.groupBy("bucket", "key", "sha").agg(F.count("*").alias("group_size"), F.min(_best()).alias("best"))
+    hot = counted.where(F.col("bucket") >= first_overflow).groupBy("key", "sha").agg(F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
+    hot = materialize(hot, "dedup-hot")
+    chains = counted.where(F.col("bucket") < first_overflow).select("key", "sha", "group_size").union(hot.select("key", "sha", "group_size"))
+    chains = materialize(chains.where("group_size > 1"), "dedup-chains")
+    compared = _compared(docs, chains, pages, id_col, text_col)
+    differ = chains.join(compared.where("group_size > 1").withColumnRenamed("group_size", "by_bytes"), ["key", "sha"], "full")
+    if not differ.where(~F.col("group_size").eqNullSafe(F.col("by_bytes"))).isEmpty():
+        raise ArithmeticError("texts of one digest differ in their bytes")
+    drop(chains, compared)
+    chain = Window.partitionBy("bucket", "key", "sha")
+    cool = pages.where(F.col("bucket") < first_overflow).select("*", F.count("*").over(chain).alias("group_size"), F.min(_best()).over(chain).alias("best"))
+    small = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    spread = pages.where(F.col("bucket") >= first_overflow).join(small, ["key", "sha"])
+    out = cool.unionByName(spread)
     return out.select(
-        "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("slot") == F.col("best.slot"))).alias("kept"),
-        F.col("sha").alias("text_sha256"), "key", "n_chars",
+        "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), (F.col("slot") == F.col("best.slot")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"), "key", "n_chars",
     )
 
 
-def _lookup(slots: DataFrame, chains: DataFrame, index: Index) -> DataFrame:
-    """Slots with their chain's columns, or nulls. Hot chains by broadcast: at most ``HOT_SHARE`` rows."""
-    cut = index.n_slots // HOT_SHARE + 1
-    on = ["key", "sha"]
-    hot, cool = chains.where(F.col("group_size") >= cut), chains.where(F.col("group_size") < cut)
-    with_hot = slots.join(F.broadcast(hot.withColumn("hot", F.lit(True))), on, "left")
-    names = [c for c in chains.columns if c not in on]
-    rest = with_hot.where("hot is null").select(*slots.columns).join(cool, on, "left")
-    found = with_hot.where("hot")
-    return found.select(*slots.columns, *names).unionByName(rest.select(*slots.columns, *names))
-
-
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows that repeat a kept row whole (id and text) stay once."""
     names = ["dedup_id_", "dedup_key_", "dedup_n_"]
