@@ -4,7 +4,10 @@ Only DataFrame functions. Rules fit a host and its subdomains where the path
 starts with theirs; the longest wins. URLs that a rule decides are the labelled
 ones: gradient-boosted trees learn from all of them (log loss, Newton steps) on
 lexical features in fixed bins - length, depth, digit ratio, entropy, parameter
-counts and what share of its suffix was blocked. Rows with equal bins and label
+counts and what share of its suffix was blocked. That share comes from the
+labelled URLs of the other ``FOLDS - 1`` folds (by the url's hash) where a
+labelled one is described, so that no row's label is among its features; few or
+no URLs of a suffix draw it to the share of all. Rows with equal bins and label
 are one cell with a count, made once; each tree level is one aggregate over the
 cells, of which the driver sees sums per (node, feature, bin), a number bounded
 by the parameters. Scoring is one expression without a shuffle but the lookup of
@@ -31,6 +34,7 @@ MAX_RULES = 1000
 #: Suffixes up to this many are broadcast (a name and a number each), more are joined by a shuffle.
 BROADCAST_SUFFIXES = 10_000
 PRIOR = 20.0
+FOLDS = 5
 
 #: Upper ends of the bins of each feature; the last bin is open.
 BINS: dict[str, tuple[float, ...]] = {
@@ -106,13 +110,28 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def _blocked_share(labelled: DataFrame, key: str, out: str) -> DataFrame:
-    """Smoothed share of blocked URLs by suffix; one half where there are few."""
-    table = labelled.groupBy(key).agg(((F.sum("y") + PRIOR / 2) / (F.count("*") + PRIOR)).alias(out))
-    table = materialize(table, "url-suffixes")
+def _fold() -> F.Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+
+
+def _suffix_counts(labelled: DataFrame, key: str) -> DataFrame:
+    """``key``, ``<key>_y`` and ``<key>_n``: blocked and all labelled URLs by fold."""
+    counts = [F.array(*[F.sum(F.when(_fold() == k, one).otherwise(0)) for k in range(FOLDS)]).alias(f"{key}_{x}") for x, one in (("y", F.col("y")), ("n", F.lit(1)))]
+    table = materialize(labelled.groupBy(key).agg(*counts), "url-suffixes")
     return F.broadcast(table) if table.count() <= BROADCAST_SUFFIXES else table
 
 
+def _with_shares(rows: DataFrame, tables: list[DataFrame], share: float, own: bool) -> DataFrame:
+    """Add the blocked share of suffix and domain; ``own``: without the row's fold."""
+    for key, table in zip(("suffix", "domain"), tables):
+        rows = rows.join(table, key, "left")
+        total = lambda x: F.aggregate(F.col(x), F.lit(0).cast("long"), lambda a, v: a + v)
+        y, n = (total(f"{key}_{x}") - (F.element_at(f"{key}_{x}", _fold() + 1) if own else F.lit(0)) for x in "yn")
+        value = (F.coalesce(y, F.lit(0)) + PRIOR * share) / (F.coalesce(n, F.lit(0)) + PRIOR)
+        rows = rows.withColumn(f"{key}_blocked", value).drop(f"{key}_y", f"{key}_n")
+    return rows
+
+
 def _binned(rows: DataFrame) -> DataFrame:
     """Every feature as the number of its bin."""
     bins = []
@@ -202,25 +221,43 @@ def _grow(rows: DataFrame, depth: int, rate: float, ridge: float):
     return build(())
 
 
+class Filter:
+    """Suffix tables and trees, learnt from labelled rows (of :func:`lexical`, with ``y`` 0/1)."""
+
+    def __init__(self, labelled: DataFrame, trees: int = 10, depth: int = 3):
+        self.tables = [_suffix_counts(labelled, key) for key in ("suffix", "domain")]
+        n, ones = labelled.agg(F.count("*"), F.sum("y")).first()
+        self.share = ones / n if n else 0.5
+        bins = [f"b_{name}" for name in BINS]
+        cells = materialize(_binned(_with_shares(labelled, self.tables, self.share, True)).groupBy(*bins, "y").agg(F.count("*").alias("n")), "url-cells")
+        self.start, self.trees = boost(cells, trees, depth)
+        drop(cells)
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``block_score``, the trees' probability."""
+        margin = F.lit(self.start)
+        for t in self.trees:
+            margin = margin + tree_column(t)
+        return _binned(_with_shares(rows, self.tables, self.share, False)).withColumn("block_score", 1 / (1 + F.exp(-margin)))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("rule is not null").withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, trees: int = 10, depth: int = 3) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and ``block_score`` (the trees' probability)."""
     rows = lexical(judged(pages, rules, id_col, url_col))
-    labelled = rows.where("rule is not null").withColumn("y", (F.col("rule_verdict") == "block").cast("int"))
-    shares = [_blocked_share(labelled, "suffix", "suffix_blocked"), _blocked_share(labelled, "domain", "domain_blocked")]
-
-    def featured(df: DataFrame) -> DataFrame:
-        for key, share in zip(("suffix", "domain"), shares):
-            df = df.join(share, key, "left").fillna(0.5, share.columns[1:])
-        return _binned(df)
-
-    bins = [f"b_{n}" for n in BINS]
-    cells = materialize(featured(labelled).groupBy(*bins, "y").agg(F.count("*").alias("n")), "url-cells")
-    start, found = boost(cells, trees, depth)
-    drop(cells)
-    margin = F.lit(start)
-    for t in found:
-        margin = margin + tree_column(t)
-    score = 1 / (1 + F.exp(-margin))
-    out = featured(rows).withColumn("block_score", score)
+    out = Filter(_labelled(rows), trees, depth).scored(rows)
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
+
+
+def held_out_loss(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", trees: int = 10, depth: int = 3) -> DataFrame:
+    """One row: labelled URLs of fold 0, the log loss of trees learnt from the other folds, that of their blocked share alone, and how many verdicts are right."""
+    labelled = _labelled(lexical(judged(pages, rules, id_col, url_col)))
+    found = Filter(labelled.where(_fold() != 0), trees, depth)
+    loss = lambda p: -F.avg(F.ln(F.when(F.col("y") == 1, p).otherwise(1 - p)))
+    share = F.lit(min(max(found.share, 1e-6), 1 - 1e-6))
+    right = F.avg(((F.col("block_score") >= 0.5) == (F.col("y") == 1)).cast("double"))
+    return found.scored(labelled.where(_fold() == 0)).agg(F.count("*").alias("urls"), loss(F.col("block_score")).alias("log_loss"), loss(share).alias("base_log_loss"), right.alias("accuracy"))
