@@ -4,20 +4,19 @@ A turn is ``<|role|>\n`` text ``<|end|>\n``. Control strings inside texts and
 roles are broken by a backslash behind their first character, and a backslash
 is doubled, so a text holds no control string and unescaping gives it back.
 
-Windows come from prefix sums of the turns' tokens, not from a walk over the
-conversation: with cells of half the room that system turn and history leave, a
-turn belongs to the cell in which its prefix sum falls, so a cell's turns fill a
-window at most; a turn larger than a cell has a window of its own (over budget
-only if the turn alone is). The leading system turn is repeated in every window.
-So are the turns that lie wholly within the history allowance before a window's
-first turn, and in any case the turn right before it, its prompt, as far as the
-budget goes. Where an answer's prompt does not fit besides the turns that follow
-in the window, the answer has a window of its own with it. Repeated turns stand
-outside the loss mask: a target is trained on once.
+Windows come from prefix sums of the turns' tokens. A conversation is cut into
+*segments* of ``SEGMENT`` budgets by them; inside a segment a window takes as
+many turns as the budget holds, found by binary search in the prefix sums, and
+the next one starts behind it (a turn that alone is over budget has a window of
+its own). The leading system turn is repeated in every window. So is history:
+the turns before the window's first, backwards until the allowance is spent,
+and in any case the turn right before it, its prompt, if both fit the budget.
+Repeated turns stand outside the loss mask: a target is trained on once.
 
 Prefix sums take two steps (sums per range of rows, then running sums inside),
-so a conversation with a third of all rows is spread over many tasks; a window
-is the largest group that meets anywhere.
+and a segment gets copies of the turns that may be its first window's history.
+So a conversation with a third of all rows is spread over many tasks; a segment,
+whose tokens are bounded, is the largest group that meets anywhere.
 
 Defined results: null texts and roles count as empty; null conversation ids are
 one conversation; turns are ordered by turn (null first), role, text; equal rows
@@ -27,9 +26,10 @@ empty table gives no rows. Further columns are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -40,6 +40,8 @@ from countershift.llm.shared import default_partitions, materialize
 from countershift.llm.tokens import word_encoder
 
 TURN_END = "<|end|>\n"
+#: Budgets of tokens of a segment; its last window may be short.
+SEGMENT = 32
 #: What chat templates use as control strings, ours (all begin with ``<|``) included.
 CONTROL = r"(<\||</?s>|\[/?INST\]|<</?SYS>>)"
 _ESCAPE = re.compile(r"\\|" + CONTROL)
@@ -120,83 +122,87 @@ def windows(conversations: DataFrame, tokenizer: str, budget: int = 1024, histor
         "conv_id", "role", "text", "tokens", (F.col("before") + F.coalesce("cs", F.lit(0))).alias("start"), (F.col("place") + F.coalesce("cc", F.lit(0))).alias("place")
     )
     is_system = (F.col("place") == 0) & (F.col("role") == "system")
-    system = full.where(is_system).select(F.col("conv_id").alias("sys_id"), F.col("text").alias("sys_text"), F.col("tokens").alias("sys_tokens"))
-    room = budget - history
-    body = full.where(~is_system).join(system, full["conv_id"].eqNullSafe(system["sys_id"]), "left")
-    # the cell's width depends on the system turn, which is the same for all turns of a conversation
-    width = F.greatest(F.lit(1), F.floor((F.lit(room) - F.coalesce("sys_tokens", F.lit(0))) / 2)).cast("long")
-    body = body.withColumn("width", width).withColumn("cell", F.floor(F.col("start") / F.col("width")).cast("long"))
-    large = F.col("tokens") > F.col("width")
-    # inside a cell: turns before a large one, the large one, turns after it cannot exist (it reaches beyond the cell)
-    body = materialize(body.withColumn("large", large), "chat-body")
-    limit = F.lit(budget) - F.coalesce("sys_tokens", F.lit(0))
-    same = lambda a, b, *names: functools.reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
-    groups = body.groupBy("conv_id", "cell", "large").agg(
-        F.min("start").alias("begin"), F.min("place").alias("lead"), F.sum("tokens").alias("size"), F.count("*").alias("n"), F.first("sys_tokens").alias("sys_tokens"),
-        F.min(F.struct("place", "tokens", "role")).alias("one"),
-    )
-    prompts = body.select("conv_id", (F.col("place") + 1).alias("lead"), F.col("start").alias("prompt_start"))
-    groups = groups.join(prompts, same(groups, prompts, "conv_id", "lead"), "left").select(groups["*"], "prompt_start")
-    with_prompt = F.col("begin") - F.col("prompt_start")
-    apart = (F.col("one.role") == "assistant") & (F.col("n") > 1) & (with_prompt + F.col("size") > limit) & (with_prompt + F.col("one.tokens") <= limit)
-    groups = groups.withColumn("apart", F.coalesce(apart, F.lit(False)))
-    # of a cell: 0 an answer apart, 1 what follows or all, 2 a large turn
-    number = lambda k: F.col("cell") * 3 + k
-    head = lambda window, begin, lead, size: F.struct(window.alias("window"), begin.alias("begin"), lead.alias("lead"), size.alias("size"))
-    one = F.col("one.tokens")
-    whole = head(number(F.when(F.col("large"), 2).otherwise(1)), F.col("begin"), F.col("lead"), F.col("size"))
-    split = [head(number(F.lit(0)), F.col("begin"), F.col("lead"), one), head(number(F.lit(1)), F.col("begin") + one, F.col("lead") + 1, F.col("size") - one)]
-    heads = groups.select("conv_id", "sys_tokens", F.explode(F.when(F.col("apart"), F.array(*split)).otherwise(F.array(whole))).alias("h")).select("conv_id", "sys_tokens", "h.*")
-    alone_at = groups.where("apart").select("conv_id", F.col("lead").alias("place"), F.lit(0).alias("kind"))
-    own = body.join(alone_at, same(body, alone_at, "conv_id", "place"), "left").select(body["*"], "kind")
-    own = own.withColumn("window", number(F.coalesce("kind", F.when(F.col("large"), 2).otherwise(1)))).withColumn("is_history", F.lit(False)).drop("kind")
-    # turns before a window's first: those that start in the stretch of the allowance's length before it, and the one right before
-    step = max(1, history)
-    stretch = F.floor((F.col("begin") - 1) / step).cast("long")
-    sought = heads.select("*", F.explode(F.array(stretch, stretch - 1)).alias("stretch")).drop("sys_tokens")
-    past = body.withColumn("stretch", F.floor(F.col("start") / step).cast("long"))
-    before = past.join(sought, same(past, sought, "conv_id", "stretch")).where((F.col("start") < F.col("begin")) & (F.col("start") >= F.col("begin") - history))
-    prompt = heads.withColumn("place", F.col("lead") - 1).drop("sys_tokens")
-    right = body.join(prompt, same(body, prompt, "conv_id", "place")).where(F.col("start") < F.col("begin") - history)
-    again = [x.where(F.col("begin") - F.col("start") + F.col("size") <= limit).select(body["*"], "window").withColumn("is_history", F.lit(True)) for x in (before, right)]
-    members = own.unionByName(again[0]).unionByName(again[1])
-    fields = ["is_history", "place", "role", "text", "tokens"]
-    turns_of = F.array_sort(F.collect_list(F.struct((~F.col("is_history")).alias("own"), *fields[1:])))
-    grouped = members.groupBy("conv_id", "window").agg(turns_of.alias("turns"), F.first("sys_text").alias("sys_text"), F.first("sys_tokens").alias("sys_tokens"))
-    # a system turn that nothing follows is a window too
-    has_body = own.select(F.col("conv_id").alias("body_id")).distinct()
-    alone = system.join(has_body, system["sys_id"].eqNullSafe(has_body["body_id"]), "left_anti")
-    empty = F.array().cast("array<struct<own:boolean,place:bigint,role:string,text:string,tokens:bigint>>")
-    alone = alone.select(F.col("sys_id").alias("conv_id"), F.lit(0).cast("long").alias("window"), empty.alias("turns"), "sys_text", "sys_tokens")
-    first = own.groupBy("conv_id").agg(F.min("window").alias("first_window")).withColumnRenamed("conv_id", "first_id")
-    ready = grouped.where(F.exists("turns", lambda t: t["own"])).unionByName(alone)
-    ready = ready.join(first, ready["conv_id"].eqNullSafe(first["first_id"]), "left").withColumn("is_first", F.coalesce(F.col("window") == F.col("first_window"), F.lit(True)))
-    return ready.select("conv_id", "window", "turns", "sys_text", "sys_tokens", "is_first").mapInArrow(_assemble, "conv_id long, window long, text string, repeated int, loss_spans array<array<int>>, tokens long")
-
-
-def _assemble(batches):
-    """Window texts with their loss spans."""
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            out, at, repeated, spans, tokens = [], 0, 0, [], 0
-            if r["sys_text"] is not None:
-                formatted, _, _ = format_turn("system", r["sys_text"])
-                out.append(formatted)
-                at, repeated, tokens = len(formatted), int(not r["is_first"]), r["sys_tokens"]
-            for t in r["turns"]:
-                formatted, a, b = format_turn(t["role"], t["text"])
-                if not t["own"]:
-                    repeated += 1
-                elif t["role"] == "assistant":
-                    spans.append([at + a, at + b])
-                out.append(formatted)
+    width = SEGMENT * budget
+    segment = lambda start: F.floor(start / width).cast("long")
+    body = full.where(~is_system).withColumn("segment", segment(F.col("start")))
+    # a turn stands in its segment, and as history in the next one if it is the last before it or begins within the allowance
+    following = segment(F.col("start") + F.col("tokens"))
+    near = F.col("start") >= (F.col("segment") + 1) * width - history
+    after = F.when(following > F.col("segment"), following).when(near, F.col("segment") + 1)
+    places = F.filter(F.array(F.struct(F.col("segment").alias("segment"), F.lit(2).alias("kind")), F.struct(after.alias("segment"), F.lit(1).alias("kind"))), lambda x: x["segment"].isNotNull())
+    names = ["place", "role", "text", "tokens"]
+    turns_of = body.select("conv_id", F.explode(places).alias("at"), *names).select("conv_id", "at.segment", "at.kind", *names)
+    # the system turn goes to each segment of its conversation, in two kinds: the first one and the others
+    reach = body.groupBy(F.col("conv_id").alias("body_id")).agg(F.min("segment").alias("lo"), F.max("segment").alias("hi"))
+    system = full.where(is_system).join(reach, full["conv_id"].eqNullSafe(reach["body_id"]), "left")
+    span = F.sequence(F.coalesce("lo", F.lit(0)).cast("long"), F.coalesce("hi", F.lit(0)).cast("long"))
+    system = system.select("conv_id", "lo", F.explode(span).alias("segment"), *names)
+    kind = F.when(F.col("lo").isNull(), -2).when(F.col("segment") == F.col("lo"), -1).otherwise(0)
+    rows = turns_of.unionByName(system.select("conv_id", "segment", kind.alias("kind"), *names))
+    dealt = rows.repartition(default_partitions(rows.sparkSession), "conv_id", "segment").sortWithinPartitions("conv_id", "segment", "kind", "place")
+    return dealt.mapInArrow(_windower(budget, history), "conv_id long, window long, text string, repeated int, loss_spans array<array<int>>, tokens long")
+
+
+def spans(tokens: list[int], first: int, budget: int, history: int) -> list[tuple[int, int, int]]:
+    """(history's first, first, end) places of the windows over turns of these tokens; the turns before ``first`` are history only."""
+    sums = [0, *accumulate(tokens)]
+    out, at = [], first
+    while at < len(tokens):
+        begin = bisect_left(sums, sums[at] - history, 0, at)
+        if begin == at and at:
+            begin = at - 1  # the prompt
+        # what the first turn leaves of the budget
+        begin = min(at, bisect_left(sums, sums[at + 1] - budget, begin, at + 1))
+        end = max(at + 1, bisect_right(sums, sums[begin] + budget) - 1)
+        out.append((begin, at, end))
+        at = end
+    return out
+
+
+def _windower(budget: int, history: int):
+    """Sorted rows of segments to windows."""
+    names = ["conv_id", "window", "text", "repeated", "loss_spans", "tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.int64()]
+
+    def made(key: tuple, rows: list[tuple]):
+        head = rows[0] if rows[0][0] <= 0 else None
+        turns = rows[1:] if head else rows
+        system, used = (format_turn("system", head[2])[0], head[3]) if head else ("", 0)
+        own = sum(kind == 1 for kind, *_ in turns)
+        if not turns[own:]:
+            return [(key[0], 0, system, 0, [], used)] if head and head[0] == -2 else []
+        out = []
+        for number, (begin, first, end) in enumerate(spans([t[3] for t in turns], own, budget - used, history)):
+            parts, at, marks = [system], len(system), []
+            for k in range(begin, end):
+                formatted, a, b = format_turn(turns[k][1], turns[k][2])
+                if k >= first and turns[k][1] == "assistant":
+                    marks.append([at + a, at + b])
+                parts.append(formatted)
                 at += len(formatted)
-                tokens += t["tokens"]
-            rows.append((r["conv_id"], r["window"], "".join(out), repeated, spans, tokens))
+            again = first - begin + (head is not None and (head[0] == 0 or number > 0))
+            out.append((key[0], (key[1] << 24) + number, "".join(parts), again, marks, used + sum(t[3] for t in turns[begin:end])))
+        return out
+
+    def batched(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.int64()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "window", "text", "repeated", "loss_spans", "tokens"])
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            out = []
+            data = [c.to_pylist() for c in batch.columns]
+            for conv, seg, kind, _, role, text, tokens in zip(*data):
+                if (conv, seg) != key:
+                    if held:
+                        out += made(key, held)
+                    held, key = [], (conv, seg)
+                held.append((kind, role, text, tokens))
+            yield batched(out)
+        yield batched(made(key, held) if held else [])
+
+    return run
 
 
 def digests(formatted: DataFrame) -> DataFrame:
