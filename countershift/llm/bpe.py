@@ -38,6 +38,8 @@ END = "</w>"
 #: Words and letter groups remembered by one Python worker, and the longest of them in bytes.
 MEMORY_WORDS = 300_000
 MEMORY_BYTES = 48
+#: Places of a long word whose tokens are listed at a time.
+WINDOW = 1 << 16
 #: Ids decoded at once.
 DECODE_BLOCK = 1 << 18
 
@@ -74,6 +76,7 @@ class Vocabulary:
             if a == token or self.compatible(a, b, self.rank[token]):
                 self.automaton.add_word(symbol[token], (token, len(symbol[token])))
         self.automaton.make_automaton()
+        self.longest = max(self.length.values())
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def compatible(self, left: int, right: int, limit: int | None = None) -> bool:
@@ -107,17 +110,40 @@ class Vocabulary:
             found = self._pairs[key] = self.compatible(left, right)
         return found
 
-    def encode_symbols(self, symbols: str) -> list[int]:
-        """Ids of one word given as symbols (characters 0-255: bytes; 256-511: the last byte)."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in symbols]
-        for end, found in self.automaton.iter(symbols):
-            starts[end - found[1] + 1].append(found)
-        alive = bytearray(b"\x01") * (len(symbols) + 1)
-        out: list[int] = []
-        tried: list[int] = []  # for each accepted token, how many candidates of its start are left
-        at, left, size = 0, len(starts[0]), len(symbols)
+    def _starting(self, symbols: str, begin: int) -> list[list[tuple[int, int]]]:
+        """Tokens, shortest first, that start at each of ``WINDOW`` places from ``begin`` on."""
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(min(WINDOW, len(symbols) - begin))]
+        part = symbols[begin : begin + WINDOW + self.longest - 1] if len(symbols) > WINDOW else symbols
+        for end, found in self.automaton.iter(part):
+            at = end - found[1] + 1
+            if at < len(starts):
+                starts[at].append(found)
+        return starts
+
+    def encode_symbols(self, symbols: str) -> array:
+        """Ids of one word given as symbols (characters 0-255: bytes; 256-511: the last byte).
+
+        Tokens by place are kept for a few windows of the word only, so that a
+        word of any length takes a few bytes a character.
+        """
+        size, windows = len(symbols), {}
+        if size <= WINDOW:
+            options_at = self._starting(symbols, 0).__getitem__
+        else:
+
+            def options_at(at: int) -> list[tuple[int, int]]:
+                number, place = divmod(at, WINDOW)
+                if number not in windows:
+                    if len(windows) > 2:
+                        del windows[min(windows)]
+                    windows[number] = self._starting(symbols, number * WINDOW)
+                return windows[number][place]
+
+        alive = bytearray(b"\x01") * (size + 1)
+        out, tried = array("I"), array("I")  # tokens, and how many candidates of each one's start are left
+        at, left = 0, len(options_at(0))
         while at < size:
-            options = starts[at]
+            options = options_at(at)
             while left:
                 left -= 1
                 token, length = options[left]
@@ -125,7 +151,7 @@ class Vocabulary:
                     out.append(token)
                     tried.append(left)
                     at += length
-                    left = len(starts[at]) if at < size else 0
+                    left = len(options_at(at)) if at < size else 0
                     break
             else:
                 alive[at] = 0

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from countershift.llm import chat, licenses, lm, queries, simhash
+from countershift.llm import bpe, chat, licenses, lm, queries, simhash
 from countershift.llm.tokens import word_encoder
 
 
@@ -261,3 +261,43 @@ def test_chat_segments_join_up(spark, monkeypatch):
                 assert (new[0] - 1 in marks) == (sum(pair) + (size("system", "be brief") if system else 0) <= 256)
             seen += new
         assert seen == list(range(1, 120))
+
+
+@pytest.mark.parametrize("window", [3, 16, 1 << 16])
+def test_long_words_equal_the_library(monkeypatch, window):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    rng, library, codec = np.random.default_rng(window), Tokenizer.from_file(queries.TOKENIZER), bpe.Codec(queries.TOKENIZER)
+    texts = ["".join(rng.choice(list("abcdeinrst"), int(n))) for n in (1, 2, 15, 40, 500, 5000)] + ["ab" * 1000, "a" * 2001, "the" * 900]
+    if window > 16:
+        texts.append("".join(rng.choice(list("abcdeinrst"), 200_000)))
+    for text in texts:
+        ids = library.encode(text, add_special_tokens=False).ids
+        found = codec.encode(text.encode())
+        assert np.frombuffer(found, np.uint32).tolist() == ids
+        assert codec.decode(found) == library.decode(ids, skip_special_tokens=False)
+
+
+def test_scan_finds_what_alignment_at_every_place_finds(monkeypatch):
+    """Matches whose words are shifted against each other by ``BAND`` at most, wherever they stand."""
+    rng, index = np.random.default_rng(21), licenses.Index(licenses.TEMPLATES)
+    short = [t for t, ids in enumerate(index.templates) if len(ids) <= 15]
+    seen = 0
+    for _ in range(60):
+        ws = []
+        for _ in range(int(rng.integers(1, 4))):
+            ws += [f"noise{rng.integers(0, 9)}" for _ in range(int(rng.integers(0, 12)))]
+            own = licenses.words(licenses.TEMPLATES[index.names[int(rng.choice(short))]].encode())
+            own = [w.decode() for w in own if rng.random() > 0.12]
+            for _ in range(int(rng.integers(0, 4))):
+                own.insert(int(rng.integers(0, len(own) + 1)), str(rng.choice(["acme", "the", "license", "under"])))
+            ws += own
+        ids = index.ids(" ".join(ws).encode())
+        with monkeypatch.context() as m:
+            m.setattr(licenses, "BAND", licenses.BAND // 2)
+            every = {t for t in short for d in range(-len(index.templates[t]), len(ids)) if index.align(ids, t, d, d)[0] >= index.least[t]}
+        found = {c[0] for c in index.candidates(ids) if index.matches(ids, *c)}
+        assert every <= found
+        seen += len(every)
+    assert seen > 40
