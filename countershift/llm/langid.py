@@ -95,8 +95,11 @@ def gram_vectors(grams: np.ndarray) -> np.ndarray:
 
 def text_vectors(texts: list[str | None]) -> np.ndarray:
     """Unit vectors of texts; a row of zeros where there is no letter."""
-    counts = [gram_counts(t) for t in texts]
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    return _unit_vectors([gram_counts(t) for t in texts])
+
+
+def _unit_vectors(counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    out = np.zeros((len(counts), DIMENSIONS), np.float32)
     if not any(len(g) for g, _ in counts):
         return out
     kinds, back = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
@@ -147,7 +150,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """Columns ``keep``, then ``lang_pred`` and ``score``. No shuffle."""
+    """Columns ``keep``, then ``lang_pred``, ``score`` and ``grams`` (the text's n-grams). No shuffle."""
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(-1, DIMENSIONS).T
 
@@ -155,19 +158,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         labels = np.array([*names, UNKNOWN], object)
         for batch in batches:
             for part in _groups(batch):
-                vectors = text_vectors(part.column(0).to_pylist())
+                counts = [gram_counts(t) for t in part.column(0).to_pylist()]
+                vectors = _unit_vectors(counts)
                 known = vectors.any(axis=1) & bool(names)
                 best, score = np.full(part.num_rows, len(names)), np.zeros(part.num_rows)
                 if names:
                     cosines = vectors @ matrix
                     best[known] = cosines.argmax(axis=1)[known]
                     score[known] = np.clip(cosines.max(axis=1)[known], 0, 1)
-                yield pa.record_batch([*part.columns[1:], pa.array(labels[best], pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names[1:], "lang_pred", "score"])
+                columns = [*part.columns[1:], pa.array(labels[best], pa.string()), pa.array(score, pa.float64()), pa.array([int(n.sum()) for _, n in counts], pa.int64())]
+                yield pa.record_batch(columns, names=[*part.schema.names[1:], "lang_pred", "score", "grams"])
         release_memory()
 
     source = docs.select(F.col(text_col).cast("string").alias("text_"), *keep)
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema.fields[1:])
-    return source.mapInArrow(run, kept + "lang_pred string, score double")
+    return source.mapInArrow(run, kept + "lang_pred string, score double, grams long")
 
 
 def fold(id_col: str, folds: int) -> F.Column:
@@ -179,14 +184,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score for every row; learns from rows outside fold 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (fold(id_col, folds) == 0).alias("held_out"))
     prototypes = learn(rows.where(~F.col("held_out")))
-    return predict(rows, prototypes, keep=["doc_id", "held_out"])
+    return predict(rows, prototypes, keep=["doc_id", "held_out"]).drop("grams")
+
 
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, least: float = 0.0, grams: int = 0) -> DataFrame:
+    """Rows of ``docs`` in which a language was found, all columns; ``und`` goes.
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, least: float = 0.0) -> DataFrame:
-    """Rows of ``docs`` in which a language was found with a score over ``least``, all columns; ``und`` goes."""
+    So does a text whose score isn't over ``least``, if it has ``grams`` n-grams
+    or more: a text of few n-grams is near no prototype even in its own language.
+    """
     prototypes = learn(docs.where(fold(id_col, folds) != 0), text_col, lang_col)
     names = [f"c{k}_" for k in range(len(docs.columns))]
     renamed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names)])
     found = predict(renamed, prototypes, names[docs.columns.index(text_col)], keep=names)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & ((F.col("score") > least) | (F.col("grams") < grams)))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -204,6 +204,55 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({4, 5, 6, 7})
 
 
+def test_language_id_equals_plain_vectors(spark, sf_dir):
+    """Every prediction and score against vectors bound, bundled and compared letter by letter."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"]: r for r in queries.QUERIES["op7_language_id"](spark, sf_dir).collect()}
+    rows, letter = {r["doc_id"]: r for r in table.collect()}, {}
+
+    def vector(text):
+        out = np.zeros(langid.DIMENSIONS)
+        grams = collections.Counter()
+        s = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        for i in range(len(s)):
+            grams[f" {s} "[i : i + 3]] += 1
+        for gram, n in grams.items():
+            for c in gram:
+                if c not in letter:
+                    letter[c] = langid.letter_vectors(np.array([ord(c)]))[0].astype(int)
+            a, b, c = (letter[x] for x in gram)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out / np.linalg.norm(out) if s else out
+
+    vectors = {i: vector(r["text"]) for i, r in rows.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in rows}
+    sums = collections.defaultdict(float)
+    for i, r in rows.items():
+        if not held[i] and r["lang"] is not None:
+            sums[r["lang"]] = sums[r["lang"]] + vectors[i]
+    names = sorted(sums)
+    prototypes = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    assert set(found) == set(rows)
+    for i, v in vectors.items():
+        cosines = prototypes @ v
+        assert found[i]["held_out"] == held[i]
+        if not v.any():
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+        else:
+            assert cosines[names.index(found[i]["lang_pred"])] > cosines.max() - 1e-5 and abs(found[i]["score"] - max(cosines.max(), 0)) < 1e-5
+
+
+def test_unknown_languages_go(spark, sf_dir):
+    rng, table = np.random.default_rng(0), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    greek = [(-1 - k, " ".join("".join(rng.choice(list("αβγδεζηθικλμνξοπρστυφχψω"), int(rng.integers(2, 9)))) for _ in range(60))) for k in range(100)]
+    both = table.select("doc_id", "text", "lang").union(spark.createDataFrame([(i, t, None) for i, t in greek], "doc_id long, text string, lang string"))
+    import corpus_pipeline
+
+    kept = {r["doc_id"] for r in langid.keep_identified(both, least=corpus_pipeline.LEAST_COSINE, grams=corpus_pipeline.LEAST_GRAMS).collect()}
+    assert len([i for i in kept if i < 0]) <= 2
+    assert kept >= {r["doc_id"] for r in table.where("length(text) > 300 and lang is not null").collect()}
+
+
 def test_language_id_held_out_accuracy(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = langid.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
