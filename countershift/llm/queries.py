@@ -74,6 +74,26 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+# ---- parts of the results above that SQL can express ------------------------------------------
+
+
+def chat_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting(spark, sf_dir).drop("formatted_chars")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id(spark, sf_dir)
+    return found.select("doc_id", "held_out", (F.col("lang_pred") == langid.UNKNOWN).alias("without_letter"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark, sf_dir).withColumn("verdict", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+
+
 QUERIES = {
     "op1_license_scan": license_scan,
     "op2_best_fit_packing": best_fit_packing,
@@ -85,8 +105,23 @@ QUERIES = {
     "op8_bpe": bpe_round_trip,
     "op9_lm_scoring": lm_scoring,
     "op10_url_filter": url_filter,
+    "turns_read_back": chat_read_back,
+    "language_folds": language_folds,
+    "lm_base_scores": lm_base_scores,
+    "url_rules": url_rules,
 }
 
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text: eight shifts a byte, with the reversed polynomial where a one falls out."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    values = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {values}), lambda c, b: {byte}), 4294967295)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+
 ORACLE_SQL = {
     "op4_exact_top_k": """
         WITH usable AS (
@@ -108,4 +143,37 @@ ORACLE_SQL = {
           FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "turns_read_back": """
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        g AS (
+          SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+            coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss
+          FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256 FROM g
+    """,
+    "language_folds": f"""
+        SELECT doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS without_letter FROM documents
+    """,
+    "lm_base_scores": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 10 = 0 AS held_out, {_LOWER} AS text FROM documents),
+        w AS (
+          SELECT r, held_out, unnest(list_append(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), chr(0) || 'end')) AS token FROM d),
+        c AS (SELECT token, count(*) AS c FROM w WHERE NOT held_out GROUP BY token),
+        n AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+        s AS (
+          SELECT w.r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + CAST(0.1 AS DOUBLE)) / (n.n + CAST(0.1 AS DOUBLE) * (n.v + 1)))) AS base_score
+          FROM w LEFT JOIN c ON c.token = w.token, n GROUP BY w.r)
+        SELECT doc_id, held_out, n_tokens, n_known, n.n AS train_tokens, round(base_score, 6) AS base_score FROM d JOIN s ON s.r = d.r, n
+    """,
+    "url_rules": f"""
+        WITH p AS (
+          SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+        f AS (
+          SELECT p.*, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST, r.host || r.path) AS place
+          FROM p LEFT JOIN (VALUES {_RULES_SQL}) r(verdict, host, path) ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+        SELECT page_id, host, path, rule, verdict FROM f WHERE place = 1
+    """,
 }

@@ -441,7 +441,7 @@ def test_url_suffix_shares_leave_out_the_own_fold(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     expected = con.execute(queries.ORACLE_SQL[name]).df()
     found = queries.QUERIES[name](spark, sf_dir).toPandas()[list(expected.columns)]
