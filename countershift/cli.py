@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+from dataclasses import fields
 
 from countershift.control import Control
 from countershift.errors import DecompositionError
@@ -37,6 +38,11 @@ def floats(text: str) -> tuple[float, ...]:
     return tuple(float(x) for x in text.split(","))
 
 
+def control_fields() -> list:
+    """Every tuning argument but those that all commands have or that go by another name."""
+    return [f for f in fields(Control) if f.init and f.name not in ("nreg", "reported_quantiles")]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="countershift", allow_abbrev=False)
     commands = top.add_subparsers(dest="command", required=True)
@@ -56,18 +62,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", default="qr")
     p.add_argument("--solver")
     p.add_argument("--bootstrap-reps", type=int, default=0)
-    p.add_argument("--bootstrap-scheme", default="counterfactual")
     p.add_argument("--checkpoint-dir")
     p.add_argument("--censoring")
     p.add_argument("--event")
     p.add_argument("--quantiles", type=floats, default=Control().reported_quantiles)
-    p.add_argument("--trimming", type=float, default=0.005)
-    p.add_argument("--alpha", type=float, default=0.05)
-    p.add_argument("--legacy-qr-shift", type=as_bool, default=True)
-    p.add_argument("--robust-se", type=as_bool, default=False)
-    p.add_argument("--quantile-noncrossing", default="none")
-    p.add_argument("--dr-noncrossing", default="cummax")
-    p.add_argument("--cox-boundary", default="na")
+    for f in control_fields():
+        p.add_argument(f"--{f.name.replace('_', '-')}", type=as_bool if "bool" in f.type else {"int": int, "float": float}.get(f.type, str), default=f.default)
     p = commands.add_parser("benchmark", allow_abbrev=False)
     data_arguments(p)
     p.add_argument("--solvers", default="br,fn,qfnb,pfnb")
@@ -108,10 +108,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from countershift.plans.decompose import counterfactual_decompose
         from countershift.result import describe, write_outputs
 
-        control = Control(
-            nreg=a.nreg, trimming=a.trimming, reported_quantiles=a.quantiles, alpha=a.alpha, bootstrap_scheme=a.bootstrap_scheme, legacy_qr_shift=a.legacy_qr_shift, robust_se=a.robust_se,
-            quantile_noncrossing=a.quantile_noncrossing, dr_noncrossing=a.dr_noncrossing, cox_boundary=a.cox_boundary,
-        )
+        control = Control(nreg=a.nreg, reported_quantiles=a.quantiles, **{f.name: getattr(a, f.name) for f in control_fields()})
         censoring = a.censoring
         if censoring is not None and censoring not in data.columns:
             censoring = float(censoring)

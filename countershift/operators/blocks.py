@@ -73,6 +73,10 @@ class Blocks:
         """Free what ``filter`` keeps."""
 
 
+#: Rows that an extension or a pilot, which needs them in one process, may bring to the driver; more are refused.
+GATHER_ROWS = 20_000_000
+
+
 class LocalBlocks(Blocks):
     def __init__(self, x, y, w, freq=None, cens=None, event=None):
         n = len(y)

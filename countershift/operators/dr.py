@@ -15,7 +15,7 @@ from countershift.errors import DecompositionError, NotIdentifiedError
 from countershift.functions.curves import inverse_link, link
 from countershift.functions.linalg import preconditioner, solve_normal, triangular
 from countershift.functions.ranks import EPS
-from countershift.operators.blocks import Block, Blocks, LocalBlocks, SparkBlocks
+from countershift.operators.blocks import GATHER_ROWS, Block, Blocks, LocalBlocks, SparkBlocks
 from countershift.operators.models import Fit
 from countershift.operators.selection import select_ranks
 from countershift.registry import DR_BACKENDS, backends
@@ -164,7 +164,7 @@ def fit_distribution(blocks: Blocks, model: str, control: Control) -> Fit:
 
 
 def _custom(blocks, extension, model, thresholds, control):
-    x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w))
+    x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
     out, codes = np.zeros((blocks.p, len(thresholds))), np.zeros(len(thresholds), int)
     for j, t in enumerate(thresholds):
         found = extension.fit(x, (y <= t).astype(float), w, model, None, control.dr_maxit, control.dr_tolerance)
@@ -178,7 +178,7 @@ def _fit_lpm(blocks: Blocks, thresholds: np.ndarray, control: Control) -> Fit:
     backend = "qr" if control.linear_backend == "auto" else control.linear_backend
     custom = backends.get(("linear", backend))
     if custom is not None:
-        x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w))
+        x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
         b = np.column_stack([custom.solve(x, (y <= t).astype(float), w) for t in thresholds])
     else:
         def sums(b: Block):

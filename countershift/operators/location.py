@@ -8,7 +8,7 @@ from countershift.control import Control
 from countershift.errors import DecompositionError
 from countershift.functions.linalg import solve_normal, triangular
 from countershift.functions.ranks import EPS
-from countershift.operators.blocks import Block, Blocks
+from countershift.operators.blocks import GATHER_ROWS, Block, Blocks
 from countershift.operators.models import Fit
 from countershift.operators.selection import quantiles
 from countershift.registry import backends
@@ -22,7 +22,7 @@ def least_squares(blocks: Blocks, backend: str = "qr", response=None) -> np.ndar
     backend = "qr" if backend == "auto" else backend
     custom = backends.get(("linear", backend))
     if custom is not None:
-        x, z, w = blocks.gather(lambda b: (b.x, target(b), b.w))
+        x, z, w = blocks.gather(lambda b: (b.x, target(b), b.w), GATHER_ROWS)
         return custom.solve(x, z, w)
     if backend not in LINEAR_BACKENDS:
         raise DecompositionError(f"unknown linear backend {backend!r}")

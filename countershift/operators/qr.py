@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 
 from countershift.control import Control
 from countershift.errors import DecompositionError
 from countershift.functions.linalg import preconditioner, triangular
 from countershift.operators import qrkernel
-from countershift.operators.blocks import Block, Blocks, LocalBlocks
+from countershift.operators.blocks import GATHER_ROWS, Block, Blocks, LocalBlocks
 from countershift.operators.models import Fit
 from countershift.registry import QR_SOLVERS, solvers
 
@@ -42,7 +45,7 @@ def fit_process(blocks: Blocks, taus, solver: str = "auto", control: Control | N
     qrkernel.check_rows(blocks.total, blocks.p)
     custom = solvers.get(name)
     if custom is not None:
-        x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w))
+        x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
         b, report = custom.process(x, y, w, taus)
         return Fit("qr", taus, b, info={"solver": name, "exact": custom.exact, "converged": True, **report})
     if name == "onestep":
@@ -101,12 +104,12 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
         keep = (h >> np.uint64(11)).astype(float) / 2**53 < rate
         return b.x[keep] * b.w[keep, None], b.y[keep] * b.w[keep], b.w[keep]
 
-    sx, sy, sw = blocks.gather(sampled)
+    sx, sy, sw = blocks.gather(sampled, GATHER_ROWS)
     out, ok, its = np.zeros((p, len(taus))), np.zeros(len(taus), bool), np.zeros(len(taus), int)
     for at in range(0, len(taus), BATCH):
         batch = list(range(at, min(at + BATCH, len(taus))))
         width, lows, highs = size, {}, {}
-        pilots = {k: qrkernel.exact(sx, sy, taus[k])[0] for k in batch}
+        pilots = dict(zip(batch, _side_by_side(lambda k: qrkernel.exact(sx, sy, taus[k])[0], batch, n)))
         for _ in range(12):
             if not batch:
                 break
@@ -117,11 +120,15 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
                 lows[k] = place(taus[k] - half) if taus[k] > half else -np.inf
                 highs[k] = place(taus[k] + half) if taus[k] + half < 1 else np.inf
             reduced = _bands(blocks, batch, pilots, lows, highs)
-            for k in batch:
+
+            def fit(k, reduced=reduced, pilots=pilots):
                 rows, target, below, above = reduced[k]
                 xs, ys = np.vstack([rows, below[:p], above[:p]]), np.concatenate([target, [below[p], above[p]]])
                 used = np.concatenate([np.ones(len(rows), bool), [bool(below[p + 1]), bool(above[p + 1])]])
-                out[:, k], ok[k], its[k] = qrkernel.exact(xs[used], ys[used], taus[k], pilots[k])
+                return qrkernel.exact(xs[used], ys[used], taus[k], pilots[k])
+
+            for k, found in zip(batch, _side_by_side(fit, batch, n)):
+                out[:, k], ok[k], its[k] = found
             wrong = _wrong(blocks, batch, pilots, lows, highs, out)
             left = []
             for k in batch:
@@ -134,18 +141,28 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
     return out, ok, its
 
 
+def _side_by_side(fn, batch, n: int) -> list:
+    """``fn`` of every quantile of a batch: in threads where the group is large, since the matrix operations are most of the work."""
+    if n < GLOB_FROM or len(batch) < 2:
+        return [fn(k) for k in batch]
+    with ThreadPoolExecutor(min(len(batch), os.cpu_count() or 1)) as pool:
+        return list(pool.map(fn, batch))
+
+
 def _bands(blocks: Blocks, batch, pilots, lows, highs):
     p = blocks.p
 
     def run(b: Block):
-        wx, wy, found = b.x * b.w[:, None], b.y * b.w, {}
-        for k in batch:
+        wx, wy = b.x * b.w[:, None], b.y * b.w
+
+        def one(k):
             r = b.y - b.x @ pilots[k]
             under, over = r < lows[k], r > highs[k]
             inside = ~under & ~over
             sums = [np.concatenate([wx[m].sum(axis=0), [wy[m].sum(), m.sum()]]) for m in (under, over)]
-            found[k] = (wx[inside], wy[inside], *sums)
-        return found
+            return wx[inside], wy[inside], *sums
+
+        return {k: one(k) for k in batch}
 
     def combine(a, b):
         return {k: (np.vstack([a[k][0], b[k][0]]), np.concatenate([a[k][1], b[k][1]]), a[k][2] + b[k][2], a[k][3] + b[k][3]) for k in a}

@@ -352,6 +352,12 @@ def sim_summary(spark, sf_dir):
     return table.select("scenario", "effect", "quantile", "replications", *[F.round(c, 9).alias(c) for c in ("bias", "monte_carlo_sd", "rmse", "mean_std_error", "pointwise_coverage")])
 
 
+def sim_curves(spark, sf_dir):
+    """How often whole curves are covered."""
+    _, curves = summarise(spark.createDataFrame(_sim_rows(), RAW))
+    return curves.select("scenario", "effect", "replications", F.round("uniform_coverage", 9).alias("uniform_coverage"))
+
+
 _Z = {0.1: normal_quantile(0.1), 0.5: 0.0, 0.9: normal_quantile(0.9)}
 
 
@@ -464,7 +470,7 @@ QUERIES = {
     **{f"qr_{n}_table": tables_of(n) for n in ("marginalization", "crossing", "tests", "draws", "coefficient")},
     **{f"cdf_{m}": _corrected(m) for m in ("none", "cummax", "rearrange", "isotonic")}, "crossing_diagnostics": crossing_diagnostics,
     "km_quantiles": km_quantiles, "breslow_baseline": breslow_baseline, "cox_fixed_beta": cox_fixed_beta,
-    "boot_multiplier_se": boot_multiplier_se, "boot_bands": boot_bands, "boot_curve_tests": boot_curve_tests, "sim_truth": sim_truth, "sim_summary": sim_summary, "streamed_moments": streamed_moments,
+    "boot_multiplier_se": boot_multiplier_se, "boot_bands": boot_bands, "boot_curve_tests": boot_curve_tests, "sim_truth": sim_truth, "sim_summary": sim_summary, "sim_curves": sim_curves, "streamed_moments": streamed_moments,
     "loc_saturated_decomp": _decomposed("y ~ f", PRICE, "loc", LOC_PROBS, 8), "loc_joined_decomp": _decomposed("y ~ f", JOINED, "loc", LOC_PROBS, 8), "loc_one_x_decomp": _decomposed("y ~ x1", PRICE, "loc", LOC_PROBS, 8, None, 3),
     "locsca_saturated_decomp": _decomposed("y ~ f", PRICE, "locsca", LOC_PROBS, 8), "lpm_one_x_decomp": _decomposed("y ~ x1", PRICE, "lpm", DR_PROBS, 20, None),
     **{f"{m}_saturated_decomp": _decomposed("y ~ f", ORDER, m, DR_PROBS, 20) for m in DR_MODELS},
@@ -537,6 +543,8 @@ ORACLE_SQL = {
     "sim_summary": f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{r[0]}', {r[1]}, '{r[2]}', CAST({r[3]} AS DOUBLE), CAST({r[4]!r} AS DOUBLE), CAST({r[6]!r} AS DOUBLE), CAST({r[7]!r} AS DOUBLE), {r[8]})" for r in _sim_rows())}) t(scenario, r, effect, quantile, estimate, error, se, covered))
       SELECT scenario, effect, quantile, count(*) AS replications, round(avg(error), 9) AS bias, round(stddev_samp(estimate), 9) AS monte_carlo_sd, round(sqrt(avg(error * error)), 9) AS rmse, round(avg(se), 9) AS mean_std_error,
        round(avg(CASE WHEN covered THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS pointwise_coverage FROM t GROUP BY scenario, effect, quantile""",
+    "sim_curves": f"""WITH t AS (SELECT DISTINCT * FROM (VALUES {', '.join(f"('{r[0]}', {r[1]}, '{r[2]}', {r[9]})" for r in _sim_rows())}) t(scenario, r, effect, covered))
+      SELECT scenario, effect, count(*) AS replications, round(avg(CASE WHEN covered THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS uniform_coverage FROM t GROUP BY scenario, effect""",
     "streamed_moments": "SELECT CAST(user_id % 2 AS INTEGER) AS g, round(regr_intercept(value, event_id % 3), 8) AS intercept, round(regr_slope(value, event_id % 3), 8) AS slope FROM events GROUP BY user_id % 2",
     "loc_saturated_decomp": _loc_sql(PRICE, 8), "loc_joined_decomp": _loc_sql(JOINED, 8), "loc_one_x_decomp": loc_one_x_sql(), "locsca_saturated_decomp": _loc_sql(PRICE, 8, True),
     **{f"{m}_saturated_decomp": _dr_sql(ORDER, 20) for m in DR_MODELS},

@@ -2,6 +2,10 @@
 
 ``y ~ x1 + f + x1:f + a*b + I(x1^2) + log(x2)``: numeric terms give one column,
 booleans and strings one 0/1 column per level but the first in sort order.
+``I(x > 3 & z <= 1)`` is a boolean, ``cut(x, c(0, 10, Inf))`` a factor of
+intervals (open below, closed above; a row in none of them is incomplete),
+``poly(x, 3)`` gives orthogonal polynomials over the frame's rows and
+``poly(x, 3, raw = TRUE)`` powers; ``ifelse``, ``pmin`` and ``pmax`` compute.
 Inside an interaction a factor keeps all levels where its margin isn't in the
 model. The intercept is always there; offsets are refused.
 """
@@ -11,6 +15,7 @@ from __future__ import annotations
 import ast
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +26,11 @@ from countershift.errors import DecompositionError
 
 INTERCEPT = "(Intercept)"
 MAX_LEVELS = 1000
-_FUNCTIONS = {"log": F.ln, "ln": F.ln, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "log1p": F.log1p, "expm1": F.expm1}
+_FUNCTIONS = {
+    "log": F.ln, "ln": F.ln, "log2": F.log2, "log10": F.log10, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "log1p": F.log1p, "expm1": F.expm1, "sin": F.sin, "cos": F.cos, "tan": F.tan,
+    "asin": F.asin, "acos": F.acos, "atan": F.atan, "tanh": F.tanh, "floor": F.floor, "ceiling": F.ceil, "sign": F.signum,
+}
+_COMPARISONS = {ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 
 
 @dataclass(frozen=True)
@@ -51,8 +60,8 @@ def _split(text: str, mark: str) -> list[str]:
     return [x.strip() for x in (*out, now)]
 
 
-def _arithmetic(text: str, schema: T.StructType, used: set[str]) -> Column:
-    """An arithmetic expression over numeric columns."""
+def _tree(text: str) -> tuple[ast.expr, dict[str, str]]:
+    """The parsed expression, and the columns that stand for its quoted names."""
     names: dict[str, str] = {}
 
     def quoted(m):
@@ -60,12 +69,46 @@ def _arithmetic(text: str, schema: T.StructType, used: set[str]) -> Column:
         return key
 
     source = re.sub(r"`([^`]*)`", quoted, text).replace("^", "**")
+    # logical operators bind weaker than comparisons, as the words do here
+    source = re.sub(r"&&?", " and ", source)
+    source = re.sub(r"\|\|?", " or ", source)
+    source = re.sub(r"!(?!=)", " not ", source)
     try:
-        tree = ast.parse(source, mode="eval").body
+        return ast.parse(source.strip(), mode="eval").body, names
     except SyntaxError:
         raise DecompositionError(f"can't read {text!r}") from None
+
+
+def _is_logical(node: ast.expr) -> bool:
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "I" and len(node.args) == 1:
+        return _is_logical(node.args[0])
+    return isinstance(node, (ast.Compare, ast.BoolOp)) or (isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not))
+
+
+def _arithmetic(text: str, schema: T.StructType, used: set[str]) -> Column:
+    """An expression over numeric columns; a condition is 1 or 0."""
+    tree, names = _tree(text)
+    out = _built(tree, names, text, schema, used)
+    return out.cast("double") if _is_logical(tree) else out
+
+
+def _built(tree: ast.expr, names: dict[str, str], text: str, schema: T.StructType, used: set[str]) -> Column:
     operators = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b}
 
+    def value(node) -> Column:
+        return condition(node).cast("double") if _is_logical(node) else build(node)
+
+    def condition(node) -> Column:
+        if isinstance(node, ast.Call):
+            return condition(node.args[0])
+        if isinstance(node, ast.UnaryOp):
+            return ~condition(node.operand)
+        if isinstance(node, ast.BoolOp):
+            parts = [condition(v) if _is_logical(v) else build(v) != 0 for v in node.values]
+            return reduce((lambda a, b: a & b) if isinstance(node.op, ast.And) else (lambda a, b: a | b), parts)
+        sides = [value(v) for v in (node.left, *node.comparators)]
+        return reduce(lambda a, b: a & b, [_COMPARISONS[type(op)](x, y) for op, x, y in zip(node.ops, sides, sides[1:])])
+
     def build(node) -> Column:
         if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
             return F.lit(float(node.value))
@@ -80,15 +123,70 @@ def _arithmetic(text: str, schema: T.StructType, used: set[str]) -> Column:
                 return base * base if node.right.value == 2 else base * base * base
             return F.pow(build(node.left), build(node.right))
         if isinstance(node, ast.BinOp) and type(node.op) in operators:
-            return operators[type(node.op)](build(node.left), build(node.right))
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and len(node.args) == 1:
-            if node.func.id == "I":
-                return build(node.args[0])
-            if node.func.id in _FUNCTIONS:
-                return _FUNCTIONS[node.func.id](build(node.args[0]))
+            return operators[type(node.op)](value(node.left), value(node.right))
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and not node.keywords:
+            name, arguments = node.func.id, node.args
+            if name == "I" and len(arguments) == 1:
+                return value(arguments[0])
+            if name in _FUNCTIONS and len(arguments) == 1:
+                return _FUNCTIONS[name](value(arguments[0])).cast("double")
+            if name == "ifelse" and len(arguments) == 3 and _is_logical(arguments[0]):
+                test = condition(arguments[0])
+                return F.when(test, value(arguments[1])).when(~test, value(arguments[2]))
+            if name in ("pmin", "pmax") and len(arguments) > 1:
+                parts = [value(v) for v in arguments]
+                known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+                return F.when(known, (F.least if name == "pmin" else F.greatest)(*parts))
         raise DecompositionError(f"can't compute {text!r}")
 
-    return build(tree)
+    return condition(tree) if _is_logical(tree) else build(tree)
+
+
+def _number(node: ast.expr) -> float:
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        return -_number(node.operand)
+    if isinstance(node, ast.Name) and node.id == "Inf":
+        return float("inf")
+    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
+        return float(node.value)
+    raise DecompositionError("a number is needed")
+
+
+def _wide(text: str, data: DataFrame, schema: T.StructType, used: set[str]) -> tuple[list[tuple[str, Column]], bool] | None:
+    """A variable of several columns: (suffix, column) of each, and whether they are a factor's levels. None: one column."""
+    if text.strip("`") in schema.names:
+        return None
+    tree, names = _tree(text)
+    if _is_logical(tree):
+        test = _built(tree, names, text, schema, used)
+        return [("FALSE", (~test).cast("double")), ("TRUE", test.cast("double"))], True
+    if not (isinstance(tree, ast.Call) and isinstance(tree.func, ast.Name) and tree.func.id in ("cut", "poly") and len(tree.args) == 2):
+        return None
+    x = _built(tree.args[0], names, text, schema, used)
+    options = {k.arg: isinstance(k.value, ast.Name) and k.value.id in ("TRUE", "T") for k in tree.keywords}
+    if tree.func.id == "cut":
+        if options or not isinstance(tree.args[1], ast.Call) or len(tree.args[1].args) < 3:
+            raise DecompositionError("cut needs three breaks at least, as c(...), and takes nothing else")
+        breaks = sorted({_number(v) for v in tree.args[1].args})
+        shown = [f"{b:.3g}".replace("inf", "Inf") for b in breaks]
+        held = (x > breaks[0]) & (x <= breaks[-1])
+        return [(f"({shown[k]},{shown[k + 1]}]", F.when(held, ((x > breaks[k]) & (x <= breaks[k + 1])).cast("double"))) for k in range(len(breaks) - 1)], True
+    degree = int(_number(tree.args[1]))
+    if degree < 1 or degree > 20 or set(options) - {"raw"}:
+        raise DecompositionError("poly needs a degree from 1 to 20, and raw at most")
+    if options.get("raw"):
+        return [(str(k), F.pow(x, F.lit(float(k)))) for k in range(1, degree + 1)], False
+    # the three-term recurrence, whose coefficients are sums over the frame's rows
+    now, before, size, last, out = F.lit(1.0), F.lit(0.0), None, None, []
+    for k in range(degree + 1):
+        size, moment = data.select(now.alias("p"), x.alias("x")).where("x is not null").agg(F.sum(F.col("p") * F.col("p")), F.sum(F.col("x") * F.col("p") * F.col("p"))).first()
+        if not size or size <= 0:
+            raise DecompositionError(f"{text!r} needs more distinct values than its degree")
+        if k:
+            out.append((str(k), now / F.lit(size**0.5)))
+        now, before = (x - F.lit(moment / size)) * now - (F.lit(size / last) * before if k else F.lit(0.0)), now
+        last = size
+    return out, False
 
 
 def _numeric(name: str, schema: T.StructType, used: set[str]) -> Column:
@@ -142,6 +240,7 @@ def compile_formula(formula: str, data: DataFrame) -> Design:
     variables = list(dict.fromkeys(v for t in terms for v in sorted(t, key=sides[1].find)))
     factors = {v: _variable(v, schema)[0] for v in variables if _variable(v, schema)[1]}
     levels = _levels(data, sorted(set(factors.values())))
+    wide = {v: found for v in variables if v not in factors and (found := _wide(v, data, schema, used))}
     used |= set(factors.values())
     columns: list[tuple[str, Column]] = [(INTERCEPT, F.lit(1.0))]
     present = {frozenset(), *terms}
@@ -152,6 +251,10 @@ def compile_formula(formula: str, data: DataFrame) -> Design:
                 name = factors[v]
                 kept = levels[name][1:] if term - {v} in present else levels[name]
                 pieces.append([(f"{v.strip('`')}{level}", F.when(F.col(f"`{name}`").cast("string") == level.lower() if isinstance(schema[name].dataType, T.BooleanType) else F.col(f"`{name}`").cast("string") == level, 1.0).otherwise(0.0)) for level in kept])
+            elif v in wide:
+                parts, is_factor = wide[v]
+                kept = parts[1:] if is_factor and term - {v} in present else parts
+                pieces.append([(f"{v}{suffix}", column) for suffix, column in kept])
             else:
                 pieces.append([(v.strip("`"), _arithmetic(v, schema, used))])
         for combination in product(*pieces):

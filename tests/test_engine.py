@@ -16,6 +16,7 @@ from countershift.control import Control
 from countershift.errors import DecompositionError, NotIdentifiedError
 from countershift.plans.bootstrap import multipliers, resample_frame, resolve_engine
 from countershift.plans.decompose import counterfactual_decompose as decompose
+from countershift.sources.formula import compile_formula
 from countershift.sources.prepare import prepare, subsample
 from countershift.sources.readers import read_table
 from countershift.sources.sinks import write_together
@@ -312,3 +313,46 @@ def test_queries_match_sql(spark, sf_dir, name):
             np.testing.assert_allclose(a[c].astype(float), b[c], rtol=1e-9, atol=1e-6)
         else:
             assert a[c].tolist() == b[c].tolist()
+
+
+def test_wide_terms(spark):
+    rng = np.random.default_rng(0)
+    table = pd.DataFrame({"y": rng.normal(size=200), "x": rng.integers(0, 30, 200).astype(float), "z": rng.normal(size=200), "f": rng.choice(["a", "b"], 200)})
+    frame = spark.createDataFrame(table)
+
+    def columns(formula):
+        design = compile_formula(formula, frame)
+        out = frame.select("y", *[c.alias(f"c{k}") for k, (_, c) in enumerate(design.columns)]).toPandas()
+        assert np.allclose(out.y, table.y)
+        return {n: out[f"c{k}"].to_numpy() for k, (n, _) in enumerate(design.columns)}
+
+    x, z = table.x.to_numpy(), table.z.to_numpy()
+    found = columns("y ~ I(x > 10 & z <= 0) + f:I(x > 3)")
+    assert np.array_equal(found["I(x > 10 & z <= 0)TRUE"], ((x > 10) & (z <= 0)).astype(float)) and "I(x > 10 & z <= 0)FALSE" not in found
+    assert {"fa:I(x > 3)FALSE", "fb:I(x > 3)TRUE"} <= set(found)
+    found = columns("y ~ cut(x, c(-1, 9, 19, Inf))")
+    assert list(found) == ["(Intercept)", "cut(x, c(-1, 9, 19, Inf))(9,19]", "cut(x, c(-1, 9, 19, Inf))(19,Inf]"]
+    assert np.array_equal(found["cut(x, c(-1, 9, 19, Inf))(9,19]"], ((x > 9) & (x <= 19)).astype(float))
+    found = columns("y ~ cut(x, c(5, 9, 19)) + z")
+    assert np.array_equal(np.isnan(found["cut(x, c(5, 9, 19))(9,19]"]), (x <= 5) | (x > 19))
+    found = columns("y ~ poly(x, 3)")
+    q = np.column_stack([found[f"poly(x, 3){k}"] for k in (1, 2, 3)])
+    np.testing.assert_allclose(q.T @ q, np.eye(3), atol=1e-9)
+    np.testing.assert_allclose(q.sum(axis=0), 0, atol=1e-9)
+    basis = np.column_stack([np.ones(200), x, x**2, x**3])
+    np.testing.assert_allclose(basis @ np.linalg.lstsq(basis, q, rcond=None)[0], q, atol=1e-8)
+    found = columns("y ~ poly(x, 2, raw = TRUE) + pmin(x, 5) + ifelse(z > 0, x, -1) + log10(1 + x)")
+    np.testing.assert_allclose(found["poly(x, 2, raw = TRUE)2"], x**2)
+    np.testing.assert_allclose(found["ifelse(z > 0, x, -1)"], np.where(z > 0, x, -1))
+    np.testing.assert_allclose(found["pmin(x, 5)"], np.minimum(x, 5))
+    for bad in ("y ~ poly(x, 0)", "y ~ cut(x, 3)", "y ~ poly(f, 2)", "y ~ ifelse(x, 1, 2)"):
+        with pytest.raises(DecompositionError):
+            columns(bad)
+
+
+def test_every_control_has_a_flag():
+    line = ["decompose", "--data", "d", "--formula", "y ~ x", "--group", "g", "--output", "o"]
+    a = cli.parser().parse_args([*line, "--qr-bootstrap-engine", "xy_preprocess", "--bootstrap-max-retries", "5", "--dr-tolerance", "1e-6", "--marginal-method", "chunked", "--legacy-weighted-quantile", "true", "--cqr-nsteps", "4", "--kernel-max-mb", "8"])
+    assert (a.qr_bootstrap_engine, a.bootstrap_max_retries, a.dr_tolerance, a.legacy_weighted_quantile, a.cqr_nsteps, a.kernel_max_mb) == ("xy_preprocess", 5, 1e-6, True, 4, 8.0)
+    plain = cli.parser().parse_args(line)
+    assert all(getattr(plain, f.name) == getattr(Control(), f.name) for f in cli.control_fields())
