@@ -32,6 +32,8 @@ from countershift.llm.shared import materialize
 from countershift.llm.text import release_memory
 from countershift.llm.tokens import word_encoder
 
+#: Counts by task and length (three numbers each) that are broadcast.
+BROADCAST_COUNTS = 200_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, local_rank long"
 
 
@@ -190,6 +192,8 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     runs = plan.table()
     before = F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("block", "length", F.coalesce(before, F.lit(0)).alias("base"))
+    # a row for each task and length that it has: few are broadcast, more are merged with the pieces, whose rows are narrow
+    bases = F.broadcast(bases) if counts.count() <= BROADCAST_COUNTS else bases.hint("merge")
     ranked = pieces.join(bases, ["block", "length"])
     out = ranked.select(*pieces.columns, (F.col("base") + F.col("local_rank")).alias("rank"))
     return out.mapInArrow(_placer(runs), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
