@@ -220,6 +220,17 @@ def tables_of(name: str):
     return run
 
 
+def coefficients(spark, sf_dir):
+    """Coefficients of a saturated process: differences of the cells' quantiles (at levels that split no cell exactly, where they are unique)."""
+    table = R.coefficient_table(spark, counterfactual_decompose("y ~ f", view(spark, sf_dir, ORDER), "g", "w", "qr", "pfnb", Control(nreg=31)))
+    return table.select("group", F.round("grid_value", 6).alias("grid_value"), "term", (F.round("coef", 4) + 0).alias("coef"))
+
+
+def crossings(spark, sf_dir):
+    table = tables_of("crossing")(spark, sf_dir)
+    return table.select("distribution", "stage", "correction", "rows", F.col("quantile_pairs").cast("long").alias("quantile_pairs"), "crossing_rows", "crossing_pairs", F.round("max_crossing", 6).alias("max_crossing"))
+
+
 # ---- curves on fixed inputs ------------------------------------------------------------------
 
 FIXED_CDF = [("a", float(t), v) for t, v in enumerate((-0.2, 0.7, 1.3, 0.6, 0.65, 0.9, 0.85, 1.0), 1)] + [("b", float(t), v) for t, v in enumerate((0.1, 0.05, 0.4, 0.35, 0.3, 0.8), 1)]
@@ -467,7 +478,7 @@ QUERIES = {
     "wq_type7_by_group": wq_type7, "wq_type2_by_group": wq_type2, "unweighted_percentile": unweighted_percentile, "weighted_histogram": histogram, "prepare_counts": prepare_counts,
     "gram_moments": gram_moments, "wls_one_x": wls_one_x, "wls_saturated": wls_saturated, "group_subsample": group_subsample, "dr_thresholds": thresholds, "wls_distributed": wls_distributed, "logit_one_x_threshold": logit_threshold, "cox_one_binary_x": cox_binary,
     "observed_levels": observed_levels, "resample_totals": resample_totals, "distributed_subsample": distributed_subsample, "solver_registry": solver_registry, "simulation_validation": simulation,
-    **{f"qr_{n}_table": tables_of(n) for n in ("marginalization", "crossing", "tests", "draws", "coefficient")},
+    **{f"qr_{n}_table": tables_of(n) for n in ("marginalization", "tests", "draws")}, "qr_coefficient_table": coefficients, "qr_crossing_table": crossings,
     **{f"cdf_{m}": _corrected(m) for m in ("none", "cummax", "rearrange", "isotonic")}, "crossing_diagnostics": crossing_diagnostics,
     "km_quantiles": km_quantiles, "breslow_baseline": breslow_baseline, "cox_fixed_beta": cox_fixed_beta,
     "boot_multiplier_se": boot_multiplier_se, "boot_bands": boot_bands, "boot_curve_tests": boot_curve_tests, "sim_truth": sim_truth, "sim_summary": sim_summary, "sim_curves": sim_curves, "streamed_moments": streamed_moments,
@@ -539,6 +550,20 @@ ORACLE_SQL = {
     "boot_curve_tests": f"""WITH {_BOOT_SQL}, z AS (SELECT rep, draws.quantile, draws.estimate - point.estimate AS c FROM draws JOIN point ON point.quantile = draws.quantile), v AS (SELECT quantile, var_samp(c) AS v FROM z GROUP BY quantile),
       o AS (SELECT sqrt(max(estimate * estimate / v)) AS ks, avg(estimate * estimate / v) AS cms FROM point JOIN v ON v.quantile = point.quantile), ee AS (SELECT rep, sqrt(max(c * c / v)) AS k, avg(c * c / v) AS c FROM z JOIN v ON v.quantile = z.quantile GROUP BY rep)
       SELECT round(ks, 7) AS ks, round(cms, 7) AS cms, round(avg(CASE WHEN k > ks THEN 1.0 ELSE 0.0 END), 7) AS ks_p, round(avg(CASE WHEN c > cms THEN 1.0 ELSE 0.0 END), 7) AS cms_p FROM ee, o GROUP BY ks, cms""",
+    "qr_coefficient_table": f"""WITH d AS ({ORDER}), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
+      b AS (SELECT g, f, tau, min(y) FILTER (cw >= tau * tw) AS b FROM c, (VALUES {_grid_sql(31)}) t(tau) GROUP BY g, f, tau), l AS (SELECT min(f) AS f FROM d)
+      SELECT b.g AS "group", round(b.tau, 6) AS grid_value, CASE WHEN b.f = l.f THEN '(Intercept)' ELSE 'f' || b.f END AS term, round(b.b - CASE WHEN b.f = l.f THEN 0 ELSE a.b END, 4) + 0 AS coef
+      FROM b, l JOIN b a ON a.f = l.f WHERE a.g = b.g AND a.tau = b.tau""",
+    "qr_crossing_table": f"""WITH d AS ({ORDER}), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
+      b AS (SELECT g, f, tau, min(y) FILTER (cw >= tau * tw) AS b FROM c, (VALUES {_grid_sql(10)}) t(tau) GROUP BY g, f, tau),
+      k AS (SELECT g, f, tau, b, lag(b) OVER (PARTITION BY g, f ORDER BY tau) - b AS fall FROM b),
+      x AS (SELECT g, f, count(*) FILTER (fall > 1e-8) AS pairs, coalesce(max(fall) FILTER (fall > 1e-8), CAST(0 AS DOUBLE)) AS most FROM k GROUP BY g, f),
+      n AS (SELECT g, f, count(*) AS n FROM d GROUP BY g, f)
+      SELECT distribution, stage, CASE WHEN stage = 'raw' THEN 'none' ELSE 'rearrange' END AS correction, CAST(sum(n.n) AS BIGINT) AS rows, CAST(9 * sum(n.n) AS BIGINT) AS quantile_pairs,
+       CAST(coalesce(sum(n.n) FILTER (stage = 'raw' AND pairs > 0), 0) AS BIGINT) AS crossing_rows, CAST(coalesce(sum(n.n * pairs) FILTER (stage = 'raw'), 0) AS BIGINT) AS crossing_pairs,
+       round(coalesce(max(most) FILTER (stage = 'raw'), 0), 6) AS max_crossing
+      FROM (VALUES ('reference_model_X0', 0, 0), ('reference_model_X1_counterfactual', 0, 1), ('comparison_model_X1', 1, 1)) v(distribution, model, rows), (VALUES ('raw'), ('corrected')) s(stage)
+       JOIN n ON true JOIN x ON x.f = n.f WHERE n.g = v.rows AND x.g = v.model GROUP BY distribution, stage""",
     "sim_truth": _truth_sql(),
     "sim_summary": f"""WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{r[0]}', {r[1]}, '{r[2]}', CAST({r[3]} AS DOUBLE), CAST({r[4]!r} AS DOUBLE), CAST({r[6]!r} AS DOUBLE), CAST({r[7]!r} AS DOUBLE), {r[8]})" for r in _sim_rows())}) t(scenario, r, effect, quantile, estimate, error, se, covered))
       SELECT scenario, effect, quantile, count(*) AS replications, round(avg(error), 9) AS bias, round(stddev_samp(estimate), 9) AS monte_carlo_sd, round(sqrt(avg(error * error)), 9) AS rmse, round(avg(se), 9) AS mean_std_error,
