@@ -154,7 +154,7 @@ PREFIX_BITS = 12
 FEW_SHINGLES, FEW_SHARE = 64, 0.19
 _HASH_CHUNK = 1 << 15
 #: Shingles of a chunk of a group; two chunks at most are compared by a task at a time.
-UNIT_SHINGLES = 250_000
+UNIT_SHINGLES = 100_000
 
 
 def bit_share(similarity: float) -> float:
@@ -418,9 +418,11 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         across = one.join(two, (one["v"] == two["v"]) & (one["a"] > two["b"]) & (one["ac"] != two["bc"]) & _close("a", "b", similarity)).select("a", "b").distinct()
         more = materialize(across, "near-pairs")
         if not more.isEmpty():
-            both = materialize(near.union(more), "near-pairs")
-            drop(near, groups)
-            near, groups = both, connected_components(both)
+            # groups are stars already, which the new pairs join
+            stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = connected_components(stars.union(more))
+            drop(groups)
+            groups = joined
         drop(more)
     drop(near, once, prints, variants, named, open_)
     links = _verified(docs, groups, id_col, text_col, words, similarity)
