@@ -106,7 +106,7 @@ def _best() -> F.Column:
     return F.struct((-F.col("n_chars")).alias("rank"), F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("slot").alias("slot"))
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2_000) -> Index:
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
     slots = materialize(keyed.select("doc_id", "key", "n_chars", F.unhex(F.sha2("norm", 256)).alias("sha"), F.monotonically_increasing_id().alias("slot")), "dedup-slots")
@@ -137,7 +137,7 @@ def _compared(docs: DataFrame, chains: DataFrame, pages: DataFrame, id_col: str,
     return out
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and ``key``, ``n_chars``."""
     index = build_index(docs, id_col, text_col, capacity)
     pages, first_overflow = index.pages, index.directory.buckets
