@@ -86,8 +86,8 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
 
     A pass returns, for a batch of quantiles, the rows in the band and the sums of
     the others. The reduced problem is solved exactly; another pass looks for
-    globbed rows on the wrong side, which come into the band, until there are
-    none. The band holds about n^(2/3) rows.
+    globbed rows on the wrong side. A few of them make the solution the next
+    pilot; many, a wider band around the old one; until there are none.
     """
     n, p = blocks.rows, blocks.p
     size = int(min(n, max(p + 1, 20 * p, np.floor(n ** (2 / 3) * np.sqrt(p)))))
@@ -108,14 +108,14 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
     out, ok, its = np.zeros((p, len(taus))), np.zeros(len(taus), bool), np.zeros(len(taus), int)
     for at in range(0, len(taus), BATCH):
         batch = list(range(at, min(at + BATCH, len(taus))))
-        width, lows, highs = size, {}, {}
+        reach, lows, highs = dict.fromkeys(batch, 1.0), {}, {}
         pilots = dict(zip(batch, _side_by_side(lambda k: qrkernel.exact(sx, sy, taus[k])[0], batch, n)))
         for _ in range(12):
             if not batch:
                 break
             for k in batch:
                 r = np.sort((sy - sx @ pilots[k]) / sw)
-                half = max(width / (2 * n), 2 * np.sqrt(p * taus[k] * (1 - taus[k]) / len(r)))
+                half = reach[k] * max(size / (2 * n), 3 * np.sqrt(p * taus[k] * (1 - taus[k]) / len(r)))
                 place = lambda q, r=r: r[int(np.clip(np.ceil(q * len(r)) - 1, 0, len(r) - 1))]
                 lows[k] = place(taus[k] - half) if taus[k] > half else -np.inf
                 highs[k] = place(taus[k] + half) if taus[k] + half < 1 else np.inf
@@ -130,12 +130,13 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
             for k, found in zip(batch, _side_by_side(fit, batch, n)):
                 out[:, k], ok[k], its[k] = found
             wrong = _wrong(blocks, batch, pilots, lows, highs, out)
-            left = []
-            for k in batch:
-                if wrong[k]:
+            left = [k for k in batch if wrong[k]]
+            for k in left:
+                if wrong[k] <= 0.1 * len(reduced[k][1]):
                     pilots[k] = out[:, k].copy()
-                    left.append(k)
-            batch, width = left, width * 2
+                else:  # the band has missed the fit, which says nothing about where it is
+                    reach[k] *= 2
+            batch = left
         for k in batch:
             ok[k] = False
     return out, ok, its

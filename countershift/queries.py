@@ -25,6 +25,8 @@ PRICE = """SELECT CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS g, CAST(l_ex
  CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2, l_returnflag AS f FROM lineitem"""
 ORDER = """SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS g, CAST(o_totalprice AS DOUBLE) AS y, CAST(1 + o_custkey % 7 AS DOUBLE) AS w,
  o_orderpriority AS f FROM orders WHERE o_orderstatus IN ('O', 'F')"""
+#: Weights of which no sum is a level's share of another, so that quantiles are unique.
+UNEVEN = f"SELECT g, y, sqrt(w) AS w, f FROM ({ORDER})"
 JOINED = """SELECT CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS g, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS w, c_mktsegment AS f
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 DURATION = """SELECT CAST(user_id % 2 AS INT) AS g, CAST(value AS DOUBLE) AS y, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS event,
@@ -221,8 +223,8 @@ def tables_of(name: str):
 
 
 def coefficients(spark, sf_dir):
-    """Coefficients of a saturated process: differences of the cells' quantiles (at levels that split no cell exactly, where they are unique)."""
-    table = R.coefficient_table(spark, counterfactual_decompose("y ~ f", view(spark, sf_dir, ORDER), "g", "w", "qr", "pfnb", Control(nreg=31)))
+    """Coefficients of a saturated process: differences of the cells' quantiles."""
+    table = R.coefficient_table(spark, counterfactual_decompose("y ~ f", view(spark, sf_dir, UNEVEN), "g", "w", "qr", "pfnb", Control(nreg=10)))
     return table.select("group", F.round("grid_value", 6).alias("grid_value"), "term", (F.round("coef", 4) + 0).alias("coef"))
 
 
@@ -550,8 +552,8 @@ ORACLE_SQL = {
     "boot_curve_tests": f"""WITH {_BOOT_SQL}, z AS (SELECT rep, draws.quantile, draws.estimate - point.estimate AS c FROM draws JOIN point ON point.quantile = draws.quantile), v AS (SELECT quantile, var_samp(c) AS v FROM z GROUP BY quantile),
       o AS (SELECT sqrt(max(estimate * estimate / v)) AS ks, avg(estimate * estimate / v) AS cms FROM point JOIN v ON v.quantile = point.quantile), ee AS (SELECT rep, sqrt(max(c * c / v)) AS k, avg(c * c / v) AS c FROM z JOIN v ON v.quantile = z.quantile GROUP BY rep)
       SELECT round(ks, 7) AS ks, round(cms, 7) AS cms, round(avg(CASE WHEN k > ks THEN 1.0 ELSE 0.0 END), 7) AS ks_p, round(avg(CASE WHEN c > cms THEN 1.0 ELSE 0.0 END), 7) AS cms_p FROM ee, o GROUP BY ks, cms""",
-    "qr_coefficient_table": f"""WITH d AS ({ORDER}), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
-      b AS (SELECT g, f, tau, min(y) FILTER (cw >= tau * tw) AS b FROM c, (VALUES {_grid_sql(31)}) t(tau) GROUP BY g, f, tau), l AS (SELECT min(f) AS f FROM d)
+    "qr_coefficient_table": f"""WITH d AS ({UNEVEN}), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
+      b AS (SELECT g, f, tau, min(y) FILTER (cw >= tau * tw) AS b FROM c, (VALUES {_grid_sql(10)}) t(tau) GROUP BY g, f, tau), l AS (SELECT min(f) AS f FROM d)
       SELECT b.g AS "group", round(b.tau, 6) AS grid_value, CASE WHEN b.f = l.f THEN '(Intercept)' ELSE 'f' || b.f END AS term, round(b.b - CASE WHEN b.f = l.f THEN 0 ELSE a.b END, 4) + 0 AS coef
       FROM b, l JOIN b a ON a.f = l.f WHERE a.g = b.g AND a.tau = b.tau""",
     "qr_crossing_table": f"""WITH d AS ({ORDER}), c AS (SELECT *, sum(w) OVER (PARTITION BY g, f ORDER BY y) AS cw, sum(w) OVER (PARTITION BY g, f) AS tw FROM d),
