@@ -20,7 +20,7 @@ def as_bool(text: str) -> bool:
 
 def distinct_paths(paths: dict[str, str | None]) -> None:
     """No two paths are the same place or lie inside each other's file."""
-    real = {k: os.path.realpath(v) for k, v in paths.items() if v}
+    real = {k: v.rstrip("/") if "://" in v else os.path.realpath(v) for k, v in paths.items() if v}
     names = list(real)
     for i, a in enumerate(names):
         for b in names[:i]:

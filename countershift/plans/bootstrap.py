@@ -14,9 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
-import uuid
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, fields
 
@@ -35,6 +33,7 @@ from countershift.operators.models import Fit
 from countershift.operators.qr import fit_process
 from countershift.plans.decompose import Point, estimate_point, evaluate
 from countershift.schemas import EFFECTS
+from countershift.sources.files import files_of, joined, write_atomic
 
 #: Options that don't change a replication, so runs that differ in them share checkpoints.
 FREE = ("alpha", "robust_se", "crossing_diagnostics", "crossing_tolerance", "bootstrap_progress", "weighted_bootstrap", "grid", "full_grid", "kernel_max_mb")
@@ -318,8 +317,7 @@ def signature(prepared, model, solver, control: Control, engine: str, seed: int,
 def _valid(path: str, name: str, replication: int, k: int) -> dict | None:
     """A checkpoint's content if every field is as it must be."""
     try:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        data = json.loads(files_of(path).read(path))
         ok = data["signature"] == name and data["replication"] == replication and all(len(data["effects"][e]) == k for e in EFFECTS)
         finite = all(v is None or np.isfinite(v) for e in EFFECTS for v in data["effects"][e])
         return data if ok and finite and data["elapsed_sec"] >= 0 and isinstance(data["failures"], list) else None
@@ -327,20 +325,6 @@ def _valid(path: str, name: str, replication: int, k: int) -> dict | None:
         return None
 
 
-def write_atomic(path: str, text: str) -> None:
-    """Write beside the target, then rename over it."""
-    if os.path.isdir(path):
-        raise DecompositionError(f"{path} is a folder")
-    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-    try:
-        with open(temporary, "w", encoding="utf-8") as f:
-            f.write(text)
-        os.replace(temporary, path)
-    finally:
-        if os.path.exists(temporary):
-            os.unlink(temporary)
-
-
 def run_bootstrap(prepared, point: Point, model, solver, control: Control, reps: int, checkpoint_dir, seed: int, spark: SparkSession, formula: str) -> Bootstrap:
     engine = resolve_engine(model, solver, control)
     name = signature(prepared, model, solver, control, engine, seed, formula)
@@ -348,10 +332,10 @@ def run_bootstrap(prepared, point: Point, model, solver, control: Control, reps:
     done: dict[int, dict] = {}
     folder = None
     if checkpoint_dir:
-        folder = os.path.join(checkpoint_dir, f"run_{name}")
-        os.makedirs(folder, exist_ok=True)
+        folder = joined(checkpoint_dir, f"run_{name}")
+        files_of(folder).make_folder(folder)
         for r in range(1, reps + 1):
-            found = _valid(os.path.join(folder, f"rep_{r:06d}.json"), name, r, k)
+            found = _valid(joined(folder, f"rep_{r:06d}.json"), name, r, k)
             if found:
                 done[r] = found
     missing = [r for r in range(1, reps + 1) if r not in done]
@@ -361,14 +345,14 @@ def run_bootstrap(prepared, point: Point, model, solver, control: Control, reps:
         if result["effects"] is not None:
             done[result["replication"]] = result
             if folder:
-                write_atomic(os.path.join(folder, f"rep_{result['replication']:06d}.json"), json.dumps(result))
+                write_atomic(joined(folder, f"rep_{result['replication']:06d}.json"), json.dumps(result))
         else:
             done.setdefault(-result["replication"], result)
     failures = [f for r in done.values() for f in r["failures"]]
     lost = sorted(-r for r in done if r < 0)
     if lost:
         if folder:
-            write_atomic(os.path.join(folder, "bootstrap_failures.csv"), pd.DataFrame(failures).to_csv(index=False))
+            write_atomic(joined(folder, "bootstrap_failures.csv"), pd.DataFrame(failures).to_csv(index=False))
         raise DecompositionError(f"replications {lost[:5]} failed in every attempt: {failures[-1]['message']}")
     order = [done[r] for r in range(1, reps + 1)]
     draws = {e: np.array([[np.nan if v is None else v for v in d["effects"][e]] for d in order], float).reshape(reps, k) for e in EFFECTS}

@@ -17,11 +17,12 @@ from countershift import checks
 from countershift.control import Control
 from countershift.errors import DecompositionError
 from countershift.operators.blocks import LocalBlocks
-from countershift.plans.bootstrap import _attempts, replicate, resolve_engine, write_atomic
+from countershift.plans.bootstrap import _attempts, replicate, resolve_engine
 from countershift.plans.decompose import estimate_point
 from countershift.plans.inference import effect_bands
 from countershift.result import _csv
 from countershift.schemas import EFFECTS
+from countershift.sources.files import files_of, joined, write_atomic
 from countershift.sources.sinks import write_together
 from countershift.sources.synthetic import SCENARIOS, draw, scenario
 
@@ -95,11 +96,11 @@ def simulate_counterfactual_validation(
     control = Control(nreg=nreg, trimming=trimming, reported_quantiles=tuple(reported_quantiles), bootstrap_scheme=bootstrap_scheme)
     settings = {"n_per_group": n_per_group, "solver": solver, "nreg": nreg, "trimming": trimming, "reported_quantiles": control.reported_quantiles, "weighted": weighted, "bootstrap_reps": bootstrap_reps, "bootstrap_scheme": bootstrap_scheme, "seed": seed, "version": 1}
     mark = hashlib.sha256(json.dumps(settings, sort_keys=True, default=list).encode()).hexdigest()[:24]
-    path = lambda n, r: os.path.join(checkpoint_dir, f"simulation_{mark}_{n}_{r:06d}.json")
+    path = lambda n, r: joined(checkpoint_dir, f"simulation_{mark}_{n}_{r:06d}.json")
     done: dict[tuple[str, int], dict] = {}
     tasks = [(n, r) for n in names for r in range(1, replications + 1)]
     if checkpoint_dir:
-        os.makedirs(checkpoint_dir, exist_ok=True)
+        files_of(checkpoint_dir).make_folder(checkpoint_dir)
         for n, r in tasks:
             found = _read(path(n, r), mark, 3 * len(control.reported_quantiles))
             if found:
@@ -144,8 +145,7 @@ def simulate_counterfactual_validation(
 
 def _read(path: str, mark: str, rows: int) -> dict | None:
     try:
-        with open(path, encoding="utf-8") as f:
-            d = json.load(f)
+        d = json.loads(files_of(path).read(path))
         ok = d["mark"] == mark and len(d["rows"]) == rows and all(np.isfinite(x["estimate"]) and np.isfinite(x["truth"]) for x in d["rows"])
         return d if ok and d["elapsed_sec"] >= 0 else None
     except (OSError, ValueError, KeyError, TypeError):

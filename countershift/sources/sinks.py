@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import SparkSession
 
 from countershift.errors import DecompositionError
+from countershift.sources.files import files_of, joined
 
 
 def _plain(name: str) -> str:
@@ -40,35 +41,43 @@ def write_together(folder: str, managed: Iterable[str], writer: Callable[[str],
     failure the old files come back.
     """
     managed, required = [_plain(n) for n in managed], [_plain(n) for n in required]
-    if os.path.exists(folder) and not os.path.isdir(folder):
+    files = files_of(folder)
+    if files.exists(folder) and not files.is_folder(folder):
         raise DecompositionError(f"{folder} is not a folder")
-    os.makedirs(folder, exist_ok=True)
-    stage, aside = (tempfile.mkdtemp(prefix=f".{k}-", dir=folder) for k in ("stage", "aside"))
+    files.make_folder(folder)
+    mark = uuid.uuid4().hex[:12]
+    stage, aside = (joined(folder, f".{k}-{mark}") for k in ("stage", "aside"))
     moved: list[str] = []
     added: list[str] = []
+    local = tempfile.mkdtemp(prefix="countershift-out-")
     try:
-        writer(stage)
-        made = sorted(os.listdir(stage))
+        writer(local)
+        made = sorted(os.listdir(local))
         lacking = set(required) - set(made)
         if lacking or set(made) - set(managed):
             raise DecompositionError(f"missing or unknown output files: {sorted(lacking | (set(made) - set(managed)))}")
+        for place in (stage, aside):
+            files.make_folder(place)
+        for name in made:
+            files.put(os.path.join(local, name), joined(stage, name))
         for name in managed:
-            target = os.path.join(folder, name)
-            if os.path.isdir(target):
+            target = joined(folder, name)
+            if files.is_folder(target):
                 raise DecompositionError(f"{target} is a folder")
-            if os.path.exists(target):
-                os.replace(target, os.path.join(aside, name))
+            if files.exists(target):
+                files.move(target, joined(aside, name))
                 moved.append(name)
         for name in made:
-            os.replace(os.path.join(stage, name), os.path.join(folder, name))
+            files.move(joined(stage, name), joined(folder, name))
             added.append(name)
         return made
     except BaseException:
         for name in added:
-            os.unlink(os.path.join(folder, name))
+            files.delete(joined(folder, name))
         for name in moved:
-            os.replace(os.path.join(aside, name), os.path.join(folder, name))
+            files.move(joined(aside, name), joined(folder, name))
         raise
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
-        shutil.rmtree(aside, ignore_errors=True)
+        shutil.rmtree(local, ignore_errors=True)
+        files.delete(stage)
+        files.delete(aside)

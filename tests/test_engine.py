@@ -356,3 +356,26 @@ def test_every_control_has_a_flag():
     assert (a.qr_bootstrap_engine, a.bootstrap_max_retries, a.dr_tolerance, a.legacy_weighted_quantile, a.cqr_nsteps, a.kernel_max_mb) == ("xy_preprocess", 5, 1e-6, True, 4, 8.0)
     plain = cli.parser().parse_args(line)
     assert all(getattr(plain, f.name) == getattr(Control(), f.name) for f in cli.control_fields())
+
+
+def test_checkpoints_and_outputs_on_any_file_system(spark, data, tmp_path):
+    """Paths with a scheme go through Hadoop's file systems."""
+    place = f"file://{tmp_path}/remote"
+    make = lambda reps: decompose("y ~ x1", data, "group", "weight", "loc", control=SMALL, bootstrap_reps=reps, checkpoint_dir=f"{place}/run")
+    two, three = make(2), make(3)
+    np.testing.assert_array_equal(three.draws["total"][:2], two.draws["total"])
+    folder = tmp_path / "remote" / "run" / f"run_{two.metadata['bootstrap_signature']}"
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == [f"rep_{r:06d}.json" for r in (1, 2, 3)]
+    (folder / "rep_000002.json").write_text("{}")
+    np.testing.assert_array_equal(make(2).draws["total"], two.draws["total"])
+    made = result.write_outputs(three, f"{place}/out")
+    assert result.write_outputs(three, f"{place}/out") == made and set(made) <= {p.name for p in (tmp_path / "remote" / "out").iterdir()}
+
+    def broken(stage):
+        raise ValueError("no")
+
+    before = (tmp_path / "remote" / "out" / made[0]).read_bytes()
+    with pytest.raises(ValueError):
+        write_together(f"{place}/out", made, broken, made)
+    assert (tmp_path / "remote" / "out" / made[0]).read_bytes() == before
+    assert not [p for p in (tmp_path / "remote" / "out").iterdir() if p.is_dir()]
