@@ -1,8 +1,8 @@
 """Exact weighted quantiles of values or of all draws of all rows, without sorting them.
 
 Range, then a histogram of weights and counts, then the few values in the bins
-that hold the wanted ranks. Bins are multiplied by four while those bins hold
-too many values. In memory and few draws: one sort.
+that hold the wanted ranks. While those bins hold too many values, they alone
+are divided into bins again. In memory and few draws: one sort.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from countershift.errors import DecompositionError
 from countershift.functions.ranks import first_reaching, legacy_quantile, tolerance, type7_positions, weighted_type7
 from countershift.operators.blocks import Block, Blocks, LocalBlocks
 
-MAX_BINS = 4_194_304
+#: Times that ranges are divided; doubles have no more to divide then.
+MAX_LEVELS = 12
 Draws = Callable[[Block], np.ndarray]  # rows x draws
 
 
@@ -78,51 +79,79 @@ def select_ranks(blocks: Blocks, draws: Draws, ranks: np.ndarray, n: float, cont
     bottom, top = blocks.reduce(spread, np.maximum) * (-1, 1)
     if bottom == top:
         return np.full(len(ranks), bottom), control.marginal_histogram_bins, 1, 0
-    bins, passes = control.marginal_histogram_bins, 1
-
-    def place(v: np.ndarray, bins: int) -> np.ndarray:
-        return np.clip(np.floor((v - bottom) / (top - bottom) * bins), 0, bins - 1).astype(np.int64)
+    # cells: ranges that hold a rank; each level divides them, so values that lie close together cost a level and no more
+    lows, highs, below, above = np.array([bottom]), np.array([top]), np.zeros(1), np.array([float(n)])
+    levels: list[tuple] = []
+    owner, passes, scale = np.zeros(len(ranks), np.int64), 1, None
+
+    def divided(v: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int) -> np.ndarray:
+        wide = np.maximum(hi - lo, np.finfo(float).tiny)
+        return cell * parts + np.clip(np.floor((v - lo[cell]) / wide[cell] * parts), 0, parts - 1).astype(np.int64)
+
+    def located(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values that lie in a cell, and their cells."""
+        at, cell = np.arange(len(v)), np.zeros(len(v), np.int64)
+        for lo, hi, parts, following in levels:
+            cell = following[divided(v[at], cell, lo, hi, parts)]
+            at, cell = at[cell >= 0], cell[cell >= 0]
+        return at, cell
 
     while True:
+        parts = max(256, control.marginal_histogram_bins // len(lows))
+        size = parts * len(lows)
 
-        def histogram(b: Block, bins=bins):
+        def histogram(b: Block, lo=lows, hi=highs, parts=parts, size=size):
             v = draws(b)
-            at = place(v, bins).ravel()
-            return np.bincount(at, _weights(v, b.w), bins), np.bincount(at, minlength=bins)
+            values, w = v.ravel(), _weights(v, b.w)
+            at, cell = located(values)
+            key = divided(values[at], cell, lo, hi, parts)
+            return np.bincount(key, w[at], size), np.bincount(key, minlength=size)
 
         weights, counts = blocks.reduce(histogram)
         passes += 1
-        running = np.cumsum(weights, dtype=np.longdouble)
-        cumulative = (running * (n / running[-1])).astype(float)
-        cumulative[-1] = n
-        targets = first_reaching(cumulative, ranks, n)
-        wanted = np.unique(targets)
+        running = np.cumsum(weights.reshape(-1, parts), axis=1, dtype=np.longdouble)
+        scale = n / running[0, -1] if scale is None else scale
+        cumulative = (below[:, None] + running * scale).astype(float)
+        # rounding must not leave a rank behind the last value of its cell
+        last = parts - 1 - (counts.reshape(-1, parts)[:, ::-1] > 0).argmax(axis=1)
+        cumulative = np.where(np.arange(parts) >= last[:, None], above[:, None], cumulative)
+        targets = np.array([c * parts + int(first_reaching(cumulative[c], ranks[[k]], n)[0]) for k, c in enumerate(owner)])
+        wanted, owner = np.unique(targets, return_inverse=True)
         candidates = int(counts[wanted].sum())
-        if candidates <= control.marginal_candidate_max or bins >= MAX_BINS:
+        following = np.full(size, -1)
+        following[wanted] = np.arange(len(wanted))
+        levels.append((lows, highs, parts, following))
+        cell, place = np.divmod(wanted, parts)
+        width = (highs - lows)[cell] / parts
+        above = cumulative.ravel()[wanted]
+        below = np.where(place > 0, cumulative.ravel()[np.maximum(wanted - 1, 0)], below[cell])
+        lows, highs = lows[cell] + place * width, lows[cell] + (place + 1) * width
+        if candidates <= control.marginal_candidate_max or len(levels) >= MAX_LEVELS:
             break
-        bins *= 4
-    is_wanted = np.zeros(bins, bool)
-    is_wanted[wanted] = True
 
     def collected(b: Block):
-        v = draws(b).ravel()
-        at = place(v, bins)
-        keep = is_wanted[at]
-        values, back = np.unique(v[keep], return_inverse=True)
-        return values, np.bincount(back, np.repeat(b.w, len(v) // max(len(b.w), 1))[keep], len(values))
+        v = draws(b)
+        values, w = v.ravel(), _weights(v, b.w)
+        at, cell = located(values)
+        order = np.lexsort((values[at], cell))
+        values, cell, w = values[at][order], cell[order], w[at][order]
+        first = np.flatnonzero(np.append(True, (np.diff(values) != 0) | (np.diff(cell) != 0))[: len(values)])
+        return values[first], cell[first], np.add.reduceat(w, first) if len(first) else w
 
     def merged(a, b):
-        values, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-        return values, np.bincount(back, np.concatenate([a[1], b[1]]), len(values))
+        values, cell, w = (np.concatenate(x) for x in zip(a, b))
+        order = np.lexsort((values, cell))
+        values, cell, w = values[order], cell[order], w[order]
+        first = np.flatnonzero(np.append(True, (np.diff(values) != 0) | (np.diff(cell) != 0))[: len(values)])
+        return values[first], cell[first], np.add.reduceat(w, first) if len(first) else w
 
-    values, w = blocks.reduce(collected, merged)
+    values, cell, w = blocks.reduce(collected, merged)
     if len(values) > control.marginal_candidate_max:
-        raise DecompositionError("too many distinct values share the wanted bins; raise marginal_candidate_max")
-    at = place(values, bins)
-    scale, out = n / weights.sum(), np.empty(len(ranks))
-    for k, (bin_, rank) in enumerate(zip(targets, ranks)):
-        inside = at == bin_
-        running = np.cumsum(w[inside]) * scale + (cumulative[bin_ - 1] if bin_ else 0.0)
-        running[-1] = cumulative[bin_]
+        raise DecompositionError("too many distinct values share the wanted ranges; raise marginal_candidate_max")
+    out = np.empty(len(ranks))
+    for k, (c, rank) in enumerate(zip(owner, ranks)):
+        inside = cell == c
+        running = below[c] + np.cumsum(w[inside]) * float(scale)
+        running[-1] = above[c]
         out[k] = values[inside][min(int(np.searchsorted(running, rank - tolerance(n))), inside.sum() - 1)]
-    return out, bins, passes + 1, candidates
+    return out, control.marginal_histogram_bins, passes + 1, candidates

@@ -202,3 +202,19 @@ def test_multiplier_errors_equal_the_analytic_ones(spark):
     assert abs(weights.to_numpy().mean() - 1) < 0.03 and abs(weights.to_numpy().var() - 1) < 0.1
     off = np.corrcoef(weights.to_numpy().T) - np.eye(50)
     assert np.abs(off).max() < 0.25 and abs(off.mean()) < 0.01
+
+
+@pytest.mark.parametrize("outlier", [0.0, 1e6, 1e12, -1e15])
+def test_chunked_quantiles_with_an_outlier(outlier):
+    """Values far closer together than a bin of the whole range is wide."""
+    from countershift.functions.ranks import weighted_type7
+
+    rng = np.random.default_rng(3)
+    y = np.append(rng.normal(size=5000), [outlier] * 2)
+    w = rng.uniform(0.5, 2, len(y))
+    w *= len(y) / w.sum()
+    blocks, probs = LocalBlocks(np.ones((len(y), 1)), y, w), np.array([0.01, 0.25, 0.5, 0.9, 0.999])
+    control = Control(marginal_method="chunked", marginal_histogram_bins=256, marginal_candidate_max=40)
+    found = quantiles(blocks, lambda b: b.y[:, None], 1, probs, control)
+    np.testing.assert_allclose(found.values, weighted_type7(y, w, probs, float(len(y))), rtol=1e-12, atol=1e-12)
+    assert found.method == "chunked"
