@@ -301,3 +301,88 @@ def test_scan_finds_what_alignment_at_every_place_finds(monkeypatch):
         assert every <= found
         seen += len(every)
     assert seen > 40
+
+
+def test_lm_scores_equal_a_plain_sampler(spark):
+    """Scores of a toy corpus against a sampler that draws one table count after the other and averages many sweeps."""
+    rng = np.random.default_rng(9)
+    chain = rng.dirichlet(np.full(14, 0.3), 15)
+    docs = []
+    for i in range(150):
+        at, ws = 14, []
+        for _ in range(int(rng.integers(3, 40))):
+            at = int(rng.choice(14, p=chain[at]))
+            ws.append(f"w{at}")
+        docs.append((i, " ".join(ws)))
+    rows = lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), sweeps=10, samples=60).toPandas().set_index("doc_id")
+
+    pairs = {}
+    for i, text in docs:
+        if not rows.held_out[i]:
+            ws = ["", *text.split(), ""]
+            for u, w in zip(ws, ws[1:]):
+                pairs[u, w] = pairs.get((u, w), 0) + 1
+    words = sorted({w for _, w in pairs})
+    share = lambda values: min(max(sum(v == 1 for v in values) / max(sum(v == 1 for v in values) + 2 * sum(v == 2 for v in values), 1e-9), 0.1), 0.9)
+    tables = dict.fromkeys(pairs, 1)
+    parent = {w: sum(x == w for _, x in pairs) for w in words}
+    d, e, base = share(list(pairs.values())), share(list(parent.values())), 1 / (len(words) + 1)
+    top = dict.fromkeys(words, 1)
+
+    def drawn(n, others, p, discount):
+        t = np.arange(1, n + 1)
+        logs = np.cumsum(np.log((1 + discount * (others + t - 1)) * p)) + np.array([stirling(discount, n, k) for k in t])
+        weights = np.exp(logs - logs.max())
+        return int(rng.choice(t, p=weights / weights.sum()))
+
+    known = {}
+
+    def stirling(discount, n, t):
+        if (discount, n) not in known:
+            row = {1: 0.0}
+            for m in range(1, n):
+                row = {k: np.logaddexp(row.get(k - 1, -np.inf), np.log(m - k * discount) + row[k] if k in row else -np.inf) for k in range(1, m + 2)}
+            known[discount, n] = row
+        return known[discount, n][t]
+
+    def parent_probability(c, t, total, all_tables):
+        return (c - e * t + (1 + e * all_tables) * base) / (1 + total)
+
+    mean, count = dict.fromkeys(pairs, 0.0), 0
+    unseen = {u: 0.0 for u in {u for u, _ in pairs}}
+    lone = dict.fromkeys([*words, None], 0.0)
+    for sweep in range(140):
+        for (u, w), n in pairs.items():
+            if n > 1:
+                others = parent[w] - tables[u, w]
+                p = parent_probability(others, min(top[w], others), sum(parent.values()) - tables[u, w], sum(top.values()))
+                new = drawn(n, sum(t for (v, _), t in tables.items() if v == u) - tables[u, w], p, d)
+                parent[w] += new - tables[u, w]
+                tables[u, w] = new
+        for w in words:
+            top[w] = min(top[w], parent[w])
+            if parent[w] > 1:
+                top[w] = drawn(parent[w], sum(top.values()) - top[w], base, e)
+        if sweep >= 40:
+            count += 1
+            total, all_tables = sum(parent.values()), sum(top.values())
+            at = {w: parent_probability(parent[w], top[w], total, all_tables) for w in words} | {None: parent_probability(0, 0, total, all_tables)}
+            for w, p in at.items():
+                lone[w] += p
+            for u in unseen:
+                own = [(n, tables[u, w]) for (v, w), n in pairs.items() if v == u]
+                customers, seated = sum(n for n, _ in own), sum(t for _, t in own)
+                unseen[u] += (1 + d * seated) / (1 + customers)
+                for (v, w), n in pairs.items():
+                    if v == u:
+                        mean[u, w] += (n - d * tables[u, w] + (1 + d * seated) * at[w]) / (1 + customers)
+    for i, text in docs:
+        ws, score = ["", *text.split(), ""], 0.0
+        for u, w in zip(ws, ws[1:]):
+            if (u, w) in mean:
+                score += np.log10(mean[u, w] / count)
+            else:
+                back = lone.get(w, lone[None]) / count
+                score += np.log10(back * (unseen[u] / count if u in unseen else 1.0))
+        assert abs(score - rows.score[i]) < 0.02 * len(ws) + 0.05
+    assert rows.score.mean() > rows.base_score.mean()
