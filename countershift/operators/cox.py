@@ -20,7 +20,7 @@ from countershift.control import Control
 from countershift.errors import DecompositionError, NotIdentifiedError
 from countershift.functions.ranks import EPS
 from countershift.operators.blocks import Blocks, LocalBlocks, SparkBlocks
-from countershift.operators.frame import running_sums
+from countershift.operators.frame import range_of, running_sums
 from countershift.operators.models import Fit
 
 MAXIT = 50
@@ -247,7 +247,7 @@ def kaplan_meier(frame: DataFrame, time: str, event: str, weight: str, by: list[
     Rows are summed by time before any window, so a window sees distinct times.
     """
     keys = by or []
-    at = frame.groupBy(*keys, F.col(time).alias("time")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(weight).alias("w"))
+    at = frame.groupBy(*keys, F.col(time).alias("time"), range_of(frame, time).alias("range_")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(weight).alias("w"))
     risk = running_sums(at, "time", {"r": F.col("w")}, keys, descending=True)
     step = F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("r"))
     # a zero factor ends the product; logarithms carry the others

@@ -106,16 +106,20 @@ def _targets(r, probs, kind: str) -> list[tuple[float]]:
 RANGES = 256
 
 
+def range_of(rows: DataFrame, column: str) -> Column:
+    """The number of the range, of about equal ones, in which a row's value lies."""
+    cuts = sorted(set(rows.approxQuantile(column, [k / RANGES for k in range(1, RANGES)], 0.5 / RANGES)))
+    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+
+
 def running_sums(rows: DataFrame, order: str, sums: dict[str, Column], by: list[str], descending: bool = False) -> DataFrame:
     """Add running sums (each row's own included) along ``order`` within groups, in two levels.
 
-    Cut points of ``order`` divide the rows into ranges, whatever their group: a
-    window sees one range, and one over the few totals of ranges carries the
-    rest, so that no task holds a large group.
+    The column ``range_`` (:func:`range_of`) divides the rows, whatever their
+    group: a window sees one range, and one over the few totals of ranges
+    carries the rest, so that no task holds a large group.
     """
-    cuts = sorted(set(rows.approxQuantile(order, [k / RANGES for k in range(1, RANGES)], 0.2 / RANGES)))
-    at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = rows.withColumns({f"in_{name}": c for name, c in sums.items()}).withColumn("range_", at)
+    placed = rows.withColumns({f"in_{name}": c for name, c in sums.items()})
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = placed.groupBy(*by, "range_").agg(*[F.sum(f"in_{n}").alias(f"all_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy(way("range_")).rowsBetween(Window.unboundedPreceding, -1)
@@ -181,7 +185,7 @@ def crossing(frame: DataFrame, coefficients: np.ndarray, x: list[str], weight: s
 def breslow(frame: DataFrame, time: str, event: str, weight: str, predictor: Column, by: list[str]) -> DataFrame:
     """Breslow baseline hazard of a fixed linear predictor: rows are summed by time before windows run over distinct times."""
     risk = F.col(weight) * F.exp(predictor)
-    at = frame.groupBy(*by, F.col(time).alias("time")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(risk).alias("s"))
+    at = frame.groupBy(*by, F.col(time).alias("time"), range_of(frame, time).alias("range_")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(risk).alias("s"))
     at_risk = running_sums(at, "time", {"r": F.col("s")}, by, descending=True)
     return running_sums(at_risk, "time", {"hazard": F.col("d") / F.col("r")}, by).select(*by, "time", "d", "r", "hazard").where("d > 0")
 
