@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countershift.llm import bpe, chat, exactdup, langid, licenses, lm, packing, simhash, topk, urls
+from countershift.llm import bpe, chat, exactdup, fim, langid, licenses, lm, packing, simhash, topk, urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,6 +74,10 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_read(spark, sf_dir, "documents"), unit=fim.LINES, seed=7, rate=100, spm=50)
+
+
 # ---- parts of the results above that SQL can express ------------------------------------------
 
 
@@ -105,6 +109,7 @@ QUERIES = {
     "op8_bpe": bpe_round_trip,
     "op9_lm_scoring": lm_scoring,
     "op10_url_filter": url_filter,
+    "op11_fill_in_middle": fill_in_middle,
     "turns_read_back": chat_read_back,
     "language_folds": language_folds,
     "lm_base_scores": lm_base_scores,
@@ -143,6 +148,26 @@ ORACLE_SQL = {
           FROM d WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    # by the places of line ends, without cutting into a list: what comes back is the text itself
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+        c AS (
+          SELECT *, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) - CAST(text = '' OR suffix(text, chr(10)) AS INTEGER) AS n FROM d),
+        k AS (
+          SELECT *, list_transform([1, 9], lambda x: CAST('0x' || h[x:x + 7] AS UBIGINT) % (n + 1)) AS cuts, CAST('0x' || h[17:24] AS UBIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS UBIGINT) % 100 AS h4 FROM c),
+        p AS (
+          SELECT *, regexp_matches(text, '<[PSM]>') OR text = '' OR h3 >= 100 AS plain,
+            CAST(list_sum(list_prepend(0, list_transform(l[1:list_min(cuts)], lambda x: length(x) + 1))) AS BIGINT) AS a,
+            CAST(list_sum(list_prepend(0, list_transform(l[1:list_max(cuts)], lambda x: length(x) + 1))) AS BIGINT) AS b FROM k),
+        o AS (
+          SELECT *, CASE WHEN plain THEN text
+            WHEN h4 < 50 THEN '<S>' || substr(text, b + 1) || '<P>' || left(text, a) || '<M>' || substr(text, a + 1, b - a)
+            ELSE '<P>' || left(text, a) || '<S>' || substr(text, b + 1) || '<M>' || substr(text, a + 1, b - a) END AS output FROM p)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+          CASE WHEN NOT plain THEN least(a, length(text)) END AS prefix_chars, CASE WHEN NOT plain THEN least(b, length(text)) - least(a, length(text)) END AS middle_chars,
+          sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+    """,
     "turns_read_back": """
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
