@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countershift.llm import bpe, chat, exactdup, fim, langid, licenses, lm, packing, simhash, topk, urls
+from countershift.llm import bpe, chat, exactdup, fim, langid, licenses, lm, minhash, packing, simhash, topk, urls
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -78,6 +78,10 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(_read(spark, sf_dir, "documents"), unit=fim.LINES, seed=7, rate=100, spm=50)
 
 
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_components(_read(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 # ---- parts of the results above that SQL can express ------------------------------------------
 
 
@@ -110,6 +114,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring,
     "op10_url_filter": url_filter,
     "op11_fill_in_middle": fill_in_middle,
+    "op12_minhash_dedup": minhash_dedup,
     "turns_read_back": chat_read_back,
     "language_folds": language_folds,
     "lm_base_scores": lm_base_scores,

@@ -6,6 +6,7 @@ import ctypes
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: ASCII white space, the separators between words everywhere in this subpackage.
@@ -33,3 +34,21 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Of sorted batches the runs of rows that are equal in the first ``keys`` (integer) columns, each as one table."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and columns[:, a].tolist() != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = columns[:, a].tolist()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
