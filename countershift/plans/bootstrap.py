@@ -33,6 +33,7 @@ from countershift.operators.models import Fit
 from countershift.operators.qr import fit_process
 from countershift.plans.decompose import Point, estimate_point, evaluate
 from countershift.schemas import EFFECTS
+from countershift.sources.prepare import content_hash
 from countershift.sources.files import files_of, joined, write_atomic
 
 #: Options that don't change a replication, so runs that differ in them share checkpoints.
@@ -299,13 +300,8 @@ def signature(prepared, model, solver, control: Control, engine: str, seed: int,
     content = []
     for g in prepared.groups:
         def digest(b: Block) -> np.ndarray:
-            rows = (np.column_stack([b.x, b.y, b.w, b.cens, b.event]) + 0.0).view(np.uint64)
-            h = np.zeros(len(b.y), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(rows.shape[1]):
-                    h = (h ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                return np.array([h.sum(dtype=np.uint64), len(h)], np.uint64)
+            h = content_hash([*b.x.T, b.y, b.w, b.cens, b.event])
+            return np.array([h.sum(dtype=np.uint64), len(h)], np.uint64)
 
         content.append(g.reduce(digest).tolist())
     settings = {f.name: getattr(control, f.name) for f in fields(control) if f.name not in FREE}

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from countershift.errors import DecompositionError, NotIdentifiedError
 from countershift.functions.linalg import common_columns, triangular
 from countershift.operators.blocks import Blocks, LocalBlocks, SparkBlocks
+from countershift.operators.exact import exact_totals
 from countershift.sources.formula import Design, compile_formula
 
 
@@ -117,17 +118,19 @@ def prepare(formula, data: DataFrame, group, weights=None, model: str = "qr", ce
     if first["bad_w"]:
         raise DecompositionError("weights must be finite and positive")
     kept = complete(frame)
-    sums = kept.groupBy("g").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
-    counts = {int(r["g"]): (r["n"], r["w"]) for r in sums}
+    # exact, so that weights, and all that is drawn or named by them, are the same bits in every layout
+    counts = {int(g): c for g, c in exact_totals(kept, "g", "w").items()}
     if set(counts) != {0, 1}:
         raise DecompositionError("both groups must have complete rows")
     n = sum(c for c, _ in counts.values())
-    mean = sum(w for _, w in counts.values()) / n
+    mean = float(sum(w for _, w in counts.values()) / n)
     scaled = kept.withColumn("w", F.col("w") / mean)
     local = n * (p + 5) * 8 / 2**20 <= kernel_max_mb
     if local:
         arrow = scaled.toArrow()
         table = {c: np.asarray(arrow.column(c).to_numpy(), float) for c in arrow.column_names}
+        order = np.argsort(content_hash(list(table.values())), kind="stable")  # draws go by position, so positions go by content
+        table = {c: v[order] for c, v in table.items()}
         x = np.column_stack([table[f"x_{j}"] for j in range(p)])
         groups = []
         for g in (0, 1):
@@ -141,6 +144,16 @@ def prepare(formula, data: DataFrame, group, weights=None, model: str = "qr", ce
     return reduce_design(out) if reduce else out
 
 
+def content_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row; zeros of either sign are one content."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            h = (h ^ (c + 0.0).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def reduce_design(prepared: Prepared) -> Prepared:
     """Keep the largest set of columns of full rank in both groups."""
     factors = []

@@ -3,6 +3,7 @@
 import json
 import os
 import pickle
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -14,7 +15,8 @@ import countershift as cs
 from countershift import cli, queries, registry, result, udtf
 from countershift.control import Control
 from countershift.errors import DecompositionError, NotIdentifiedError
-from countershift.plans.bootstrap import multipliers, resample_frame, resolve_engine
+from countershift.operators.exact import exact_sums, exact_totals
+from countershift.plans.bootstrap import multipliers, resample_frame, resolve_engine, signature
 from countershift.plans.decompose import counterfactual_decompose as decompose
 from countershift.sources.formula import compile_formula
 from countershift.sources.prepare import prepare, subsample
@@ -144,15 +146,53 @@ def test_distributed_resample(data):
     p.release()
 
 
+LAYOUTS = (2, 3, 5, 7, 11)
+
+
 def test_distributed_draws_do_not_depend_on_the_layout(data):
-    sums = []
-    for n in (2, 7):
+    """Row for row and bit by bit: mean weight, resamples, subsamples and signatures."""
+    seen = []
+    for n in LAYOUTS:
         p = prepare("y ~ x1", data.union(data).repartition(n), "group", "weight", kernel_max_mb=1e-6)
+        rows = [p.mean_weight, signature(p, "loc", None, Control(), "standard", 1, "y ~ x1")]
         for scheme in ("counterfactual", "empirical", "multiplier"):
             drawn = resample_frame(p.groups[1], scheme, 9, 1)
-            sums.append((n, scheme, drawn.total, *drawn.frame.agg(F.round(F.sum("w"), 9), F.round(F.sum(F.col("w") * F.col("y")), 7), F.sum("freq")).first()))
+            rows.append((drawn.total, sorted(map(tuple, drawn.frame.select(*drawn.names).collect()))))
+        rows.append(sorted(map(tuple, subsample(p, 200, 3).groups[0].frame.select("x_1", "y", "w").collect())))
+        seen.append(rows)
         p.release()
-    assert [x[1:] for x in sums[:3]] == [x[1:] for x in sums[3:]]
+    assert all(x == seen[0] for x in seen[1:])
+
+
+def test_draws_in_memory_do_not_depend_on_the_layout(data, tmp_path):
+    seen = []
+    for n in LAYOUTS[:3]:
+        p = prepare("y ~ x1", data.union(data).repartition(n), "group", "weight")
+        taken = subsample(p, 200, 3).groups[0].block
+        seen.append((p.mean_weight, signature(p, "loc", None, Control(), "standard", 1, "y ~ x1"), *(v.tobytes() for v in (*p.groups[0].block, *taken))))
+    assert seen[0] == seen[1] == seen[2]
+    make = lambda frame, reps: decompose("y ~ x1", frame, "group", "weight", "loc", control=Control(nreg=6), bootstrap_reps=reps, checkpoint_dir=str(tmp_path))
+    two, four, fresh = make(data.repartition(3), 2), make(data.repartition(5), 4), decompose("y ~ x1", data.repartition(7), "group", "weight", "loc", control=Control(nreg=6), bootstrap_reps=4)
+    assert two.metadata["bootstrap_signature"] == four.metadata["bootstrap_signature"] == fresh.metadata["bootstrap_signature"]
+    np.testing.assert_array_equal(four.draws["total"], fresh.draws["total"])
+
+
+def test_exact_sums(spark):
+    """Against exact rational sums, for doubles of every size, in several layouts."""
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 2.0**52, 1 / 3, 8.0, float(np.nextafter(8.0, 0)), 2.0**1020, -(2.0**-1070)]
+    values += (rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)).tolist() + (rng.random(300) * 100).tolist()
+    rows = [(None if k % 7 == 0 else k % 3, None if k % 50 == 49 else v) for k, v in enumerate(values)] + [(9, None)]
+    expected = {}
+    for k, v in rows:
+        if v is not None:
+            expected[k] = expected.get(k, Fraction(0)) + Fraction(v)
+    for n in LAYOUTS:
+        frame = spark.createDataFrame(rows, "k int, v double").repartition(n)
+        found = {r["k"]: r["exact_sum"] for r in exact_sums(frame, ["k"], "v").collect()}
+        assert found == {k: float(v) for k, v in expected.items()}
+        assert {k: t for k, (_, t) in exact_totals(frame, "k", "v").items()} == expected
+    assert exact_sums(spark.createDataFrame([], "k int, v double"), ["k"], "v").collect() == []
 
 
 def test_distributed_bootstrap_resumes_on_another_layout(data, tmp_path):
