@@ -30,6 +30,13 @@ def _whole(v: Column, b: Column) -> Column:
     return (v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)).cast("long").cast("decimal(38,0)")
 
 
+def _rounded(total: Fraction) -> float:
+    try:
+        return float(total)
+    except OverflowError:
+        return float("inf") if total > 0 else float("-inf")
+
+
 def _value(bins, wholes) -> Fraction:
     return sum((Fraction(int(w)) * Fraction(2) ** (WIDTH * int(b) - KEPT) for b, w in zip(bins, wholes)), Fraction(0))
 
@@ -51,7 +58,7 @@ def exact_sums(frame: DataFrame, keys: list[str], column: str, name: str = "exac
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
         out = part.iloc[:1][keys].copy()
-        out[name] = float(_value(part["bin_"], part["whole_"]))
+        out[name] = _rounded(_value(part["bin_"], part["whole_"]))
         return out
 
     return binned(frame, keys, column).groupBy(*keys).applyInPandas(joined, schema)

@@ -229,15 +229,17 @@ def multiplier_quantile_draws(frame: DataFrame, key: str, y: str, group: str, we
     return found.groupBy(F.floor(F.col("cell") / 2).cast("int").alias("rep"), F.col("p").alias("quantile")).agg((side(1) - side(0)).alias("estimate"))
 
 
-def bands(draws: DataFrame, point: DataFrame, alpha: float, z: float) -> DataFrame:
-    """Standard errors and bands of draws (rep, quantile, estimate) around points (quantile, estimate), by aggregates."""
-    se = draws.groupBy("quantile").agg(F.stddev_samp("estimate").alias("se"), F.count("estimate").alias("reps_effective"))
-    joint = point.join(se, "quantile")
-    largest = draws.withColumnRenamed("estimate", "d").join(F.broadcast(joint), "quantile").where("se > 0").groupBy("rep").agg(F.max(F.abs(F.col("d") - F.col("estimate")) / F.col("se")).alias("t"))
-    critical = largest.agg(F.coalesce(F.percentile("t", F.lit(1 - alpha)), F.lit(0.0)).alias("c"))
-    e, s, c = F.col("estimate"), F.col("se"), F.col("c")
-    return joint.join(F.broadcast(critical)).select(
-        "quantile", "estimate", F.col("se").alias("std_error"), (e - z * s).alias("pointwise_lower"), (e + z * s).alias("pointwise_upper"), (e - c * s).alias("uniform_lower"), (e + c * s).alias("uniform_upper"), "reps_effective"
+def bands(draws: DataFrame, point: DataFrame, alpha: float, z: float, by: list[str] | None = None) -> DataFrame:
+    """Standard errors and bands of draws (rep, quantile, estimate) around points (quantile, estimate), by aggregates; ``by`` keeps curves apart."""
+    by = by or []
+    se = draws.groupBy(*by, "quantile").agg(F.stddev_samp("estimate").alias("se"), F.count("estimate").alias("reps_effective"))
+    joint = point.join(se, [*by, "quantile"])
+    largest = draws.withColumnRenamed("estimate", "d").join(joint, [*by, "quantile"]).where("se > 0").groupBy(*by, "rep").agg(F.max(F.abs(F.col("d") - F.col("estimate")) / F.col("se")).alias("t"))
+    critical = largest.groupBy(*by).agg(F.percentile("t", F.lit(1 - alpha)).alias("c"))
+    e, s, c = F.col("estimate"), F.col("se"), F.coalesce("c", F.lit(0.0))
+    both = joint.join(critical, by, "left") if by else joint.join(F.broadcast(critical))
+    return both.select(
+        *by, "quantile", "estimate", F.col("se").alias("std_error"), (e - z * s).alias("pointwise_lower"), (e + z * s).alias("pointwise_upper"), (e - c * s).alias("uniform_lower"), (e + c * s).alias("uniform_upper"), "reps_effective"
     )
 
 

@@ -328,7 +328,7 @@ def boot_curve_tests(spark, sf_dir):
     return ops.curve_tests(draws, point).select(*[F.round(c, 7).alias(c) for c in ("ks", "cms", "ks_p", "cms_p")])
 
 
-def _rounds_sql(source: str) -> str:
+def mixing_rounds_sql(source: str) -> str:
     """Relations h1, h2, h3 over rows (k, rep, ...): a round of mixing each; ``h`` at the end."""
     steps = [f"h0 AS (SELECT *, (k % {ops._PRIME} + (k >> 31) * 69621) % {ops._PRIME} AS h FROM {source})"]
     for i, factor in enumerate(ops._ROUNDS):
@@ -337,7 +337,7 @@ def _rounds_sql(source: str) -> str:
 
 
 _BOOT_SQL = f"""d AS (SELECT g, y, w, CAST(k AS BIGINT) AS k FROM ({DURATION})), x AS (SELECT g, y, w, k, unnest(range(1, {REPS + 1})) AS rep FROM d),
- {_rounds_sql("x")},
+ {mixing_rounds_sql("x")},
  e AS (SELECT rep, g, y, w * -ln((h + CAST(0.5 AS DOUBLE)) / CAST({ops._PRIME} AS DOUBLE)) AS w FROM h{len(ops._ROUNDS)}),
  m AS (SELECT rep, g, sum(w * y) / sum(w) AS m FROM e GROUP BY rep, g),
  b AS (SELECT rep, max(m) FILTER (g = 1) - max(m) FILTER (g = 0) AS effect FROM m GROUP BY rep),

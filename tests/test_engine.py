@@ -1,6 +1,7 @@
 """The engine on Spark: modes agree, invariances, preparation, bootstrap, files, registry, SQL."""
 
 import json
+import math
 import os
 import pickle
 from fractions import Fraction
@@ -181,7 +182,7 @@ def test_exact_sums(spark):
     """Against exact rational sums, for doubles of every size, in several layouts."""
     rng = np.random.default_rng(3)
     values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, 2.0**52, 1 / 3, 8.0, float(np.nextafter(8.0, 0)), 2.0**1020, -(2.0**-1070)]
-    values += (rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)).tolist() + (rng.random(300) * 100).tolist()
+    values += (rng.normal(size=400) * 10.0 ** rng.integers(-300, 290, 400)).tolist() + (rng.random(300) * 100).tolist()
     rows = [(None if k % 7 == 0 else k % 3, None if k % 50 == 49 else v) for k, v in enumerate(values)] + [(9, None)]
     expected = {}
     for k, v in rows:
@@ -190,7 +191,7 @@ def test_exact_sums(spark):
     for n in LAYOUTS:
         frame = spark.createDataFrame(rows, "k int, v double").repartition(n)
         found = {r["k"]: r["exact_sum"] for r in exact_sums(frame, ["k"], "v").collect()}
-        assert found == {k: float(v) for k, v in expected.items()}
+        assert found == {k: float(v) if abs(v) < 2**1024 else math.copysign(math.inf, v) for k, v in expected.items()}
         assert {k: t for k, (_, t) in exact_totals(frame, "k", "v").items()} == expected
     assert exact_sums(spark.createDataFrame([], "k int, v double"), ["k"], "v").collect() == []
 
