@@ -22,8 +22,8 @@ How hot values and large groups are kept from growing:
 * lists that still hold several components compare the sketches of nodes of
   different components, in units of two bounded chunks; nodes of a list's
   largest component are sent only to chunks of the others. A node proposes its
-  best few partners, links join components, and rounds go on with four times as
-  many until every pair that passes the estimate was compared or joined;
+  best few partners, links join components, then more, and in the last round all
+  that are left: every pair that passes the estimate was compared or joined;
 * a text that many are compared with is sent once for ``BANK`` of them.
 
 The number of compared sketches can still be quadratic for one family: documents
@@ -39,6 +39,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -59,9 +60,9 @@ LOSS = 1e-5
 #: Nodes from which on a value is hot.
 HOT = 1000
 #: Nodes of a chunk of a list, and partners of one text in a task.
-CHUNK, BANK = 1024, 256
-#: Partners that a node proposes in the first round.
-FIRST = 4
+CHUNK, BANK = 512, 256
+#: Partners that a node proposes in a round; in the last, all.
+ROUNDS = (4, 64, 1 << 40)
 #: Rows of narrow tables that are broadcast (checked); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -308,6 +309,10 @@ def _proposed(lists: DataFrame, groups: DataFrame, nodes: DataFrame, limit: int,
     return out
 
 
+def _linked(tried: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, tried).where("linked").select("a", "b")
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least doc_id that links of ``percent`` reach), ``kept`` (it names its component)."""
     if not 50 < percent <= 100:
@@ -323,27 +328,20 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = materialize(_agreeing(stars, nodes, percent), "minhash-pairs")
     tried = [_compared(docs, pairs, nodes, id_col, text_col, words, percent)]
     drop(pairs)
-    limit, open_ = FIRST, True
-    while True:
-        every = tried[0]
-        for t in tried[1:]:
-            every = every.union(t)
-        groups = connected_components(every.where("linked").select("a", "b"))
-        if not open_:  # what the last round proposed was all that there was
-            break
+    groups = connected_components(_linked(tried))
+    for limit in ROUNDS:
         made = _proposed(lists, groups, nodes, limit, percent)
-        known = every.where("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = made.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().join(known, ["a", "b"], "left_anti")
-        fresh = materialize(fresh.select(F.col("b").alias("a"), F.col("a").alias("b")), "minhash-pairs")
-        open_ = not made.where("more").isEmpty()
-        drop(made)
-        if fresh.isEmpty():
-            if not open_:
-                break
-        else:
+        pairs = made.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        known = functools.reduce(DataFrame.union, tried).where("not linked").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        fresh = materialize(pairs.join(known, ["a", "b"], "left_anti"), "minhash-pairs")
+        held_back = not made.where("more").isEmpty()
+        if not fresh.isEmpty():
             tried.append(_compared(docs, fresh, nodes, id_col, text_col, words, percent))
-        drop(groups, fresh)
-        limit *= 4
+            drop(groups)
+            groups = connected_components(_linked(tried))
+        drop(made, fresh)
+        if not held_back:
+            break
 
     named = classes.join(groups, "node", "left").select("d1", "d2", "first_id", "c", F.coalesce("component", "node").alias("component"))
     named = materialize(named, "minhash-named")
