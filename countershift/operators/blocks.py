@@ -225,3 +225,29 @@ class SparkBlocks(Blocks):
 
     def release(self):
         self.frame.unpersist()
+
+
+class Replications(SparkBlocks):
+    """Rows with a multiplier for each of ``reps`` replications, in the binary column ``m_``: a block's ``freq`` is that matrix (rows x reps).
+
+    So one pass reduces all replications together; a block's ``w`` is the weight
+    that all of them multiply.
+    """
+
+    def __init__(self, frame: DataFrame, p: int, rows: int, total: float, transform: np.ndarray | None, reps: int, kind: type):
+        super().__init__(frame, p, rows, total, transform)
+        self.reps, self.kind = reps, kind
+        self.names = [f"x_{j}" for j in range(p)] + ["y", "w", "m_", "cens", "event"]
+
+    def _block(self) -> Callable[[pa.RecordBatch], Block]:
+        width, transform, reps, kind = self.width, self.transform, self.reps, self.kind
+
+        def build(batch: pa.RecordBatch) -> Block:
+            held = batch.column(width + 2)
+            start = np.frombuffer(held.buffers()[1], np.int32)[held.offset] if len(held) else 0
+            m = np.frombuffer(held.buffers()[2], np.uint8)[start : start + len(held) * reps * np.dtype(kind).itemsize].view(kind).reshape(len(held), reps) if len(held) else np.empty((0, reps))
+            columns = {k: np.asarray(c.to_numpy(zero_copy_only=False), float) for k, c in enumerate(batch.columns) if k != width + 2}
+            x = np.column_stack([columns[k] for k in range(width)])
+            return Block(x if transform is None else x @ transform, columns[width], columns[width + 1], m.astype(float), columns[width + 3], columns[width + 4])
+
+        return build

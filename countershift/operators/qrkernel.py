@@ -183,6 +183,11 @@ def band(tau: float, n: float, rule: str, sd: float, iqr: float) -> float | None
     return width if np.isfinite(width) and width > 0 else None
 
 
+def reached(y: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Whether outcomes are at most their fit; those that a fit passes through are, whatever the last bits say."""
+    return y - fit <= 1e-10 * (np.abs(y) + np.abs(fit))
+
+
 def residual_scale(r: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted standard deviation (n / (n - 1)) and interquartile range."""
     mean = np.average(r, weights=w)

@@ -67,91 +67,133 @@ def quantiles(blocks: Blocks, draws: Draws, m: int, probs, control: Control, leg
     return Selection((1 - fraction) * found[:k] + fraction * found[k:], method, passes, bins, candidates, mb)
 
 
-def select_ranks(blocks: Blocks, draws: Draws, ranks: np.ndarray, n: float, control: Control) -> tuple[np.ndarray, int, int, int]:
-    """The value at which cumulative weight (scaled to sum to ``n``) reaches each rank."""
-
-    def spread(b: Block):
-        v = draws(b)
-        if not np.isfinite(v).all():
-            raise DecompositionError("quantiles of non-finite values")
-        return np.array([-v.min(initial=np.inf), v.max(initial=-np.inf)])
-
-    bottom, top = blocks.reduce(spread, np.maximum) * (-1, 1)
-    if bottom == top:
-        return np.full(len(ranks), bottom), control.marginal_histogram_bins, 1, 0
-    # cells: ranges that hold a rank; each level divides them, so values that lie close together cost a level and no more
-    lows, highs, below, above = np.array([bottom]), np.array([top]), np.zeros(1), np.array([float(n)])
-    levels: list[tuple] = []
-    owner, passes, scale = np.zeros(len(ranks), np.int64), 1, None
-
-    def divided(v: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int) -> np.ndarray:
-        wide = np.maximum(hi - lo, np.finfo(float).tiny)
-        return cell * parts + np.clip(np.floor((v - lo[cell]) / wide[cell] * parts), 0, parts - 1).astype(np.int64)
-
-    def located(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _divided(v: np.ndarray, cell: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int) -> np.ndarray:
+    wide = np.maximum(hi - lo, np.finfo(float).tiny)
+    return cell * parts + np.clip(np.floor((v - lo[cell]) / wide[cell] * parts), 0, parts - 1).astype(np.int64)
+
+
+def _summed(values: np.ndarray, cell: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal values of a cell once, with their weights' sum, in order."""
+    order = np.lexsort((values, cell))
+    values, cell, w = values[order], cell[order], w[order]
+    first = np.flatnonzero(np.append(True, (np.diff(values) != 0) | (np.diff(cell) != 0))[: len(values)])
+    return values[first], cell[first], np.add.reduceat(w, first) if len(first) else w
+
+
+class RankSearch:
+    """A search for the values at which cumulative weight (scaled to sum to ``n``) reaches each rank, a pass at a time.
+
+    ``measure`` is what a pass takes from some values and weights, ``merge``
+    joins two of them, ``advance`` takes the whole pass; many searches can share
+    passes. Cells are ranges that hold a rank; each level divides them, so
+    values that lie close together cost a level and no more.
+    """
+
+    def __init__(self, ranks: np.ndarray, n: float, bins: int, limit: int):
+        self.ranks, self.n, self.bins, self.limit = ranks, n, bins, limit
+        self.phase, self.passes, self.levels, self.scale, self.candidates = "spread", 0, [], None, 0
+        self.found: np.ndarray | None = None
+
+    def _located(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the values that lie in a cell, and their cells."""
         at, cell = np.arange(len(v)), np.zeros(len(v), np.int64)
-        for lo, hi, parts, following in levels:
-            cell = following[divided(v[at], cell, lo, hi, parts)]
+        for lo, hi, parts, following in self.levels:
+            cell = following[_divided(v[at], cell, lo, hi, parts)]
             at, cell = at[cell >= 0], cell[cell >= 0]
         return at, cell
 
-    while True:
-        parts = max(256, control.marginal_histogram_bins // len(lows))
-        size = parts * len(lows)
-
-        def histogram(b: Block, lo=lows, hi=highs, parts=parts, size=size):
-            v = draws(b)
-            values, w = v.ravel(), _weights(v, b.w)
-            at, cell = located(values)
-            key = divided(values[at], cell, lo, hi, parts)
-            return np.bincount(key, w[at], size), np.bincount(key, minlength=size)
+    @property
+    def parts(self) -> int:
+        return max(256, self.bins // len(self.lows))
+
+    def measure(self, v: np.ndarray, w: np.ndarray):
+        if self.phase == "spread":
+            if not np.isfinite(v).all():
+                raise DecompositionError("quantiles of non-finite values")
+            return np.array([-v.min(initial=np.inf), v.max(initial=-np.inf)])
+        at, cell = self._located(v)
+        if self.phase == "histogram":
+            key, size = _divided(v[at], cell, self.lows, self.highs, self.parts), self.parts * len(self.lows)
+            return np.stack([np.bincount(key, w[at], size), np.bincount(key, minlength=size).astype(float)])
+        return _summed(v[at], cell, w[at])
+
+    def merge(self, a, b):
+        if self.phase == "spread":
+            return np.maximum(a, b)
+        return a + b if self.phase == "histogram" else _summed(*(np.concatenate(x) for x in zip(a, b)))
+
+    def advance(self, whole) -> None:
+        self.passes += 1
+        if self.phase == "spread":
+            bottom, top = whole * (-1, 1)
+            self.lows, self.highs, self.below, self.above = np.array([bottom]), np.array([top]), np.zeros(1), np.array([float(self.n)])
+            self.owner, self.phase = np.zeros(len(self.ranks), np.int64), "histogram"
+            if bottom == top:
+                self.found, self.phase = np.full(len(self.ranks), bottom), "done"
+        elif self.phase == "histogram":
+            self._narrow(*whole)
+        else:
+            self._pick(*whole)
 
-        weights, counts = blocks.reduce(histogram)
-        passes += 1
+    def _narrow(self, weights: np.ndarray, counts: np.ndarray) -> None:
+        parts, size = self.parts, self.parts * len(self.lows)
         running = np.cumsum(weights.reshape(-1, parts), axis=1, dtype=np.longdouble)
-        scale = n / running[0, -1] if scale is None else scale
-        cumulative = (below[:, None] + running * scale).astype(float)
+        self.scale = self.n / running[0, -1] if self.scale is None else self.scale
+        cumulative = (self.below[:, None] + running * self.scale).astype(float)
         # rounding must not leave a rank behind the last value of its cell
         last = parts - 1 - (counts.reshape(-1, parts)[:, ::-1] > 0).argmax(axis=1)
-        cumulative = np.where(np.arange(parts) >= last[:, None], above[:, None], cumulative)
-        targets = np.array([c * parts + int(first_reaching(cumulative[c], ranks[[k]], n)[0]) for k, c in enumerate(owner)])
-        wanted, owner = np.unique(targets, return_inverse=True)
-        candidates = int(counts[wanted].sum())
+        cumulative = np.where(np.arange(parts) >= last[:, None], self.above[:, None], cumulative)
+        targets = np.array([c * parts + int(first_reaching(cumulative[c], self.ranks[[k]], self.n)[0]) for k, c in enumerate(self.owner)])
+        wanted, self.owner = np.unique(targets, return_inverse=True)
+        self.candidates = int(counts[wanted].sum())
         following = np.full(size, -1)
         following[wanted] = np.arange(len(wanted))
-        levels.append((lows, highs, parts, following))
+        self.levels.append((self.lows, self.highs, parts, following))
         cell, place = np.divmod(wanted, parts)
-        width = (highs - lows)[cell] / parts
-        above = cumulative.ravel()[wanted]
-        below = np.where(place > 0, cumulative.ravel()[np.maximum(wanted - 1, 0)], below[cell])
-        lows, highs = lows[cell] + place * width, lows[cell] + (place + 1) * width
-        if candidates <= control.marginal_candidate_max or len(levels) >= MAX_LEVELS:
-            break
-
-    def collected(b: Block):
-        v = draws(b)
-        values, w = v.ravel(), _weights(v, b.w)
-        at, cell = located(values)
-        order = np.lexsort((values[at], cell))
-        values, cell, w = values[at][order], cell[order], w[at][order]
-        first = np.flatnonzero(np.append(True, (np.diff(values) != 0) | (np.diff(cell) != 0))[: len(values)])
-        return values[first], cell[first], np.add.reduceat(w, first) if len(first) else w
-
-    def merged(a, b):
-        values, cell, w = (np.concatenate(x) for x in zip(a, b))
-        order = np.lexsort((values, cell))
-        values, cell, w = values[order], cell[order], w[order]
-        first = np.flatnonzero(np.append(True, (np.diff(values) != 0) | (np.diff(cell) != 0))[: len(values)])
-        return values[first], cell[first], np.add.reduceat(w, first) if len(first) else w
-
-    values, cell, w = blocks.reduce(collected, merged)
-    if len(values) > control.marginal_candidate_max:
-        raise DecompositionError("too many distinct values share the wanted ranges; raise marginal_candidate_max")
-    out = np.empty(len(ranks))
-    for k, (c, rank) in enumerate(zip(owner, ranks)):
-        inside = cell == c
-        running = below[c] + np.cumsum(w[inside]) * float(scale)
-        running[-1] = above[c]
-        out[k] = values[inside][min(int(np.searchsorted(running, rank - tolerance(n))), inside.sum() - 1)]
-    return out, control.marginal_histogram_bins, passes + 1, candidates
+        width = (self.highs - self.lows)[cell] / parts
+        self.above = cumulative.ravel()[wanted]
+        self.below = np.where(place > 0, cumulative.ravel()[np.maximum(wanted - 1, 0)], self.below[cell])
+        self.lows, self.highs = self.lows[cell] + place * width, self.lows[cell] + (place + 1) * width
+        if self.candidates <= self.limit or len(self.levels) >= MAX_LEVELS:
+            self.phase = "collect"
+
+    def _pick(self, values: np.ndarray, cell: np.ndarray, w: np.ndarray) -> None:
+        if len(values) > self.limit:
+            raise DecompositionError("too many distinct values share the wanted ranges; raise marginal_candidate_max")
+        self.found = np.empty(len(self.ranks))
+        for k, (c, rank) in enumerate(zip(self.owner, self.ranks)):
+            inside = cell == c
+            running = self.below[c] + np.cumsum(w[inside]) * float(self.scale)
+            running[-1] = self.above[c]
+            self.found[k] = values[inside][min(int(np.searchsorted(running, rank - tolerance(self.n))), inside.sum() - 1)]
+        self.phase = "done"
+
+
+def select_ranks(blocks: Blocks, draws: Draws, ranks: np.ndarray, n: float, control: Control) -> tuple[np.ndarray, int, int, int]:
+    """The value at which cumulative weight (scaled to sum to ``n``) reaches each rank, bins, passes and candidates."""
+    search = RankSearch(ranks, n, control.marginal_histogram_bins, control.marginal_candidate_max)
+    while search.phase != "done":
+
+        def measure(b: Block, s=search):
+            v = draws(b)
+            return s.measure(v.ravel(), _weights(v, b.w))
+
+        search.advance(blocks.reduce(measure, search.merge))
+    return search.found, control.marginal_histogram_bins, search.passes, search.candidates
+
+
+def select_together(blocks: Blocks, values: Callable[[Block, int], tuple[np.ndarray, np.ndarray]], ranks: list[np.ndarray], n: list[float], control: Control) -> list[np.ndarray]:
+    """Several selections that share their passes: ``values(block, i)`` are the values and weights of the i-th."""
+    count = max(1, len(ranks))
+    searches = [RankSearch(r, m, max(256, control.marginal_histogram_bins // count), max(1000, control.marginal_candidate_max // count)) for r, m in zip(ranks, n)]
+    while open_ := {i: s for i, s in enumerate(searches) if s.phase != "done"}:
+
+        def measure(b: Block, held=open_):
+            return {i: s.measure(*values(b, i)) for i, s in held.items()}
+
+        def merge(a: dict, b: dict, held=open_):
+            return {i: s.merge(a[i], b[i]) for i, s in held.items()}
+
+        for i, whole in blocks.reduce(measure, merge).items():
+            searches[i].advance(whole)
+    return [s.found for s in searches]

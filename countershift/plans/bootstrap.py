@@ -20,6 +20,7 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +29,10 @@ from countershift.control import Control
 from countershift.errors import DecompositionError
 from countershift.functions.linalg import common_columns, triangular
 from countershift.operators import qrkernel
-from countershift.operators.blocks import Block, LocalBlocks, SparkBlocks
+from countershift.operators.blocks import Block, LocalBlocks, Replications, SparkBlocks
 from countershift.operators.models import Fit
 from countershift.operators.qr import fit_process
+from countershift.plans import shared
 from countershift.plans.decompose import Point, estimate_point, evaluate
 from countershift.schemas import EFFECTS
 from countershift.sources.prepare import content_hash
@@ -159,7 +161,7 @@ def _onestep(blocks: LocalBlocks, fit: Fit) -> Fit:
         previous = start
         for k in sequence:
             if k in inverses:
-                score = (b.w * (fit.grid[k] - (b.y <= b.x @ out[:, previous]))) @ b.x / total
+                score = (b.w * (fit.grid[k] - qrkernel.reached(b.y, b.x @ out[:, previous]))) @ b.x / total
                 out[:, k] = out[:, previous] + inverses[k] @ score
             else:
                 out[:, k] = qrkernel.exact(x, y, fit.grid[k], out[:, previous])[0]
@@ -172,6 +174,8 @@ def _onestep(blocks: LocalBlocks, fit: Fit) -> Fit:
 
 #: Distinct rows of a bucket, about; a task holds one at a time.
 BUCKET_ROWS = 50_000
+#: Rows that a task sends on together where they carry the multipliers of many replications.
+SLICE = 2_000
 
 
 class StableRows:
@@ -194,11 +198,9 @@ class StableRows:
     def release(self) -> None:
         self.frame.unpersist()
 
-    def resample(self, scheme: str, seed: int) -> SparkBlocks:
-        """A resample, compressed; exact in law for the whole group."""
-        import pyarrow as pa
-
-        names, group = self.blocks.names, self.group
+    def _buckets(self):
+        """A function from a task's batches to its buckets and their rows."""
+        names = self.blocks.names
 
         def buckets(batches):
             held, now = [], None
@@ -216,40 +218,79 @@ class StableRows:
             if held:
                 yield now, np.concatenate(held)
 
-        at = names.index("freq")
+        return buckets
 
-        def chance(bucket: int, rows: np.ndarray) -> np.ndarray:
+    def drawn(self, scheme: str, seeds: list[int]):
+        """A function from a bucket and its rows to the multipliers (rows x seeds) of the resamples of these seeds.
+
+        One pass sums the chances of each bucket for all seeds; each resample is
+        a multinomial over buckets, then inside each.
+        """
+        buckets, group, at = self._buckets(), self.group, self.blocks.names.index("freq")
+
+        def chance(bucket: int, rows: np.ndarray, seed: int) -> np.ndarray:
             # a row that stands m times has the sum of m exponential chances
             return rows[:, at] if scheme == "empirical" else np.random.default_rng([seed, group, bucket]).gamma(rows[:, at])
 
+        if scheme == "multiplier":
+            return lambda bucket, rows: np.column_stack([chance(bucket, rows, s) for s in seeds])
+
         def totals(batches):
             for bucket, rows in buckets(batches):
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([float(chance(bucket, rows).sum())])], names=["bucket", "total"])
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([[float(chance(bucket, rows, s).sum()) for s in seeds]], pa.list_(pa.float64()))], names=["bucket", "total"])
 
-        shares: dict[int, int] = {}
-        if scheme != "multiplier":
-            parts = sorted(tuple(r) for r in self.frame.mapInArrow(totals, "bucket int, total double").collect())
-            weights = np.array([t for _, t in parts])
-            drawn = np.random.default_rng([seed, group, 2**20]).multinomial(int(self.blocks.total), weights / weights.sum())
-            shares = {bucket: int(k) for (bucket, _), k in zip(parts, drawn)}
+        parts = sorted((r["bucket"], r["total"]) for r in self.frame.mapInArrow(totals, "bucket int, total array<double>").collect())
+        weights = np.array([t for _, t in parts])
+        split = np.column_stack([np.random.default_rng([s, group, 2**20]).multinomial(int(self.blocks.total), weights[:, k] / weights[:, k].sum()) for k, s in enumerate(seeds)])
+        shares = {bucket: split[k] for k, (bucket, _) in enumerate(parts)}
+
+        def counts(bucket: int, rows: np.ndarray) -> np.ndarray:
+            out = np.empty((len(rows), len(seeds)))
+            for k, s in enumerate(seeds):
+                own = chance(bucket, rows, s)
+                out[:, k] = np.random.default_rng([s, group, bucket, 1]).multinomial(shares[bucket][k], own / own.sum())
+            return out
+
+        return counts
+
+    def resample(self, scheme: str, seed: int) -> SparkBlocks:
+        """A resample, compressed; exact in law for the whole group."""
+        names, buckets, multiplied = self.blocks.names, self._buckets(), self.drawn(scheme, [seed])
 
         def draw(batches):
             for bucket, rows in buckets(batches):
-                own = chance(bucket, rows)
-                counts = own if scheme == "multiplier" else np.random.default_rng([seed, group, bucket, 1]).multinomial(shares[bucket], own / own.sum()).astype(float)
+                counts = multiplied(bucket, rows)[:, 0]
                 keep = np.flatnonzero(counts > 0)
                 columns = {n: rows[keep, k] for k, n in enumerate(names)}
-                if scheme == "multiplier":
-                    # weights are those of all equal rows together, which stay as many
-                    columns["w"] = columns["w"] * counts[keep] / columns["freq"]
-                else:
-                    columns["w"], columns["freq"] = columns["w"] * counts[keep], counts[keep]
+                columns["w"] = columns["w"] * counts[keep]
+                if scheme != "multiplier":  # there all rows stay, as often as they stand
+                    columns["freq"] = counts[keep]
                 yield pa.record_batch([pa.array(columns[n]) for n in names], names=names)
 
         out = self.frame.mapInArrow(draw, ", ".join(f"{n} double" for n in names)).persist()
         rows, total = out.agg(F.count("*"), F.sum("freq")).first()
         return SparkBlocks(out, self.blocks.width, rows, float(total), self.blocks.transform)
 
+    def replicated(self, scheme: str, seeds: list[int]) -> Replications:
+        """All resamples of these seeds at once: each row with its multiplier in every one of them."""
+        names, buckets, multiplied = self.blocks.names, self._buckets(), self.drawn(scheme, seeds)
+        kept, kind = [n for n in names if n != "freq"], np.float64 if scheme == "multiplier" else np.int32
+
+        def draw(batches):
+            for bucket, rows in buckets(batches):
+                for at in range(0, len(rows), SLICE):
+                    # draws go by whole buckets; they are sent in slices
+                    if not at:
+                        m = multiplied(bucket, rows)
+                    part = m[at : at + SLICE].astype(kind)
+                    keep = np.flatnonzero((part > 0).any(axis=1))
+                    columns = {n: rows[at + keep, k] for k, n in enumerate(names)}
+                    held = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.arange(0, (len(keep) + 1) * part.itemsize * len(seeds), part.itemsize * len(seeds), dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(part[keep]))])
+                    yield pa.record_batch([*(pa.array(columns[n]) for n in kept), held], names=[*kept, "m_"])
+
+        out = self.frame.mapInArrow(draw, ", ".join(f"{n} double" for n in kept) + ", m_ binary").persist()
+        return Replications(out, self.blocks.width, out.count(), float(self.blocks.total), self.blocks.transform, len(seeds), kind)
+
 
 def resample_frame(blocks: SparkBlocks, scheme: str, seed: int, group: int) -> SparkBlocks:
     """One resample of a group on executors."""
@@ -283,7 +324,7 @@ def _onestep_passes(blocks, fit: Fit, control: Control) -> Fit:
         fast = [(k, before) for k, before in sides if k in inverses]
         if fast:
             previous, level = out[:, [before for _, before in fast]], taus[[k for k, _ in fast]]
-            scores = blocks.reduce(lambda b, c=previous, t=level: b.x.T @ (b.w[:, None] * (t - (b.y[:, None] <= b.x @ c)))) / total
+            scores = blocks.reduce(lambda b, c=previous, t=level: b.x.T @ (b.w[:, None] * (t - qrkernel.reached(b.y[:, None], b.x @ c)))) / total
             for (k, before), score in zip(fast, scores.T):
                 out[:, k] = out[:, before] + inverses[k] @ score
         for k, _ in sides:
@@ -390,11 +431,29 @@ def _run_small(groups, point, model, solver, control, engine, seed, missing, spa
     state.unpersist()
 
 
+def _shared(rows, point: Point, engine: str, control: Control, seed: int, missing: list[int], one):
+    """Replications whose first attempts share passes; those that shared passes can't fit are tried one by one."""
+    began = time.perf_counter()
+    groups = tuple(x.replicated(control.bootstrap_scheme, [attempt_seed(seed, r, 0) for r in missing]) for x in rows)
+    try:
+        found, good, _ = shared.effects(groups, point, engine, control)
+    finally:
+        for g in groups:
+            g.frame.unpersist()
+    each = (time.perf_counter() - began) / len(missing)
+    for k, r in enumerate(missing):
+        if good[k]:
+            plain = {e: [None if not np.isfinite(v) else float(v) for v in found[e][k]] for e in EFFECTS}
+            yield {"replication": r, "effects": plain, "failures": [], "attempts": 1, "elapsed_sec": each}
+        else:
+            yield one(r)
+
+
 def _run_large(groups, point, model, solver, control, engine, seed, missing, spark):
-    """Replications of groups on executors, ``SIDE_BY_SIDE`` at a time.
+    """Replications of groups on executors: quantile regressions share every pass, other models run ``SIDE_BY_SIDE``.
 
-    The exact engines are one here: the distributed fit keeps rows near its
-    pilot and sums the others, as the XY engine does.
+    The exact engines are one here: refits keep rows near the point estimate and
+    sum the others.
     """
     if not missing:
         return
@@ -416,6 +475,10 @@ def _run_large(groups, point, model, solver, control, engine, seed, missing, spa
         return _attempts(attempt, r, control.bootstrap_max_retries)
 
     try:
+        if shared.supports(model, solver, control, groups, solver not in registry.solvers):
+            for at in range(0, len(missing), shared.TOGETHER):
+                yield from _shared(rows, point, engine, control, seed, missing[at : at + shared.TOGETHER], one)
+            return
         with ThreadPoolExecutor(min(SIDE_BY_SIDE, len(missing))) as pool:
             yield from (f.result() for f in as_completed([pool.submit(one, r) for r in missing]))
     finally:
