@@ -4,8 +4,8 @@ Rows are ordered by time once; every Newton step needs sums over rows at risk.
 In memory these are reversed cumulative sums. On executors the rows lie in time
 ranges: one pass brings each range's totals, the driver carries them from later
 to earlier ranges, a second pass completes the sums inside the ranges. No step
-brings rows to the driver; the baseline brings one number per distinct event
-time.
+brings rows to the driver; the baseline is a table of event times there, and
+what is asked of it are aggregates.
 """
 
 from __future__ import annotations
@@ -61,6 +61,66 @@ def _zero(p: int):
     return 0.0, np.zeros(p), np.zeros(p * (p + 1) // 2)
 
 
+class HazardArrays:
+    """A baseline in memory: event times and cumulative hazards, both ascending."""
+
+    def __init__(self, times: np.ndarray, hazard: np.ndarray):
+        self.times, self.hazard = np.asarray(times, float), np.asarray(hazard, float)
+
+    def ends(self) -> tuple[float, float]:
+        """The last event time and hazard."""
+        return float(self.times[-1]), float(self.hazard[-1])
+
+    def between(self, spans: list[tuple[float, float]], most: int) -> list[list[float]]:
+        """For each open span hazards strictly inside it: all, or ``most`` that divide them about equally."""
+        out = []
+        for lo, hi in spans:
+            a, b = int(np.searchsorted(self.hazard, lo, side="right")), int(np.searchsorted(self.hazard, hi))
+            out.append(self.hazard[np.unique(np.linspace(a, b - 1, min(most, b - a)).astype(int))].tolist() if b > a else [])
+        return out
+
+    def first(self, hazards: list[float]) -> list[float]:
+        """The first event time with each hazard or more."""
+        return self.times[np.searchsorted(self.hazard, hazards)].tolist()
+
+    def release(self) -> None:
+        pass
+
+
+class HazardTable:
+    """The same as a DataFrame (time, hazard), as many rows as there are event times: every question is one aggregate, and only answers reach the driver."""
+
+    def __init__(self, table: DataFrame, kept: list[DataFrame] | None = None):
+        self.table, self.kept = table.persist(), kept or []
+
+    def ends(self) -> tuple[float, float]:
+        r = self.table.agg(F.max("time").alias("time"), F.max("hazard").alias("hazard")).first()
+        return r["time"], r["hazard"]
+
+    def between(self, spans: list[tuple[float, float]], most: int) -> list[list[float]]:
+        inside = [F.when((F.col("hazard") > lo) & (F.col("hazard") < hi), F.col("hazard")) for lo, hi in spans]
+        shares = F.array(*[F.lit((k + 0.5) / most) for k in range(most)])
+        # the least and the greatest are exact, so that a span of few hazards shrinks to none
+        asked = [F.array_union(F.coalesce(F.percentile_approx(c, shares, F.lit(1000)), F.array().cast("array<double>")), F.array_compact(F.array(F.min(c), F.max(c)))).alias(f"s{i}") for i, c in enumerate(inside)]
+        r = self.table.agg(*asked).first()
+        return [sorted(set(r[f"s{i}"])) for i in range(len(spans))]
+
+    def first(self, hazards: list[float]) -> list[float]:
+        r = self.table.agg(*[F.min(F.when(F.col("hazard") >= float(h), F.col("time"))).alias(f"t{i}") for i, h in enumerate(hazards)]).first()
+        return [r[f"t{i}"] for i in range(len(hazards))]
+
+    def release(self) -> None:
+        for df in (self.table, *self.kept):
+            df.unpersist()
+
+    def __reduce__(self):
+        """Where a fit is stored its baseline becomes arrays, up to a checked number of times."""
+        if self.table.count() > MAX_EVENT_TIMES:
+            raise DecompositionError("too many distinct event times to store a baseline")
+        got = self.table.orderBy("time").toArrow()
+        return HazardArrays, (got.column("time").to_numpy(), got.column("hazard").to_numpy())
+
+
 class _Local:
     def __init__(self, blocks: LocalBlocks, columns: list[int]):
         b = blocks.block
@@ -78,7 +138,7 @@ class _Local:
         d = np.add.reduceat(self.event * self.w, first[:-1])
         s0 = np.cumsum(risk)[first[1:] - 1]
         has = d > 0
-        return times[has][::-1], np.cumsum((d[has] / s0[has])[::-1])
+        return HazardArrays(times[has][::-1], np.cumsum((d[has] / s0[has])[::-1]))
 
 
 class _Ranges:
@@ -129,24 +189,27 @@ class _Ranges:
         total = np.sum([r["v"] for r in sorted(self._run(run, _VECTOR, _VECTOR_DDL), key=lambda r: r["k"])], axis=0)
         return float(total[0]), total[1 : 1 + p], total[1 + p :].reshape(p, p)
 
-    def baseline(self, b, shift):
-        carries = self._carries(b, shift)
+    def baseline(self, b, shift) -> HazardTable:
+        """One row per distinct event time: running sums inside the ranges, then those of earlier ranges, of which the driver adds one number each."""
+        build, columns, carries = self.build, self.columns, self._carries(b, shift)
 
-        def run(k, y, e, w, x):
-            times, first, _, risk = _by_time(y, e, w, x, b, shift)
-            d = np.add.reduceat(e * w, first[:-1])
-            s0 = np.cumsum(risk)[first[1:] - 1] + carries[k][0]
-            has = d > 0
-            if has.sum() > MAX_EVENT_TIMES:
-                raise DecompositionError("too many distinct event times")
-            return [{"k": k, "v": [*times[has].tolist(), *(d[has] / s0[has]).tolist()]}]
-
-        rows = [np.array(r["v"]).reshape(2, -1) for r in self._run(run, _VECTOR, _VECTOR_DDL)]
-        times, steps = np.concatenate(rows, axis=1)
-        if len(times) > MAX_EVENT_TIMES:
-            raise DecompositionError("too many distinct event times")
-        order = np.argsort(times)
-        return times[order], np.cumsum(steps[order])
+        def run(batches):
+            blocks = [build(k) for k in batches if k.num_rows]
+            if blocks:
+                y, w, e = (np.concatenate([getattr(k, name) for k in blocks]) for name in ("y", "w", "event"))
+                x, part = np.concatenate([k.x for k in blocks])[:, columns], TaskContext.get().partitionId()
+                times, first, _, risk = _by_time(y, e, w, x, b, shift)
+                d = np.add.reduceat(e * w, first[:-1])
+                has = d > 0
+                steps = (d / (np.cumsum(risk)[first[1:] - 1] + carries[part][0]))[has][::-1]
+                yield pa.record_batch([pa.array(np.full(len(steps), part), pa.int32()), pa.array(times[has][::-1]), pa.array(np.cumsum(steps))], names=["range_", "time", "own"])
+
+        own = self.frame.mapInArrow(run, "range_ int, time double, own double").persist()
+        # ranges descend in time, so those of greater numbers come before
+        totals = sorted(((r["range_"], r["total"]) for r in own.groupBy("range_").agg(F.max("own").alias("total")).collect()), reverse=True)
+        before = np.cumsum([0.0, *(t for _, t in totals)])
+        carry = own.sparkSession.createDataFrame([(k, float(v)) for (k, _), v in zip(totals, before)] or [(-1, 0.0)], "range_ int, carry double")
+        return HazardTable(own.join(F.broadcast(carry), "range_").select("time", (F.col("own") + F.col("carry")).alias("hazard")), [own])
 
 
 _VECTOR = pa.schema([("k", pa.int32()), ("v", pa.list_(pa.float64()))])
@@ -186,50 +249,54 @@ def fit_cox(blocks: Blocks, control: Control, intercept: int = 0) -> Fit:
     if not converged or not np.isfinite(b).all():
         raise NotIdentifiedError("the cox model did not converge")
     shift = rows.largest(b)
-    times, hazard = rows.baseline(b, shift)
+    baseline = rows.baseline(b, shift)
     full = np.zeros((blocks.p, 1))
     full[columns, 0] = b
-    return Fit("cox", times, full, hazard=hazard, shift=shift, info={"log_likelihood": value})
+    return Fit("cox", np.empty(0), full, baseline=baseline, shift=shift, info={"log_likelihood": value})
 
 
 def cox_quantiles(fit: Fit, blocks: Blocks, probs, boundary: str) -> tuple[np.ndarray, int, float]:
-    """First event time at which the mean of 1 - exp(-H(t) risk) reaches each probability: a multi-section search.
+    """First event time at which the mean of 1 - exp(-H(t) risk) reaches each probability: a search over hazards.
 
-    One pass evaluates 16 candidates for each open probability, so few passes do.
+    That mean depends on the time by its hazard alone. One pass evaluates up to
+    18 hazards between the bounds of each open probability, so few passes do;
+    the baseline answers which hazards and which time, wherever it lies.
     """
-    b, shift, hazard = fit.coefficients[:, 0], fit.shift, fit.hazard
-    known: dict[int, float] = {}
+    b, shift, baseline = fit.coefficients[:, 0], fit.shift, fit.baseline
+    known: dict[float, float] = {}
 
-    def evaluate(places: list[int]) -> None:
-        places = sorted(set(places) - set(known))
-        if places:
-            h = hazard[places]
+    def evaluate(hazards) -> None:
+        h = np.array(sorted(set(hazards) - set(known)))
+        if len(h):
 
             def sums(k):
                 risk = np.exp(np.minimum(700, k.x @ b - shift))
                 return (k.w[:, None] * -np.expm1(-h[None, :] * risk[:, None])).sum(axis=0), np.array([k.w.sum()])
 
             values, weight = blocks.reduce(sums)
-            known.update(zip(places, values / weight[0]))
-
-    probs, last = np.asarray(probs, float), len(hazard) - 1
-    evaluate([last])
-    spans = {i: (-1, last) for i, p in enumerate(probs) if p <= known[last] + 64 * EPS}
-    while any(hi - lo > 1 for lo, hi in spans.values()):
-        grid = {i: np.unique(np.linspace(lo, hi, 18)[1:-1].astype(int).clip(lo + 1, hi - 1)) if hi - lo > 1 else [] for i, (lo, hi) in spans.items()}
-        evaluate([int(k) for v in grid.values() for k in v])
-        for i, v in grid.items():
+            known.update(zip(h.tolist(), values / weight[0]))
+
+    probs = np.asarray(probs, float)
+    last, top = baseline.ends()
+    evaluate([top])
+    spans = {i: (0.0, top) for i, p in enumerate(probs) if p <= known[top] + 64 * EPS}
+    open_ = list(spans)
+    while open_:
+        between = dict(zip(open_, baseline.between([spans[i] for i in open_], 16)))
+        open_ = [i for i in open_ if between[i]]
+        evaluate(h for i in open_ for h in between[i])
+        for i in open_:
             lo, hi = spans[i]
-            for k in v:
-                if known[int(k)] >= probs[i] - 64 * EPS:
-                    hi = int(k)
+            for h in between[i]:
+                if known[h] >= probs[i] - 64 * EPS:
+                    hi = h
                     break
-                lo = int(k)
+                lo = h
             spans[i] = (lo, hi)
     out = np.full(len(probs), np.nan)
-    for i, (_, hi) in spans.items():
-        out[i] = fit.grid[hi]
-    return _bounded(out, probs, float(known[last]), fit.grid[-1], boundary)
+    if spans:
+        out[list(spans)] = baseline.first([hi for _, hi in spans.values()])
+    return _bounded(out, probs, float(known[top]), last, boundary)
 
 
 def _bounded(out, probs, top: float, last_time: float, boundary: str):
@@ -247,7 +314,8 @@ def kaplan_meier(frame: DataFrame, time: str, event: str, weight: str, by: list[
     Rows are summed by time before any window, so a window sees distinct times.
     """
     keys = by or []
-    at = frame.groupBy(*keys, F.col(time).alias("time"), range_of(frame, time).alias("range_")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(weight).alias("w"))
+    at = frame.groupBy(*keys, F.col(time).alias("time")).agg(F.sum(F.col(weight) * F.col(event)).alias("d"), F.sum(weight).alias("w")).persist()
+    at = at.withColumn("range_", range_of(at, "time"))
     risk = running_sums(at, "time", {"r": F.col("w")}, keys, descending=True)
     step = F.greatest(F.lit(0.0), 1 - F.col("d") / F.col("r"))
     # a zero factor ends the product; logarithms carry the others
@@ -271,20 +339,12 @@ def km_quantiles(y, event, weights, probs, boundary: str = "na") -> np.ndarray:
 
 
 def km_blocks(blocks: Blocks, probs, boundary: str) -> np.ndarray:
-    """Kaplan-Meier quantiles of a group: rows are summed by time where they lie."""
-
-    def sums(b):
-        times, back = np.unique(b.y, return_inverse=True)
-        return times, np.bincount(back, b.w * b.event, len(times)), np.bincount(back, b.w, len(times))
-
-    def merge(a, b):
-        times, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-        return times, np.bincount(back, np.concatenate([a[1], b[1]])), np.bincount(back, np.concatenate([a[2], b[2]]))
-
-    times, d, w = blocks.reduce(sums, merge)
-    r = np.cumsum(w[::-1])[::-1]
-    cdf = 1 - np.cumprod(np.maximum(0, 1 - d / r))
-    probs = np.asarray(probs, float)
-    reaches = cdf[None, :] >= probs[:, None] - 64 * EPS
-    out = np.where(reaches.any(axis=1), times[reaches.argmax(axis=1)], np.nan)
-    return _bounded(out, probs, float(cdf[-1]), times[d > 0][-1], boundary)[0]
+    """Kaplan-Meier quantiles of a group. On executors the running product goes by ranges of times, and the driver sees the quantiles alone."""
+    if isinstance(blocks, LocalBlocks):
+        b = blocks.block
+        return km_quantiles(b.y, b.event, b.w, probs, boundary)
+    table = kaplan_meier(blocks.frame, "y", "event", "w")
+    asked = [F.min(F.when(F.col("cdf") >= float(p) - 64 * EPS, F.col("time"))).alias(f"q{i}") for i, p in enumerate(probs)]
+    r = table.agg(F.max("cdf").alias("top"), F.max(F.when(F.col("d") > 0, F.col("time"))).alias("last"), F.max("time").alias("end"), *asked).first()
+    out = np.array([np.nan if r[f"q{i}"] is None else r[f"q{i}"] for i in range(len(probs))])
+    return _bounded(out, probs, float(r["top"]), r["end"] if r["last"] is None else r["last"], boundary)[0]

@@ -15,17 +15,22 @@ DISTRIBUTION_MODELS = ("logit", "probit", "cloglog", "lpm")
 
 @dataclass
 class Fit:
-    """``grid``: quantiles, or thresholds of a distribution model, or a Cox model's event times."""
+    """``grid``: quantiles, or thresholds of a distribution model; empty for the others."""
 
     kind: str
     grid: np.ndarray
     coefficients: np.ndarray  # p x len(grid); one column for location models and Cox
     residuals: np.ndarray | None = None
     scale: np.ndarray | None = None
-    hazard: np.ndarray | None = None
+    baseline: object | None = None  # a Cox model's, in memory or a table
     shift: float = 0.0
     info: dict = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Free what lies on executors."""
+        if self.baseline is not None:
+            self.baseline.release()
+
     @property
     def draws_per_row(self) -> int:
         return len(self.residuals) if self.residuals is not None else self.coefficients.shape[1]

@@ -467,7 +467,10 @@ def _run_large(groups, point, model, solver, control, engine, seed, missing, spa
                 if engine == "onestep":
                     fits = tuple(_onestep_passes(b, fit, control) for b, fit in zip(drawn, point.fits))
                     return evaluate(drawn, fits, model, control, with_observed=False)[0]
-                return estimate_point(_full_rank(drawn), model, solver, control, with_observed=False).effects
+                own = estimate_point(_full_rank(drawn), model, solver, control, with_observed=False)
+                for fit in own.fits:
+                    fit.release()
+                return own.effects
             finally:
                 for d in drawn:
                     d.frame.unpersist()

@@ -11,7 +11,7 @@ from countershift.control import Control
 from countershift.functions.curves import normal_quantile
 from countershift.operators import frame as ops
 from countershift.operators.blocks import LocalBlocks
-from countershift.operators.cox import cox_quantiles, kaplan_meier
+from countershift.operators.cox import HazardTable, cox_quantiles, kaplan_meier
 from countershift.operators.models import Fit
 from countershift.plans.decompose import counterfactual_decompose
 from countershift.plans.simulate import RAW, summarise
@@ -290,8 +290,8 @@ def breslow_baseline(spark, sf_dir):
 
 def cox_fixed_beta(spark, sf_dir):
     data = view(spark, sf_dir, DURATION)
-    rows = ops.breslow(data.where("g = 0"), "y", "event", "w", 0.3 * F.col("x1"), ["g"]).orderBy("time").collect()
-    fit = Fit("cox", np.array([r["time"] for r in rows]), np.array([[0.0], [0.3]]), hazard=np.array([r["hazard"] for r in rows]))
+    baseline = HazardTable(ops.breslow(data.where("g = 0"), "y", "event", "w", 0.3 * F.col("x1"), ["g"]).select("time", "hazard"))
+    fit = Fit("cox", np.empty(0), np.array([[0.0], [0.3]]), baseline=baseline)
     p = prepare("y ~ x1", data, "g", "w", "cox", event="event")
     out = [(g, float(q), float(v)) for g, b in enumerate(p.groups) for q, v in zip(KM_PROBS, cox_quantiles(fit, b, KM_PROBS, "na")[0])]
     return spark.createDataFrame(out, "g int, p double, q double")

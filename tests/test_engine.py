@@ -420,3 +420,46 @@ def test_checkpoints_and_outputs_on_any_file_system(spark, data, tmp_path):
         write_together(f"{place}/out", made, broken, made)
     assert (tmp_path / "remote" / "out" / made[0]).read_bytes() == before
     assert not [p for p in (tmp_path / "remote" / "out").iterdir() if p.is_dir()]
+
+
+def test_survival_on_executors_equals_memory(spark):
+    """Heavily tied and all-distinct times, no event behind a time, one time for all; the driver sees answers only."""
+    from countershift.operators.cox import HazardArrays, HazardTable, cox_quantiles, fit_cox, km_blocks
+
+    rng = np.random.default_rng(12)
+    n = 1200
+    for times in (rng.integers(1, 9, n).astype(float), rng.exponential(size=n), np.where(rng.uniform(size=n) < 0.4, 2.5, rng.exponential(size=n) * 3)):
+        d = pd.DataFrame({"t": times, "x": rng.integers(0, 2, n).astype(float), "e": (rng.uniform(size=n) < 0.7).astype(int), "g": np.arange(n) % 2, "w": rng.uniform(0.5, 2, n)})
+        table = spark.createDataFrame(d).repartition(5)
+        near, far = (prepare("t ~ x", table, "g", "w", "cox", event="e", kernel_max_mb=mb) for mb in (64, 1e-6))
+        probs = [0.05, 0.2, 0.5, 0.7, 0.95]
+        for a, b in zip(near.groups, far.groups):
+            for boundary in ("na", "cap"):
+                np.testing.assert_array_equal(km_blocks(a, probs, boundary), km_blocks(b, probs, boundary))
+            one, two = fit_cox(a, Control()), fit_cox(b, Control())
+            assert isinstance(one.baseline, HazardArrays) and isinstance(two.baseline, HazardTable)
+            np.testing.assert_allclose(one.coefficients, two.coefficients, atol=1e-8)
+            for other, blocks in zip(near.groups, far.groups):
+                x, y = cox_quantiles(one, other, probs, "na"), cox_quantiles(two, blocks, probs, "na")
+                np.testing.assert_array_equal(x[0], y[0])
+                np.testing.assert_allclose(x[2], y[2], rtol=1e-9)
+            stored = pickle.loads(pickle.dumps(two))
+            np.testing.assert_allclose(stored.baseline.hazard, one.baseline.hazard, rtol=1e-7)
+            two.release()
+        far.release()
+
+
+def test_hazards_between(spark):
+    from countershift.operators.cox import HazardArrays, HazardTable
+
+    hazard = np.cumsum(np.random.default_rng(3).exponential(size=500))
+    arrays = HazardArrays(np.arange(500.0), hazard)
+    table = HazardTable(spark.createDataFrame(pd.DataFrame({"time": np.arange(500.0), "hazard": hazard})).repartition(3))
+    assert arrays.ends() == table.ends()
+    for lo, hi in ((0.0, hazard[-1]), (hazard[3], hazard[5]), (hazard[3], hazard[4]), (hazard[10], hazard[30])):
+        a, b = (k.between([(lo, hi), (lo, lo)], 16) for k in (arrays, table))
+        inside = hazard[(hazard > lo) & (hazard < hi)]
+        for found in (a[0], b[0]):
+            assert set(found) <= set(inside) and (len(found) >= min(len(inside), 3)) and found == sorted(found)
+        assert a[1] == b[1] == []
+    assert arrays.first([hazard[7], hazard[7] + 1e-12]) == table.first([hazard[7], hazard[7] + 1e-12]) == [7.0, 8.0]
