@@ -50,6 +50,8 @@ def fit_process(blocks: Blocks, taus, solver: str = "auto", control: Control | N
         return Fit("qr", taus, b, info={"solver": name, "exact": custom.exact, "converged": True, **report})
     if name == "onestep":
         return _onestep(blocks, taus, control)
+    if name == "cuda_admm" and not isinstance(blocks, LocalBlocks):
+        raise DecompositionError("cuda_admm works on rows in memory; choose an exact solver, or raise kernel_max_mb")
     transform = np.eye(blocks.p)
     if control.qr_precondition and name != "cuda_admm":
         gram = blocks.reduce(lambda b: (b.x * b.w[:, None]).T @ (b.x * b.w[:, None]))
@@ -137,8 +139,10 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
                 else:  # the band has missed the fit, which says nothing about where it is
                     reach[k] *= 2
             batch = left
-        for k in batch:
-            ok[k] = False
+        if batch:  # no bracket held: all rows, up to the limit of a gather, beyond which this is an error
+            x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
+            for k in batch:
+                out[:, k], ok[k], its[k] = qrkernel.exact(x * w[:, None], y * w, taus[k], out[:, k])
     return out, ok, its
 
 
@@ -166,6 +170,8 @@ def _bands(blocks: Blocks, batch, pilots, lows, highs):
         return {k: one(k) for k in batch}
 
     def combine(a, b):
+        if sum(len(a[k][1]) + len(b[k][1]) for k in a) > GATHER_ROWS:
+            raise DecompositionError("more rows near the fits than the limit of a gather")
         return {k: (np.vstack([a[k][0], b[k][0]]), np.concatenate([a[k][1], b[k][1]]), a[k][2] + b[k][2], a[k][3] + b[k][3]) for k in a}
 
     return blocks.reduce(run, combine) or {k: (np.zeros((0, p)), np.zeros(0), np.zeros(p + 2), np.zeros(p + 2)) for k in batch}

@@ -11,7 +11,8 @@ from countershift.control import Control
 from countershift.functions.curves import normal_quantile
 from countershift.operators import frame as ops
 from countershift.operators.blocks import LocalBlocks
-from countershift.operators.cox import HazardTable, cox_quantiles, kaplan_meier
+from countershift.operators.cox import HazardTable, cox_quantiles, kaplan_meier, km_blocks
+from countershift.operators.exact import exact_sums
 from countershift.operators.models import Fit
 from countershift.plans.decompose import counterfactual_decompose
 from countershift.plans.simulate import RAW, summarise
@@ -29,6 +30,14 @@ ORDER = """SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS g, CAST(o_t
 UNEVEN = f"SELECT g, y, sqrt(w) AS w, f FROM ({ORDER})"
 JOINED = """SELECT CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS g, CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS w, c_mktsegment AS f
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+#: Keys that are decomposed side by side: the order priorities.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+#: The quantiles that are reported by default.
+NINE = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+SEGMENTS = """SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS g, CAST(o_totalprice AS DOUBLE) AS y, CAST(1 + o_custkey % 7 AS DOUBLE) AS w,
+ concat('c', CAST(o_custkey % 3 AS STRING)) AS f, o_orderpriority AS k FROM orders WHERE o_orderstatus IN ('O', 'F')"""
+#: A covariate of eleven values, as one of eleven levels.
+LEVELS = PRICE.replace("l_returnflag AS f", "CAST(round(l_discount * 100) AS INT) AS f")
 DURATION = """SELECT CAST(user_id % 2 AS INT) AS g, CAST(value AS DOUBLE) AS y, CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS event,
  CAST(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS x1, CAST(1 + event_id % 5 AS DOUBLE) AS w, event_id AS k FROM events"""
 CENSORED = """SELECT CAST(c_nationkey % 2 AS INT) AS g, greatest(CAST(c_acctbal AS DOUBLE), CAST(0 AS DOUBLE)) AS y, CAST(0 AS DOUBLE) AS cens,
@@ -86,6 +95,16 @@ def _decomposed(formula: str, sql: str, model: str, probs, nreg: int, weights: s
     return run
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order priority decomposed by one SQL statement, side by side."""
+    from countershift import udtf
+
+    udtf.register(spark, "cf_decompose")
+    view(spark, sf_dir, SEGMENTS).createOrReplaceTempView("cf_segments")
+    out = spark.sql("SELECT * FROM cf_decompose(TABLE(SELECT * FROM cf_segments) PARTITION BY (k), 'y ~ f', 'g', 'w', 'loc', 'k')")
+    return out.select("k", "effect", F.round("quantile", 6).alias("quantile"), (F.round("estimate", 5) + 0).alias("estimate"))
+
+
 # ---- quantiles, moments, preparation ---------------------------------------------------------
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -283,6 +302,20 @@ def km_quantiles(spark, sf_dir):
     return table.groupBy("g").agg(*aggregates).select("g", F.explode(pairs).alias("x")).select("g", "x.p", "x.q")
 
 
+def km_executors(spark, sf_dir):
+    """Kaplan-Meier quantiles of groups whose rows stay on executors."""
+    p = prepare("y ~ x1", view(spark, sf_dir, DURATION), "g", "w", "cox", event="event", kernel_max_mb=0.01)
+    out = [(g, float(q), float(v)) for g, b in enumerate(p.groups) for q, v in zip(KM_PROBS, km_blocks(b, KM_PROBS, "na"))]
+    p.release()
+    return spark.createDataFrame(out, "g int, p double, q double")
+
+
+def exact_price_sums(spark, sf_dir):
+    """Sums that no layout changes, rounded once: every return flag's and status' prices."""
+    rows = view(spark, sf_dir, PRICE)
+    return exact_sums(rows, ["g", "f"], "y", "total").select("g", "f", F.round("total", 2).alias("total"))
+
+
 def breslow_baseline(spark, sf_dir):
     out = ops.breslow(view(spark, sf_dir, DURATION), "y", "event", "w", 0.3 * F.col("x1"), ["g"])
     return out.groupBy("g").agg(F.count("*").alias("times"), F.round(F.max("hazard"), 8).alias("top"), F.round(F.avg("hazard"), 8).alias("mean"))
@@ -390,7 +423,7 @@ def _grid_sql(n: int) -> str:
     return _values([(j - 0.5) / n for j in range(1, n + 1)])
 
 
-def _loc_sql(source: str, nreg: int, scale: bool = False) -> str:
+def _loc_sql(source: str, nreg: int, scale: bool = False, probs=LOC_PROBS) -> str:
     grid = [(j - 0.5) / nreg for j in range(1, nreg + 1)]
     sigma = "sqrt(exp(sum(w * ln(greatest((y - m) * (y - m), 2.220446049250313e-16))) OVER (PARTITION BY g, f) / sum(w) OVER (PARTITION BY g, f)))" if scale else "CAST(1 AS DOUBLE)"
     return f"""WITH d AS ({source}), a AS (SELECT *, sum(w * y) OVER (PARTITION BY g, f) / sum(w) OVER (PARTITION BY g, f) AS m FROM d),
@@ -398,7 +431,7 @@ def _loc_sql(source: str, nreg: int, scale: bool = False) -> str:
  cells AS (SELECT g, f, any_value(m) AS m, any_value(s) AS s, sum(w) AS w, count(*) AS n FROM s GROUP BY g, f),
  draws AS (SELECT k.d AS g, c.m + c.s * e.q AS v, x.w AS w, x.n AS n FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1)) k(d, model, rows)
    JOIN cells x ON x.g = k.rows JOIN cells c ON c.g = k.model AND c.f = x.f JOIN e ON e.g = k.model),
- {_type7("draws", LOC_PROBS, "z")}, levels AS (SELECT g AS d, p, q FROM z) {_effects("levels")}"""
+ {_type7("draws", probs, "z")}, levels AS (SELECT g AS d, p, q FROM z) {_effects("levels")}"""
 
 
 def _dr_sql(source: str, nreg: int) -> str:
@@ -489,6 +522,11 @@ QUERIES = {
     **{f"{m}_saturated_decomp": _decomposed("y ~ f", ORDER, m, DR_PROBS, 20) for m in DR_MODELS},
     "qr_saturated_decomp": _decomposed("y ~ f", PRICE, "qr", QR_PROBS, 16), "qr_intercept_only": _decomposed("y ~ 1", ORDER, "qr", QR_PROBS, 16),
     "qr_distributed_decomp": _decomposed("y ~ f", PRICE, "qr", QR_PROBS, 8, control={"kernel_max_mb": 0.5}),
+    # the same on executors, whatever the size
+    **{f"{m}_executors_decomp": _decomposed("y ~ f", PRICE if m.startswith("loc") else ORDER, m, LOC_PROBS if m.startswith("loc") else DR_PROBS, 8 if m.startswith("loc") else 20, control={"kernel_max_mb": 0.01}) for m in ("loc", "locsca", "lpm", "logit")},
+    "splines_saturated_decomp": _decomposed("y ~ bs(x1, knots = c(0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09), degree = 1)", PRICE, "loc", LOC_PROBS, 8),
+    "equal_cuts_decomp": _decomposed("y ~ cut(x1, 4)", PRICE, "loc", LOC_PROBS, 8),
+    "segments_by_sql": _segments, "km_executors": km_executors, "exact_sums": exact_price_sums,
     "pfnb_general": general("qr", PRICE, "y ~ x1 + x2 + f", solver="pfnb", control=Control(nreg=20)), "onestep_general": general("qr", PRICE, "y ~ x1 + f", solver="onestep", control=Control(nreg=25)),
     "cqr_general": general("cqr", CENSORED, "y ~ f", censoring="cens", control=Control(nreg=3, reported_quantiles=(0.3, 0.5, 0.7))), "cox_general": general("cox", DURATION, "y ~ x1", event="event", control=Control(reported_quantiles=(0.1, 0.3, 0.5))),
     "boot_counterfactual": general("loc", ORDER, "y ~ f", control=Control(nreg=20), bootstrap_reps=8), "boot_qr_xy": general("qr", ORDER, "y ~ f", solver="pfnb", control=Control(nreg=5, qr_bootstrap_engine="xy_preprocess"), bootstrap_reps=8),
@@ -573,7 +611,13 @@ ORACLE_SQL = {
     "sim_curves": f"""WITH t AS (SELECT DISTINCT * FROM (VALUES {', '.join(f"('{r[0]}', {r[1]}, '{r[2]}', {r[9]})" for r in _sim_rows())}) t(scenario, r, effect, covered))
       SELECT scenario, effect, count(*) AS replications, round(avg(CASE WHEN covered THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS uniform_coverage FROM t GROUP BY scenario, effect""",
     "streamed_moments": "SELECT CAST(user_id % 2 AS INTEGER) AS g, round(regr_intercept(value, event_id % 3), 8) AS intercept, round(regr_slope(value, event_id % 3), 8) AS slope FROM events GROUP BY user_id % 2",
+    **{f"{m}_executors_decomp": sql for m, sql in (("loc", _loc_sql(PRICE, 8)), ("locsca", _loc_sql(PRICE, 8, True)), ("lpm", _dr_sql(ORDER, 20)), ("logit", _dr_sql(ORDER, 20)))},
+    "splines_saturated_decomp": _loc_sql(LEVELS, 8),
+    "equal_cuts_decomp": _loc_sql(PRICE.replace("l_returnflag AS f", "CASE WHEN l_discount <= 0.025 THEN 1 WHEN l_discount <= 0.05 THEN 2 WHEN l_discount <= 0.075 THEN 3 ELSE 4 END AS f"), 8),
+    "segments_by_sql": " UNION ALL ".join(f"SELECT '{k}' AS k, effect, round(quantile, 6) AS quantile, round(estimate, 5) + 0 AS estimate FROM ({_loc_sql(f"SELECT g, y, w, f FROM ({SEGMENTS.replace('STRING', 'VARCHAR')}) WHERE k = '{k}'", 100, probs=NINE)})" for k in PRIORITIES),
+    "exact_sums": f"SELECT g, f, round(CAST(sum(CAST(y AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM ({PRICE}) GROUP BY g, f",
     "loc_saturated_decomp": _loc_sql(PRICE, 8), "loc_joined_decomp": _loc_sql(JOINED, 8), "loc_one_x_decomp": loc_one_x_sql(), "locsca_saturated_decomp": _loc_sql(PRICE, 8, True),
     **{f"{m}_saturated_decomp": _dr_sql(ORDER, 20) for m in DR_MODELS},
     "qr_saturated_decomp": _qr_sql(PRICE, 16), "qr_intercept_only": _qr_sql(ORDER, 16, "1"), "qr_distributed_decomp": _qr_sql(PRICE, 8),
 }
+ORACLE_SQL["km_executors"] = ORACLE_SQL["km_quantiles"]

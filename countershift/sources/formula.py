@@ -5,7 +5,9 @@ booleans and strings one 0/1 column per level but the first in sort order.
 ``I(x > 3 & z <= 1)`` is a boolean, ``cut(x, c(0, 10, Inf))`` a factor of
 intervals (open below, closed above; a row in none of them is incomplete),
 ``poly(x, 3)`` gives orthogonal polynomials over the frame's rows and
-``poly(x, 3, raw = TRUE)`` powers; ``ifelse``, ``pmin`` and ``pmax`` compute.
+``poly(x, 3, raw = TRUE)`` powers; ``bs(x, df = 5)`` and ``ns(x, knots = c(1, 2))``
+give splines with exact quantiles as knots, ``cut(x, 4)`` ranges of equal width,
+``scale(x)`` standardises; ``ifelse``, ``pmin`` and ``pmax`` compute.
 Inside an interaction a factor keeps all levels where its margin isn't in the
 model. The intercept is always there; offsets are refused.
 """
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +29,7 @@ from countershift.errors import DecompositionError
 
 INTERCEPT = "(Intercept)"
 MAX_LEVELS = 1000
+MAX_KNOTS = 100
 _FUNCTIONS = {
     "log": F.ln, "ln": F.ln, "log2": F.log2, "log10": F.log10, "exp": F.exp, "sqrt": F.sqrt, "abs": F.abs, "log1p": F.log1p, "expm1": F.expm1, "sin": F.sin, "cos": F.cos, "tan": F.tan,
     "asin": F.asin, "acos": F.acos, "atan": F.atan, "tanh": F.tanh, "floor": F.floor, "ceiling": F.ceil, "sign": F.signum,
@@ -160,12 +164,23 @@ def _wide(text: str, data: DataFrame, schema: T.StructType, used: set[str]) -> t
     if _is_logical(tree):
         test = _built(tree, names, text, schema, used)
         return [("FALSE", (~test).cast("double")), ("TRUE", test.cast("double"))], True
-    if not (isinstance(tree, ast.Call) and isinstance(tree.func, ast.Name) and tree.func.id in ("cut", "poly") and len(tree.args) == 2):
+    if not (isinstance(tree, ast.Call) and isinstance(tree.func, ast.Name) and tree.func.id in ("cut", "poly", "bs", "ns", "scale") and len(tree.args) in ((1, 2) if tree.func.id != "poly" else (2,))):
         return None
     x = _built(tree.args[0], names, text, schema, used)
+    if tree.func.id in ("bs", "ns"):
+        return _splines(tree, x, text, data), False
+    if tree.func.id == "scale":
+        if len(tree.args) > 1 or tree.keywords:
+            raise DecompositionError("scale takes a variable alone")
+        mean, sd = _known(data, x).agg(F.avg("v"), F.stddev_samp("v")).first()
+        if not sd:
+            raise DecompositionError(f"{text!r} needs two distinct values")
+        return [("", (x - F.lit(mean)) / F.lit(sd))], False
+    if tree.func.id == "cut" and len(tree.args) == 2 and not tree.keywords and not isinstance(tree.args[1], ast.Call):
+        return _equal_cuts(x, _number(tree.args[1]), text, data), True
     options = {k.arg: isinstance(k.value, ast.Name) and k.value.id in ("TRUE", "T") for k in tree.keywords}
     if tree.func.id == "cut":
-        if options or not isinstance(tree.args[1], ast.Call) or len(tree.args[1].args) < 3:
+        if options or len(tree.args) < 2 or not isinstance(tree.args[1], ast.Call) or len(tree.args[1].args) < 3:
             raise DecompositionError("cut needs three breaks at least, as c(...), and takes nothing else")
         breaks = sorted({_number(v) for v in tree.args[1].args})
         shown = [f"{b:.3g}".replace("inf", "Inf") for b in breaks]
@@ -189,6 +204,93 @@ def _wide(text: str, data: DataFrame, schema: T.StructType, used: set[str]) -> t
     return out, False
 
 
+def _known(data: DataFrame, x: Column) -> DataFrame:
+    """The variable's finite values as ``v``."""
+    return data.select(x.cast("double").alias("v")).where("v is not null and not isnan(v) and abs(v) < double('Infinity')")
+
+
+def _equal_cuts(x: Column, number: float, text: str, data: DataFrame) -> list[tuple[str, Column]]:
+    """Indicators of ranges of equal width over the variable's values, whose ends are moved out by a thousandth."""
+    n = int(number)
+    if n < 2 or n != number:
+        raise DecompositionError("cut needs breaks, or a number of ranges from 2 on")
+    low, high = _known(data, x).agg(F.min("v"), F.max("v")).first()
+    if low is None or low == high:
+        raise DecompositionError(f"{text!r} needs two distinct values")
+    inner = [low + (high - low) * k / n for k in range(1, n)]
+    breaks = [low - (high - low) / 1000, *inner, high + (high - low) / 1000]
+    held = (x > breaks[0]) & (x <= breaks[-1])
+    return [(f"({breaks[k]:.3g},{breaks[k + 1]:.3g}]", F.when(held, ((x > breaks[k]) & (x <= breaks[k + 1])).cast("double"))) for k in range(n)]
+
+
+def _splines(tree: ast.Call, x: Column, text: str, data: DataFrame) -> list[tuple[str, Column]]:
+    """B-spline columns (``bs``) or cubic ones that are linear at the ends (``ns``): knots from exact quantiles, the recursion as columns.
+
+    ``df`` counts columns, ``knots`` are the inner ones, ``degree`` is that of ``bs``. The first B-spline is left to the intercept.
+    """
+    natural = tree.func.id == "ns"
+    given = {k.arg: k.value for k in tree.keywords} | ({"df": tree.args[1]} if len(tree.args) > 1 else {})
+    if set(given) - ({"df", "knots"} if natural else {"df", "knots", "degree"}) or {"df", "knots"} <= set(given):
+        raise DecompositionError(f"{text!r}: give df or knots" + ("" if natural else ", and degree"))
+    degree = int(_number(given["degree"])) if "degree" in given else 3
+    if not 1 <= degree <= 5:
+        raise DecompositionError("splines have degrees from 1 to 5")
+    values = _known(data, x)
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    if low is None or low == high:
+        raise DecompositionError(f"{text!r} needs two distinct values")
+    if "knots" in given:
+        node = given["knots"]
+        inner = sorted({_number(k) for k in (node.args if isinstance(node, ast.Call) else [node])})
+    else:
+        count = int(_number(given["df"])) - (1 if natural else degree) if "df" in given else 0
+        if not 0 <= count <= MAX_KNOTS:
+            raise DecompositionError(f"{text!r}: df is out of range")
+        from countershift.operators.frame import exact_quantiles
+
+        probs = [(k + 1) / (count + 1) for k in range(count)]
+        found = exact_quantiles(values.select(F.lit(0).alias("g"), "v", F.lit(1.0).alias("w")), "v", "w", probs, "g").collect() if count else []
+        inner = sorted({r["q"] for r in found})
+    if any(not low < k < high for k in inner) or len(inner) > MAX_KNOTS:
+        raise DecompositionError(f"{text!r}: knots must lie inside the variable's range")
+    knots = [low] * (degree + 1) + inner + [high] * (degree + 1)
+    base = bspline_columns(x, knots, degree)
+    if not natural:
+        return [(str(k), c) for k, c in enumerate(base[1:], 1)]
+    # the combinations whose second derivative is zero at both ends
+    ends = np.array([_second_derivatives(knots, end) for end in (low, high)])[:, 1:]
+    full, _ = np.linalg.qr(ends.T, mode="complete")
+    columns = []
+    for k in range(2, full.shape[1]):
+        columns.append((str(k - 1), reduce(lambda a, b: a + b, [c * F.lit(float(f)) for c, f in zip(base[1:], full[:, k])])))
+    return columns
+
+
+def bspline_columns(x: Column, knots: list[float], degree: int) -> list[Column]:
+    """The B-splines of a knot sequence by their recursion; the last range holds its right end."""
+    last = max(k for k in range(len(knots) - 1) if knots[k] < knots[k + 1])
+    level = [F.lit(0.0) if a == b else F.when((x >= a) & ((x <= b) if k == last else (x < b)), 1.0).otherwise(0.0) for k, (a, b) in enumerate(zip(knots, knots[1:]))]
+    for d in range(1, degree + 1):
+        following = []
+        for k in range(len(level) - 1):
+            left, right = knots[k + d] - knots[k], knots[k + d + 1] - knots[k + 1]
+            parts = ([(x - F.lit(knots[k])) / F.lit(left) * level[k]] if left > 0 else []) + ([(F.lit(knots[k + d + 1]) - x) / F.lit(right) * level[k + 1]] if right > 0 else [])
+            following.append(reduce(lambda a, b: a + b, parts) if parts else F.lit(0.0))
+        level = following
+    return [F.when(x.isNotNull(), c) for c in level]
+
+
+def _second_derivatives(knots: list[float], at: float) -> list[float]:
+    """Of the cubic B-splines, from differences of linear ones."""
+    k = np.asarray(knots)
+    last = max(i for i in range(len(k) - 1) if k[i] < k[i + 1])
+    level = [float(a < b and a <= at and (at < b or i == last)) for i, (a, b) in enumerate(zip(k, k[1:]))]
+    ratio = lambda a, b: a / b if b > 0 else 0.0
+    linear = [ratio(at - k[i], k[i + 1] - k[i]) * level[i] + ratio(k[i + 2] - at, k[i + 2] - k[i + 1]) * level[i + 1] for i in range(len(level) - 1)]
+    first = [2 * (ratio(linear[i], k[i + 2] - k[i]) - ratio(linear[i + 1], k[i + 3] - k[i + 1])) for i in range(len(linear) - 1)]
+    return [3 * (ratio(first[i], k[i + 3] - k[i]) - ratio(first[i + 1], k[i + 4] - k[i + 1])) for i in range(len(first) - 1)]
+
+
 def _numeric(name: str, schema: T.StructType, used: set[str]) -> Column:
     if name not in schema.names:
         raise DecompositionError(f"no column {name!r}")

@@ -1,55 +1,111 @@
-"""The decomposition as a table function for SQL.
+"""The decomposition as a table function for SQL, one decomposition per partition.
 
-``SELECT * FROM cf_decompose(TABLE(t) WITH SINGLE PARTITION, 'y ~ x', 'g', 'w', 'qr')``. The function sees its
-table's rows in one task, so it is meant for tables that fit one; larger ones go
-through :func:`countershift.counterfactual_decompose`.
+``SELECT * FROM cf_decompose(TABLE(t) PARTITION BY (year), 'y ~ x + f', 'g', 'w', 'qr', 'year')``
+
+decomposes all years side by side, one task after the other or at the same time
+as Spark deals them out; ``WITH SINGLE PARTITION`` decomposes the whole table in
+one. Columns are those of the arguments: the key, if one is named, then effect,
+quantile and estimate. Rows of a key are kept as packed numbers (8 bytes a value
+and column) in the task of the key; a group that doesn't fit a task goes through
+:func:`countershift.counterfactual_decompose`, whose rows stay on executors.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from countershift.control import Control
 from countershift.errors import DecompositionError
 
-MAX_ROWS = 2_000_000
+
+def _terms(formula: str) -> tuple[str, list[str]]:
+    """Response and covariates of ``y ~ a + factor(b)``."""
+    left, tilde, right = formula.partition("~")
+    names = [t.strip() for t in right.split("+") if t.strip() not in ("", "1")]
+    if not tilde or not left.strip() or any(not n.removeprefix("factor(").removesuffix(")").isidentifier() for n in names):
+        raise DecompositionError("a formula is of the form y ~ a + factor(b), with names of columns")
+    return left.strip(), names
 
 
-@udtf(returnType="effect string, quantile double, estimate double")
+@udtf
 class DecomposeTable:
-    """Numeric columns only: ``y ~ a + b`` with column names."""
+    """Numbers, and strings or ``factor(...)`` as categories; incomplete rows are left out, and a key without both groups has no rows."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, formula: AnalyzeArgument, group: AnalyzeArgument, weight: AnalyzeArgument, model: AnalyzeArgument, key: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not table.isTable:
+            raise DecompositionError("the first argument is a table")
+        known = {f.name: f.dataType for f in table.dataType.fields}
+        response, names = _terms(formula.value)
+        asked = [response, *(n.removeprefix("factor(").removesuffix(")") for n in names), group.value, *([weight.value] if weight.value else []), *([key.value] if key is not None and key.value else [])]
+        missing = [n for n in asked if n not in known]
+        if missing:
+            raise DecompositionError(f"no columns {missing}")
+        schema = T.StructType()
+        if key is not None and key.value:
+            schema = schema.add(key.value, known[key.value])
+        return AnalyzeResult(schema=schema.add("effect", T.StringType()).add("quantile", T.DoubleType()).add("estimate", T.DoubleType()))
 
     def __init__(self):
-        self.rows: list = []
-        self.arguments = None
+        self.columns: dict[str, array] = {}
+        self.levels: dict[str, dict] = {}
+        self.arguments, self.key = None, None
 
-    def eval(self, row, formula: str, group: str, weight: str, model: str):
-        self.arguments = (formula, group, weight, model)
-        if len(self.rows) >= MAX_ROWS:
-            raise DecompositionError(f"more than {MAX_ROWS} rows; call the function of the library instead")
-        self.rows.append(row.asDict())
+    def eval(self, row, formula: str, group: str, weight: str, model: str, key: str | None = None):
+        if self.arguments is None:
+            self.arguments = (formula, group, weight, model, key)
+            self.response, self.names = _terms(formula)
+        if key:
+            self.key = row[key]
+        values = {"y": row[self.response], "g": row[group], "w": row[weight] if weight else 1.0}
+        for n in self.names:
+            name = n.removeprefix("factor(").removesuffix(")")
+            v = row[name]
+            if v is not None and (name != n or isinstance(v, (str, bool))):
+                held = self.levels.setdefault(n, {})
+                v = held.setdefault(str(v), len(held))
+            values[n] = v
+        if any(v is None or not math.isfinite(v) for v in values.values()):
+            return
+        for n, v in values.items():
+            self.columns.setdefault(n, array("d")).append(float(v))
 
     def terminate(self):
-        if not self.rows:
+        if not self.columns:
             return
+        from countershift.control import Control
         from countershift.operators.blocks import LocalBlocks
         from countershift.plans.decompose import estimate_point, validate
+        from countershift.sources.prepare import Prepared, content_hash, reduce_design
 
-        formula, group, weight, model = self.arguments
-        left, right = (x.strip() for x in formula.split("~"))
-        names = [t.strip() for t in right.split("+") if t.strip() not in ("", "1")]
-        table = np.array([[r[left], r[group], r[weight] if weight else 1.0, *(r[n] for n in names)] for r in self.rows], float)
-        table = table[np.isfinite(table).all(axis=1)]
-        w = table[:, 2] / table[:, 2].mean()
-        x = np.column_stack([np.ones(len(table)), table[:, 3:]])
-        groups = tuple(LocalBlocks(x[m], table[m, 0], w[m]) for m in (table[:, 1] == 0, table[:, 1] == 1))
+        model, key = self.arguments[3:]
+        table = {n: np.frombuffer(v, float) for n, v in self.columns.items()}
+        order = np.argsort(content_hash(list(table.values())), kind="stable")
+        table = {n: v[order] for n, v in table.items()}
+        parts = [np.ones((len(order), 1))]
+        for n in self.names:
+            if n in self.levels:
+                codes = [self.levels[n][level] for level in sorted(self.levels[n])]
+                parts.append((table[n][:, None] == np.array(codes[1:])[None, :]).astype(float))
+            else:
+                parts.append(table[n][:, None])
+        x, w = np.column_stack(parts), table["w"] / table["w"].mean()
+        sides = [table["g"] == g for g in (0, 1)]
+        if not all(m.any() for m in sides):
+            return
+        groups = tuple(LocalBlocks(x[m], table["y"][m], w[m]) for m in sides)
+        prepared = reduce_design(Prepared(groups, [str(k) for k in range(x.shape[1])], [], 0, "kernel", 1.0))
         control = Control()
-        point = estimate_point(groups, model, validate(model, None, control), control, with_observed=False)
+        point = estimate_point(prepared.groups, model, validate(model, None, control), control, with_observed=False)
         for effect, values in point.effects.items():
             for q, v in zip(control.reported_quantiles, values):
-                yield effect, float(q), None if np.isnan(v) else float(v)
+                yield (*([self.key] if key else []), effect, float(q), None if np.isnan(v) else float(v))
 
 
 def register(spark: SparkSession, name: str = "cf_decompose") -> None:
