@@ -102,7 +102,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     udtf.register(spark, "cf_decompose")
     view(spark, sf_dir, SEGMENTS).createOrReplaceTempView("cf_segments")
     out = spark.sql("SELECT * FROM cf_decompose(TABLE(SELECT * FROM cf_segments) PARTITION BY (k), 'y ~ f', 'g', 'w', 'loc', 'k')")
-    return out.select("k", "effect", F.round("quantile", 6).alias("quantile"), (F.round("estimate", 5) + 0).alias("estimate"))
+    return out.select("k", "effect", F.round("quantile", 6).alias("quantile"), (F.round("estimate", 4) + 0).alias("estimate"))
 
 
 # ---- quantiles, moments, preparation ---------------------------------------------------------
@@ -614,7 +614,7 @@ ORACLE_SQL = {
     **{f"{m}_executors_decomp": sql for m, sql in (("loc", _loc_sql(PRICE, 8)), ("locsca", _loc_sql(PRICE, 8, True)), ("lpm", _dr_sql(ORDER, 20)), ("logit", _dr_sql(ORDER, 20)))},
     "splines_saturated_decomp": _loc_sql(LEVELS, 8),
     "equal_cuts_decomp": _loc_sql(PRICE.replace("l_returnflag AS f", "CASE WHEN l_discount <= 0.025 THEN 1 WHEN l_discount <= 0.05 THEN 2 WHEN l_discount <= 0.075 THEN 3 ELSE 4 END AS f"), 8),
-    "segments_by_sql": " UNION ALL ".join(f"SELECT '{k}' AS k, effect, round(quantile, 6) AS quantile, round(estimate, 5) + 0 AS estimate FROM ({_loc_sql(f"SELECT g, y, w, f FROM ({SEGMENTS.replace('STRING', 'VARCHAR')}) WHERE k = '{k}'", 100, probs=NINE)})" for k in PRIORITIES),
+    "segments_by_sql": " UNION ALL ".join(f"SELECT '{k}' AS k, effect, round(quantile, 6) AS quantile, estimate FROM ({_loc_sql(f"SELECT g, y, w, f FROM ({SEGMENTS.replace('STRING', 'VARCHAR')}) WHERE k = '{k}'", 100, probs=NINE)})" for k in PRIORITIES),
     "exact_sums": f"SELECT g, f, round(CAST(sum(CAST(y AS DECIMAL(18, 2))) AS DOUBLE), 2) AS total FROM ({PRICE}) GROUP BY g, f",
     "loc_saturated_decomp": _loc_sql(PRICE, 8), "loc_joined_decomp": _loc_sql(JOINED, 8), "loc_one_x_decomp": loc_one_x_sql(), "locsca_saturated_decomp": _loc_sql(PRICE, 8, True),
     **{f"{m}_saturated_decomp": _dr_sql(ORDER, 20) for m in DR_MODELS},
