@@ -164,6 +164,9 @@ def fit_distribution(blocks: Blocks, model: str, control: Control) -> Fit:
 
 
 def _custom(blocks, extension, model, thresholds, control):
+    if extension.runs_by_blocks(blocks):
+        b = extension.on_blocks(blocks, lambda k: (k.y[:, None] <= thresholds).astype(float), len(thresholds), model)
+        return b, np.zeros(len(thresholds), int), np.zeros(len(thresholds), int)
     x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
     out, codes = np.zeros((blocks.p, len(thresholds))), np.zeros(len(thresholds), int)
     for j, t in enumerate(thresholds):
@@ -177,7 +180,9 @@ def _fit_lpm(blocks: Blocks, thresholds: np.ndarray, control: Control) -> Fit:
     """Least squares of all indicators: one factorisation, many right sides, one pass."""
     backend = "qr" if control.linear_backend == "auto" else control.linear_backend
     custom = backends.get(("linear", backend))
-    if custom is not None:
+    if custom is not None and custom.runs_by_blocks(blocks):
+        b = custom.on_blocks(blocks, lambda k: (k.y[:, None] <= thresholds).astype(float), len(thresholds))
+    elif custom is not None:
         x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
         b = np.column_stack([custom.solve(x, (y <= t).astype(float), w) for t in thresholds])
     else:

@@ -17,6 +17,8 @@ from countershift.registry import QR_SOLVERS, solvers
 
 #: Quantiles whose bands one pass brings to the driver together.
 BATCH = 8
+#: Repairs of a whole process's bands before all quantiles are fitted again.
+PROCESS_ROUNDS = 4
 #: Rows in memory from which fits are preprocessed too.
 GLOB_FROM = 20_000
 
@@ -44,6 +46,9 @@ def fit_process(blocks: Blocks, taus, solver: str = "auto", control: Control | N
     name = resolve_solver(solver, blocks.total, len(taus))
     qrkernel.check_rows(blocks.total, blocks.p)
     custom = solvers.get(name)
+    if custom is not None and custom.runs_by_blocks(blocks):
+        b = custom.on_blocks(blocks, lambda k: k.y[:, None], len(taus), taus)
+        return Fit("qr", taus, b, info={"solver": name, "exact": custom.exact, "converged": True})
     if custom is not None:
         x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
         b, report = custom.process(x, y, w, taus)
@@ -57,13 +62,16 @@ def fit_process(blocks: Blocks, taus, solver: str = "auto", control: Control | N
         gram = blocks.reduce(lambda b: (b.x * b.w[:, None]).T @ (b.x * b.w[:, None]))
         transform = preconditioner(gram, blocks.reduce(lambda b: triangular(b.x * b.w[:, None]), lambda a, b: triangular(np.vstack([a, b]))))
     design = blocks.design(transform)
+    more = {}
     if isinstance(design, LocalBlocks) and (design.rows < GLOB_FROM or name == "cuda_admm"):
         b, converged, its = _local(design.block, taus, name, control)
+    elif name in ("proqreg", "profn"):
+        b, converged, its, more = _process(design, taus)
     else:
         b, converged, its = _globbed(design, taus)
     if name == "cuda_admm" and not converged.all() and not control.gpu_qr_allow_nonconvergence:
         raise DecompositionError("alternating directions did not converge")
-    return Fit("qr", taus, transform @ b, info={"solver": name, "exact": QR_SOLVERS[name][1], "converged": bool(converged.all()), "codes": (~converged).astype(int), "iterations": its})
+    return Fit("qr", taus, transform @ b, info={"solver": name, "exact": QR_SOLVERS[name][1], "converged": bool(converged.all()), "codes": (~converged).astype(int), "iterations": its} | more)
 
 
 def _local(block: Block, taus, name: str, control: Control):
@@ -83,7 +91,34 @@ def _local(block: Block, taus, name: str, control: Control):
     return out, ok, its
 
 
+def _process(blocks: Blocks, taus: np.ndarray):
+    """The whole process from one preprocessing: all quantiles' bands in one pass, a row once however many bands it lies in.
+
+    Each exact fit starts the next one's. Where a quantile can't be proved in a
+    few repairs, all of them are fitted again, a batch at a time, and the reason
+    stands in the diagnostics.
+    """
+    try:
+        out, ok, its, left = _globbed_in(blocks, taus, len(taus), _bands_once, PROCESS_ROUNDS)
+        reason = f"{len(left)} quantiles had rows on the wrong side after {PROCESS_ROUNDS} repairs" if left else None if ok.all() else "a reduced problem was not solved"
+    except (DecompositionError, np.linalg.LinAlgError) as e:
+        reason = str(e)
+    if reason is None:
+        return out, ok, its, {"process_fallback": None}
+    return *_globbed(blocks, taus), {"process_fallback": reason}
+
+
 def _globbed(blocks: Blocks, taus: np.ndarray):
+    """Exact fits, a batch of quantiles at a time; what no bracket proves is fitted from all rows, up to the limit of a gather."""
+    out, ok, its, left = _globbed_in(blocks, taus, BATCH, _bands, 12)
+    if left:
+        x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
+        for k in left:
+            out[:, k], ok[k], its[k] = qrkernel.exact(x * w[:, None], y * w, taus[k], out[:, k])
+    return out, ok, its
+
+
+def _globbed_in(blocks: Blocks, taus: np.ndarray, together: int, bands, rounds: int):
     """Exact fits by globbing: a pilot from a sample brackets each fit; rows surely above or below become two rows.
 
     A pass returns, for a batch of quantiles, the rows in the band and the sums of
@@ -108,11 +143,12 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
 
     sx, sy, sw = blocks.gather(sampled, GATHER_ROWS)
     out, ok, its = np.zeros((p, len(taus))), np.zeros(len(taus), bool), np.zeros(len(taus), int)
-    for at in range(0, len(taus), BATCH):
-        batch = list(range(at, min(at + BATCH, len(taus))))
+    unproved: list[int] = []
+    for at in range(0, len(taus), together):
+        batch = list(range(at, min(at + together, len(taus))))
         reach, lows, highs = dict.fromkeys(batch, 1.0), {}, {}
         pilots = dict(zip(batch, _side_by_side(lambda k: qrkernel.exact(sx, sy, taus[k])[0], batch, n)))
-        for _ in range(12):
+        for _ in range(rounds):
             if not batch:
                 break
             for k in batch:
@@ -121,7 +157,7 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
                 place = lambda q, r=r: r[int(np.clip(np.ceil(q * len(r)) - 1, 0, len(r) - 1))]
                 lows[k] = place(taus[k] - half) if taus[k] > half else -np.inf
                 highs[k] = place(taus[k] + half) if taus[k] + half < 1 else np.inf
-            reduced = _bands(blocks, batch, pilots, lows, highs)
+            reduced = bands(blocks, batch, pilots, lows, highs)
 
             def fit(k, reduced=reduced, pilots=pilots):
                 rows, target, below, above = reduced[k]
@@ -139,11 +175,8 @@ def _globbed(blocks: Blocks, taus: np.ndarray):
                 else:  # the band has missed the fit, which says nothing about where it is
                     reach[k] *= 2
             batch = left
-        if batch:  # no bracket held: all rows, up to the limit of a gather, beyond which this is an error
-            x, y, w = blocks.gather(lambda b: (b.x, b.y, b.w), GATHER_ROWS)
-            for k in batch:
-                out[:, k], ok[k], its[k] = qrkernel.exact(x * w[:, None], y * w, taus[k], out[:, k])
-    return out, ok, its
+        unproved += batch
+    return out, ok, its, unproved
 
 
 def _side_by_side(fn, batch, n: int) -> list:
@@ -177,6 +210,29 @@ def _bands(blocks: Blocks, batch, pilots, lows, highs):
     return blocks.reduce(run, combine) or {k: (np.zeros((0, p)), np.zeros(0), np.zeros(p + 2), np.zeros(p + 2)) for k in batch}
 
 
+def _bands_once(blocks: Blocks, batch, pilots, lows, highs):
+    """As :func:`_bands`, with each row once: its membership in the bands is a bit mask."""
+    p = blocks.p
+
+    def run(b: Block):
+        wx, wy = b.x * b.w[:, None], b.y * b.w
+        r = b.y[:, None] - b.x @ np.column_stack([pilots[k] for k in batch])
+        under, over = r < np.array([lows[k] for k in batch]), r > np.array([highs[k] for k in batch])
+        inside = ~under & ~over
+        some = inside.any(axis=1)
+        full = np.column_stack([wx, wy, np.ones(len(wy))])
+        return wx[some], wy[some], np.packbits(inside[some], axis=1), under.T @ full, over.T @ full
+
+    def combine(a, b):
+        if len(a[1]) + len(b[1]) > GATHER_ROWS:
+            raise DecompositionError("more rows near the fits than the limit of a gather")
+        return tuple(np.concatenate([x, y]) for x, y in zip(a[:3], b[:3])) + (a[3] + b[3], a[4] + b[4])
+
+    x, y, bits, below, above = blocks.reduce(run, combine)
+    inside = np.unpackbits(bits, axis=1, count=len(batch)).astype(bool)
+    return {k: (x[inside[:, i]], y[inside[:, i]], below[i], above[i]) for i, k in enumerate(batch)}
+
+
 def _wrong(blocks: Blocks, batch, pilots, lows, highs, out) -> dict[int, int]:
     def run(b: Block):
         counts = np.zeros(len(batch))
