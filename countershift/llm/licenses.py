@@ -24,6 +24,7 @@ is kept; further columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -208,7 +209,7 @@ class Index:
 def scan_text(index: Index, data: bytes, least: float) -> list[tuple[str, int, float, int, int, int, int]]:
     """template, matched words, coverage, first and last word (end exclusive), start and end code point."""
     ids = index.ids(data)
-    out, offsets = [], None
+    out, offsets, characters = [], None, None
     for t, first, last in index.candidates(ids):
         for matched, a, b in index.matches(ids, t, first, last):
             coverage = matched / len(index.templates[t])
@@ -216,12 +217,19 @@ def scan_text(index: Index, data: bytes, least: float) -> list[tuple[str, int, f
                 continue
             if offsets is None:
                 offsets = _offsets(data)
-            start, end = (len(data[: offsets[k][side]].decode("utf-8", "ignore")) for k, side in ((a, 0), (b, 1)))
-            out.append((index.names[t], matched, coverage, a, b + 1, start, end))
+                # code points before each byte: those that begin there
+                characters = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+            out.append((index.names[t], matched, coverage, a, b + 1, int(characters[offsets[a][0]]), int(characters[offsets[b][1]])))
     # where templates are alike, the one that covers more of itself with no fewer words speaks for the span
     out = sorted(set(out))
-    overlaps = lambda m, o: o[3] < m[4] and m[3] < o[4]
-    return [m for m in out if not any(overlaps(m, o) and o[2] > m[2] and o[1] >= m[1] for o in out)]
+    by_start = sorted(out, key=lambda m: m[3])
+    starts, longest = [m[3] for m in by_start], max((m[4] - m[3] for m in out), default=0)
+
+    def near(m):
+        """The matches that overlap one: they begin before its end, and no earlier than the longest is long."""
+        return (o for o in by_start[bisect_right(starts, m[3] - longest) : bisect_left(starts, m[4])] if m[3] < o[4])
+
+    return [m for m in out if not any(o[2] > m[2] and o[1] >= m[1] for o in near(m))]
 
 
 def _offsets(data: bytes) -> list[tuple[int, int]]:

@@ -386,3 +386,14 @@ def test_lm_scores_equal_a_plain_sampler(spark):
                 score += np.log10(back * (unseen[u] / count if u in unseen else 1.0))
         assert abs(score - rows.score[i]) < 0.02 * len(ws) + 0.05
     assert rows.score.mean() > rows.base_score.mean()
+
+
+def test_spans_of_many_notices_are_those_of_the_text():
+    """Hundreds of notices among characters of several bytes: a row each, whose code points hold its words."""
+    name = min(licenses.TEMPLATES, key=lambda n: (len(licenses.TEMPLATES[n].split()) < 12, len(licenses.TEMPLATES[n])))
+    notice = licenses.TEMPLATES[name]
+    text = "\n".join(f"é{k} 中文 x{k} {notice} 👍🏽 ẛ̣{k}" for k in range(300))
+    found = [m for m in licenses.scan_text(licenses.Index(licenses.TEMPLATES), text.encode(), 0.8) if m[0] == name]
+    assert len(found) == 300
+    for _, _, coverage, first, end, start, stop in found:
+        assert coverage == 1 and text[start:stop].split() == notice.split() == text.split()[first:end]
