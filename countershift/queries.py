@@ -10,7 +10,6 @@ from countershift import result as R
 from countershift.control import Control
 from countershift.functions.curves import normal_quantile
 from countershift.operators import frame as ops
-from countershift.operators.blocks import LocalBlocks
 from countershift.operators.cox import HazardTable, cox_quantiles, kaplan_meier, km_blocks
 from countershift.operators.exact import exact_sums
 from countershift.operators.models import Fit
