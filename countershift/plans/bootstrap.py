@@ -450,7 +450,7 @@ def _shared(rows, point: Point, engine: str, control: Control, seed: int, missin
 
 
 def _run_large(groups, point, model, solver, control, engine, seed, missing, spark):
-    """Replications of groups on executors: quantile regressions share every pass, other models run ``SIDE_BY_SIDE``.
+    """Replications of groups on executors: quantile regressions and location models share every pass, other models run ``SIDE_BY_SIDE``.
 
     The exact engines are one here: refits keep rows near the point estimate and
     sum the others.
@@ -478,7 +478,7 @@ def _run_large(groups, point, model, solver, control, engine, seed, missing, spa
         return _attempts(attempt, r, control.bootstrap_max_retries)
 
     try:
-        if shared.supports(model, solver, control, groups, solver not in registry.solvers):
+        if shared.supports(model, solver, control, groups):
             for at in range(0, len(missing), shared.TOGETHER):
                 yield from _shared(rows, point, engine, control, seed, missing[at : at + shared.TOGETHER], one)
             return

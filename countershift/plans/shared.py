@@ -1,4 +1,4 @@
-"""Quantile-regression replications of data on executors that share every pass.
+"""Replications of quantile regressions and location models on executors that share every pass.
 
 A row carries its multipliers in all replications as one vector, so a pass over
 the rows reduces scores, sums or histograms of all of them together, and the
@@ -12,6 +12,8 @@ number of passes doesn't depend on how many there are:
   when bands have become wide is fitted on its own;
 * a one-step refit moves a quantile up and a quantile down in one pass, with the
   point estimate's Jacobians and every replication's scores;
+* location and scale models are sums for all coefficients, then one search for
+  all residual quantiles;
 * the marginal quantiles of all replications are searched for side by side.
 
 The driver holds coefficients and sums of the design's width per replication;
@@ -20,19 +22,21 @@ bands are shuffled to the tasks that solve them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
 from countershift.control import Control
-from countershift.functions.linalg import common_columns
-from countershift.functions.ranks import type7_positions
+from countershift.functions.linalg import common_columns, solve_normal
+from countershift.functions.ranks import EPS, type7_positions
 from countershift.operators import qrkernel
 from countershift.operators.blocks import Block, Replications, SparkBlocks
 from countershift.operators.models import Fit
 from countershift.operators.selection import select_together
 from countershift.plans.decompose import Point
+from countershift.registry import backends, solvers
 
 #: Replications whose multipliers lie in one table, and quantiles whose bands do.
 TOGETHER, BATCH = 256, 8
@@ -53,6 +57,16 @@ class Refits:
     passes: int
 
 
+@dataclass
+class Draws:
+    """What fits of all replications say of rows: ``draw(x, replication)`` (rows x per_row), and which replications have one."""
+
+    draw: Callable[[np.ndarray, int], np.ndarray]
+    per_row: int
+    good: np.ndarray
+    passes: int = 3
+
+
 def sums(blocks: Replications) -> tuple[np.ndarray, np.ndarray]:
     """Weight and Gram matrix of every replication, one pass."""
 
@@ -211,23 +225,68 @@ def onestep(blocks: Replications, fit: Fit, totals: np.ndarray, gram: np.ndarray
     return Refits(out, first.good & np.isfinite(out).all(axis=(1, 2)), passes)
 
 
-def marginals(blocks: Replications, coefficients: list[np.ndarray], good: np.ndarray, control: Control) -> list[np.ndarray]:
-    """Marginal quantiles (reps x probs) of each of several arrays of coefficients (reps x p x quantiles), in shared passes."""
+def location(blocks: Replications, grid, totals: np.ndarray, gram: np.ndarray, good: np.ndarray, control: Control, scaled: bool) -> Draws:
+    """Location (and scale) models of all good replications: sums for the coefficients, and a search for all residual quantiles."""
+    reps, eps = np.flatnonzero(good), float(EPS)
+    solved = lambda right: np.array([solve_normal(gram[r], right[r]) if good[r] else np.full(blocks.p, np.nan) for r in range(blocks.reps)])
+    b = solved(blocks.reduce(lambda k: (k.w[:, None] * k.freq * k.y[:, None]).T @ k.x))
+    known = np.nan_to_num(b)
+    g = None
+    if scaled:
+
+        def spread(k: Block):
+            square = np.log(np.maximum((k.y[:, None] - k.x @ known.T) ** 2, eps))
+            return (k.w[:, None] * k.freq * square).T @ k.x
+
+        g = solved(blocks.reduce(spread))
+
+    def residuals(k: Block, i: int) -> tuple[np.ndarray, np.ndarray]:
+        r = reps[i]
+        own = np.flatnonzero(k.freq[:, r] > 0)
+        e = k.y[own] - k.x[own] @ b[r]
+        if scaled:
+            e = e / np.maximum(np.sqrt(np.exp(k.x[own] @ g[r])), np.sqrt(eps))
+        return e, k.w[own] * k.freq[own, r]
+
+    low, high, fraction = type7_positions(blocks.total, np.asarray(grid, float))
+    found = select_together(blocks, residuals, [np.concatenate([low, high])] * len(reps), [blocks.total] * len(reps), control)
+    q = np.full((blocks.reps, len(low)), np.nan)
+    for r, v in zip(reps, found):
+        q[r] = (1 - fraction) * v[: len(low)] + fraction * v[len(low) :]
+
+    def draw(x: np.ndarray, r: int) -> np.ndarray:
+        factor = np.sqrt(np.exp(x @ g[r]))[:, None] if scaled else 1.0
+        return (x @ b[r])[:, None] + factor * q[r][None, :]
+
+    return Draws(draw, len(low), good & np.isfinite(q).all(axis=1) & np.isfinite(b).all(axis=1))
+
+
+def process_draws(refits: Refits, control: Control) -> Draws:
+    rearrange, b = control.quantile_noncrossing == "rearrange", refits.coefficients
+    shift = control.trimming if control.legacy_qr_shift else 0.0
+
+    def draw(x: np.ndarray, r: int) -> np.ndarray:
+        v = x @ b[r] + shift
+        return np.sort(v, axis=1) if rearrange else v
+
+    return Draws(draw, b.shape[2], refits.good, refits.passes)
+
+
+def marginals(blocks: Replications, fitted: list[Draws], good: np.ndarray, control: Control) -> list[np.ndarray]:
+    """Marginal quantiles (reps x probs) of each of several fits, in shared passes."""
     probs = np.asarray(control.reported_quantiles, float)
-    reps, m = np.flatnonzero(good), coefficients[0].shape[2]
-    rearrange = control.quantile_noncrossing == "rearrange"
+    reps, m = np.flatnonzero(good), fitted[0].per_row
     n = blocks.total * m
     low, high, fraction = type7_positions(n, probs)
 
     def values(b: Block, i: int) -> tuple[np.ndarray, np.ndarray]:
         which, r = divmod(i, len(reps))
         own = np.flatnonzero(b.freq[:, reps[r]] > 0)
-        v = b.x[own] @ coefficients[which][reps[r]]
-        return (np.sort(v, axis=1) if rearrange else v).ravel(), np.repeat(b.w[own] * b.freq[own, reps[r]], m)
+        return fitted[which].draw(b.x[own], reps[r]).ravel(), np.repeat(b.w[own] * b.freq[own, reps[r]], m)
 
-    count = len(reps) * len(coefficients)
+    count = len(reps) * len(fitted)
     found = select_together(blocks, values, [np.concatenate([low, high])] * count, [n] * count, control)
-    out = [np.full((blocks.reps, len(probs)), np.nan) for _ in coefficients]
+    out = [np.full((blocks.reps, len(probs)), np.nan) for _ in fitted]
     for i, q in enumerate(found):
         which, r = divmod(i, len(reps))
         out[which][reps[r]] = (1 - fraction) * q[: len(probs)] + fraction * q[len(probs) :]
@@ -235,25 +294,27 @@ def marginals(blocks: Replications, coefficients: list[np.ndarray], good: np.nda
 
 
 def effects(groups: tuple[Replications, Replications], point: Point, engine: str, control: Control) -> tuple[dict[str, np.ndarray], np.ndarray, list[int]]:
-    """Effects (reps x quantiles), which replications have them, and the passes over each group."""
+    """Effects (reps x quantiles), which replications have them, and the passes of each group's refits."""
     held = [sums(g) for g in groups]
     good = full_rank(held[0][1]) & full_rank(held[1][1])
-    refits = []
+    fitted = []
     for g, fit, (totals, gram) in zip(groups, point.fits, held):
-        if engine == "onestep":
-            refits.append(onestep(g, fit, totals, gram, good))
+        if fit.kind in ("loc", "locsca"):
+            fitted.append(location(g, fit.grid, totals, gram, good, control, fit.kind == "locsca"))
+        elif engine == "onestep":
+            fitted.append(process_draws(onestep(g, fit, totals, gram, good), control))
         else:
-            refits.append(exact(g, np.asarray(fit.grid), fit.coefficients, gram, good))
-    good = refits[0].good & refits[1].good
+            fitted.append(process_draws(exact(g, np.asarray(fit.grid), fit.coefficients, gram, good), control))
+    good = fitted[0].good & fitted[1].good
     out = {e: np.full((groups[0].reps, len(control.reported_quantiles)), np.nan) for e in ("structure", "composition", "total")}
     if good.any():
-        (base,) = marginals(groups[0], [refits[0].coefficients], good, control)
-        middle, end = marginals(groups[1], [refits[0].coefficients, refits[1].coefficients], good, control)
+        (base,) = marginals(groups[0], [fitted[0]], good, control)
+        middle, end = marginals(groups[1], fitted, good, control)
         out = {"structure": end - middle, "composition": middle - base, "total": end - base}
-    return out, good, [r.passes for r in refits]
+    return out, good, [d.passes for d in fitted]
 
 
-def supports(model: str, solver: str | None, control: Control, groups, builtin: bool) -> bool:
-    """Whether replications of these can share passes: built-in exact or one-step quantile regressions on executors."""
-    plain = not control.legacy_weighted_quantile and not (control.legacy_qr_shift and control.trimming)
-    return model == "qr" and builtin and solver != "cuda_admm" and plain and all(isinstance(g, SparkBlocks) for g in groups)
+def supports(model: str, solver: str | None, control: Control, groups) -> bool:
+    """Whether replications of these can share passes: built-in quantile regressions and location models on executors."""
+    builtin = (model == "qr" and solver not in solvers and solver != "cuda_admm") or (model in ("loc", "locsca") and ("linear", control.linear_backend) not in backends)
+    return builtin and not control.legacy_weighted_quantile and all(isinstance(g, SparkBlocks) for g in groups)

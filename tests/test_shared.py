@@ -75,6 +75,24 @@ def test_shared_effects_equal_one_by_one(table, engine, scheme):
     p.release()
 
 
+@pytest.mark.parametrize(("model", "scheme"), [("loc", "counterfactual"), ("locsca", "multiplier")])
+def test_shared_location_models_equal_one_by_one(table, model, scheme):
+    control = Control(nreg=15, bootstrap_scheme=scheme)
+    p = prepared(table)
+    point = estimate_point(p.groups, model, None, control)
+    rows = [StableRows(b, g) for g, b in enumerate(p.groups)]
+    seeds = [attempt_seed(SEED, r, 0) for r in range(1, REPS + 1)]
+    assert shared.supports(model, None, control, p.groups) and not shared.supports("lpm", None, control, p.groups)
+    found, good, _ = shared.effects(tuple(x.replicated(scheme, seeds) for x in rows), point, "standard", control)
+    assert good.all()
+    for k, s in enumerate(seeds):
+        drawn = tuple(local(x.resample(scheme, s)) for x in rows)
+        expected = estimate_point(drawn, model, None, control, with_observed=False).effects
+        for e in expected:
+            np.testing.assert_allclose(found[e][k], expected[e], atol=1e-8)
+    p.release()
+
+
 @pytest.mark.parametrize("engine", ["onestep", "xy_preprocess"])
 def test_passes_do_not_depend_on_the_replications(table, monkeypatch, engine):
     control = Control(nreg=20, qr_bootstrap_engine=engine)
@@ -109,12 +127,15 @@ def test_narrow_bands_widen_until_the_fit_is_exact(table, monkeypatch):
     p.release()
 
 
-def test_bootstrap_on_executors_is_complete(spark, table, tmp_path):
-    """Through the public entry: replications without full rank are tried on their own, runs resume."""
+def test_bootstrap_on_executors_is_complete(spark, table, tmp_path, monkeypatch):
+    """Through the public entry: first attempts share passes, replications without full rank are tried on their own, runs resume."""
+    made, effects = [], shared.effects
+    monkeypatch.setattr(shared, "effects", lambda *a: made.append(effects(*a)) or made[-1])
     rare = table.withColumn("x2", F.when(F.col("y") > F.lit(3.2), 1.0).otherwise(0.0))
     make = lambda reps, n: counterfactual_decompose("y ~ x1 + x2", rare.repartition(n), "g", "w", "qr", "pfnb", Control(nreg=9, kernel_max_mb=1e-6), bootstrap_reps=reps, checkpoint_dir=str(tmp_path), seed=3)
     four, six = make(4, 2), make(6, 5)
     assert np.isfinite(six.draws["total"]).all()
+    assert [len(good) for _, good, _ in made] == [4, 2] and any(good.any() for _, good, _ in made)
     np.testing.assert_allclose(four.draws["total"], six.draws["total"][:4])
     assert six.metadata["bootstrap_signature"] == four.metadata["bootstrap_signature"]
 
