@@ -70,7 +70,7 @@ def order_gap_sql(config: dict) -> str:
           UNION ALL SELECT segment, rep, 2, {shares("1 / t1")} FROM a JOIN t USING (segment, rep, cell) WHERE g = 1 GROUP BY ALL),
         l AS (SELECT segment, rep, d, n.measure, {value} AS v FROM v, (VALUES {labels}) n(i, measure)),
         p AS (SELECT segment, rep, measure, max(v) FILTER (d = 0) AS l0, max(v) FILTER (d = 1) AS l1, max(v) FILTER (d = 2) AS l2 FROM l GROUP BY ALL),
-        e AS (SELECT segment, rep, measure, unnest(['structure', 'composition', 'total']) AS effect, unnest([l2 - l1, l1 - l0, l2 - l0]) AS estimate FROM p),
+        e AS (SELECT segment, rep, measure, unnest(['structure', 'composition', 'total']) AS effect, unnest([round(l2 - l1, {order_gap.DIGITS}), round(l1 - l0, {order_gap.DIGITS}), round(l2 - l0, {order_gap.DIGITS})]) AS estimate FROM p),
         s AS (
           SELECT segment, measure, effect, max(estimate) FILTER (rep = 0) AS estimate, stddev_samp(estimate) FILTER (rep > 0) AS se FROM e GROUP BY ALL),
         u AS (
