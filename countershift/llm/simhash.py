@@ -269,22 +269,28 @@ def _table_columns(bits: int) -> list:
     return [F.shiftrightunsigned(F.col(f"s{k}"), s).bitwiseAND(mask) + F.lit(t << bits).cast("long") for t, (k, s) in enumerate(places)]
 
 
-def shared_variants(prints: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
-    """``v``, ``fp``: the variants within one bit that two or more of the distinct fingerprints ``fp`` have, with these.
-
-    A variant has at most ``1 + bits`` fingerprints whatever the input holds.
-    The shuffle is by leading bits, and variants are made behind it.
+def mixed_variants(prints: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
+    """``v``, ``fp``: the variants within one bit whose fingerprints have several groups of documents, with these fingerprints.
+
+    ``prints`` has the distinct fingerprints ``fp`` with the least and the
+    greatest group ``lo``, ``hi`` of their documents. A variant has at most
+    ``1 + bits`` fingerprints whatever the input holds; one that no other
+    fingerprint has stands for its own fingerprint alone. The shuffle is by
+    leading bits, and variants are made behind it and added up at once, so that
+    rows are made only for variants that are left.
     """
     low = bits - PREFIX_BITS
     long = lambda x: F.lit(x).cast("long")
-    sent = prints.select("fp", F.explode(F.array(long(0), *[long(1 << b) for b in range(low, bits)])).alias("m"))
-    sent = sent.select("fp", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), low).alias("p"))
+    sent = prints.select("fp", "lo", "hi", F.explode(F.array(long(0), *[long(1 << b) for b in range(low, bits)])).alias("m"))
+    sent = sent.select("fp", "lo", "hi", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), low).alias("p"))
     dealt = sent.repartition(default_partitions(prints.sparkSession), "p")
     turned = F.shiftleft(F.shiftrightunsigned("fp", low).bitwiseXOR(F.col("p")), low)
     masks = F.when(turned == 0, F.array(long(0), *[long(1 << b) for b in range(low)])).otherwise(F.array(turned))
     flag = lambda m: F.when(m == 0, long(1)).otherwise(F.shiftleft(m, 1))
-    variants = dealt.select("p", "fp", F.explode(masks).alias("m")).select("p", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), flag(F.col("m")).alias("flag"))
-    met = variants.groupBy("p", "v").agg(F.bit_or("flag").alias("flags")).where(F.bit_count("flags") > 1)
+    variants = dealt.select("p", "fp", "lo", "hi", F.explode(masks).alias("m"))
+    variants = variants.select("p", "lo", "hi", F.col("fp").bitwiseXOR(F.col("m")).alias("v"), flag(F.col("m")).alias("flag"))
+    met = variants.groupBy("p", "v").agg(F.bit_or("flag").alias("flags"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = met.where("lo < hi and (bit_count(flags) > 1 or flags = 1)")
     every = F.array(long(0), *[long(1 << b) for b in range(bits)])
     back = met.select("v", "flags", F.explode(every).alias("m")).where(F.col("flags").bitwiseAND(flag(F.col("m"))) != 0)
     return back.select("v", F.col("v").bitwiseXOR(F.col("m")).alias("fp"))
@@ -372,6 +378,15 @@ def _verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, wo
     return out
 
 
+def _joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The groups that the pairs (a, b) join; groups are stars already."""
+    if pairs.isEmpty():
+        return groups
+    joined = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs))
+    drop(groups)
+    return joined
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Links ``a > b`` of ids, and their components (``node``, ``component``: the least id).
 
@@ -381,14 +396,17 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches of three-word shingles are close enough. None of their connections
     is lost:
 
-    1. in every variant, and among the documents of one fingerprint, each member
-       is paired with the one of the least id; close sketches make groups;
-    2. variants that still hold several groups have all pairs across them
+    1. among the documents of one fingerprint each is paired with the one of the
+       least id; close sketches make groups;
+    2. in every variant that holds several groups each fingerprint's least id is
+       paired with the least of all, and what is close joins its groups;
+    3. variants that still hold several groups have all pairs across them
        compared by their sketches, and what is close joins its groups;
-    3. inside the groups, which now hold both ends of every candidate, the
+    4. inside the groups, which now hold both ends of every candidate, the
        shingle sets themselves are compared.
 
-    So a group of copies costs a row per member and variant, never all pairs.
+    So a group of near copies, most of which step 1 joins, costs a row per member and
+    fingerprint, and others a row per member and variant at most, never all pairs.
     Ids that are null or that several rows share take no part.
     """
     found = materialize(_sketched(docs, id_col, text_col), "near-sketches")
@@ -397,32 +415,32 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop(found)
     rows = once.select("doc_id", F.explode(F.array(*_table_columns(TABLE_BITS))).alias("fp"))
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("c")), "near-prints")
-    repeated = prints.where("c > 1")
-    variants = shared_variants(prints.select("fp")).union(repeated.select(F.col("fp").alias("v"), "fp")).distinct()
-    variants = materialize(variants, "near-variants")
+    repeated = rows.join(prints.where("c > 1").select("fp", "first_id"), "fp")
+    near = materialize(_alike(repeated.select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).where("a > b").distinct(), once, similarity), "near-pairs")
+    groups = connected_components(near)
+    drop(near)
+
+    grouped = rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", F.coalesce("component", "doc_id").alias("component"))
+    ends = grouped.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    variants = materialize(mixed_variants(ends), "near-variants")
     # a variant has few fingerprints, so its window is small
     hub = F.min("first_id").over(Window.partitionBy("v"))
     stars = variants.join(prints.select("fp", "first_id"), "fp").select(F.col("first_id").alias("a"), hub.alias("b"))
-    stars = stars.union(rows.join(repeated, "fp").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")))
     near = materialize(_alike(stars.where("a > b").distinct(), once, similarity), "near-pairs")
-    groups = connected_components(near)
-
-    members = variants.join(rows, "fp").select("v", "doc_id").distinct()
-    named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    named = materialize(named, "near-members")
-    mixed = named.groupBy("v").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 2 and lo < hi").select("v")
-    open_ = materialize(named.join(mixed, "v"), "near-open")
+    groups = _joined(groups, near)
+
+    # which variants are left is told by fingerprints; only these have their members listed
+    named = rows.join(variants.select("fp").distinct(), "fp").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = materialize(named.select("fp", "doc_id", F.coalesce("component", "doc_id").alias("component")), "near-members")
+    ends = named.groupBy("fp").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = variants.join(ends, "fp").groupBy("v").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 2 and lo < hi").select("v")
+    open_ = materialize(variants.join(mixed, "v").join(named, "fp").select("v", "doc_id", "component"), "near-open")
     if not open_.isEmpty():
         full = open_.join(once, "doc_id")
         one, two = (full.select("v", F.col("doc_id").alias(x), F.col("component").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(f"s{k}").alias(f"{x}s{k}") for k in range(SKETCHES)]) for x in "ab")
         across = one.join(two, (one["v"] == two["v"]) & (one["a"] > two["b"]) & (one["ac"] != two["bc"]) & _close("a", "b", similarity)).select("a", "b").distinct()
         more = materialize(across, "near-pairs")
-        if not more.isEmpty():
-            # groups are stars already, which the new pairs join
-            stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            joined = connected_components(stars.union(more))
-            drop(groups)
-            groups = joined
+        groups = _joined(groups, more)
         drop(more)
     drop(near, once, prints, variants, named, open_)
     links = _verified(docs, groups, id_col, text_col, words, similarity)
