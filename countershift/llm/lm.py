@@ -237,38 +237,59 @@ def _hot_words(rows: DataFrame) -> tuple[Hot, float]:
     """Frequent words and pairs of a sample, and the sample's tokens. Only a decision about where work is done.
 
     The sample and its partitions follow from the rows' hashes, so that the same
-    rows give the same decision however they are laid out.
+    rows give the same decision however they are laid out. Words are counted
+    first. A pair is never more frequent than either of its words, so pairs are
+    counted of hot words alone, and nothing that could be hot is left out.
     """
 
-    def run(batches):
-        counts: dict[tuple, int] = {}
-        total = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                last = _EDGE
-                for block in (*blocks((text or b"").lower()), None):
-                    for w in [_EDGE] if block is None else block.split():
-                        counts[w, None] = counts.get((w, None), 0) + 1
-                        counts[w, last] = counts.get((w, last), 0) + 1
-                        last = w
-                        total += 1
-        frequent = [(w, n) for w, n in counts.items() if n * 4 * MAX_HOT > total]
-        words = _hash([w for (w, _), _ in frequent]).view(np.int64)
-        contexts = [None if c is None else int(_hash([c]).view(np.int64)[0]) for (_, c), _ in frequent]
-        n = [n for _, n in frequent]
-        columns = [pa.array(np.append(words, 0)), pa.array([*contexts, None], pa.int64()), pa.array([*n, 0], pa.int64()), pa.array([0] * len(n) + [total], pa.int64())]
-        yield pa.record_batch(columns, names=["word", "context", "n", "total"])
+    def counted(hot: set[int] | None):
+        """Counts of words (word, n) where ``hot`` is None, else of pairs of these words (word, context, n); by batch."""
+
+        def run(batches):
+            for batch in batches:
+                counts: dict = {}
+                seen: dict[bytes, int | None] = {}
+
+                def number(w: bytes) -> int | None:
+                    """The hash of a hot word as a signed long."""
+                    if w not in seen:
+                        h = int(_hash([w]).view(np.int64)[0])
+                        seen[w] = h if h in hot else None
+                    return seen[w]
+
+                for text in batch.column(0).to_pylist():
+                    last = hot and number(_EDGE)
+                    for block in (*blocks((text or b"").lower()), None):
+                        for w in [_EDGE] if block is None else block.split():
+                            if hot is None:
+                                counts[w] = counts.get(w, 0) + 1
+                                continue
+                            now = number(w)
+                            if now is not None and last is not None:
+                                counts[now, last] = counts.get((now, last), 0) + 1
+                            last = now
+                n = pa.array([*counts.values()], pa.int64())
+                if hot is None:
+                    yield pa.record_batch([pa.array(_hash(counts).view(np.int64)), n], names=["word", "n"])
+                else:
+                    yield pa.record_batch([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.int64()), n], names=["word", "context", "n"])
+
+        return run
 
     h = F.xxhash64("doc_id", "text")
     sample = materialize(rows.where(F.pmod(h, F.lit(SAMPLED)) == 0).select("text", h.alias("h")), "lm-sample")
     parts = max(8, -(-sample.count() // 2000))
     dealt = sample.repartition(parts, F.hash("h")).select("text")
-    found = materialize(dealt.mapInArrow(run, "word long, context long, n long, total long").groupBy("word", "context").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "lm-frequent")
-    total = found.agg(F.sum("total")).first()[0] or 0
-    frequent = found.where(F.col("n") * MAX_HOT > total).orderBy(F.col("n").desc(), "word", "context")
+    found = materialize(dealt.mapInArrow(counted(None), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-frequent")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # fewer than MAX_HOT words, and so pairs, have more than a share of 1 / MAX_HOT
+    frequent = lambda df, *by: df.where(F.col("n") * MAX_HOT > total).orderBy(F.col("n").desc(), *by).collect()
+    hot_words = [r["word"] for r in frequent(found, "word")]
+    pairs_found = dealt.mapInArrow(counted({*hot_words}), "word long, context long, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    hot_pairs = frequent(pairs_found, "word", "context") if hot_words else []
     unsigned = lambda x: x % (1 << 64)
-    words = [unsigned(r["word"]) for r in frequent.where("context is null").limit(MAX_HOT).collect()] if total else []
-    pairs = [(unsigned(r["word"]), unsigned(r["context"])) for r in frequent.where("context is not null").limit(MAX_HOT).collect()] if total else []
+    words = [unsigned(w) for w in hot_words]
+    pairs = [(unsigned(r["word"]), unsigned(r["context"])) for r in hot_pairs]
     drop(sample, found)
     return Hot(np.array(words, np.uint64), pairs), float(total)
 

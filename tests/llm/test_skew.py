@@ -1,8 +1,10 @@
 """Large groups and very common words: rows that are made follow the input, and results stay those of all rows."""
 
+from collections import Counter
+
 import numpy as np
 
-from countershift.llm import simhash
+from countershift.llm import lm, simhash
 
 
 def counting(monkeypatch, module, seen):
@@ -31,3 +33,25 @@ def test_near_copies_list_no_variants_for_each_document(spark, monkeypatch):
     assert links.count() >= n - 1
     assert {tuple(r) for r in groups.collect()} == {(i, 0) for i in range(n)}
     assert max(seen["near-members"]) <= 16 * n, seen
+
+
+def test_hot_words_and_pairs_are_exact(spark, monkeypatch):
+    """Pairs are counted of hot words alone; words and pairs are those of the whole sample."""
+    monkeypatch.setattr(lm, "SAMPLED", 1)
+    monkeypatch.setattr(lm, "MAX_HOT", 50)
+    rng, seen = np.random.default_rng(4), {}
+    texts = [" ".join("the" if rng.random() < 0.2 else "of" if rng.random() < 0.1 else f"w{rng.integers(0, 3000)}" for _ in range(60)) for _ in range(200)]
+    counting(monkeypatch, lm, seen)
+    docs = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string")
+    hot, total = lm._hot_words(docs.selectExpr("doc_id", "cast(text as binary) as text"))
+    words, pairs = Counter(), Counter()
+    for t in [*texts, ""]:
+        own = ["", *t.split(), ""]
+        words.update(own[1:])
+        pairs.update(zip(own[1:], own[:-1]))
+    assert total == sum(words.values())
+    assert seen["lm-frequent"] == [len(words)]  # no pair of rare words is among them
+    code = lambda w: int(lm._hash([w.encode()])[0])
+    assert {*hot.words.tolist()} == {code(w) for w, n in words.items() if n * 50 > total} | {code("")}
+    found = set(zip(hot.pair_word.tolist(), hot.pair_context.tolist()))
+    assert found == {(code(w), code(c)) for (w, c), n in pairs.items() if n * 50 > total} and found
