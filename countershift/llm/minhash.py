@@ -202,12 +202,20 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
     """v, node: the inverted lists of the indexed values."""
     least = nodes.select("node", F.posexplode(F.slice("sketch", 1, INDEXED)).alias("place", "v"))
     hot = materialize(least.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("v"), "minhash-hot")
-    flags = least.join(_sized(hot), "v").groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("hot_bits"))
-    flagged = nodes.select("node", "n", F.slice("sketch", 1, INDEXED).alias("s")).join(flags, "node", "left")
+    own = nodes.select("node", "n", F.slice("sketch", 1, INDEXED).alias("s"))
+    if hot.count() <= BROADCAST_ROWS:  # looked up where the nodes are, so that members of long lists make no rows
+        few = np.sort(np.array([v for (v,) in hot.collect()], np.int64))
+        flagged = own.withColumn("hot_bits", F.lit(None).cast("long"))
+    else:
+        few = None
+        flags = least.join(hot, "v").groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("hot_bits"))
+        flagged = own.join(flags, "node", "left")
 
     def run(batches):
         for batch in batches:
             ids, ns, bits = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            if few is not None and len(few):
+                bits = [int((np.isin(s.values.to_numpy(), few) << np.arange(len(s), dtype=np.uint64)).sum()) for s in batch.column(2)]
             found = [chosen(s.values.to_numpy().view(np.uint64), n, (b or 0) % (1 << 64), percent) for n, b, s in zip(ns, bits, batch.column(2))]
             node = np.repeat(np.array(ids, np.int64), list(map(len, found)))
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(node)], names=["v", "node"])

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from countershift.llm import lm, simhash
+from countershift.llm import lm, minhash, simhash
 
 
 def counting(monkeypatch, module, seen):
@@ -55,3 +55,23 @@ def test_hot_words_and_pairs_are_exact(spark, monkeypatch):
     assert {*hot.words.tolist()} == {code(w) for w, n in words.items() if n * 50 > total} | {code("")}
     found = set(zip(hot.pair_word.tolist(), hot.pair_context.tolist()))
     assert found == {(code(w), code(c)) for (w, c), n in pairs.items() if n * 50 > total} and found
+
+
+def test_lists_of_hot_values_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT", 20)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}x{k}" for k in range(40))) for i in range(60)]
+    found = minhash._sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
+    nodes = minhash.materialize(found.selectExpr("doc_id as node", "doc_id", "text_key", "n", "sketch"), "nodes")
+    materialize, plans = minhash.materialize, {}
+
+    def kept(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name, *rest)
+
+    monkeypatch.setattr(minhash, "materialize", kept)
+    lists = {tuple(r) for r in minhash._lists(nodes, 85).collect()}
+    assert "Join" not in plans["minhash-lists"]
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    assert lists == {tuple(r) for r in minhash._lists(nodes, 85).collect()}
+    assert "Join" in plans["minhash-lists"]
