@@ -215,7 +215,9 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ids, ns, bits = (batch.column(k).to_pylist() for k in (0, 1, 3))
             if few is not None and len(few):
-                bits = [int((np.isin(s.values.to_numpy(), few) << np.arange(len(s), dtype=np.uint64)).sum()) for s in batch.column(2)]
+                held = [s.values.to_numpy() for s in batch.column(2)]
+                hits = [few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x for x in held]
+                bits = [int((hit.astype(np.uint64) << np.arange(len(hit), dtype=np.uint64)).sum()) for hit in hits]
             found = [chosen(s.values.to_numpy().view(np.uint64), n, (b or 0) % (1 << 64), percent) for n, b, s in zip(ns, bits, batch.column(2))]
             node = np.repeat(np.array(ids, np.int64), list(map(len, found)))
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(node)], names=["v", "node"])
