@@ -1,8 +1,8 @@
 """BPE encoding by backtracking over longest matches, and decoding by an offset table.
 
-Encoder. An Aho-Corasick automaton over all tokens lists, in one pass, the
-tokens that start at each position of a word. The longest is tried first; it is
-accepted if the position behind it isn't known to be a dead end and if it may
+Encoder. The trie of all tokens gives the longest token that starts at a position
+of a word, and each token leads to the next shorter one that starts like it. The
+longest is tried first; it is accepted if the position behind it isn't known to be a dead end and if it may
 stand behind the previous token. Two tokens may stand side by side exactly if
 merging their joint text gives these two again, which the table of merges
 answers by undoing merges from the inside (:meth:`Vocabulary.compatible`). A
@@ -23,7 +23,6 @@ import hashlib
 import json
 from array import array
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,7 +37,7 @@ END = "</w>"
 #: Words and letter groups remembered by one Python worker, and the longest of them in bytes.
 MEMORY_WORDS = 300_000
 MEMORY_BYTES = 48
-#: Places of a long word whose tokens are listed at a time.
+#: Places of a long word whose tokens were listed at a time; nothing is listed any more, and no result depends on it (tests set it).
 WINDOW = 1 << 16
 #: Ids decoded at once.
 DECODE_BLOCK = 1 << 18
@@ -70,13 +69,18 @@ class Vocabulary:
             if token not in symbol:
                 symbol[token], self.parts[token], self.rank[token] = symbol[ids[a]] + symbol[ids[b]], (ids[a], ids[b]), rank
         self.length = {i: len(s) for i, s in symbol.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token, (a, b) in self.parts.items():
-            # a token that merging its own text would not give is never produced
-            if a == token or self.compatible(a, b, self.rank[token]):
-                self.automaton.add_word(symbol[token], (token, len(symbol[token])))
-        self.automaton.make_automaton()
-        self.longest = max(self.length.values())
+        # a token that merging its own text would not give is never produced
+        self.tokens = {symbol[t]: t for t, (a, b) in self.parts.items() if a == t or self.compatible(a, b, self.rank[t])}
+        # the tokens' trie: a node's characters lead on, "" has the longest token that the way to the node begins with
+        self.root: dict = {}
+        for text, token in sorted(self.tokens.items(), key=lambda x: len(x[0])):
+            node = self.root
+            for c in text:
+                node = node.setdefault(c, {"": node.get("")})
+            node[""] = token
+        self.longest = max(map(len, self.tokens))
+        #: Of each token the longest one that its text begins with.
+        self.shorter = {t: next((self.tokens[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.tokens), None) for s, t in self.tokens.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
 
     def compatible(self, left: int, right: int, limit: int | None = None) -> bool:
@@ -110,53 +114,46 @@ class Vocabulary:
             found = self._pairs[key] = self.compatible(left, right)
         return found
 
-    def _starting(self, symbols: str, begin: int) -> list[list[tuple[int, int]]]:
-        """Tokens, shortest first, that start at each of ``WINDOW`` places from ``begin`` on."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(min(WINDOW, len(symbols) - begin))]
-        part = symbols[begin : begin + WINDOW + self.longest - 1] if len(symbols) > WINDOW else symbols
-        for end, found in self.automaton.iter(part):
-            at = end - found[1] + 1
-            if at < len(starts):
-                starts[at].append(found)
-        return starts
-
     def encode_symbols(self, symbols: str) -> array:
         """Ids of one word given as symbols (characters 0-255: bytes; 256-511: the last byte).
 
-        Tokens by place are kept for a few windows of the word only, so that a
-        word of any length takes a few bytes a character.
+        Only places that a token ends at are looked at, and a token's shorter
+        ones are listed once for the vocabulary, so that a word of any length
+        takes a few bytes a character.
         """
-        size, windows = len(symbols), {}
-        if size <= WINDOW:
-            options_at = self._starting(symbols, 0).__getitem__
-        else:
-
-            def options_at(at: int) -> list[tuple[int, int]]:
-                number, place = divmod(at, WINDOW)
-                if number not in windows:
-                    if len(windows) > 2:
-                        del windows[min(windows)]
-                    windows[number] = self._starting(symbols, number * WINDOW)
-                return windows[number][place]
-
+        token = self.tokens.get(symbols)
+        if token is not None:  # nothing is longer, and nothing stands beside it
+            return array("I", (token,))
+        size, longest, root, length, shorter, known = len(symbols), self.longest, self.root, self.length, self.shorter, self._pairs.get
         alive = bytearray(b"\x01") * (size + 1)
-        out, tried = array("I"), array("I")  # tokens, and how many candidates of each one's start are left
-        at, left = 0, len(options_at(0))
+        out = array("I")
+        at, last, token = 0, None, None
         while at < size:
-            options = options_at(at)
-            while left:
-                left -= 1
-                token, length = options[left]
-                if alive[at + length] and (not out or self.joinable(out[-1], token)):
-                    out.append(token)
-                    tried.append(left)
-                    at += length
-                    left = len(options_at(at)) if at < size else 0
-                    break
-            else:
-                alive[at] = 0
-                at -= self.length[out.pop()]
-                left = tried.pop()
+            if token is None:  # the longest that starts here; single symbols are tokens
+                node = root
+                for c in symbols[at : at + longest]:
+                    if c not in node:
+                        break
+                    node = node[c]
+                token = node[""]
+            while token is not None:
+                end = at + length[token]
+                if alive[end]:
+                    fits = last is None or known((last, token))
+                    if fits is None:
+                        fits = self.joinable(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
+            else:  # nothing may stand here: the token before becomes a shorter one, if it has one
+                while token is None:
+                    alive[at] = 0
+                    before = out.pop()
+                    at -= length[before]
+                    last, token = out[-1] if out else None, shorter[before]
+                continue
+            out.append(token)
+            at, last, token = end, token, None
         return out
 
 
@@ -171,7 +168,7 @@ class Codec:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(v.special, key=len, reverse=True)))) if v.special else None
-        self.marks = [s.encode() for s in v.special]
+        self.marked = regex.compile(b"|".join(regex.escape(s.encode()) for s in v.special)).search if v.special else lambda word: None
         size = max(v.text) + 1
         texts = [v.text.get(i, "").encode() + b" " for i in range(size)]
         self.tokens = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
@@ -200,7 +197,7 @@ class Codec:
         return out
 
     def _word(self, word: bytes) -> bytes:
-        if self.special and any(m in word for m in self.marks):
+        if self.marked(word):
             text, out, at = word.decode(), [], 0
             for m in self.special.finditer(text):
                 out += [self._plain(text[at : m.start()].encode()), array("I", [self.vocabulary.special[m[0]]]).tobytes()]
@@ -218,7 +215,7 @@ class Codec:
         for p in found:
             ids = pieces.get(p)
             if ids is None:
-                ids = array("I", self.vocabulary.encode_symbols(p[:-1].decode("latin-1") + chr(256 + p[-1]))).tobytes()
+                ids = self.vocabulary.encode_symbols(p[:-1].decode("latin-1") + chr(256 + p[-1])).tobytes()
                 if len(p) <= MEMORY_BYTES:
                     if len(pieces) > MEMORY_WORDS:
                         pieces.clear()

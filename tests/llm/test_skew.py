@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from countershift.llm import lm, minhash, simhash
+from countershift.llm import bpe, lm, minhash, queries, simhash
 
 
 def counting(monkeypatch, module, seen):
@@ -75,3 +75,25 @@ def test_lists_of_hot_values_are_not_joined(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
     assert lists == {tuple(r) for r in minhash._lists(nodes, 85).collect()}
     assert "Join" in plans["minhash-lists"]
+
+
+def test_only_reached_places_of_a_word_are_looked_at():
+    v, walks = bpe.codec(queries.TOKENIZER).vocabulary, [0]
+
+    class Root(dict):
+        def __getitem__(self, c):
+            walks[0] += 1
+            return super().__getitem__(c)
+
+    root = v.root
+    v.root = Root(root)
+    try:
+        rng = np.random.default_rng(5)
+        for _ in range(50):
+            word = "".join(rng.choice(list("abcdeinrst"), 40))
+            walks[0] = 0
+            ids = v.encode_symbols(word[:-1] + chr(256 + ord(word[-1])))
+            assert sum(v.length[i] for i in ids) == 40
+            assert walks[0] < 40
+    finally:
+        v.root = root
