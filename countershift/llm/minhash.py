@@ -199,7 +199,7 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """v, node: the inverted lists of the indexed values."""
+    """v, node, n (the node's shingles): the inverted lists of the indexed values."""
     least = nodes.select("node", F.posexplode(F.slice("sketch", 1, INDEXED)).alias("place", "v"))
     hot = materialize(least.groupBy("v").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("v"), "minhash-hot")
     own = nodes.select("node", "n", F.slice("sketch", 1, INDEXED).alias("s"))
@@ -220,9 +220,10 @@ def _lists(nodes: DataFrame, percent: int) -> DataFrame:
                 bits = [int((hit.astype(np.uint64) << np.arange(len(hit), dtype=np.uint64)).sum()) for hit in hits]
             found = [chosen(s.values.to_numpy().view(np.uint64), n, (b or 0) % (1 << 64), percent) for n, b, s in zip(ns, bits, batch.column(2))]
             node = np.repeat(np.array(ids, np.int64), list(map(len, found)))
-            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(node)], names=["v", "node"])
+            size = np.repeat(np.array(ns, np.int64), list(map(len, found)))
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)), pa.array(node), pa.array(size)], names=["v", "node", "n"])
 
-    return materialize(flagged.mapInArrow(run, "v long, node long"), "minhash-lists")
+    return materialize(flagged.mapInArrow(run, "v long, node long, n long"), "minhash-lists")
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -330,11 +331,21 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialize(_sets(docs, id_col, text_col, words), "minhash-sets")
     classes = found.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("c"))
     classes = materialize(classes, "minhash-classes")
-    nodes = materialize(classes.select("node").join(found, F.col("node") == found["row"]).select("node", "doc_id", "text_key", "n", "sketch"), "minhash-nodes")
-    lists = _lists(nodes, percent)
-
-    hubs = lists.groupBy("v").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("v", "b")
-    stars = lists.join(hubs, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    short = found.select("row", "n", F.slice("sketch", 1, INDEXED).alias("sketch"))
+    heads = materialize(classes.select("node").join(short, F.col("node") == F.col("row")).select("node", "n", "sketch"), "minhash-heads")
+    every = _lists(heads, percent)
+
+    # only lists of several nodes are kept, and whole sketches only of their nodes
+    hubs = every.groupBy("v").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    lists = materialize(every.join(hubs.select("v", F.col("hub.node").alias("b"), F.col("hub.n").alias("bn")), "v"), "minhash-shared")
+    held = materialize(lists.select("node").distinct(), "minhash-held")
+    nodes = found.join(_sized(held), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "n", "sketch")
+    nodes = materialize(nodes, "minhash-nodes")
+    own = materialize(found.select("doc_id", "n", "d1", "d2"), "minhash-own")
+    drop(found, heads, every, held)
+
+    near = lists.where("node <> b").where(100 * F.least("n", "bn") >= percent * F.greatest("n", "bn"))
+    stars = near.select(F.col("node").alias("a"), "b").distinct()
     pairs = materialize(_agreeing(stars, nodes, percent), "minhash-pairs")
     tried = [_compared(docs, pairs, nodes, id_col, text_col, words, percent)]
     drop(pairs)
@@ -360,12 +371,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     drop(classes, nodes, lists, named, groups, *tried)
     # sets of very many rows are looked up without moving these rows
     hot = F.col("c") > HOT
-    own = found.where("n > 0").select("doc_id", "n", "d1", "d2")
     crowded = materialize(members.where(hot).select("d1", "d2", F.struct("component_id").alias("crowd")), "minhash-crowds")
-    looked = own.join(_sized(crowded), ["d1", "d2"], "left")
+    looked = own.where("n > 0").join(_sized(crowded), ["d1", "d2"], "left")
     rare = looked.where("crowd is null").join(members.where(~hot), ["d1", "d2"]).select("doc_id", "n", "component_id")
     every = looked.where("crowd is not null").select("doc_id", "n", "crowd.component_id").union(rare)
-    every = every.union(found.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    every = every.union(own.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -77,6 +77,17 @@ def test_lists_of_hot_values_are_not_joined(spark, monkeypatch):
     assert "Join" in plans["minhash-lists"]
 
 
+def test_sketches_are_kept_of_nodes_that_share_a_value_alone(spark, monkeypatch):
+    """Texts like no other need no sketch after the lists are made; the copies among them are found all the same."""
+    seen, n = {}, 200
+    rows = [(i, " ".join(f"o{i}x{k}" for k in range(300))) for i in range(n)]
+    rows += [(n + i, rows[i][1].replace("x100 ", "x100y ")) for i in range(5)]
+    counting(monkeypatch, minhash, seen)
+    found = minhash.minhash_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i % n) for i, _ in rows}
+    assert seen["minhash-nodes"] == [10] and seen["minhash-sets"] == [n + 5], seen
+
+
 def test_only_reached_places_of_a_word_are_looked_at():
     v, walks = bpe.codec(queries.TOKENIZER).vocabulary, [0]
 
