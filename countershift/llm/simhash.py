@@ -407,6 +407,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     So a group of near copies, most of which step 1 joins, costs a row per member and
     fingerprint, and others a row per member and variant at most, never all pairs.
+    Fingerprints of a fixed ``TABLE_BITS`` also meet by chance, and such meetings
+    grow with the square of the number of documents: for tables of millions take
+    :func:`countershift.llm.minhash.keep_dissimilar`, which has none.
     Ids that are null or that several rows share take no part.
     """
     found = materialize(_sketched(docs, id_col, text_col), "near-sketches")

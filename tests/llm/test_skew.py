@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from countershift.llm import bpe, lm, minhash, queries, simhash
 
 
@@ -77,6 +78,21 @@ def test_lists_of_hot_values_are_not_joined(spark, monkeypatch):
     assert "Join" in plans["minhash-lists"]
 
 
+def test_near_dedup_makes_no_rows_for_unrelated_texts(spark, monkeypatch):
+    """Fingerprints of few bits meet by chance, with the square of the number of texts; near_dedup pairs what shares a shingle, and misses no copy."""
+    seen, n = {}, 5000
+    rows = [(i, " ".join(f"o{i}x{k}" for k in range(40))) for i in range(n)]
+    long = [[f"l{i}x{k}" for k in range(400)] for i in range(40)]
+    rows += [(n + i, " ".join(w)) for i, w in enumerate(long)]
+    rows += [(n + 40 + i, " ".join(x if k % 48 else f"c{i}x{k}" for k, x in enumerate(w))) for i, w in enumerate(long)]  # similarity 0.81
+    for module in (simhash, minhash):
+        counting(monkeypatch, module, seen)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(n + 40))
+    assert sum(seen.get("near-variants", [])) + sum(seen.get("minhash-pairs", [])) <= 80, seen
+    assert set(seen["minhash-nodes"]) == {80}
+
+
 def test_sketches_are_kept_of_nodes_that_share_a_value_alone(spark, monkeypatch):
     """Texts like no other need no sketch after the lists are made; the copies among them are found all the same."""
     seen, n = {}, 200
